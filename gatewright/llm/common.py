@@ -122,6 +122,7 @@ _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_CODE_LOWER = _CODE[_LOWER]
 
 
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,13 +131,13 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, A-Z lower-cased, by one rolling polynomial over the buffer."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of the words by one rolling polynomial over the buffer; ``fold``: with A-Z lower-cased."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     powers = _powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_CODE[_LOWER[buf]] * powers[: len(buf)], out=total[1:])
+    np.cumsum((_CODE_LOWER if fold else _CODE)[buf] * powers[: len(buf)], out=total[1:])
     return mix64((total[ends] - total[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64))
 
 

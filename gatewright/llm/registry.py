@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import bpe, exact_dedup, packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op7_packing": packing.op7_packing,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES = {
