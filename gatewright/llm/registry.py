@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, packing, pii
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op7_packing": packing.op7_packing,
     "op9_bpe": bpe.op9_bpe,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {
