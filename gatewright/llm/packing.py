@@ -20,7 +20,6 @@ ignored; an empty table gives no sequence.
 from __future__ import annotations
 
 import heapq
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import passes, text_encoder
 from .common import table
 
 CAPACITY = 4096
@@ -89,45 +89,9 @@ def balanced_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[in
         k += max(1, sum(excess) // capacity)
 
 
-class ChunkTokenizer:
-    """Ids of blank-separated chunks, remembered.
-
-    The tokenizer drops white space, lower-cases code point by code point and
-    never joins across a blank, so a text's ids are those of its chunks in order.
-    """
-
-    def __init__(self, path: str, remember: int = 500_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.remember, self.known = remember, {}
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for text in texts:
-            chunks = text.split()
-            known = self.known
-            new = list({c for c in chunks if c not in known})
-            if new:
-                if len(known) + len(new) > self.remember:
-                    known.clear()
-                    new = list(set(chunks))
-                for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-                    known[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-            yield b"".join([known[c] for c in chunks])
-
-
-_tokenizers: dict[str, ChunkTokenizer] = {}
-
-
 def _packer(path: str, capacity: int, group_windows: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _tokenizers:
-            _tokenizers[path] = ChunkTokenizer(path)
-        tokenizer = _tokenizers[path]
+        encoder = text_encoder(path, "word_end")
         next_sequence = TaskContext.get().partitionId() << 32
         end = struct.pack("<I", END_ID)
         pieces: list[tuple] = []  # doc, start, length, crc, doc tokens
@@ -154,23 +118,26 @@ def _packer(path: str, capacity: int, group_windows: int, piece: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for b in batches:
-            ids = b.column(0).to_pylist()
-            texts = [x.encode() if x is not None else b"" for x in b.column(1).to_pylist()]
-            for doc_id, tokens in zip(ids, tokenizer.encode(texts)):
-                tokens += end
-                n = len(tokens) // 4
-                at = 0
-                while at < n:
-                    length = capacity if n - at >= capacity else min(piece, n - at)
-                    p = (doc_id, at, length, zlib.crc32(memoryview(tokens)[4 * at : 4 * (at + length)]), n)
-                    at += length
-                    if length == capacity:
-                        place([[p]])
-                    else:
-                        pieces.append(p)
-                        held += length
-                if held >= group_windows * capacity:
-                    flush()
+            docs = list(zip(b.column(0).to_pylist(), [(x or "").encode() for x in b.column(1).to_pylist()]))
+            for part in passes(docs, lambda d: len(d[1])):
+                ids, offsets = encoder.encode([t for _, t in part])
+                flat = memoryview(ids.astype("<u4").tobytes())
+                for i, (doc_id, _) in enumerate(part):
+                    first, last = int(offsets[i]), int(offsets[i + 1])
+                    n = last - first + 1
+                    at = 0
+                    while at < n:
+                        length = capacity if n - at >= capacity else min(piece, n - at)
+                        crc = zlib.crc32(flat[4 * (first + at) : 4 * min(first + at + length, last)])
+                        p = (doc_id, at, length, zlib.crc32(end, crc) if at + length == n else crc, n)
+                        at += length
+                        if length == capacity:
+                            place([[p]])
+                        else:
+                            pieces.append(p)
+                            held += length
+                    if held >= group_windows * capacity:
+                        flush()
                 if len(rows) > 20_000:
                     yield batch()
         flush()
