@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lang_id, packing, pii
+from . import bpe, exact_dedup, lang_id, near_dedup, packing, pii
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_language_id": lang_id.op2_language_id,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_packing": packing.op7_packing,
     "op9_bpe": bpe.op9_bpe,
     "op10_pii": pii.op10_pii,
