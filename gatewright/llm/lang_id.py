@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -244,8 +245,6 @@ def keep_known(docs: DataFrame, net: ByteCNN | None, least: float = 0.35, text_c
 
     Without a trained network (no labelled row) only texts without a letter go.
     """
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
         predictor = Predictor(net) if net is not None else None

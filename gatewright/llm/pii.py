@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -258,8 +259,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    import pandas as pd
-
     _, more = with_discoveries(spark, docs, id_column, text_column)
 
     @F.pandas_udf("string")
