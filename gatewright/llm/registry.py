@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lang_id, near_dedup, packing, pii
+from . import bpe, exact_dedup, lang_id, near_dedup, packing, pii, preferences
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_language_id": lang_id.op2_language_id,
+    "op3_preferences": preferences.op3_preferences,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_packing": packing.op7_packing,
     "op9_bpe": bpe.op9_bpe,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op3_preferences": preferences.ORACLE_SQL,
 }
