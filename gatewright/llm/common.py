@@ -100,24 +100,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWERS = np.ones(1, np.uint64)
+_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> np.ndarray:
-    """Base to the powers 0..n-1 and their inverses, as wrapping 64-bit integers."""
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        n = 1 << (n - 1).bit_length()
-        p = np.full(n, _BASE, np.uint64)
-        p[0] = 1
-        q = np.full(n, _BASE_INV, np.uint64)
-        q[0] = 1
-        _POWERS, _INVERSES = np.multiply.accumulate(p), np.multiply.accumulate(q)
-    return _POWERS
+def _powers(n: int) -> list[np.ndarray]:
+    """The base's powers 0..n-1 (at least) and their inverses, as wrapping 64-bit integers."""
+    if len(_tables[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for i, base in enumerate((_BASE, _BASE_INV)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _tables[i] = np.multiply.accumulate(x)
+    return _tables
 
 
-_INVERSES = np.ones(1, np.uint64)
-
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -135,10 +131,10 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     """64-bit hashes of the words by one rolling polynomial over the buffer; ``fold``: with A-Z lower-cased."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers = _powers(len(buf) + 1)
+    powers, inverses = _powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((_CODE_LOWER if fold else _CODE)[buf] * powers[: len(buf)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64))
+    return mix64((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
 def flat_texts(column) -> tuple[np.ndarray, np.ndarray]:
