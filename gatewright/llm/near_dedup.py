@@ -13,10 +13,11 @@ deviations below the threshold.
 
 No bucket is expanded into all its pairs. Texts with equal sets are one class first.
 Then, in each bucket, every member meets only the smallest member (a star). Links that
-hold are merged into components. What is left are buckets whose members are in several
-components: there, members outside the bucket's largest component meet the members of
-other components. A pair within one component needs no test, so this loses no link
-between components and is exact for all candidates of the bands. Components are found
+hold are merged into components. What is left are links
+between components. For them, sets that have any candidate meet by their rarest shingles
+(prefix and positional filters, which are exact), again members outside the largest
+component of a shingle against the members of other components. A pair within one component
+needs no test, so this loses no link between components of all sets that a band has seen. Components are found
 by alternating large and small stars, whose joins and aggregations by key Spark can
 split; nothing is collected.
 
@@ -44,6 +45,8 @@ from .common import drop_folder, flat_texts, materialize, mix64, table, word_has
 
 SKETCH_WORDS = 8  # of 64 bits
 SKETCH_BITS = 64 * SKETCH_WORDS
+FILTER_BITS = 1 << 25
+COUNT_CELLS = 1 << 22
 
 
 def banding(percent: int, miss: float = 1e-6) -> tuple[int, int]:
@@ -159,16 +162,60 @@ def _parts(b: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
         yield b.slice(at)
 
 
-def _setter(words: int):
+def _setter(words: int, bitmap: np.ndarray):
+    """(doc_id, hashes) of the rows of (doc_id, text, place) whose place is set in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _parts(b):
+            place = b.column(2).to_numpy()
+            wanted = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            for part in _parts(b.take(pa.array(wanted))) if len(wanted) else ():
                 sets = shingle_sets(*flat_texts(part.column(1)), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "hashes"])
 
     return run
 
 
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - 22)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's sets have a shingle in each cell, by parts of 65536 cells."""
+    total = np.zeros(COUNT_CELLS, np.int64)
+    for b in batches:
+        for x in b.column(0):
+            np.add.at(total, _cells(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+    for part in range(0, COUNT_CELLS, 65536):
+        at = np.flatnonzero(total[part : part + 65536])
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part // 65536, np.int32)), pa.array(at + part), pa.array(total[part + at])], names=["part", "cell", "n"])
+
+
+def _prefixer(counts: np.ndarray, percent: int):
+    """The rarest shingles of each set, of which similar sets must share one: (id, n, bucket, place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b.slice(at, 500)
+                tokens, lengths, sizes = [], [], []
+                for x in part.column(1):
+                    s = np.frombuffer(x.as_buffer(), np.uint64)
+                    keep = len(s) - -(-percent * len(s) // 100) + 1
+                    order = np.lexsort((s, counts[_cells(s)]))[:keep]
+                    tokens.append(s[order])
+                    lengths.append(len(order))
+                    sizes.append(len(s))
+                place = np.concatenate([np.arange(k) for k in lengths])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part.column(0).to_numpy(), lengths)), pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(place.astype(np.int64))],
+                    names=["id", "n", "bucket", "place"],
+                )
+
+    return run
+
+
 def _confirmer(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,7 +262,7 @@ def components(spark: SparkSession, links: DataFrame, name: str = "components")
         if state == seen or state[0] == 0:
             break
         seen = state
-    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 class NearCopies:
@@ -236,14 +283,50 @@ class NearCopies:
         sizes = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
         return pairs.join(left, "a").join(right, "b").where(sizes & (differ <= self.bound)).select("a", "b")
 
-    def _confirmed(self, pairs: DataFrame) -> DataFrame:
+    def _sets(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, hashes) of the given distinct ids.
+
+        A bitmap of ``FILTER_BITS`` bits, whatever the number of ids, lets most other texts
+        go before their sets are computed; the join by id is exact.
+        """
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+        marks = ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect()
+        bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+        for r in marks:
+            bitmap[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+        texts = self.texts.where(F.col("doc_id").isNotNull()).select("doc_id", "text", place.alias("place"))
+        found = texts.mapInArrow(_setter(self.words, bitmap), "doc_id long, hashes binary")
+        return found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def _confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those that reach the threshold on full sets."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        # a repeated id stands for the document whose set its class has: the representative's rows are told apart by the set key
-        sets = self.texts.join(ids, "doc_id", "left_semi").mapInArrow(_setter(self.words), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
         return pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "hb").mapInArrow(_confirmer(self.percent), "a long, b long")
 
+    def _crossing(self, first: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components that may reach the threshold, by their rarest shingles.
+
+        In any fixed order of all shingles, two sets that reach the threshold share one among the
+        first n - ceil(t n) + 1 of each, and as many shingles as both have from the first shared one
+        on must be enough for the threshold. The order is by how many sets have a shingle (counted in
+        a table of fixed size, so collisions cost time and no pair), which keeps shingles that very
+        many sets share out of the prefixes of all sets but those closest to each other.
+        """
+        tally = sets.select("hashes").mapInArrow(_tally, "part int, cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(COUNT_CELLS, np.int32)
+        counts[tally.column("cell").to_numpy()] = np.minimum(tally.column("n").to_numpy(), 2**31 - 1)
+        rows = sets.select("doc_id", "hashes").mapInArrow(_prefixer(counts, self.percent), "id long, n long, bucket long, place long")
+        placed = materialize(self.spark, rows.join(first, "id", "left").select("bucket", "id", "n", "place", F.coalesce("component", "id").alias("component")), "prefixes")
+        several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        rest = placed.join(several, "bucket", "left_semi")
+        largest = rest.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+        sided = rest.join(largest, "bucket")
+        strays = sided.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+        others = sided.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("in_main"), F.col("n").alias("ny"), F.col("place").alias("py"))
+        enough = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + self.percent) >= self.percent * (F.col("nx") + F.col("ny"))
+        met = strays.join(others, "bucket").where((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & enough)
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
         spark = self.spark
@@ -254,20 +337,12 @@ class NearCopies:
         buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
         shared = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
         members = materialize(spark, buckets.join(shared.select("bucket", "hub"), "bucket"), "members")
+        sets = materialize(spark, self._sets(members.select(F.col("id").alias("doc_id")).distinct()), "sets")
         stars = materialize(spark, self._close(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sketches), "stars")
-        links = materialize(spark, self._confirmed(stars), "links")
-        first = materialize(spark, components(spark, links, "first"), "first")
-        # buckets that still hold several components
-        placed = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")).select("bucket", "id", "component")
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        rest = materialize(spark, placed.join(mixed, "bucket", "left_semi"), "rest")
-        largest = rest.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        sided = rest.join(largest, "bucket")
-        strays = sided.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-        others = sided.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("in_main"))
-        crossing = strays.join(others, "bucket").where((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y")))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        late = materialize(spark, self._close(crossing, sketches).join(stars, ["a", "b"], "left_anti"), "late")
-        more = self._confirmed(late)
+        links = materialize(spark, self._confirmed(stars, sets), "links")
+        first = components(spark, links, "first")
+        late = self._close(self._crossing(first, sets), sketches).join(stars, ["a", "b"], "left_anti")
+        more = self._confirmed(materialize(spark, late, "late"), sets)
         joined = more.join(first.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left").join(first.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left")
         bridges = materialize(spark, joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "bridges")
         final = components(spark, bridges, "final").select(F.col("id").alias("component"), F.col("component").alias("top"))
