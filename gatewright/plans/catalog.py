@@ -1,6 +1,683 @@
-"""All queries over the decision-analytics operators, with the SQL that gives the same rows."""
+"""All queries over the decision-analytics operators, with the SQL that gives the same rows.
+
+Doubles are rounded to six places on both sides, since the order of a sum is free.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores as S
+from ..functions.canonical import json_digest, same_value
+from ..operators import calibrate as C
+from ..operators import gate as G
+from ..operators import metrics as M
+from ..operators import robust as R
+from ..operators import suites as U
+from ..operators import validate as V
+from ..sources import cases as K
+from ..sources import tools as T
+from . import workloads as W
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+THRESHOLDS = (0.25, 0.3, 0.35, 0.4, 0.5, 0.99)
+POLICY = G.ThresholdPolicy(0.4, 0.05)
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(df: DataFrame) -> DataFrame:
+    """Doubles rounded to six places."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    return M.case_results(W.events(spark, d))
+
+
+def _half(df: DataFrame, side: int) -> DataFrame:
+    return df.where(F.col("case_id") % 2 == side)
+
+
+# --- scores and decisions --------------------------------------------------------------------
+
+EMB = """
+e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+cen AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS c FROM e WHERE vec_id % 2 = 0 GROUP BY label, i),
+sc AS (SELECT e.vec_id, e.label AS gold, cen.label AS cand, 4.0::DOUBLE * sum(CAST(e.x AS DOUBLE) * cen.c) AS s FROM e JOIN cen ON e.i = cen.i WHERE e.vec_id % 2 = 1 GROUP BY e.vec_id, e.label, cen.label),
+ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS z FROM sc),
+pr AS (SELECT *, z / sum(z) OVER (PARTITION BY vec_id) AS p FROM ex),
+rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, cand) AS rn FROM pr),
+emb AS (SELECT vec_id AS case_id, CAST(cand AS VARCHAR) AS predicted, CAST(gold AS VARCHAR) AS gold, p AS confidence, cand = gold AS correct FROM rk WHERE rn = 1)
+"""
+
+
+def embedding_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Odd vectors scored against the centroids of the even ones: softmax of four times the dot product.
+
+    Centroids are one row (labels times dimensions, whatever the number of vectors), which is
+    broadcast, so every vector is scored in its own row.
+    """
+    e = W.table(spark, d, "embeddings")
+    parts = e.where("vec_id % 2 = 0").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    rows = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda v: v["c"]).alias("centroid"))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("centroids"))
+    spread = e.where("vec_id % 2 = 1").crossJoin(F.broadcast(one))
+    logits = F.transform("centroids", lambda c: F.lit(4.0) * S.dot(F.col("embedding"), c["centroid"]))
+    listed = F.transform("centroids", lambda c: c["label"].cast("string"))
+    return spread.select(F.col("vec_id").alias("case_id"), listed.alias("candidates"), S.candidate_softmax(listed, logits).alias("scores"), F.col("label").cast("string").alias("gold"))
+
+
+@query(f"WITH {EMB} SELECT count(*) AS n, round(avg(CASE WHEN correct THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg(pow(confidence - CASE WHEN correct THEN 1.0::DOUBLE ELSE 0 END, 2)), 6) AS brier, round(min(confidence), 6) AS least, round(max(confidence), 6) AS most FROM emb")
+def flagship_embedding_benchmark(spark, d):
+    results = M.case_results(embedding_scored(spark, d))
+    return r6(results.agg(F.count(F.lit(1)).alias("n"), M.accuracy().alias("accuracy"), M.brier().alias("brier"), F.min("confidence").alias("least"), F.max("confidence").alias("most")))
+
+
+@query(f"WITH {W.EVT} SELECT case_id, predicted, gold, round(confidence, 6) AS confidence, correct, round(gold_probability, 6) AS gold_probability, round(latency_ms, 6) AS latency_ms, tokens FROM res")
+def top1_case_results(spark, d):
+    return r6(_results(spark, d))
+
+
+@query(f"WITH {W.EVT} SELECT case_id, round(confidence, 6) AS confidence, round(runner_up, 6) AS runner_up, round(confidence - runner_up, 6) AS margin FROM res")
+def runner_up_margin(spark, d):
+    x = W.events(spark, d).select("case_id", S.top1("scores")["probability"].alias("confidence"), S.runner_up("scores").alias("runner_up"))
+    return r6(x.withColumn("margin", F.col("confidence") - F.col("runner_up")))
+
+
+GATE = "CASE WHEN confidence < 0.4::DOUBLE THEN 'LOW_CONFIDENCE' WHEN confidence - runner_up < 0.05::DOUBLE THEN 'LOW_MARGIN' ELSE 'CONFIDENT' END"
+
+
+@query(f"WITH {W.EVT}, g AS (SELECT *, {GATE} AS reason_code FROM res) SELECT case_id, reason_code, CASE WHEN reason_code = 'CONFIDENT' THEN 'EXECUTE' ELSE 'FALLBACK' END AS action, CASE WHEN reason_code = 'CONFIDENT' THEN predicted END AS decision, round(confidence, 6) AS confidence FROM g")
+def gate_decisions(spark, d):
+    return r6(G.decide(W.events(spark, d), POLICY).select("case_id", "reason_code", "action", "decision", "confidence"))
+
+
+@query(f"WITH {W.EVT}, g AS (SELECT {GATE} AS reason_code FROM res) SELECT reason_code, CASE WHEN reason_code = 'CONFIDENT' THEN 'EXECUTE' ELSE 'FALLBACK' END AS action, count(*) AS n FROM g GROUP BY reason_code")
+def gate_action_counts(spark, d):
+    return G.decide(W.events(spark, d), POLICY).groupBy("reason_code", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- metrics ---------------------------------------------------------------------------------
+
+HIT = "CASE WHEN correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+@query(f"WITH {W.EVT} SELECT round(avg({HIT}), 6) AS accuracy, count(*) AS n FROM res")
+def metric_accuracy(spark, d):
+    return r6(_results(spark, d).agg(M.accuracy().alias("accuracy"), F.count(F.lit(1)).alias("n")))
+
+
+@query(f"WITH {W.EVT} SELECT round(avg(pow(confidence - {HIT}, 2)), 6) AS brier FROM res")
+def metric_brier(spark, d):
+    return r6(_results(spark, d).agg(M.brier().alias("brier")))
+
+
+@query(f"WITH {W.EVT} SELECT round(avg(-({HIT} * ln(confidence) + (1 - {HIT}) * ln(1 - confidence))), 6) AS nll FROM res")
+def metric_binary_nll(spark, d):
+    return r6(_results(spark, d).agg(M.binary_nll().alias("nll")))
+
+
+@query(f"WITH {W.EVT} SELECT round(avg(-ln(greatest(gold_probability, 1e-12::DOUBLE))), 6) AS nll FROM res")
+def metric_multiclass_nll(spark, d):
+    return r6(_results(spark, d).agg(M.multiclass_nll().alias("nll")))
+
+
+EDGES = " + ".join(f"CASE WHEN confidence >= {k}::DOUBLE / 10 THEN 1 ELSE 0 END" for k in range(1, 10))
+BINS = f"b AS (SELECT CAST({EDGES} AS BIGINT) AS bin, count(*) AS n, avg({HIT}) AS accuracy, avg(confidence) AS confidence FROM res GROUP BY 1)"
+ECE = f"{BINS}, ec AS (SELECT sum(n * abs(accuracy - confidence)) / sum(n) AS ece FROM b)"
+F1 = """lab AS (SELECT gold AS label, correct, 1 AS g, 0 AS p FROM res UNION ALL SELECT predicted, correct, 0, 1 FROM res),
+f1 AS (SELECT label, CAST(sum(CASE WHEN g = 1 AND correct THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(g) AS BIGINT) AS gold_n, CAST(sum(p) AS BIGINT) AS predicted_n FROM lab GROUP BY label),
+f1s AS (SELECT *, 2.0::DOUBLE * tp / (gold_n + predicted_n) AS f1 FROM f1)"""
+
+
+@query(f"WITH {W.EVT}, {ECE} SELECT round(ece, 6) AS ece FROM ec")
+def metric_ece(spark, d):
+    return r6(M.ece(_results(spark, d)))
+
+
+@query(f"WITH {W.EVT}, {BINS} SELECT bin, n, round(accuracy, 6) AS accuracy, round(confidence, 6) AS confidence FROM b")
+def metric_ece_bins(spark, d):
+    return r6(M.ece_bins(_results(spark, d)))
+
+
+@query(f"WITH {W.ORD}, {F1} SELECT round(avg(f1), 6) AS macro_f1 FROM f1s")
+def metric_macro_f1(spark, d):
+    return r6(M.macro_f1(M.case_results(W.orders(spark, d))))
+
+
+@query(f"WITH {W.ORD}, {F1} SELECT label, tp, gold_n, predicted_n, round(f1, 6) AS f1 FROM f1s")
+def metric_f1_per_label(spark, d):
+    return r6(M.f1_per_label(M.case_results(W.orders(spark, d))))
+
+
+def curve_sql(source: str, thresholds=THRESHOLDS) -> str:
+    values = ", ".join(f"({i}, {t}::DOUBLE)" for i, t in enumerate(thresholds))
+    return f"""th AS (SELECT * FROM (VALUES {values}) AS t(ordinal, threshold)),
+cv AS (SELECT CAST(ordinal AS BIGINT) AS ordinal, threshold, count(*) AS n, CAST(sum(CASE WHEN confidence >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(sum(CASE WHEN confidence >= threshold AND NOT correct THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM {source}, th GROUP BY ordinal, threshold),
+curve AS (SELECT *, accepted::DOUBLE / n AS coverage, CASE WHEN accepted > 0 THEN errors::DOUBLE / accepted ELSE 0 END AS risk, errors::DOUBLE / n AS false_automation_rate, (n - accepted)::DOUBLE / n AS fallback_rate FROM cv)"""
+
+
+SHOWN = "ordinal, threshold, n, accepted, errors, round(coverage, 6) AS coverage, round(risk, 6) AS risk, round(false_automation_rate, 6) AS false_automation_rate, round(fallback_rate, 6) AS fallback_rate"
+
+
+@query(f"WITH {W.EVT}, {curve_sql('res')} SELECT {SHOWN} FROM curve")
+def risk_coverage_curve(spark, d):
+    return r6(M.risk_coverage(_results(spark, d), THRESHOLDS))
+
+
+@query(f"WITH {W.EVT}, {curve_sql('res')} SELECT {SHOWN} FROM curve WHERE coverage > 0 AND coverage >= 0.05 AND risk <= 0.3 ORDER BY coverage DESC, risk, threshold DESC LIMIT 1")
+def operating_point(spark, d):
+    return r6(M.operating_point(M.risk_coverage(_results(spark, d), THRESHOLDS), 0.3, 0.05))
+
+
+@query(f"WITH {EMB}, {curve_sql('emb', (0.1, 0.105, 0.11))} SELECT {SHOWN} FROM curve WHERE coverage > 0 AND coverage >= 0.25 AND risk <= 0.1 ORDER BY coverage DESC, risk, threshold DESC LIMIT 1")
+def operating_point_infeasible(spark, d):
+    return r6(M.operating_point(M.risk_coverage(M.case_results(embedding_scored(spark, d)), (0.1, 0.105, 0.11)), 0.1, 0.25))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+def latency_percentiles(spark, d):
+    e = W.table(spark, d, "events")
+    return r6(e.groupBy("event_type").agg(*[M.percentile("value", q).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)]))
+
+
+@query(f"WITH {W.EVT} SELECT gold, round(avg(latency_ms), 6) AS mean_latency_ms, round(avg(tokens), 6) AS mean_tokens, count(tokens) AS known FROM res GROUP BY gold")
+def token_means(spark, d):
+    return r6(_results(spark, d).groupBy("gold").agg(F.avg("latency_ms").alias("mean_latency_ms"), F.avg("tokens").alias("mean_tokens"), F.count("tokens").alias("known")))
+
+
+REPORT = f"""SELECT count(*) AS n, round(avg({HIT}), 6) AS accuracy, round(avg(-ln(greatest(gold_probability, 1e-12::DOUBLE))), 6) AS nll, round(avg(pow(confidence - {HIT}, 2)), 6) AS brier,
+round(avg(latency_ms), 6) AS mean_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(avg(tokens), 6) AS mean_tokens,
+round((SELECT ece FROM ec), 6) AS ece, round((SELECT avg(f1) FROM f1s), 6) AS macro_f1 FROM res"""
+
+
+@query(f"WITH {W.ORD}, {ECE}, {F1} {REPORT}")
+def benchmark_report(spark, d):
+    return r6(M.benchmark_report(M.case_results(W.orders(spark, d))))
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_partkey, l_returnflag AS gold, CAST(1 + (l_orderkey * 7 + l_partkey) % 101 + CASE WHEN l_returnflag = 'A' AND l_orderkey % 3 <> 0 THEN 60 ELSE 0 END AS DOUBLE) AS a,
+  CAST(1 + (l_orderkey * 7 + 13 + l_partkey) % 101 + CASE WHEN l_returnflag = 'N' AND l_orderkey % 3 <> 0 THEN 60 ELSE 0 END AS DOUBLE) AS n, CAST(1 + (l_orderkey * 7 + 26 + l_partkey) % 101 + CASE WHEN l_returnflag = 'R' AND l_orderkey % 3 <> 0 THEN 60 ELSE 0 END AS DOUBLE) AS r FROM lineitem),
+res AS (SELECT greatest(a, n, r) / (a + n + r) AS confidence, CASE WHEN a >= n AND a >= r THEN 'A' WHEN n >= r THEN 'N' ELSE 'R' END = gold AS correct FROM x),
+{curve_sql('res', tuple(k / 20 for k in range(21)))} SELECT {SHOWN} FROM curve""")
+def risk_coverage_large(spark, d):
+    return r6(M.risk_coverage(M.case_results(W.lines(spark, d)), [k / 20 for k in range(21)]))
+
+
+# --- calibration -----------------------------------------------------------------------------
+
+GRID = C.grid()
+GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {t!r}::DOUBLE)" for i, t in enumerate([*GRID, 1.0])) + ") AS t(step, temperature))"
+NLL_SQL = f"""{GRID_SQL}, cal AS (SELECT case_id, cand = gold AS is_gold, ln(greatest(p, 1e-12::DOUBLE)) AS l FROM evt WHERE case_id % 2 = 0),
+lse AS (SELECT case_id, step, temperature, ln(sum(exp(l / temperature))) AS z, max(CASE WHEN is_gold THEN l END) / temperature AS g FROM cal, grid GROUP BY case_id, step, temperature),
+nll AS (SELECT CAST(step AS BIGINT) AS step, temperature, avg(least(z - g, 27.631021115928547::DOUBLE)) AS nll FROM lse GROUP BY step, temperature),
+fit AS (SELECT temperature, nll AS nll_after FROM nll WHERE step < {len(GRID)} ORDER BY round(nll, 12), step LIMIT 1)"""
+
+
+@query(f"WITH {W.EVT}, s AS (SELECT case_id, pos, cand, exp(ln(greatest(p, 1e-12::DOUBLE)) / 2.0::DOUBLE) AS z FROM evt) SELECT case_id, CAST(pos AS BIGINT) AS pos, cand AS candidate, round(z / sum(z) OVER (PARTITION BY case_id), 6) AS probability FROM s")
+def temperature_scaled_scores(spark, d):
+    x = W.events(spark, d).select("case_id", F.posexplode(S.temperature_scaled("scores", 2.0)).alias("pos", "s"))
+    return r6(x.select("case_id", F.col("pos").cast("long").alias("pos"), "s.candidate", "s.probability"))
+
+
+@query(f"WITH {W.EVT}, {NLL_SQL} SELECT step, round(temperature, 6) AS temperature, round(nll, 6) AS nll FROM nll WHERE step < {len(GRID)}")
+def temperature_nll_curve(spark, d):
+    return r6(C.nll_curve(_half(W.events(spark, d), 0)))
+
+
+@query(f"WITH {W.EVT}, {NLL_SQL} SELECT round(temperature, 6) AS temperature, round((SELECT nll FROM nll WHERE step = {len(GRID)}), 6) AS nll_before, round(nll_after, 6) AS nll_after FROM fit")
+def temperature_fit(spark, d):
+    return r6(C.fit_temperature(_half(W.events(spark, d), 0)))
+
+
+@query(f"""WITH {W.EVT}, {NLL_SQL}, sc AS (SELECT case_id, gold, pos, cand, exp(ln(greatest(p, 1e-12::DOUBLE)) / (SELECT temperature FROM fit)) AS z FROM evt WHERE case_id % 2 = 1),
+q AS (SELECT *, z / sum(z) OVER (PARTITION BY case_id) AS q FROM sc), qr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY q DESC, pos) AS rn FROM q),
+both_ AS (SELECT 'raw' AS variant, confidence, correct, gold_probability FROM res WHERE case_id % 2 = 1 UNION ALL
+  SELECT 'calibrated', max(CASE WHEN rn = 1 THEN q END), max(CASE WHEN rn = 1 THEN cand END) = max(gold), max(CASE WHEN cand = gold THEN q END) FROM qr GROUP BY case_id)
+SELECT variant, count(*) AS n, round(avg({HIT}), 6) AS accuracy, round(avg(pow(confidence - {HIT}, 2)), 6) AS brier, round(avg(-ln(greatest(gold_probability, 1e-12::DOUBLE))), 6) AS nll FROM both_ GROUP BY variant""")
+def calibrated_vs_raw_report(spark, d):
+    cases = W.events(spark, d)
+    t = C.fit_temperature(_half(cases, 0)).first()["temperature"]
+    raw = _half(cases, 1).select("case_id", "gold", "scores")
+    spread = raw.select("case_id", "gold", F.explode(F.array(F.struct(F.lit("raw").alias("variant"), "scores"), F.struct(F.lit("calibrated").alias("variant"), S.temperature_scaled("scores", t).alias("scores")))).alias("v"))
+    results = M.case_results(spread.select("case_id", "gold", "v.variant", "v.scores"), "variant")
+    return r6(results.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), M.accuracy().alias("accuracy"), M.brier().alias("brier"), M.multiclass_nll().alias("nll")))
+
+
+@query(f"WITH {EMB} SELECT round(median(confidence), 6) AS threshold FROM emb")
+def median_fallback_threshold(spark, d):
+    return r6(M.case_results(embedding_scored(spark, d)).agg(F.median("confidence").alias("threshold")))
+
+
+# --- robustness ------------------------------------------------------------------------------
+
+@query("SELECT event_id AS case_id, 'reverse' AS variant, 'view,signup,purchase,error,click' AS candidates FROM events UNION ALL SELECT event_id, 'rotate_left_1', 'error,purchase,signup,view,click' FROM events")
+def permutation_variants(spark, d):
+    return R.permutation_variants(W.events(spark, d).select("case_id", "candidates")).select("case_id", "variant", F.array_join("candidates", ",").alias("candidates"))
+
+
+def _order_sensitive(df: DataFrame) -> DataFrame:
+    """Event weights and a bonus of 40 for the candidate that is listed first."""
+    place = F.array(*map(F.lit, W.EVENT_TYPES))
+    weight = lambda c, k: (F.lit(1) + (F.col("case_id") * 7 + (F.array_position(place, c) - 1) * 13 + F.col("user_id")) % 101 + F.when(k == 0, 40).otherwise(0)).cast("double")
+    return df.withColumn("scores", S.distribution("candidates", S.normalised(F.transform("candidates", weight))))
+
+
+@query(f"""WITH {W.EVT}, perm AS (
+  SELECT 'base' AS variant, pos, pos AS spot FROM k UNION ALL SELECT 'reverse', pos, 4 - pos FROM k UNION ALL SELECT 'rotate_left_1', pos, (pos + 4) % 5 FROM k),
+w3 AS (SELECT event_id AS case_id, event_type AS gold, variant, cand, spot, 1 + (event_id * 7 + perm.pos * 13 + user_id) % 101 + CASE WHEN spot = 0 THEN 40 ELSE 0 END AS w FROM events, perm JOIN k ON k.pos = perm.pos),
+t3 AS (SELECT *, row_number() OVER (PARTITION BY case_id, variant ORDER BY w DESC, spot) AS rn FROM w3),
+b3 AS (SELECT case_id, max(gold) AS gold, max(CASE WHEN variant = 'base' THEN cand END) AS base, max(CASE WHEN variant = 'reverse' THEN cand END) AS rev, max(CASE WHEN variant = 'rotate_left_1' THEN cand END) AS rot FROM t3 WHERE rn = 1 GROUP BY case_id)
+SELECT round(avg(CASE WHEN base = gold THEN 1.0::DOUBLE ELSE 0 END), 6) AS baseline_accuracy, 2 * count(*) AS comparison_count, CAST(sum(CASE WHEN rev <> base THEN 1 ELSE 0 END + CASE WHEN rot <> base THEN 1 ELSE 0 END) AS BIGINT) AS flips,
+  round(sum(CASE WHEN rev <> base THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN rot <> base THEN 1 ELSE 0 END) / (2 * count(*)), 6) AS flip_rate, round(sum(CASE WHEN rev = gold THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN rot = gold THEN 1 ELSE 0 END) / (2 * count(*)), 6) AS perturbed_accuracy FROM b3""")
+def permutation_flip_rate(spark, d):
+    cases = W.events(spark, d).select("case_id", "user_id", "candidates", "gold")
+    return r6(R.permutation_report(R.permutation_cases(cases, _order_sensitive)))
+
+
+@query(f"WITH {W.ABS} SELECT case_id, coverage, ambiguity, automation_risk, expected_abstain, accepted, correct_when_covered FROM abs_cases")
+def abstention_cases(spark, d):
+    return R.abstention_cases(W.abstention(spark, d), 0.6)
+
+
+ABS_SUMS = """count(*) AS n, count(*) FILTER (WHERE expected_abstain) AS abstain_n, count(*) FILTER (WHERE NOT expected_abstain) AS covered_n,
+round((count(*) FILTER (WHERE accepted AND expected_abstain))::DOUBLE / nullif(count(*) FILTER (WHERE expected_abstain), 0), 6) AS false_accept_rate,
+round((count(*) FILTER (WHERE NOT accepted AND NOT expected_abstain))::DOUBLE / nullif(count(*) FILTER (WHERE NOT expected_abstain), 0), 6) AS false_reject_rate,
+round((count(*) FILTER (WHERE correct_when_covered))::DOUBLE / nullif(count(correct_when_covered), 0), 6) AS covered_accuracy,
+round((count(*) FILTER (WHERE accepted))::DOUBLE / nullif(count(*), 0), 6) AS coverage,
+round((count(*) FILTER (WHERE accepted AND expected_abstain) + count(*) FILTER (WHERE accepted AND NOT expected_abstain AND NOT coalesce(correct_when_covered, false)))::DOUBLE / count(*), 6) AS unsafe_rate"""
+
+
+@query(f"WITH {W.ABS} SELECT {ABS_SUMS} FROM abs_cases")
+def abstention_report(spark, d):
+    return r6(R.abstention_report(R.abstention_cases(W.abstention(spark, d), 0.6)))
+
+
+REASON = "CASE WHEN coverage = 'missing_candidate' THEN 'missing_candidate' WHEN coverage = 'unsupported' THEN 'unsupported' WHEN ambiguity = 'underspecified' THEN 'underspecified' WHEN ambiguity = 'multi_valid' THEN 'multi_valid' ELSE 'other' END"
+
+
+@query(f"WITH {W.ABS} SELECT case_id, {REASON} AS abstention_reason FROM abs_cases")
+def abstention_reason(spark, d):
+    return W.abstention(spark, d).select("case_id", R.abstention_reason().alias("abstention_reason"))
+
+
+@query(f"""WITH {W.ABS}, r AS (SELECT *, {REASON} AS abstention_reason FROM abs_cases WHERE expected_abstain), g AS (
+SELECT CASE WHEN grouping(abstention_reason) = 0 THEN 'abstention_reason' WHEN grouping(coverage) = 0 THEN 'coverage' WHEN grouping(ambiguity) = 0 THEN 'ambiguity' ELSE 'automation_risk' END AS group_key,
+  coalesce(abstention_reason, coverage, ambiguity, automation_risk) AS group_value, count(*) AS case_count, count(*) FILTER (WHERE accepted) AS accepted_count
+FROM r GROUP BY GROUPING SETS ((abstention_reason), (coverage), (ambiguity), (automation_risk)))
+SELECT *, round(accepted_count::DOUBLE / case_count, 6) AS false_accept_rate FROM g""")
+def abstention_grouped_far(spark, d):
+    return r6(R.abstention_groups(R.abstention_cases(W.abstention(spark, d), 0.6).where("expected_abstain")))
+
+
+def _transfer_sql(side: int, tag: str) -> str:
+    return f"""{tag}r AS (SELECT confidence, correct FROM res WHERE case_id % 2 = {side}), {tag}b AS (SELECT CAST({EDGES} AS BIGINT) AS bin, count(*) AS n, avg({HIT}) AS a, avg(confidence) AS c FROM {tag}r GROUP BY 1),
+{tag} AS (SELECT avg(CASE WHEN confidence >= 0.35::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS coverage, coalesce(avg(CASE WHEN confidence >= 0.35::DOUBLE THEN 1 - {HIT} END), 0) AS risk, avg(CASE WHEN confidence >= 0.35::DOUBLE AND NOT correct THEN 1.0::DOUBLE ELSE 0 END) AS false_automation_rate, (SELECT sum(n * abs(a - c)) / sum(n) FROM {tag}b) AS ece FROM {tag}r)"""
+
+
+_N = ("coverage", "risk", "false_automation_rate", "ece")
+
+
+@query(f"WITH {W.EVT}, {_transfer_sql(0, 's')}, {_transfer_sql(1, 't')} SELECT 0.35::DOUBLE AS threshold, " + ", ".join([f"round(s.{n}, 6) AS source_{n}" for n in _N] + [f"round(t.{n}, 6) AS target_{n}" for n in _N] + [f"round(t.{n} - s.{n}, 6) AS delta_{n}" for n in _N]) + " FROM s, t")
+def threshold_transfer(spark, d):
+    results = _results(spark, d)
+    return r6(R.threshold_transfer(_half(results, 0), _half(results, 1), 0.35))
+
+
+def _second(spark: SparkSession, d: str):
+    """A second scorer: other weights from the same case columns; every seventh answer does not parse."""
+
+    def score(df: DataFrame) -> DataFrame:
+        listed, w = W._weighted(W.EVENT_TYPES, "case_id", "user_id", "gold", 11, 17, 90)
+        return df.withColumns({"scores": S.distribution(listed, S.normalised(w)), "latency_ms": (F.col("case_id") % 1000).cast("double"), "tokens": F.col("case_id") % 77, "parse_valid": F.col("case_id") % 7 != 0})
+
+    return score
+
+
+FB = f"WITH {W.EVT}, fb AS (SELECT case_id, gold, predicted AS fast_predicted, confidence AS fast_confidence, predicted2 AS fallback_predicted, predicted2 = gold AS fallback_correct, CAST(case_id % 1000 AS DOUBLE) AS latency_ms, case_id % 77 AS tokens, case_id % 7 <> 0 AS parse_valid FROM res WHERE confidence < 0.35::DOUBLE)"
+
+
+@query(f"{FB} SELECT case_id, gold, fast_predicted, round(fast_confidence, 6) AS fast_confidence, fallback_predicted, fallback_correct, latency_ms, tokens, parse_valid FROM fb")
+def fallback_cases(spark, d):
+    return r6(R.fallback_cases(W.events(spark, d), _second(spark, d), 0.35))
+
+
+@query(f"{FB} SELECT (SELECT count(*) FROM res) AS n, count(*) AS fallback_count, round(count(*)::DOUBLE / (SELECT count(*) FROM res), 6) AS fallback_rate, round(avg(CASE WHEN fallback_correct THEN 1.0::DOUBLE ELSE 0 END), 6) AS fallback_accuracy, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(avg(tokens), 6) AS mean_tokens, round(avg(CASE WHEN parse_valid THEN 1.0::DOUBLE ELSE 0 END), 6) AS parse_valid_rate FROM fb")
+def fallback_evaluation(spark, d):
+    cases = W.events(spark, d)
+    return r6(R.fallback_report(cases, R.fallback_cases(cases, _second(spark, d), 0.35)))
+
+
+# --- structured output, priors, request keys ------------------------------------------------
+
+STR = """st AS (SELECT event_id AS case_id, event_type AS gold, event_id % 5 AS m, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) / 100.0::DOUBLE AS conf FROM events),
+ok AS (SELECT *, m NOT IN (0, 1) AND conf BETWEEN 0 AND 1 AS valid FROM st)"""
+
+
+@query(f"WITH {STR} SELECT case_id, CASE WHEN valid THEN gold END AS candidate, CASE WHEN valid THEN round(conf, 6) END AS confidence, valid AS parse_valid FROM ok")
+def structured_parse(spark, d):
+    x = W.structured(spark, d).select("case_id", S.parse_choice("text", "candidates").alias("c"))
+    return r6(x.select("case_id", "c.candidate", "c.confidence", F.col("c").isNotNull().alias("parse_valid")))
+
+
+@query(f"WITH {STR}, k AS (SELECT * FROM (VALUES ('click'),('error'),('purchase'),('signup'),('view')) AS t(cand)) SELECT case_id, cand AS candidate, round(CASE WHEN NOT valid THEN 0.2::DOUBLE WHEN cand = gold THEN greatest(conf, 0.2::DOUBLE) ELSE (1 - greatest(conf, 0.2::DOUBLE)) / 4 END, 6) AS probability, valid AS parse_valid FROM ok, k")
+def structured_choice_scores(spark, d):
+    x = W.structured(spark, d).withColumn("c", S.parse_choice("text", "candidates"))
+    made = F.coalesce(S.structured_choice("c.candidate", "c.confidence", "candidates"), S.uniform("candidates"))
+    return r6(x.select("case_id", F.explode(made).alias("s"), F.col("c").isNotNull().alias("parse_valid")).select("case_id", "s.candidate", "s.probability", "parse_valid"))
+
+
+@query(f"WITH {STR} SELECT count(*) AS n, round(avg(CASE WHEN valid THEN 1.0::DOUBLE ELSE 0 END), 6) AS parse_valid_rate FROM ok")
+def structured_parse_valid_rate(spark, d):
+    return r6(W.structured(spark, d).agg(F.count(F.lit(1)).alias("n"), F.avg(S.parse_choice("text", "candidates").isNotNull().cast("double")).alias("parse_valid_rate")))
+
+
+@query(f"""WITH {W.EVT}, pri AS (SELECT cand, ln(avg(p)) AS neutral FROM evt GROUP BY cand), pc AS (SELECT case_id, evt.pos, evt.cand, ln(p) - 0.5::DOUBLE * neutral AS l FROM evt JOIN pri ON evt.cand = pri.cand), z AS (SELECT *, exp(l - max(l) OVER (PARTITION BY case_id)) AS z FROM pc)
+SELECT case_id, cand AS candidate, round(z / sum(z) OVER (PARTITION BY case_id), 6) AS probability FROM z""")
+def prior_corrected_scores(spark, d):
+    cases = W.events(spark, d).select("case_id", "candidates", "scores")
+    prior = cases.select(F.explode("scores").alias("s")).groupBy("s.candidate").agg(F.log(F.avg("s.probability")).alias("neutral"))
+    one = prior.agg(F.map_from_entries(F.collect_list(F.struct("candidate", "neutral"))).alias("prior"))  # one entry for each candidate
+    with_prior = cases.crossJoin(F.broadcast(one))
+    logits = S.prior_corrected(F.transform("scores", lambda s: F.log(s["probability"])), F.transform("candidates", lambda c: F.element_at("prior", c)), 0.5)
+    return r6(with_prior.select("case_id", F.explode(S.candidate_softmax("candidates", logits)).alias("s")).select("case_id", "s.candidate", "s.probability"))
+
+
+@query("SELECT o_custkey % 97 AS a, o_orderpriority AS b, count(*) AS requests, min(o_orderkey) AS first_case FROM orders GROUP BY 1, 2")
+def dedup_request_scores(spark, d):
+    o = W.table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct((F.col("o_custkey") % 97).alias("a"), F.col("o_orderpriority").alias("b"))).alias("context"))
+    keyed = o.withColumn("request_key", same_value("context")).groupBy("request_key").agg(F.count(F.lit(1)).alias("requests"), F.min("o_orderkey").alias("first_case"))
+    return keyed.select(F.get_json_object("request_key", "$.a").cast("long").alias("a"), F.get_json_object("request_key", "$.b").alias("b"), "requests", "first_case")
+
+
+# --- suites ----------------------------------------------------------------------------------
+
+SIZES = (5, 10, 20)
+
+
+def _suite_sql(strategy: str, missing: bool, rank: str, extra: str = "") -> str:
+    label = ("missing:" if missing else "covered:") + strategy
+    name = f"case_id || '::{'missing::' if missing else ''}k' || kk || '::{strategy}'"
+    gold = "" if missing else "UNION ALL SELECT case_id, gold, kk, gold FROM tcase, ks"
+    return f"""WITH {W.TOOLS}{extra}, ks AS (SELECT * FROM (VALUES (5),(10),(20)) AS t(kk)),
+rk AS (SELECT c.case_id, c.gold, t.name, row_number() OVER (PARTITION BY c.case_id ORDER BY {rank}, t.name) AS rn FROM tcase c JOIN tool t ON t.name <> c.gold),
+ch AS (SELECT case_id, gold, kk, name FROM rk JOIN ks ON rn <= kk - {0 if missing else 1} {gold}),
+od AS (SELECT *, sha256('7' || chr(31) || case_id || chr(31) || kk || chr(31) || '{label}' || chr(31) || name) AS h FROM ch)
+SELECT {name} AS case_id, case_id AS parent_case_id, CAST(kk AS INTEGER) AS candidate_count, string_agg(name, ',' ORDER BY h) AS candidates, max(gold) AS gold, {str(missing).lower()} AS expected_abstain FROM od GROUP BY case_id, kk"""
+
+
+def _suite(spark, d, strategy, missing=False):
+    x = U.suite(W.tool_cases(spark, d), W.tools(spark, d), SIZES, strategy, 7, missing)
+    return x.select("case_id", "parent_case_id", "candidate_count", F.array_join("candidates", ",").alias("candidates"), "gold", "expected_abstain")
+
+
+RANDOM = "sha256('7' || chr(31) || c.case_id || chr(31) || 'distractor' || chr(31) || t.name)"
+WORDS = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z0-9_]+'), lambda x: lower(x)))"
+LEX = "-(len(list_intersect({a}, {b}))::DOUBLE / greatest(1, len({a}) + len({b}) - len(list_intersect({a}, {b}))))"
+TOOL_LEX = LEX.format(a=WORDS.format("c.query"), b=WORDS.format("t.name || ' ' || t.description || ' ' || t.server"))
+
+
+@query(_suite_sql("random", False, RANDOM))
+def suite_random_covered(spark, d):
+    return _suite(spark, d, "random")
+
+
+@query(_suite_sql("random", True, RANDOM))
+def suite_random_missing(spark, d):
+    return _suite(spark, d, "random", True)
+
+
+@query(_suite_sql("lexical", False, TOOL_LEX))
+def suite_lexical_covered(spark, d):
+    return _suite(spark, d, "lexical")
+
+
+def _vector_tools(spark, d):
+    return W.table(spark, d, "embeddings").where("vec_id < 200").select(F.concat(F.lit("v"), "vec_id").alias("name"), F.lit("").alias("description"), F.lit("s").alias("server"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), "vec_id")
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 200),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id),
+cs AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dp FROM v a JOIN v b ON a.i = b.i AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 GROUP BY 1, 2),
+rk AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY -(dp / (na.n * nb.n)), 'v' || b) AS rn FROM cs JOIN n na ON na.vec_id = a JOIN n nb ON nb.vec_id = b)
+SELECT 'q' || a AS case_id, string_agg('v' || b, ',' ORDER BY rn) AS ranked FROM rk WHERE rn <= 5 GROUP BY a""")
+def suite_semantic_ranking(spark, d):
+    tools = _vector_tools(spark, d)
+    cases = tools.where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("case_id"), F.col("name").alias("gold"))
+    return U.distractors(cases, tools.drop("vec_id"), 5, "semantic").select("case_id", F.array_join("ranked", ",").alias("ranked"))
+
+
+LEXICAL = LEX.format(a="b.w", b="d.w")
+
+
+@query(f"""WITH b AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark), d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
+s AS (SELECT d.doc_id AS query_id, b.item_id, 0 - ({LEXICAL}) AS similarity FROM d, b),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, item_id) AS rank FROM s)
+SELECT query_id, item_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def lexical_topk(spark, d):
+    items = W.table(spark, d, "benchmark").select("item_id", S.words_of("text").alias("iw"))
+    queries = W.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), S.words_of("text").alias("qw"))
+    return r6(U.top_similar(queries, items, 3, S.jaccard("qw", "iw")))
+
+
+@query(f"""WITH {W.TOOLS}, ks AS (SELECT * FROM (VALUES (5),(10),(20)) AS t(kk)) SELECT CAST(kk AS INTEGER) AS k, count(*) AS cases, CAST(sum(kk) AS BIGINT) AS candidates FROM tcase, ks GROUP BY kk""")
+def suite_group_by_k(spark, d):
+    x = U.suite(W.tool_cases(spark, d), W.tools(spark, d), SIZES, "random", 7)
+    return x.groupBy(U.by_candidate_count().alias("k")).agg(F.count(F.lit(1)).alias("cases"), F.sum(F.size("candidates")).alias("candidates"))
+
+
+_SUITE_HASH = "sha256('7' || chr(31) || case_id || chr(31) || kk || chr(31) || 'covered:random' || chr(31) || name)"
+
+
+@query(f"""WITH {W.TOOLS}, ks AS (SELECT * FROM (VALUES (5),(10),(20)) AS t(kk)),
+rk AS (SELECT c.case_id, c.gold, t.name, row_number() OVER (PARTITION BY c.case_id ORDER BY {RANDOM}, t.name) AS rn FROM tcase c JOIN tool t ON t.name <> c.gold),
+ch AS (SELECT case_id, gold, kk, name FROM rk JOIN ks ON rn <= kk - 1 UNION ALL SELECT case_id, gold, kk, gold FROM tcase, ks),
+w AS (SELECT *, row_number() OVER (PARTITION BY case_id, kk ORDER BY {_SUITE_HASH}) AS pos, CAST(1 + (length(name) * 7 + CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) * 13 + kk) % 101 + CASE WHEN name = gold AND kk < 20 THEN 60 ELSE 0 END AS DOUBLE) AS w FROM ch),
+t AS (SELECT *, w / sum(w) OVER (PARTITION BY case_id, kk) AS p, row_number() OVER (PARTITION BY case_id, kk ORDER BY w DESC, pos) AS rn FROM w)
+SELECT CAST(kk AS INTEGER) AS k, count(*) AS n, round(avg(CASE WHEN name = gold THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg(p), 6) AS confidence FROM t WHERE rn = 1 GROUP BY kk""")
+def stress_by_k(spark, d):
+    x = U.suite(W.tool_cases(spark, d), W.tools(spark, d), SIZES, "random", 7)
+    weight = lambda c: (F.lit(1) + (F.length(c) * 7 + F.regexp_extract(c, "([0-9]+)", 1).cast("long") * 13 + F.col("candidate_count")) % 101 + F.when((c == F.col("gold")) & (F.col("candidate_count") < 20), 60).otherwise(0)).cast("double")
+    scored = x.withColumn("scores", S.distribution("candidates", S.normalised(F.transform("candidates", weight))))
+    results = M.case_results(scored.withColumn("k", U.by_candidate_count()), "k")
+    return r6(results.groupBy("k").agg(F.count(F.lit(1)).alias("n"), M.accuracy().alias("accuracy"), F.avg("confidence").alias("confidence")))
+
+
+# --- data contracts --------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT conv_id AS group_id FROM conversations WHERE turn % 2 = 0 INTERSECT SELECT DISTINCT conv_id FROM conversations WHERE turn % 2 = 1")
+def split_id_overlap(spark, d):
+    return V.overlap(W.turns(spark, d, 0, False), W.turns(spark, d, 1, False), "group_id")
+
+
+@query("SELECT DISTINCT sha256(coalesce(text, '')) AS fingerprint FROM conversations WHERE conv_id % 2 = 0 INTERSECT SELECT DISTINCT sha256(coalesce(text, '')) FROM conversations WHERE conv_id % 2 = 1")
+def split_context_leakage(spark, d):
+    return V.overlap(W.turns(spark, d, 0), W.turns(spark, d, 1), "fingerprint")
+
+
+@query("SELECT conv_id || ':' || turn AS case_id, 'split' AS rule FROM conversations WHERE role <> 'user'")
+def split_label_violations(spark, d):
+    return V.split_labels(W.table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("case_id"), F.col("role").alias("split")), "user")
+
+
+@query(f"WITH {W.TOOLS}, x AS (SELECT case_id, gold, CASE WHEN gold LIKE '%30' THEN 'part::9999' ELSE gold END AS g2 FROM tcase) SELECT case_id, 'gold' AS role, g2 AS name FROM x WHERE g2 NOT IN (SELECT name FROM tool) UNION ALL SELECT case_id, 'candidate', 'ghost::' || case_id FROM x")
+def inventory_dangling_refs(spark, d):
+    cases = W.tool_cases(spark, d).select("case_id", F.when(F.col("gold").like("%30"), F.lit("part::9999")).otherwise(F.col("gold")).alias("gold"), F.array("gold", F.concat(F.lit("ghost::"), "case_id")).alias("candidates"), F.lit("covered").alias("coverage"))
+    return V.dangling_references(cases, W.tools(spark, d))
+
+
+@query("SELECT 'group' AS kind, CAST(conv_id AS VARCHAR) AS value FROM (SELECT conv_id FROM conversations WHERE turn % 2 = 0 INTERSECT SELECT conv_id FROM conversations WHERE turn % 2 = 1)")
+def trace_group_leakage(spark, d):
+    return V.trace_isolation(*[W.turns(spark, d, s, False) for s in (0, 1)]).where("kind = 'group'")
+
+
+@query("SELECT 'record' AS kind, conv_id || ':' || turn AS value FROM conversations WHERE conv_id % 2 = 0 INTERSECT SELECT 'record', conv_id || ':' || turn FROM conversations WHERE conv_id % 2 = 1")
+def trace_record_leakage(spark, d):
+    return V.trace_isolation(*[W.turns(spark, d, s) for s in (0, 1)]).where("kind = 'record'")
+
+
+@query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS groups FROM conversations GROUP BY role")
+def trace_summary(spark, d):
+    c = W.table(spark, d, "conversations")
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("conv_id").alias("groups"))
+
+
+def traced(spark: SparkSession, d: str) -> DataFrame:
+    """Turns with a provenance that breaks a rule here and there."""
+    sha = lambda c: F.concat(F.lit("sha256:"), F.sha2(c.cast("string"), 256))
+    c = W.table(spark, d, "conversations")
+    on = lambda n: F.col("conv_id") % n != 0
+    return c.select(
+        F.concat_ws(":", "conv_id", "turn").alias("case_id"),
+        F.lit("clear").alias("ambiguity"),
+        F.struct(
+            F.when(on(11), V.TRACE_VERSION).alias("version"), F.lit("log").alias("source_type"), F.lit("redaction").alias("transformation"), F.lit("review").alias("label_source"),
+            sha(F.col("conv_id")).alias("source_artifact_sha256"), F.when(on(13), sha(F.col("turn"))).otherwise("sha256:zz").alias("source_record_sha256"), sha(F.col("conv_id")).alias("source_group_sha256"), sha(F.col("turn")).alias("released_case_sha256"),
+            F.lit("hashed").alias("identifier_pseudonymization"), F.lit(True).alias("benchmark_release_approved"), (F.col("conv_id") % 17).alias("reviewer_count"),
+            F.struct(F.lit(True).alias("pii_removed"), on(19).alias("secrets_removed"), F.lit(True).alias("customer_identifiers_removed"), F.lit(True).alias("free_text_reviewed")).alias("sanitization"),
+        ).alias("trace"),
+    )
+
+
+@query("""WITH c AS (SELECT conv_id || ':' || turn AS case_id, conv_id FROM conversations)
+SELECT case_id, 'version' AS rule FROM c WHERE conv_id % 11 = 0 UNION ALL SELECT case_id, 'source_record_sha256' FROM c WHERE conv_id % 13 = 0
+UNION ALL SELECT case_id, 'reviewers' FROM c WHERE conv_id % 17 = 0 UNION ALL SELECT case_id, 'sanitization_secrets_removed' FROM c WHERE conv_id % 19 = 0""")
+def trace_violations(spark, d):
+    return V.trace_violations(traced(spark, d))
+
+
+def annotated(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as annotated cases; what their columns say breaks rules here and there."""
+    x = W.abstention(spark, d)
+    return x.select(
+        "case_id", "candidates", F.when(F.col("coverage") != "unsupported", F.col("gold")).alias("gold"), F.when(F.col("case_id") % 9 != 0, V.ANNOTATION_VERSION).alias("annotation_version"), "coverage", "ambiguity", "automation_risk",
+        F.when(F.col("case_id") % 5 == 0, "write_capable").otherwise("read_only").alias("operation_effect"), "expected_abstain", F.when(F.col("case_id") % 6 != 0, "because the text says so, clearly").otherwise(" too short ").alias("label_rationale"),
+        F.lit(None).cast("string").alias("gold_rationale"), F.lit("reading").alias("label_basis"), F.lit(None).cast("array<string>").alias("plausible_candidates"), F.lit(None).cast("array<struct<repository:string,revision:string,path:string>>").alias("evidence_refs"),
+    )
+
+
+@query(f"""WITH {W.ABS}, a AS (SELECT case_id, CASE WHEN coverage <> 'unsupported' THEN gold END AS gold, coverage, ambiguity, automation_risk AS risk, expected_abstain AS ab, case_id % 5 = 0 AS wr, ambiguity IN ('underspecified', 'multi_valid') AS amb FROM abs_all)
+SELECT case_id, 'annotation_version' AS rule FROM a WHERE case_id % 9 = 0 UNION ALL SELECT case_id, 'rationale' FROM a WHERE case_id % 6 = 0
+UNION ALL SELECT case_id, 'open_gold' FROM a WHERE coverage = 'covered' AND ab AND amb AND gold IS NOT NULL UNION ALL SELECT case_id, 'open_plausible' FROM a WHERE coverage = 'covered' AND ab AND amb
+UNION ALL SELECT case_id, 'missing_gold' FROM a WHERE coverage = 'missing_candidate' UNION ALL SELECT case_id, 'missing_abstain' FROM a WHERE coverage = 'missing_candidate' AND NOT ab
+UNION ALL SELECT case_id, 'unsupported_abstain' FROM a WHERE coverage = 'unsupported' AND NOT ab UNION ALL SELECT case_id, 'ambiguous_abstain' FROM a WHERE amb AND NOT ab
+UNION ALL SELECT case_id, 'high_risk_effect' FROM a WHERE risk = 'high' AND NOT wr UNION ALL SELECT case_id, 'write_low_risk' FROM a WHERE wr AND risk = 'low'""")
+def annotation_violations(spark, d):
+    return V.annotation_violations(annotated(spark, d))
+
+
+@query(f"WITH {W.ABS} SELECT 'coverage' AS category, coverage AS value, count(*) AS n FROM abs_all GROUP BY coverage UNION ALL SELECT 'ambiguity', ambiguity, count(*) FROM abs_all GROUP BY ambiguity UNION ALL SELECT 'automation_risk', automation_risk, count(*) FROM abs_all GROUP BY automation_risk")
+def annotation_summary(spark, d):
+    return V.category_counts(W.abstention(spark, d), "coverage", "ambiguity", "automation_risk")
+
+
+def _vectors(spark, d):
+    return W.table(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("name"), F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("vector"), "vec_id")
+
+
+@query("SELECT 'v' || vec_id AS name, 'dimension' AS rule FROM embeddings WHERE vec_id % 7 = 0")
+def embedding_validity(spark, d):
+    return V.embedding_violations(_vectors(spark, d).select("name", "vector"))
+
+
+@query("SELECT 'v' || vec_id AS name, 'missing' AS rule FROM embeddings WHERE vec_id % 5 = 0 AND vec_id % 3 <> 0 UNION ALL SELECT 'v' || vec_id, 'extra' FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 3 = 0")
+def embedding_coverage(spark, d):
+    v = _vectors(spark, d)
+    return V.embedding_coverage(v.where("vec_id % 3 = 0"), v.where("vec_id % 5 = 0"))
+
+
+@query("""SELECT event_id AS case_id, 'confidence' AS rule FROM events WHERE event_id % 4 <> 0 AND event_id % 10 = 7 UNION ALL SELECT event_id, 'choice' FROM events WHERE event_id % 4 = 1 AND event_id % 6 = 5
+UNION ALL SELECT event_id, 'boolean' FROM events WHERE event_id % 4 = 2 AND event_id % 6 = 2 UNION ALL SELECT event_id, 'score' FROM events WHERE event_id % 4 = 3 AND event_id % 9 = 1 UNION ALL SELECT event_id, 'abstain_confidence' FROM events WHERE event_id % 4 = 0 AND event_id % 8 = 0""")
+def decision_output_violations(spark, d):
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("choice", "choice", "boolean", "score"))), (i % 4 + 1).cast("int"))
+    value = (
+        F.when(i % 4 == 1, F.when(i % 6 == 5, F.lit('"nothing"')).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"'))))
+        .when(i % 4 == 2, F.when(i % 6 == 2, F.lit('"true"')).otherwise(F.lit("true")))
+        .when(i % 4 == 3, F.when(i % 9 == 1, F.lit("1.5")).otherwise(F.lit("0.25")))
+    )
+    confidence = F.when(i % 4 == 0, F.when(i % 8 == 0, 0.5)).otherwise(F.when(i % 10 == 7, 2.0).otherwise(0.5))
+    rows = W.table(spark, d, "events").select(i.alias("case_id"), kind.alias("kind"), F.array(*map(F.lit, W.EVENT_TYPES)).alias("candidates"), (i % 4 == 0).alias("abstain"), F.parse_json(value).alias("value"), confidence.alias("confidence"))
+    return V.decision_output_violations(rows)
+
+
+# --- matrices and seals ----------------------------------------------------------------------
+
+ARMS = "arms AS (SELECT 'A-weights' AS arm, case_id, confidence, correct, latency_ms FROM res UNION ALL SELECT 'B-second', case_id, confidence2, predicted2 = gold, latency_ms FROM res)"
+
+
+def _arms(spark, d) -> DataFrame:
+    arm = lambda name, df: M.case_results(df).withColumn("arm", F.lit(name))
+    return arm("A-weights", W.events(spark, d)).unionByName(arm("B-second", W.events(spark, d, second=True)))
+
+
+@query(f"""WITH {W.EVT}, {ARMS}, th AS (SELECT * FROM (VALUES (0.25::DOUBLE),(0.3),(0.35),(0.4),(0.5)) AS t(threshold)),
+cv AS (SELECT arm, threshold, avg(CASE WHEN confidence >= threshold THEN 1.0::DOUBLE ELSE 0 END) AS coverage, coalesce(avg(CASE WHEN confidence >= threshold THEN CASE WHEN correct THEN 0.0::DOUBLE ELSE 1 END END), 0) AS risk FROM arms, th GROUP BY arm, threshold),
+op AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY coverage DESC, risk, threshold DESC) AS rn FROM cv WHERE coverage > 0 AND risk <= 0.25)
+SELECT a.arm, a.n, a.accuracy, a.brier, a.p95_latency_ms, op.threshold, round(op.coverage, 6) AS coverage, round(op.risk, 6) AS risk
+FROM (SELECT arm, count(*) AS n, round(avg({HIT}), 6) AS accuracy, round(avg(pow(confidence - {HIT}, 2)), 6) AS brier, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms FROM arms GROUP BY arm) a LEFT JOIN op ON a.arm = op.arm AND op.rn = 1""")
+def benchmark_matrix(spark, d):
+    results = _arms(spark, d)
+    points = M.operating_point(M.risk_coverage(results, (0.25, 0.3, 0.35, 0.4, 0.5), by=["arm"]), 0.25, by=["arm"]).select("arm", "threshold", "coverage", "risk")
+    report = M.benchmark_report(results, by=["arm"]).select("arm", "n", "accuracy", "brier", "p95_latency_ms")
+    return r6(report.join(points, "arm", "left").orderBy("arm"))
+
+
+@query(f"WITH {W.EVT}, {ARMS} SELECT arm, count(*) AS case_count, CAST(min(case_id) AS BIGINT) AS first_case, CAST(max(case_id) AS BIGINT) AS last_case, count(*) = (SELECT count(*) FROM res) AS same_cases FROM arms GROUP BY arm")
+def contract_matrix_rows(spark, d):
+    arms = _arms(spark, d)
+    per = arms.groupBy("arm").agg(F.count(F.lit(1)).alias("case_count"), F.min("case_id").alias("first_case"), F.max("case_id").alias("last_case"), F.bit_xor(F.xxhash64("case_id")).alias("ids"))
+    same = per.agg((F.countDistinct("ids") == 1).alias("same_cases"))
+    return per.drop("ids").crossJoin(F.broadcast(same))  # one row
+
+
+@query("SELECT count(*) AS case_count, sha256(string_agg(CAST(n_nationkey AS VARCHAR), chr(10) ORDER BY n_nationkey)) AS ids_sha256 FROM nation")
+def dataset_fingerprint(spark, d):
+    n = W.table(spark, d, "nation")
+    return K.fingerprint(n.select(F.col("n_nationkey").cast("long").alias("ordinal"), F.col("n_nationkey").cast("string").alias("case_id")))
+
+
+@query("SELECT event_id AS case_id, 'sha256:' || sha256('{\"candidate\":\"' || event_type || '\",\"id\":' || event_id || '}') AS decision_id FROM events")
+def decision_ids(spark, d):
+    e = W.table(spark, d, "events")
+    return e.select(F.col("event_id").alias("case_id"), json_digest(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("candidate")))).alias("decision_id"))
+
+
+@query()
+def artifact_verify(spark, d):
+    """Seal an evaluation artifact of the orders report, verify it, and show that a changed one is refused."""
+    from ..operators import seal
+
+    return seal.demo(spark, M.case_results(W.orders(spark, d)))
+
+
+@query()
+def tool_extraction(spark, d):
+    """Tools of sources in memory, one module for each nation."""
+    n = W.table(spark, d, "nation")
+    code = F.concat(F.lit('@mcp.tool(name="get_'), F.lower("n_name"), F.lit('")\nasync def f(x):\n    """Reads   ' ), F.col("n_name"), F.lit('."""\n\n@mcp.tool\ndef g():\n    pass\n_register_tool("T'), F.col("n_nationkey"), F.lit('", f)\n'))
+    files = n.select(F.lower("n_name").alias("server"), F.concat(F.lit("src/"), "n_name", F.lit(".py")).alias("path"), code.cast("binary").alias("content"))
+    return T.extract_tools(files)
+
+
+@query(f"WITH {W.EVT}, g AS (SELECT case_id, {GATE} AS reason_code FROM res) SELECT CAST(CAST(e.ts AS DATE) AS VARCHAR) AS day, CASE WHEN reason_code = 'CONFIDENT' THEN 'EXECUTE' ELSE 'FALLBACK' END AS action, count(*) AS n FROM g JOIN events e ON e.event_id = g.case_id GROUP BY 1, 2")
+def decision_stream_counts(spark, d):
+    """Decisions per day and action of the events read as a stream."""
+    from ..streaming.decisions import daily_counts
+
+    return daily_counts(spark, d, POLICY)
