@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import _IS_BLANK, table, word_hashes
+from .common import _IS_BLANK, table, text_slices, trimmed, word_hashes
 
 #: White space of Unicode; the part outside ASCII makes a blank no safe place to cut.
 WIDE = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -208,7 +208,7 @@ class TextEncoder:
     ``remember`` segments bound the memory of what was encoded before.
     """
 
-    def __init__(self, path: str, pattern: str, folded: bool, remember: int = 600_000, library=None):
+    def __init__(self, path: str, pattern: str, folded: bool, remember: int = 400_000, library=None):
         self.merger = PairMerger(path)
         self.words = Words(self.merger, pattern, folded, library)
         self.blanks = not folded  # whether blanks are part of the tokens
@@ -248,6 +248,8 @@ class TextEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat int32 ids of the texts and each text's offset in them."""
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         lengths = np.array([len(t) for t in texts], np.int64) + 1
         at = np.concatenate(([0], np.cumsum(lengths)))
         whole = b"\n".join(texts) + b"\n"
@@ -340,18 +342,18 @@ def _coder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path, "byte_level")
         for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), [(x or "").encode() for x in b.column(1).to_pylist()]))
-            for part in passes(rows, lambda r: len(r[1])):
-                flat, at = encoder.encode([t for _, t in part])
+            for rows in text_slices(b):
+                part = rows.column(0).to_pylist()
+                flat, at = encoder.encode([(x or "").encode() for x in rows.column(1).to_pylist()])
                 out = []
-                for i, (doc_id, _) in enumerate(part):
+                for i, doc_id in enumerate(part):
                     ids = flat[at[i] : at[i + 1]].tolist()
                     listed = ",".join(map(str, ids)).encode()
                     out.append((doc_id, len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decode(ids, encoder.merger).encode()).hexdigest()))
                 c = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return run
+    return trimmed(run)
 
 
 def encode_table(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,3 +157,34 @@ def flat_texts(column) -> tuple[np.ndarray, np.ndarray]:
         n += 1
         at[i + 1] = n
     return np.frombuffer(b"".join(parts), np.uint8), at
+
+
+def text_slices(batch, column: int = 1, limit: int = 4 << 20):
+    """Slices of an Arrow batch of about ``limit`` bytes of text; a longer text is alone."""
+    sizes = [(x.as_buffer().size if x.is_valid else 0) for x in batch.column(column)]
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held + n > limit and i > at:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(batch):
+        yield batch.slice(at)
+
+
+def trimmed(run):
+    """The same map function; when a task ends, memory that it freed goes back to the system.
+
+    Python workers are reused by later tasks, and would otherwise hold what their largest task needed.
+    """
+
+    @functools.wraps(run)
+    def with_trim(batches):
+        try:
+            yield from run(batches)
+        finally:
+            with contextlib.suppress(Exception):
+                pa.default_memory_pool().release_unused()
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return with_trim

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, table
+from .common import BLANKS, table, text_slices, trimmed
 
 _NO_ID = (1 << 63) - 1
 
@@ -169,13 +169,13 @@ def _batch(rows: list) -> pa.RecordBatch:
 def _grouper(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
-            for b in batches:
+            for b in (part for batch in batches for part in text_slices(batch, 0)):
                 for content, least, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                     yield content_hash(content), content, least, n
 
         yield from _emit(grace_groups(records(), budget))
 
-    return run
+    return trimmed(run)
 
 
 def normalised(column: str = "text") -> F.Column:

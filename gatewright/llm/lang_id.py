@@ -25,13 +25,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, table, text_slices, trimmed
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -212,22 +211,26 @@ def train(labels: list[str], texts: list[bytes], seed: int = 3) -> ByteCNN | Non
     return ByteCNN(classes).fit(x, y)
 
 
+def _predictions(predictor: Predictor | None, texts: list[str | None]) -> list[tuple[str, float]]:
+    """(language, score) of each text."""
+    out = [("und", 0.0)] * len(texts)
+    spoken = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if predictor else []
+    if spoken:
+        for i, row in zip(spoken, predictor.texts([_folded(texts[i]) for i in spoken])):
+            k = int(row.argmax())
+            out[i] = (predictor.net.classes[k], float(min(1.0, row[k])))
+    return out
+
+
 def _labeller(net: ByteCNN | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(net) if net is not None else None
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            spoken = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if predictor else []
-            for a in range(0, len(spoken), 1000):
-                at = spoken[a : a + 1000]
-                p = predictor.texts([_folded(texts[i]) for i in at])
-                for i, row in zip(at, p):
-                    k = int(row.argmax())
-                    lang[i], score[i] = predictor.net.classes[k], float(min(1.0, row[k]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        for batch in batches:
+            for b in text_slices(batch, 2, 2 << 20):
+                lang, score = zip(*_predictions(predictor, b.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def fit(docs: DataFrame, per_language: int = 1500, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> ByteCNN | None:
@@ -245,19 +248,20 @@ def keep_known(docs: DataFrame, net: ByteCNN | None, least: float = 0.35, text_c
 
     Without a trained network (no labelled row) only texts without a letter go.
     """
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(net) if net is not None else None
-        out = [bool(t) and _LETTER.search(t) is not None for t in texts]
-        if predictor:
-            spoken = [i for i, o in enumerate(out) if o]
-            for a in range(0, len(spoken), 1000):
-                at = spoken[a : a + 1000]
-                for i, row in zip(at, predictor.texts([_folded(texts.iloc[i]) for i in at])):
-                    out[i] = bool(row.max() >= least)
-        return pd.Series(out)
-
-    return docs.where(known(F.col(text_column)))
+        for batch in batches:
+            for b in text_slices(batch, at, 2 << 20):
+                texts = b.column(at).to_pylist()
+                if predictor:
+                    keep = [lang != "und" and score >= least for lang, score in _predictions(predictor, texts)]
+                else:
+                    keep = [bool(t) and _LETTER.search(t) is not None for t in texts]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import passes
-from .common import table
+from .common import table, text_slices, trimmed
 
 WIDTH = 64
 LINES = 32
@@ -369,8 +369,8 @@ def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), [(t or "").encode() for t in b.column(1).to_pylist()]))
-            for part in passes(rows, lambda r: len(r[1])):
+            for rows in text_slices(b):
+                part = list(zip(rows.column(0).to_pylist(), [(t or "").encode() for t in rows.column(1).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array(write_files([padded(t) for _, t in part]), pa.binary())], names=["doc_id", "media"])
 
     return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text")).mapInArrow(run, "doc_id long, media binary")
@@ -381,8 +381,8 @@ OP4_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 stri
 
 def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = list(zip(b.column(0).to_pylist(), [(t or "").encode() for t in b.column(1).to_pylist()]))
-        for part in passes(rows, lambda r: len(r[1]), 2 << 20):
+        for rows in text_slices(b, 1, 2 << 20):
+            part = list(zip(rows.column(0).to_pylist(), [(t or "").encode() for t in rows.column(1).to_pylist()]))
             files = write_files([padded(t) for _, t in part])
             out = []
             for (doc_id, text), media, (payload, info, frames) in zip(part, files, read_files(files)):
@@ -396,4 +396,4 @@ def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(_round_trip, OP4_SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(trimmed(_round_trip), OP4_SCHEMA)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_folder, flat_texts, materialize, mix64, table, word_hashes, word_spans
+from .common import drop_folder, flat_texts, materialize, mix64, table, text_slices, trimmed, word_hashes, word_spans
 
 SKETCH_WORDS = 8  # of 64 bits
 SKETCH_BITS = 64 * SKETCH_WORDS
@@ -129,7 +129,7 @@ def _signer(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(bands, rows)
         for b in batches:
-            for part in _parts(b):
+            for part in text_slices(b):
                 sets = shingle_sets(*flat_texts(part.column(1)), words)
                 n = np.array([len(s) for s in sets], np.int64)
                 key = np.array([np.bitwise_xor.reduce(mix64(s)) if len(s) else 0 for s in sets], np.uint64)
@@ -146,20 +146,7 @@ def _signer(words: int, bands: int, rows: int):
                     names=["doc_id", "n_shingles", "set_key", "set_check", *(f"s{i}" for i in range(SKETCH_WORDS)), "bands"],
                 )
 
-    return run
-
-
-def _parts(b: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch (id, text) of about ``limit`` bytes of text; a longer text is alone."""
-    sizes = [(x.as_buffer().size if x.is_valid else 0) for x in b.column(1)]
-    at, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held + n > limit and i > at:
-            yield b.slice(at, i - at)
-            at, held = i, 0
-        held += n
-    if at < len(b):
-        yield b.slice(at)
+    return trimmed(run)
 
 
 def _setter(words: int, bitmap: np.ndarray):
@@ -169,11 +156,11 @@ def _setter(words: int, bitmap: np.ndarray):
         for b in batches:
             place = b.column(2).to_numpy()
             wanted = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-            for part in _parts(b.take(pa.array(wanted))) if len(wanted) else ():
+            for part in text_slices(b.take(pa.array(wanted))) if len(wanted) else ():
                 sets = shingle_sets(*flat_texts(part.column(1)), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "hashes"])
 
-    return run
+    return trimmed(run)
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:

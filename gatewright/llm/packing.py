@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import passes, text_encoder
-from .common import table
+from .bpe import text_encoder
+from .common import table, text_slices, trimmed
 
 CAPACITY = 4096
 END_ID = 2
@@ -118,11 +118,11 @@ def _packer(path: str, capacity: int, group_windows: int, piece: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for b in batches:
-            docs = list(zip(b.column(0).to_pylist(), [(x or "").encode() for x in b.column(1).to_pylist()]))
-            for part in passes(docs, lambda d: len(d[1])):
-                ids, offsets = encoder.encode([t for _, t in part])
+            for rows_in in text_slices(b):
+                part = rows_in.column(0).to_pylist()
+                ids, offsets = encoder.encode([(x or "").encode() for x in rows_in.column(1).to_pylist()])
                 flat = memoryview(ids.astype("<u4").tobytes())
-                for i, (doc_id, _) in enumerate(part):
+                for i, doc_id in enumerate(part):
                     first, last = int(offsets[i]), int(offsets[i + 1])
                     n = last - first + 1
                     at = 0
@@ -144,7 +144,7 @@ def _packer(path: str, capacity: int, group_windows: int, piece: int):
         if rows:
             yield batch()
 
-    return run
+    return trimmed(run)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, group_windows: int = 128, piece: int = 1024) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, text_slices, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 #: What a candidate must look like to be of a kind.
@@ -175,7 +175,7 @@ def may_have(column: pa.Array) -> np.ndarray:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for batch in batches for part in text_slices(batch, 2)):
         texts, n = b.column(2), len(b)
         hot = may_have(texts)
         rows = {int(i): _scan_text(texts[int(i)].as_py() or "") for i in np.flatnonzero(hot)}
@@ -200,7 +200,7 @@ def text_key(column: F.Column) -> F.Column:
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Base spans, counts and identifier-like occurrences of each row."""
-    return docs.select(docs[id_column].cast("long").alias("doc_id"), text_key(docs[text_column]).alias("text_key"), docs[text_column].alias("text")).mapInArrow(_scan, _SCAN)
+    return docs.select(docs[id_column].cast("long").alias("doc_id"), text_key(docs[text_column]).alias("text_key"), docs[text_column].alias("text")).mapInArrow(trimmed(_scan), _SCAN)
 
 
 def discover(scanned: DataFrame, rounds: int = 3, min_support: int = 3, pattern_bound: float = 0.8, instance_bound: float = 0.8) -> DataFrame:
