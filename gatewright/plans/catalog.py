@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions.canonical import json_digest, same_value
 from ..operators import calibrate as C
+from ..operators import corpora as P
 from ..operators import gate as G
 from ..operators import metrics as M
 from ..operators import robust as R
+from ..operators import scoring as Z
 from ..operators import suites as U
 from ..operators import validate as V
 from ..sources import cases as K
@@ -681,3 +683,56 @@ def decision_stream_counts(spark, d):
     from ..streaming.decisions import daily_counts
 
     return daily_counts(spark, d, POLICY)
+
+
+# --- prompts, caches, corpora ----------------------------------------------------------------
+
+
+@query("SELECT event_id AS case_id, 'Decision type: route' || chr(10) || 'Candidates: click, error, purchase, signup, view' || chr(10) || 'type: ' || event_type || chr(10) || 'user: ' || user_id || chr(10) || 'Answer:' AS prompt, 'Decision type: route' || chr(10) || 'type: ' || event_type || chr(10) || 'user: ' || user_id || chr(10) || 'Answer:' AS compact, 'Decision type: route' || chr(10) || 'Answer:' AS neutral FROM events")
+def prompts(spark, d):
+    e = W.table(spark, d, "events")
+    kind, listed = F.lit("route"), F.array(*map(F.lit, W.EVENT_TYPES))
+    context = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"))
+    return e.select(F.col("event_id").alias("case_id"), Z.default_prompt(kind, listed, context).alias("prompt"), Z.compact_prompt(kind, context).alias("compact"), Z.neutral_prompt(kind).alias("neutral"))
+
+
+@query("SELECT p_partkey, 'tool: ' || p_name || chr(10) || 'server: ' || p_brand || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE chr(10) || 'description: ' || p_type END AS recipe FROM part")
+def embedding_texts(spark, d):
+    p = W.table(spark, d, "part")
+    return p.select("p_partkey", Z.embedding_text("p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit("  ")).otherwise(F.col("p_type")), "p_brand").alias("recipe"))
+
+
+@query("SELECT o_orderkey AS case_id, CASE WHEN o_custkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS predicted, 0.75::DOUBLE AS confidence FROM orders")
+def cached_scores(spark, d):
+    """Orders as requests of few distinct contexts; each is scored once."""
+    o = W.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.lit("priority").alias("decision_type"), F.array(F.lit("1-URGENT"), F.lit("5-LOW")).alias("candidates"), F.to_json(F.struct((F.col("o_custkey") % 2).alias("odd"))).alias("context"))
+    even = F.get_json_object("context", "$.odd") == "0"
+    score = lambda df: df.withColumn("scores", S.distribution("candidates", F.when(even, F.array(F.lit(0.75), F.lit(0.25))).otherwise(F.array(F.lit(0.25), F.lit(0.75)))))
+    return Z.cached(score)(o).select("case_id", S.top1("scores").alias("t")).select("case_id", F.col("t.candidate").alias("predicted"), F.col("t.probability").alias("confidence"))
+
+
+@query("""WITH c AS (SELECT conv_id || ':' || turn AS case_id, conv_id, CASE WHEN conv_id % 2 = 0 THEN 'calibration' ELSE 'test' END AS side, CASE WHEN conv_id % 23 = 0 THEN 'dev' WHEN conv_id % 2 = 0 THEN 'calibration' ELSE 'test' END AS split, '{"role":"' || role || '","turn":' || turn || '}' AS context FROM conversations)
+SELECT side || '_split' AS rule, case_id AS value FROM c WHERE split <> side
+UNION ALL SELECT 'shared_context', context FROM (SELECT context FROM c WHERE side = 'calibration' INTERSECT SELECT context FROM c WHERE side = 'test')""")
+def pair_violations(spark, d):
+    c = W.table(spark, d, "conversations")
+    side = F.when(F.col("conv_id") % 2 == 0, "calibration").otherwise("test")
+    cases = c.select(F.concat_ws(":", "conv_id", "turn").alias("case_id"), side.alias("side"), F.when(F.col("conv_id") % 23 == 0, "dev").otherwise(side).alias("split"), F.to_json(F.struct("turn", "role")).alias("context"))
+    return P.pair_violations(cases.where("side = 'calibration'"), cases.where("side = 'test'"))
+
+
+@query("SELECT conv_id || ':' || turn AS case_id, 'gold' AS rule FROM conversations WHERE turn % 4 = 3 UNION ALL SELECT conv_id || ':' || turn, 'expected_abstain' FROM conversations WHERE turn % 3 = 2")
+def calibration_corpus_violations(spark, d):
+    c = W.table(spark, d, "conversations")
+    return P.calibration_only_violations(c.select(F.concat_ws(":", "conv_id", "turn").alias("case_id"), F.when(F.col("turn") % 4 != 3, F.col("role")).alias("gold"), (F.col("turn") % 3 == 2).alias("expected_abstain")))
+
+
+@query("SELECT event_id AS case_id, 'sha256:' || sha256('{\"candidates\":[\"click\",\"view\"],\"context\":{\"user\":' || user_id || '},\"decision_type\":\"route\",\"gold_candidate\":\"' || event_type || '\"}') AS fingerprint FROM events")
+def trace_fingerprints(spark, d):
+    e = W.table(spark, d, "events").select(F.col("event_id").alias("case_id"), F.lit("route").alias("decision_type"), F.concat(F.lit('{ "user" : '), "user_id", F.lit("}")).alias("context"), F.array(F.lit("click"), F.lit("view")).alias("candidates"), F.col("event_type").alias("gold"))
+    return e.select("case_id", P.trace_fingerprint().alias("fingerprint"))
+
+
+@query(_suite_sql("lexical", True, TOOL_LEX))
+def suite_lexical_missing(spark, d):
+    return _suite(spark, d, "lexical", True)
