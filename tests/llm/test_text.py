@@ -251,7 +251,6 @@ def test_score_is_a_probability():
     """Over all bytes that may follow, the predictions of a context add up to one."""
     c = lm_score.Counter()
     c.add([b"abracadabra abra cadabra"] * 3)
-    c.count()
     mixer = lm_score.Mixer(lm_score.log_odds(c.cells))
     shorter = mixer.bits([b"abra"])[0]
     bits = mixer.bits([b"abr" + bytes([x]) for x in range(256) if x != 10])
@@ -280,7 +279,6 @@ def test_scores_do_not_depend_on_neighbours():
     c = lm_score.Counter()
     texts = [b"one two three " * k for k in (1, 50, 7, 400)]
     c.add(texts)
-    c.count()
     mixer = lm_score.Mixer(lm_score.log_odds(c.cells))
     texts = [lm_score.canonical(t) for t in texts]
     together = mixer.bits(texts)
