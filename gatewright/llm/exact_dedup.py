@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, table, text_slices, trimmed
+from .common import BLANKS, materialize, table, text_slices, trimmed
 
 _NO_ID = (1 << 63) - 1
 
@@ -51,6 +51,7 @@ class ContentTable:
         self.contents: list[bytes] = []
         self.least: list[int] = []
         self.counts: list[int] = []
+        self.ties: list[int] = []  # how many records have the smallest id
 
     def _grow(self) -> None:
         size = len(self.slots) * 2
@@ -62,7 +63,7 @@ class ContentTable:
             slots[at] = i
         self.slots = slots
 
-    def add(self, h: int, content: bytes, least: int, n: int) -> bool:
+    def add(self, h: int, content: bytes, least: int, n: int, ties: int) -> bool:
         """Count the record; False if it is new and there is no room for it."""
         slots, mask = self.slots, len(self.slots) - 1
         at = h & mask
@@ -70,7 +71,9 @@ class ContentTable:
             if self.hashes[i] == h and self.contents[i] == content:
                 self.counts[i] += n
                 if least < self.least[i]:
-                    self.least[i] = least
+                    self.least[i], self.ties[i] = least, ties
+                elif least == self.least[i]:
+                    self.ties[i] += ties
                 return True
             at = (at + 1) & mask
         if self.contents and self.used + len(content) + 120 > self.budget:
@@ -80,6 +83,7 @@ class ContentTable:
         self.contents.append(content)
         self.least.append(least)
         self.counts.append(n)
+        self.ties.append(ties)
         self.used += len(content) + 120
         if 2 * len(self.contents) > len(slots):
             self._grow()
@@ -93,13 +97,13 @@ class SpillFiles:
         self.folder, self.level, self.fan = folder, level, fan
         self.files: dict[int, object] = {}
 
-    def put(self, h: int, content: bytes, least: int, n: int) -> None:
+    def put(self, h: int, *record) -> None:
         k = (h >> (4 * (self.level % 15))) % self.fan
         if k not in self.files:
             self.files[k] = open(f"{self.folder}/{self.level}-{k}-{id(self)}", "wb")
-        pickle.dump((h, content, least, n), self.files[k], protocol=5)
+        pickle.dump((h, *record), self.files[k], protocol=5)
 
-    def buckets(self) -> Iterator[Iterator[tuple[int, bytes, int, int]]]:
+    def buckets(self) -> Iterator[Iterator[tuple]]:
         for f in self.files.values():
             f.close()
         for f in self.files.values():
@@ -107,7 +111,7 @@ class SpillFiles:
             os.unlink(f.name)
 
 
-def _records(path: str) -> Iterator[tuple[int, bytes, int, int]]:
+def _records(path: str) -> Iterator[tuple]:
     with open(path, "rb") as f, contextlib.suppress(EOFError):
         read = pickle.Unpickler(f)
         while True:
@@ -119,8 +123,8 @@ def content_hash(content: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little")
 
 
-def grace_groups(records: Iterable[tuple[int, bytes, int, int]], budget: int = 48 << 20, fan: int = 16, level: int = 0, folder: str | None = None) -> Iterator[tuple[bytes, int, int]]:
-    """(content, smallest id, count) for each distinct content of (hash, content, id, count) records.
+def grace_groups(records: Iterable[tuple[int, bytes, int, int, int]], budget: int = 48 << 20, fan: int = 16, level: int = 0, folder: str | None = None) -> Iterator[tuple[bytes, int, int, int]]:
+    """(content, smallest id, count, records with that id) of each distinct content of (hash, content, id, count, ties).
 
     Memory holds at most ``budget`` bytes of distinct contents (a single longer
     content is held alone). Each level takes at least one content off, so the
@@ -133,10 +137,10 @@ def grace_groups(records: Iterable[tuple[int, bytes, int, int]], budget: int = 4
         folder = tempfile.mkdtemp(prefix="grace-", dir=top)
     try:
         held, spilled = ContentTable(budget), SpillFiles(folder, level, fan)
-        for h, content, least, n in records:
-            if not held.add(h, content, least, n):
-                spilled.put(h, content, least, n)
-        yield from zip(held.contents, held.least, held.counts)
+        for record in records:
+            if not held.add(*record):
+                spilled.put(*record)
+        yield from zip(held.contents, held.least, held.counts, held.ties)
         del held
         for bucket in spilled.buckets():
             yield from grace_groups(bucket, budget, fan, level + 1, folder)
@@ -145,10 +149,10 @@ def grace_groups(records: Iterable[tuple[int, bytes, int, int]], budget: int = 4
             shutil.rmtree(folder, ignore_errors=True)
 
 
-_GROUPS = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("least", T.LongType()), T.StructField("n", T.LongType())])
+_GROUPS = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("least", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ties", T.LongType())])
 
 
-def _emit(groups: Iterator[tuple[bytes, int, int]]) -> Iterator[pa.RecordBatch]:
+def _emit(groups: Iterator[tuple[bytes, int, int, int]]) -> Iterator[pa.RecordBatch]:
     rows: list = []
     size = 0
     for g in groups:
@@ -162,16 +166,16 @@ def _emit(groups: Iterator[tuple[bytes, int, int]]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(rows: list) -> pa.RecordBatch:
-    content, least, n = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(least, pa.int64()), pa.array(n, pa.int64())], names=["content", "least", "n"])
+    content, *numbers = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), *(pa.array(x, pa.int64()) for x in numbers)], names=["content", "least", "n", "ties"])
 
 
 def _grouper(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
             for b in (part for batch in batches for part in text_slices(batch, 0)):
-                for content, least, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    yield content_hash(content), content, least, n
+                for content, *numbers in zip(*(c.to_pylist() for c in b.columns)):
+                    yield content_hash(content), content, *numbers
 
         yield from _emit(grace_groups(records(), budget))
 
@@ -184,7 +188,7 @@ def normalised(column: str = "text") -> F.Column:
 
 
 def copy_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", budget: int = 48 << 20) -> DataFrame:
-    """Groups of two or more equal texts: text_sha256, keep_id, group_size.
+    """Groups of two or more equal texts: text_sha256, keep_id, group_size and ties, the rows with that id.
 
     Texts are told apart by their contents; the digest only names the group. Two
     contents with one digest would be an error and not a silent merge.
@@ -193,6 +197,7 @@ def copy_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         normalised(text_column).cast("binary").alias("content"),
         F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("least"),
         F.lit(1).cast("long").alias("n"),
+        F.lit(1).cast("long").alias("ties"),
     )
     partial = records.mapInArrow(_grouper(budget), _GROUPS)
     whole = partial.repartition(F.xxhash64("content")).mapInArrow(_grouper(budget), _GROUPS)
@@ -200,32 +205,44 @@ def copy_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.sha2("content", 256).alias("text_sha256"),
         F.when(F.col("least") != _NO_ID, F.col("least")).alias("keep_id"),
         F.col("n").alias("group_size"),
+        "ties",
     )
 
 
+def _marked(docs: DataFrame, groups: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    named = docs.withColumn("text_sha256", F.sha2(normalised(text_column), 256))
+    joined = named.join(groups.withColumnRenamed("text_sha256", "_digest"), named["text_sha256"] == F.col("_digest"), "left").drop("_digest")
+    keep = F.coalesce(F.col("keep_id"), F.col(id_column).cast("long"))
+    return joined.withColumn("keep_id", keep).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_column).cast("long")))
+
+
 def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", budget: int = 48 << 20) -> DataFrame:
     """``docs`` and the columns text_sha256, keep_id, group_size and kept.
 
     The join with the groups is an equi-join by digest, of which Spark splits hot
     keys (only groups of two or more are on its other side).
     """
-    groups = copy_groups(docs, id_column, text_column, budget).withColumnRenamed("text_sha256", "_digest")
-    marked = docs.withColumn("text_sha256", F.sha2(normalised(text_column), 256))
-    joined = marked.join(groups, marked["text_sha256"] == groups["_digest"], "left").drop("_digest")
-    keep = F.coalesce(F.col("keep_id"), F.col(id_column).cast("long"))
-    return joined.withColumn("keep_id", keep).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_column).cast("long")))
+    return _marked(docs, copy_groups(docs, id_column, text_column, budget).drop("ties"), id_column, text_column)
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", budget: int = 48 << 20) -> DataFrame:
     """``docs`` without the rows whose text another row with a smaller id has; all columns stay.
 
-    Rows that repeat both id and text cannot be told apart by id; one of them stays.
+    Rows that repeat both id and text cannot be told apart by id; one of them stays. Such
+    groups are known after the first pass, and only if there are any is there a second one.
     """
-    clash = {"_text_sha256": "text_sha256", "_keep_id": "keep_id", "_group_size": "group_size", "_kept": "kept"}
-    extra = {c: f"_own_{c}" for c in clash.values() if c in docs.columns}
-    kept = mark_copies(docs.withColumnsRenamed(extra), id_column, text_column, budget).where("kept")
-    many = kept.where(F.col("group_size") > 1).dropDuplicates([id_column, "text_sha256"])
-    return kept.where(F.col("group_size") == 1).unionByName(many).drop(*clash.values()).withColumnsRenamed({v: k for k, v in extra.items()}).select(docs.columns)
+    own = {"_text_sha256": "text_sha256", "_keep_id": "keep_id", "_group_size": "group_size", "_kept": "kept", "_ties": "ties"}
+    extra = {c: f"_own_{c}" for c in own.values() if c in docs.columns}
+    back = {v: k for k, v in extra.items()}
+    renamed = docs.withColumnsRenamed(extra)
+    groups = materialize(docs.sparkSession, copy_groups(renamed, id_column, text_column, budget), "copies")
+    kept = _marked(renamed, groups, id_column, text_column).where("kept")
+    out = kept.where(F.coalesce("ties", F.lit(1)) == 1)
+    tied = groups.where("ties > 1")
+    if tied.limit(1).count():
+        repeated = _marked(renamed, tied, id_column, text_column).where(F.col("kept") & (F.col("ties") > 1))
+        out = out.unionByName(repeated.dropDuplicates([id_column, "text_sha256"]))
+    return out.drop(*own.values()).withColumnsRenamed(back).select(docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

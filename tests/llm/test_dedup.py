@@ -53,8 +53,12 @@ def test_grace_spills(tmp_path):
         least, n = want.get(c, (i, 0))
         want[c] = (min(least, i), n + 1)
     for same in (False, True):  # also with hashes that are all the same
-        got = list(E.grace_groups(((7 if same else E.content_hash(c), c, i, 1) for c, i in records), budget=2000))
-        assert len(got) == len(want) and {c: (a, n) for c, a, n in got} == want
+        got = list(E.grace_groups(((7 if same else E.content_hash(c), c, i // 2, 1, 1) for c, i in records), budget=2000))
+        assert len(got) == len(want) and {c: (a, n) for c, a, n, _ in got} == {c: (a // 2, n) for c, (a, n) in want.items()}
+        first: dict = {}
+        for c, i in records:
+            first.setdefault(c, []).append(i // 2)
+        assert {c: t for c, _, _, t in got} == {c: ids.count(min(ids)) for c, ids in first.items()}
 
 
 def sets_of(text, words):
