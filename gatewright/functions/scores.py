@@ -163,9 +163,10 @@ def words_of(text: Column | str) -> Column:
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
+    """The similarity of two arrays without repetitions; 0 if both are empty."""
     x, y = _c(a), _c(b)
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
+    both = F.size(F.array_intersect(x, y))
+    return F.coalesce(F.try_divide(both.cast("double"), F.size(x) + F.size(y) - both), F.lit(0.0))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

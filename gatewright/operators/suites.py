@@ -10,7 +10,7 @@ rows of each case map-side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,14 +38,19 @@ def check_counts(counts: Sequence[int], missing: bool) -> list[int]:
     return out
 
 
-def _key(strategy: str, seed: int, tool: Column) -> Column:
-    """What tools are sorted by for a case, ascending; the name decides ties."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, and not once for each element of a lambda inside."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _key(strategy: str, seed: int, own: Column, tool: Column) -> Column:
+    """What tools are sorted by for a case, ascending; the name decides ties. own: the case's id, words or vector."""
     if strategy == "random":
-        return F.struct(_hash(F.lit(seed), F.col("case_id"), F.lit("distractor"), tool["name"]).alias("k"), tool["name"].alias("name"))
+        return F.struct(_hash(F.lit(seed), own, F.lit("distractor"), tool["name"]).alias("k"), tool["name"].alias("name"))
     if strategy == "lexical":
-        return F.struct((-S.jaccard(F.col("_words"), tool["words"])).alias("k"), tool["name"].alias("name"))
+        return F.struct((-S.jaccard(own, tool["words"])).alias("k"), tool["name"].alias("name"))
     if strategy == "semantic":
-        return F.struct((-S.cosine(F.col("_gold_vector"), tool["vector"])).alias("k"), tool["name"].alias("name"))
+        return F.struct((-S.cosine(own, tool["vector"])).alias("k"), tool["name"].alias("name"))
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -56,19 +61,16 @@ def distractors(cases: DataFrame, tools: DataFrame, need: int, strategy: str = "
     """
     fields = [F.col("name"), S.words_of(tool_text()).alias("words")] + ([F.col("vector")] if strategy == "semantic" else [])
     small = tools.select(*fields)
-    asked = cases
-    if strategy == "lexical":
-        asked = asked.withColumn("_words", S.words_of("query"))
-    if strategy == "semantic":
-        asked = asked.join(tools.select(F.col("name").alias("gold"), F.col("vector").alias("_gold_vector")), "gold")
+    own = {"random": F.col("case_id"), "lexical": S.words_of("query") if "query" in cases.columns else None, "semantic": F.col("_gold_vector")}.get(strategy)
+    asked = cases.join(tools.select(F.col("name").alias("gold"), F.col("vector").alias("_gold_vector")), "gold") if strategy == "semantic" else cases
     if tools.count() <= BROADCAST_TOOLS:
         inventory = small.agg(F.array_sort(F.collect_list(F.struct(*small.columns))).alias("_tools"))
         spread = asked.crossJoin(F.broadcast(inventory))  # one row
         others = F.filter("_tools", lambda t: ~t["name"].eqNullSafe(F.col("gold")))
-        order = F.array_sort(F.transform(others, lambda t: _key(strategy, seed, t)))
-        return spread.withColumn("ranked", F.transform(F.slice(order, 1, need), lambda x: x["name"])).drop("_tools", "_words", "_gold_vector")
+        order = bound(own, lambda o: F.array_sort(F.transform(others, lambda t: _key(strategy, seed, o, t))))
+        return spread.withColumn("ranked", F.transform(F.slice(order, 1, need), lambda x: x["name"])).drop("_tools", "_gold_vector")
     pairs = asked.join(small.select(F.struct(*small.columns).alias("_tool")), ~F.col("_tool.name").eqNullSafe(F.col("gold")))
-    keyed = pairs.withColumn("_key", _key(strategy, seed, F.col("_tool")))
+    keyed = pairs.withColumn("_key", _key(strategy, seed, own, F.col("_tool")))
     first = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("case_id").orderBy("_key"))).where(F.col("_rn") <= need)
     ranked = first.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list("_key")), lambda x: x["name"]).alias("ranked"))
     return cases.join(ranked, "case_id")
@@ -101,12 +103,20 @@ def suite(cases: DataFrame, tools: DataFrame, counts: Sequence[int], strategy: s
     )
 
 
-def top_similar(queries: DataFrame, items: DataFrame, k: int, similarity: Column) -> DataFrame:
+def top_similar(queries: DataFrame, items: DataFrame, k: int, similarity: Callable[[Column, Column], Column]) -> DataFrame:
     """The ``k`` best (query_id, item_id, similarity, rank) of each query; ties by item.
 
-    Each query's rows are cut to ``k`` in the map tasks, before the exchange.
+    ``similarity`` gets the structs of a query's and an item's columns. While there are at most
+    ``BROADCAST_TOOLS`` items they are one broadcast row and each query ranks them in its own row;
+    beyond that, each query's rows are cut to ``k`` in the map tasks, before an exchange.
     """
-    pairs = queries.crossJoin(items).select("query_id", "item_id", similarity.alias("similarity"))
+    if items.count() <= BROADCAST_TOOLS:
+        one = items.agg(F.collect_list(F.struct(*items.columns)).alias("_items"))
+        scored = bound(F.struct(*queries.columns), lambda q: F.transform("_items", lambda t: F.struct(t["item_id"].alias("item_id"), similarity(q, t).alias("similarity"))))
+        keyed = F.transform(scored, lambda t: F.struct((-F.round(t["similarity"], 9)).alias("k"), t["item_id"].alias("item_id"), t["similarity"].alias("similarity")))
+        best = queries.crossJoin(F.broadcast(one)).select("query_id", F.posexplode(F.slice(F.array_sort(keyed), 1, k)).alias("pos", "x"))
+        return best.select("query_id", "x.item_id", "x.similarity", (F.col("pos") + 1).alias("rank"))
+    pairs = queries.select("query_id", F.struct(*queries.columns).alias("_q")).crossJoin(items.select("item_id", F.struct(*items.columns).alias("_t"))).select("query_id", "item_id", similarity(F.col("_q"), F.col("_t")).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.round(F.col("similarity"), 9).desc(), "item_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -473,7 +473,7 @@ SELECT query_id, item_id, round(similarity, 6) AS similarity, CAST(rank AS INTEG
 def lexical_topk(spark, d):
     items = W.table(spark, d, "benchmark").select("item_id", S.words_of("text").alias("iw"))
     queries = W.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), S.words_of("text").alias("qw"))
-    return r6(U.top_similar(queries, items, 3, S.jaccard("qw", "iw")))
+    return r6(U.top_similar(queries, items, 3, lambda q, t: S.jaccard(q["qw"], t["iw"])))
 
 
 @query(f"""WITH {W.TOOLS}, ks AS (SELECT * FROM (VALUES (5),(10),(20)) AS t(kk)) SELECT CAST(kk AS INTEGER) AS k, count(*) AS cases, CAST(sum(kk) AS BIGINT) AS candidates FROM tcase, ks GROUP BY kk""")
@@ -736,3 +736,28 @@ def trace_fingerprints(spark, d):
 @query(_suite_sql("lexical", True, TOOL_LEX))
 def suite_lexical_missing(spark, d):
     return _suite(spark, d, "lexical", True)
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id),
+cs AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dp FROM v a JOIN v b ON a.i = b.i AND b.vec_id < 100 GROUP BY 1, 2),
+rk AS (SELECT a, b, dp / (na.n * nb.n) AS c, row_number() OVER (PARTITION BY a ORDER BY round(dp / (na.n * nb.n), 9) DESC, b) AS rn FROM cs JOIN n na ON na.vec_id = a JOIN n nb ON nb.vec_id = b)
+SELECT a AS query_id, b AS item_id, round(c, 6) AS similarity, CAST(rn AS INTEGER) AS rank FROM rk WHERE rn <= 5""")
+def semantic_neighbors_topk(spark, d):
+    """All vectors against an inventory of the first hundred."""
+    e = W.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    items = e.where("vec_id < 100").select(F.col("vec_id").alias("item_id"), F.col("v").alias("iv"))
+    return r6(U.top_similar(e.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), items, 5, lambda q, t: S.cosine(q["qv"], t["iv"])))
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 200),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id), ks AS (SELECT * FROM (VALUES (5),(10)) AS t(kk)),
+cs AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dp FROM v a JOIN v b ON a.i = b.i AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 GROUP BY 1, 2),
+rk AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY -(dp / (na.n * nb.n)), 'v' || b) AS rn FROM cs JOIN n na ON na.vec_id = a JOIN n nb ON nb.vec_id = b),
+ch AS (SELECT a, kk, 'v' || b AS name FROM rk JOIN ks ON rn <= kk - 1 UNION ALL SELECT vec_id, kk, 'v' || vec_id FROM n, ks WHERE vec_id % 20 = 0),
+od AS (SELECT *, sha256('7' || chr(31) || 'q' || a || chr(31) || kk || chr(31) || 'covered:semantic' || chr(31) || name) AS h FROM ch)
+SELECT 'q' || a || '::k' || kk || '::semantic' AS case_id, CAST(kk AS INTEGER) AS candidate_count, string_agg(name, ',' ORDER BY h) AS candidates FROM od GROUP BY a, kk""")
+def suite_semantic_covered(spark, d):
+    tools = _vector_tools(spark, d)
+    cases = tools.where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("case_id"), F.col("name").alias("gold"))
+    x = U.suite(cases, tools.drop("vec_id"), (5, 10), "semantic", 7)
+    return x.select("case_id", "candidate_count", F.array_join("candidates", ",").alias("candidates"))

@@ -347,3 +347,15 @@ def test_cli(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["summary"]["accuracy"] == 1
     assert cli.main(["validate", str(path), str(path)]) == 0
     assert json.loads(capsys.readouterr().out) == {"valid": False, "case_ids": 3, "contexts": 3, "repeated": 3}
+
+
+def test_top_similar_either_way(spark, monkeypatch):
+    from gatewright.functions import scores as S
+
+    queries = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, ["c"])], "query_id int, q array<string>")
+    items = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, ["b", "a"]), (4, [])], "item_id int, i array<string>")
+    run = lambda: sorted(map(tuple, U.top_similar(queries, items, 2, lambda q, t: S.jaccard(q["q"], t["i"])).select("query_id", "item_id", "similarity", "rank").collect()))
+    near = run()
+    assert near[:2] == [(1, 2, 1.0, 1), (1, 3, 1.0, 2)]
+    monkeypatch.setattr(U, "BROADCAST_TOOLS", 1)
+    assert run() == near
