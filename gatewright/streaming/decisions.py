@@ -28,9 +28,12 @@ def windowed_counts(decided: DataFrame, time: str = "ts", window: str = "1 day")
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of scored cases."""
     path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
+    table = spark.read.parquet(path)
     folder, _, name = path.rpartition("/")
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder if not name.endswith("/") else path)
+    reader = spark.readStream.schema(table.schema)
+    # a stream reads folders; the table may be one, or a single file of one
+    single = any(f.endswith(f"/{name}") for f in table.inputFiles())
+    rows = reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
     listed, w = W._weighted(W.EVENT_TYPES, "event_id", "user_id", "event_type")
     return rows.select(F.col("event_id").alias("case_id"), listed.alias("candidates"), W.S.distribution(listed, W.S.normalised(w)).alias("scores"), "ts")
 
