@@ -208,7 +208,7 @@ class TextEncoder:
     ``remember`` segments bound the memory of what was encoded before.
     """
 
-    def __init__(self, path: str, pattern: str, folded: bool, remember: int = 400_000, library=None):
+    def __init__(self, path: str, pattern: str, folded: bool, remember: int = 700_000, library=None):
         self.merger = PairMerger(path)
         self.words = Words(self.merger, pattern, folded, library)
         self.blanks = not folded  # whether blanks are part of the tokens
@@ -273,9 +273,8 @@ class TextEncoder:
             slots = len(self.offsets) - 1 + np.arange(len(f))
             self.ids = np.concatenate((self.ids, ids))
             self.offsets = np.concatenate((self.offsets, self.offsets[-1] + offsets[1:]))
-            merged = np.concatenate((self.hashes, distinct[new]))
-            order = np.argsort(merged, kind="stable")
-            self.hashes, self.slots = merged[order], np.concatenate((self.slots, slots))[order]
+            place = np.searchsorted(self.hashes, distinct[new])
+            self.hashes, self.slots = np.insert(self.hashes, place, distinct[new]), np.insert(self.slots, place, slots)
         use = self.slots[np.searchsorted(self.hashes, distinct)][back]
         counts = np.diff(self.offsets)[use]
         total = np.concatenate(([0], np.cumsum(counts)))
@@ -342,7 +341,7 @@ def _coder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path, "byte_level")
         for b in batches:
-            for rows in text_slices(b):
+            for rows in text_slices(b, 1, 2 << 20):
                 part = rows.column(0).to_pylist()
                 flat, at = encoder.encode([(x or "").encode() for x in rows.column(1).to_pylist()])
                 out = []

@@ -37,7 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="gatewright-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
-    return at if "://" in at or at.startswith("file:") else f"file://{at}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    # a path without scheme is one of the cluster's default file system
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -108,13 +111,17 @@ _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> list[np.ndarray]:
     """The base's powers 0..n-1 (at least) and their inverses, as wrapping 64-bit integers."""
-    if len(_tables[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _tables[i] = np.multiply.accumulate(x)
-    return _tables
+    if len(_tables[0]) >= n:
+        return _tables
+    size = -(-n // 262144) * 262144
+    made = []
+    for base in (_BASE, _BASE_INV):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    if size <= 1 << 22:  # those of a very long text are not kept
+        _tables[:] = made
+    return made
 
 
 _IS_BLANK = np.zeros(256, bool)
@@ -159,7 +166,7 @@ def flat_texts(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), at
 
 
-def text_slices(batch, column: int = 1, limit: int = 4 << 20):
+def text_slices(batch, column: int = 1, limit: int = 1 << 20):
     """Slices of an Arrow batch of about ``limit`` bytes of text; a longer text is alone."""
     sizes = [(x.as_buffer().size if x.is_valid else 0) for x in batch.column(column)]
     at, held = 0, 0
@@ -172,14 +179,28 @@ def text_slices(batch, column: int = 1, limit: int = 4 << 20):
         yield batch.slice(at)
 
 
+_tidy = False
+
+
+def _tidy_memory() -> None:
+    """Once in a worker: large blocks go straight back to the system when they are freed."""
+    global _tidy
+    if not _tidy:
+        with contextlib.suppress(Exception):  # another C library does without
+            ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, which also ends its growth
+        pa.set_memory_pool(pa.system_memory_pool())
+        _tidy = True
+
+
 def trimmed(run):
-    """The same map function; when a task ends, memory that it freed goes back to the system.
+    """The same map function; memory that it frees goes back to the system.
 
     Python workers are reused by later tasks, and would otherwise hold what their largest task needed.
     """
 
     @functools.wraps(run)
     def with_trim(batches):
+        _tidy_memory()
         try:
             yield from run(batches)
         finally:

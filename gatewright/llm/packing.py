@@ -118,7 +118,7 @@ def _packer(path: str, capacity: int, group_windows: int, piece: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for b in batches:
-            for rows_in in text_slices(b):
+            for rows_in in text_slices(b, 1, 2 << 20):
                 part = rows_in.column(0).to_pylist()
                 ids, offsets = encoder.encode([(x or "").encode() for x in rows_in.column(1).to_pylist()])
                 flat = memoryview(ids.astype("<u4").tobytes())

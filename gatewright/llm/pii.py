@@ -25,7 +25,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -261,16 +260,22 @@ def redact(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text
     """``docs`` with each span replaced by its kind in brackets; overlapping spans become one, named by the first."""
     _, more = with_discoveries(spark, docs, id_column, text_column)
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, added: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t, a) for t, a in zip(texts, added)])
-
     more = more.select(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.expr("array_join(transform(more, s -> concat(s.start, ':', s.rank, ':', s.end)), ',')").alias("_pii_more"))
     joined = docs.join(more, docs[id_column].cast("long").eqNullSafe(F.col("_pii_id")) & (text_key(docs[text_column]) == F.col("_pii_key")), "left")
-    out = joined.withColumn(text_column, cleaned(F.col(text_column), F.col("_pii_more")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(F.coalesce(F.col(text_column), F.lit(""))).cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    names = docs.columns
+    at = names.index(text_column)
+    length = names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in text_slices(batch, at)):
+            columns = b.columns[:-1]
+            texts = [redacted(t, a) for t, a in zip(columns[at].to_pylist(), b.columns[-1].to_pylist())]
+            columns[at] = pa.array(texts, columns[at].type)
+            if length is not None:
+                columns[length] = pa.array([None if n is None else len(t or "") for t, n in zip(texts, columns[length].to_pylist())], columns[length].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.select(*(joined[c] for c in docs.columns), "_pii_more").mapInArrow(trimmed(run), docs.schema)
 
 
 _HINT = re.compile("[0-9@]")
