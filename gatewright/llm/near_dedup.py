@@ -288,7 +288,7 @@ class NearCopies:
     def _confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those that reach the threshold on full sets."""
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
-        return pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "hb").mapInArrow(_confirmer(self.percent), "a long, b long")
+        return pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "hb").mapInArrow(trimmed(_confirmer(self.percent)), "a long, b long")
 
     def _crossing(self, first: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs (a, b) of different components that may reach the threshold, by their rarest shingles.
@@ -299,10 +299,10 @@ class NearCopies:
         a table of fixed size, so collisions cost time and no pair), which keeps shingles that very
         many sets share out of the prefixes of all sets but those closest to each other.
         """
-        tally = sets.select("hashes").mapInArrow(_tally, "part int, cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        tally = sets.select("hashes").mapInArrow(trimmed(_tally), "part int, cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(COUNT_CELLS, np.int32)
         counts[tally.column("cell").to_numpy()] = np.minimum(tally.column("n").to_numpy(), 2**31 - 1)
-        rows = sets.select("doc_id", "hashes").mapInArrow(_prefixer(counts, self.percent), "id long, n long, bucket long, place long")
+        rows = sets.select("doc_id", "hashes").mapInArrow(trimmed(_prefixer(counts, self.percent)), "id long, n long, bucket long, place long")
         placed = materialize(self.spark, rows.join(first, "id", "left").select("bucket", "id", "n", "place", F.coalesce("component", "id").alias("component")), "prefixes")
         several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         rest = placed.join(several, "bucket", "left_semi")
@@ -335,7 +335,8 @@ class NearCopies:
         final = components(spark, bridges, "final").select(F.col("id").alias("component"), F.col("component").alias("top"))
         placed_reps = classes.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(final, "component", "left")
         # equal sets are one class; a component is named by its smallest id
-        named = placed_reps.select("set_key", "set_check", "n", F.coalesce("top", "component").alias("component_id"))
+        # written, so that the join with all rows has plain exchanges on both sides and hot sets are split
+        named = materialize(spark, placed_reps.select("set_key", "set_check", "n", F.coalesce("top", "component").alias("component_id")), "named")
         out = self.signed.select("doc_id", "n_shingles", "set_key", "set_check")
         joined = out.join(named.withColumnsRenamed({"set_key": "_k", "set_check": "_c"}), (F.col("set_key") == F.col("_k")) & (F.col("set_check") == F.col("_c")) & (F.col("n_shingles") == F.col("n")) & F.col("doc_id").isNotNull(), "left")
         return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -348,7 +349,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, percent: i
 def drop_near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies, that with the smallest id; all columns stay."""
     found = near_copies(spark, docs, words, percent, id_column, text_column)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    # written, so that its size is known and texts are shuffled only if the ids are too many to broadcast
+    gone = materialize(spark, found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs[id_column].cast("long") == gone["_gone"], "left_anti")
 
 
