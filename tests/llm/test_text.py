@@ -262,16 +262,11 @@ def test_score_is_a_probability():
 def tail(mixer, x):
     """Bits of the end after a text of one byte, with the weights that the text starts with."""
     buf, starts, lengths = lm_score.joined([bytes([x])])
-    cells = lm_score.context_cells(buf)
-    out = 0.0
-    at = starts[0] + 1
+    at, out = starts[0] + 1, 0.0
     for half in (0, 1):
-        node = 1
+        paths = [mixer.paths[[pair[half][at]]].view(np.int8) for pair in lm_score.context_cells(buf)]
         for k in range(4):
-            bit = int(buf[at]) >> (7 - 4 * half - k) & 1
-            dot = sum(w / 16 * float(mixer.tables[c[half][at] + node]) for w, c in zip(lm_score.WEIGHTS, cells))
-            out += math.log2(1 + math.exp(min(10, -dot if bit else dot)))
-            node = node << 1 | bit
+            out += math.log2(1 + math.exp(min(10, -sum(w / 16 * float(p[k]) for w, p in zip(lm_score.WEIGHTS, paths)))))
     return out
 
 
