@@ -141,9 +141,19 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     """64-bit hashes of the words by one rolling polynomial over the buffer; ``fold``: with A-Z lower-cased."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    total, inverses = prefix_sums(buf, fold)
+    return span_hashes(total, inverses, starts, ends)
+
+
+def prefix_sums(buf: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The rolling polynomial up to each position, and what takes a position out of it."""
     powers, inverses = _powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((_CODE_LOWER if fold else _CODE)[buf] * powers[: len(buf)], out=total[1:])
+    return total, inverses
+
+
+def span_hashes(total: np.ndarray, inverses: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix64((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
