@@ -422,8 +422,8 @@ od AS (SELECT *, sha256('7' || chr(31) || case_id || chr(31) || kk || chr(31) ||
 SELECT {name} AS case_id, case_id AS parent_case_id, CAST(kk AS INTEGER) AS candidate_count, string_agg(name, ',' ORDER BY h) AS candidates, max(gold) AS gold, {str(missing).lower()} AS expected_abstain FROM od GROUP BY case_id, kk"""
 
 
-def _suite(spark, d, strategy, missing=False):
-    x = U.suite(W.tool_cases(spark, d), W.tools(spark, d), SIZES, strategy, 7, missing)
+def _suite(spark, d, strategy, missing=False, whole=False):
+    x = U.suite(W.tool_cases(spark, d, whole), W.tools(spark, d, whole), SIZES, strategy, 7, missing)
     return x.select("case_id", "parent_case_id", "candidate_count", F.array_join("candidates", ",").alias("candidates"), "gold", "expected_abstain")
 
 
@@ -477,8 +477,8 @@ def lexical_topk(spark, d):
 
 
 @query(f"""WITH {W.TOOLS}, ks AS (SELECT * FROM (VALUES (5),(10),(20)) AS t(kk)) SELECT CAST(kk AS INTEGER) AS k, count(*) AS cases, CAST(sum(kk) AS BIGINT) AS candidates FROM tcase, ks GROUP BY kk""")
-def suite_group_by_k(spark, d):
-    x = U.suite(W.tool_cases(spark, d), W.tools(spark, d), SIZES, "random", 7)
+def suite_group_by_k(spark, d, whole=False):
+    x = U.suite(W.tool_cases(spark, d, whole), W.tools(spark, d, whole), SIZES, "random", 7)
     return x.groupBy(U.by_candidate_count().alias("k")).agg(F.count(F.lit(1)).alias("cases"), F.sum(F.size("candidates")).alias("candidates"))
 
 
@@ -491,8 +491,8 @@ ch AS (SELECT case_id, gold, kk, name FROM rk JOIN ks ON rn <= kk - 1 UNION ALL
 w AS (SELECT *, row_number() OVER (PARTITION BY case_id, kk ORDER BY {_SUITE_HASH}) AS pos, CAST(1 + (length(name) * 7 + CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) * 13 + kk) % 101 + CASE WHEN name = gold AND kk < 20 THEN 60 ELSE 0 END AS DOUBLE) AS w FROM ch),
 t AS (SELECT *, w / sum(w) OVER (PARTITION BY case_id, kk) AS p, row_number() OVER (PARTITION BY case_id, kk ORDER BY w DESC, pos) AS rn FROM w)
 SELECT CAST(kk AS INTEGER) AS k, count(*) AS n, round(avg(CASE WHEN name = gold THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg(p), 6) AS confidence FROM t WHERE rn = 1 GROUP BY kk""")
-def stress_by_k(spark, d):
-    x = U.suite(W.tool_cases(spark, d), W.tools(spark, d), SIZES, "random", 7)
+def stress_by_k(spark, d, whole=False):
+    x = U.suite(W.tool_cases(spark, d, whole), W.tools(spark, d, whole), SIZES, "random", 7)
     weight = lambda c: (F.lit(1) + (F.length(c) * 7 + F.regexp_extract(c, "([0-9]+)", 1).cast("long") * 13 + F.col("candidate_count")) % 101 + F.when((c == F.col("gold")) & (F.col("candidate_count") < 20), 60).otherwise(0)).cast("double")
     scored = x.withColumn("scores", S.distribution("candidates", S.normalised(F.transform("candidates", weight))))
     results = M.case_results(scored.withColumn("k", U.by_candidate_count()), "k")
@@ -518,9 +518,9 @@ def split_label_violations(spark, d):
 
 
 @query(f"WITH {W.TOOLS}, x AS (SELECT case_id, gold, CASE WHEN gold LIKE '%30' THEN 'part::9999' ELSE gold END AS g2 FROM tcase) SELECT case_id, 'gold' AS role, g2 AS name FROM x WHERE g2 NOT IN (SELECT name FROM tool) UNION ALL SELECT case_id, 'candidate', 'ghost::' || case_id FROM x")
-def inventory_dangling_refs(spark, d):
-    cases = W.tool_cases(spark, d).select("case_id", F.when(F.col("gold").like("%30"), F.lit("part::9999")).otherwise(F.col("gold")).alias("gold"), F.array("gold", F.concat(F.lit("ghost::"), "case_id")).alias("candidates"), F.lit("covered").alias("coverage"))
-    return V.dangling_references(cases, W.tools(spark, d))
+def inventory_dangling_refs(spark, d, whole=False):
+    cases = W.tool_cases(spark, d, whole).select("case_id", F.when(F.col("gold").like("%30"), F.lit("part::9999")).otherwise(F.col("gold")).alias("gold"), F.array("gold", F.concat(F.lit("ghost::"), "case_id")).alias("candidates"), F.lit("covered").alias("coverage"))
+    return V.dangling_references(cases, W.tools(spark, d, whole))
 
 
 @query("SELECT 'group' AS kind, CAST(conv_id AS VARCHAR) AS value FROM (SELECT conv_id FROM conversations WHERE turn % 2 = 0 INTERSECT SELECT conv_id FROM conversations WHERE turn % 2 = 1)")
@@ -761,3 +761,43 @@ def suite_semantic_covered(spark, d):
     cases = tools.where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("case_id"), F.col("name").alias("gold"))
     x = U.suite(cases, tools.drop("vec_id"), (5, 10), "semantic", 7)
     return x.select("case_id", "candidate_count", F.array_join("candidates", ",").alias("candidates"))
+
+
+# --- whole tables ----------------------------------------------------------------------------
+# The SQL of the queries above pins part of an inventory; these have all of it and no SQL, and
+# tests compare them with brute force.
+
+
+@query()
+def suite_random_covered_all(spark, d):
+    return _suite(spark, d, "random", whole=True)
+
+
+@query()
+def suite_random_missing_all(spark, d):
+    return _suite(spark, d, "random", True, whole=True)
+
+
+@query()
+def suite_lexical_covered_all(spark, d):
+    return _suite(spark, d, "lexical", whole=True)
+
+
+@query()
+def suite_lexical_missing_all(spark, d):
+    return _suite(spark, d, "lexical", True, whole=True)
+
+
+@query()
+def suite_group_by_k_all(spark, d):
+    return suite_group_by_k(spark, d, whole=True)
+
+
+@query()
+def stress_by_k_all(spark, d):
+    return stress_by_k(spark, d, whole=True)
+
+
+@query()
+def inventory_dangling_refs_all(spark, d):
+    return inventory_dangling_refs(spark, d, whole=True)

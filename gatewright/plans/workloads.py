@@ -66,13 +66,21 @@ def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("case_id"), F.array(*map(F.lit, EVENT_TYPES)).alias("candidates"), F.when(F.col("event_id") % 5 == 0, F.lit("no choice")).otherwise(body).alias("text"), F.col("event_type").alias("gold"))
 
 
-def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey < 120")
+def tools(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Parts as tools; those that ``TOOLS`` pins, or ``whole``: every part."""
+    p = table(spark, sf_dir, "part")
+    p = p if whole else p.where("p_partkey < 120")
     return p.select(F.concat_ws("::", F.lit("part"), F.col("p_partkey").cast("string")).alias("name"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("description"), F.col("p_brand").alias("server"), "p_partkey")
 
 
-def tool_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tools(spark, sf_dir).where("p_partkey % 10 = 0")
+def dealt(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Rows of a small file that are much work each, in tasks for all cores."""
+    return df.repartition(4 * spark.sparkContext.defaultParallelism, key)
+
+
+def tool_cases(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    t = tools(spark, sf_dir, whole)
+    t = dealt(spark, t, "p_partkey") if whole else t.where("p_partkey % 10 = 0")
     return t.select(F.concat(F.lit("case"), F.col("p_partkey")).alias("case_id"), F.col("name").alias("gold"), F.col("description").alias("query"))
 
 
