@@ -448,8 +448,14 @@ def suite_lexical_covered(spark, d):
     return _suite(spark, d, "lexical")
 
 
-def _vector_tools(spark, d):
-    return W.table(spark, d, "embeddings").where("vec_id < 200").select(F.concat(F.lit("v"), "vec_id").alias("name"), F.lit("").alias("description"), F.lit("s").alias("server"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), "vec_id")
+def _vector_tools(spark, d, whole=False):
+    e = W.table(spark, d, "embeddings")
+    return (e if whole else e.where("vec_id < 200")).select(F.concat(F.lit("v"), "vec_id").alias("name"), F.lit("").alias("description"), F.lit("s").alias("server"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), "vec_id")
+
+
+def _vector_cases(spark, tools, whole=False):
+    asked = W.dealt(spark, tools, "vec_id") if whole else tools.where("vec_id % 20 = 0")
+    return asked.select(F.concat(F.lit("q"), "vec_id").alias("case_id"), F.col("name").alias("gold"))
 
 
 @query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 200),
@@ -457,9 +463,9 @@ n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id),
 cs AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dp FROM v a JOIN v b ON a.i = b.i AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 GROUP BY 1, 2),
 rk AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY -(dp / (na.n * nb.n)), 'v' || b) AS rn FROM cs JOIN n na ON na.vec_id = a JOIN n nb ON nb.vec_id = b)
 SELECT 'q' || a AS case_id, string_agg('v' || b, ',' ORDER BY rn) AS ranked FROM rk WHERE rn <= 5 GROUP BY a""")
-def suite_semantic_ranking(spark, d):
-    tools = _vector_tools(spark, d)
-    cases = tools.where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("case_id"), F.col("name").alias("gold"))
+def suite_semantic_ranking(spark, d, whole=False):
+    tools = _vector_tools(spark, d, whole)
+    cases = _vector_cases(spark, tools, whole)
     return U.distractors(cases, tools.drop("vec_id"), 5, "semantic").select("case_id", F.array_join("ranked", ",").alias("ranked"))
 
 
@@ -742,11 +748,12 @@ def suite_lexical_missing(spark, d):
 cs AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dp FROM v a JOIN v b ON a.i = b.i AND b.vec_id < 100 GROUP BY 1, 2),
 rk AS (SELECT a, b, dp / (na.n * nb.n) AS c, row_number() OVER (PARTITION BY a ORDER BY round(dp / (na.n * nb.n), 9) DESC, b) AS rn FROM cs JOIN n na ON na.vec_id = a JOIN n nb ON nb.vec_id = b)
 SELECT a AS query_id, b AS item_id, round(c, 6) AS similarity, CAST(rn AS INTEGER) AS rank FROM rk WHERE rn <= 5""")
-def semantic_neighbors_topk(spark, d):
-    """All vectors against an inventory of the first hundred."""
+def semantic_neighbors_topk(spark, d, whole=False):
+    """All vectors against an inventory of the first hundred, or ``whole``: of all."""
     e = W.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    items = e.where("vec_id < 100").select(F.col("vec_id").alias("item_id"), F.col("v").alias("iv"))
-    return r6(U.top_similar(e.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), items, 5, lambda q, t: S.cosine(q["qv"], t["iv"])))
+    items = (e if whole else e.where("vec_id < 100")).select(F.col("vec_id").alias("item_id"), F.col("v").alias("iv"))
+    asked = W.dealt(spark, e, "vec_id") if whole else e
+    return r6(U.top_similar(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), items, 5, lambda q, t: S.cosine(q["qv"], t["iv"])))
 
 
 @query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 200),
@@ -756,9 +763,9 @@ rk AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY -(dp / (na.n * nb
 ch AS (SELECT a, kk, 'v' || b AS name FROM rk JOIN ks ON rn <= kk - 1 UNION ALL SELECT vec_id, kk, 'v' || vec_id FROM n, ks WHERE vec_id % 20 = 0),
 od AS (SELECT *, sha256('7' || chr(31) || 'q' || a || chr(31) || kk || chr(31) || 'covered:semantic' || chr(31) || name) AS h FROM ch)
 SELECT 'q' || a || '::k' || kk || '::semantic' AS case_id, CAST(kk AS INTEGER) AS candidate_count, string_agg(name, ',' ORDER BY h) AS candidates FROM od GROUP BY a, kk""")
-def suite_semantic_covered(spark, d):
-    tools = _vector_tools(spark, d)
-    cases = tools.where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("case_id"), F.col("name").alias("gold"))
+def suite_semantic_covered(spark, d, whole=False):
+    tools = _vector_tools(spark, d, whole)
+    cases = _vector_cases(spark, tools, whole)
     x = U.suite(cases, tools.drop("vec_id"), (5, 10), "semantic", 7)
     return x.select("case_id", "candidate_count", F.array_join("candidates", ",").alias("candidates"))
 
@@ -801,3 +808,18 @@ def stress_by_k_all(spark, d):
 @query()
 def inventory_dangling_refs_all(spark, d):
     return inventory_dangling_refs(spark, d, whole=True)
+
+
+@query()
+def suite_semantic_ranking_all(spark, d):
+    return suite_semantic_ranking(spark, d, whole=True)
+
+
+@query()
+def suite_semantic_covered_all(spark, d):
+    return suite_semantic_covered(spark, d, whole=True)
+
+
+@query()
+def semantic_neighbors_topk_all(spark, d):
+    return semantic_neighbors_topk(spark, d, whole=True)
