@@ -278,3 +278,24 @@ def test_scores_do_not_depend_on_neighbours():
     texts = [lm_score.canonical(t) for t in texts]
     together = mixer.bits(texts)
     assert np.allclose(together, [mixer.bits([t])[0] for t in texts], rtol=1e-5)
+
+
+def test_context_tables_grow_with_the_corpus(spark, monkeypatch):
+    """Twice the training text, twice the slots, without an end; with them the score of what was learnt stays sharp."""
+    assert lm_score.slots_of(0) == lm_score.slots_of(lm_score.SLOT_BYTES << 19) == lm_score.SLOTS
+    assert [sum(lm_score.slots_of(lm_score.SLOT_BYTES << k)) // sum(lm_score.SLOTS) for k in (20, 21, 25, 30)] == [2, 4, 64, 2048]
+    monkeypatch.setattr(lm_score, "SLOTS", (1 << 11, 1 << 10, 1 << 10))
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(200))) for i in range(5)]
+    rows = [(8 * i + k, t) for i, t in rows for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bits = []
+    for each in (1 << 30, 1):
+        monkeypatch.setattr(lm_score, "SLOT_BYTES", each)
+        model = lm_score.Model(spark, docs)
+        assert len(model.tables.value) == 16 * sum(model.slots) and sum(model.slots) == 4096 * (1 if each > 1 else 32)
+        bits.append(sum(r.bits_per_byte for r in model.score(spark, docs, F.lit(False)).collect()) / 40)
+    assert bits[1] < 0.8 * bits[0]
+    c = lm_score.Counter(model.slots)
+    c.add([t.encode() for _, t in rows])
+    assert np.array_equal(model.tables.value, lm_score.log_odds(c.cells))
