@@ -181,15 +181,14 @@ def _folded(text: str) -> bytes:
 def training_sample(docs: DataFrame, per_language: int, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> tuple[list[str], list[bytes]]:
     """(labels, windows' texts) of a bounded sample: about ``per_language`` rows for each label, by a hash of the id."""
     named = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("string").alias("id"), F.col(label_column).alias("label"), F.col(text_column).alias("text"))
-    counts = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(200).collect()}
-    if not counts:
-        return [], []
     scale = 1 << 20
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(scale, -(-per_language * scale // n))))])
+    counts = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.select(F.col("label").alias("_label"), F.least(F.lit(scale), F.ceil(F.lit(per_language * scale) / F.col("n"))).alias("share"))
     mixed = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(scale))
     width = 2 * LENGTH
     place = F.lit(1) + F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(1)), F.greatest(F.lit(1).cast("long"), F.length("text").cast("long") - width))
-    rows = named.where(mixed < share[F.col("label")]).select("id", "label", F.substring("text", place.cast("int"), width).alias("text")).collect()
+    picked = named.withColumn("_mixed", mixed).join(F.broadcast(shares), F.col("label") == F.col("_label")).where("_mixed < share")  # one row for each label
+    rows = picked.select("id", "label", F.substring("text", place.cast("int"), width).alias("text")).collect()
     rows.sort(key=lambda r: (r["label"], r["id"] or "", r["text"]))
     return [r["label"] for r in rows], [_folded(r["text"]) for r in rows]
 

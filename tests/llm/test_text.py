@@ -85,6 +85,15 @@ def test_language_odd(odd_docs, no_docs, clashing):
     assert lang_id.keep_known(odd_docs, None).where("doc_id = 1").count() == 1
 
 
+def test_every_label_teaches(spark):
+    """Labels beyond the two hundred most frequent are in the sample, and about ``per_language`` rows of each."""
+    rows = [(1000 * k + i, f"text {k} {i}", f"l{k:03}") for k in range(230) for i in range(12 if k < 200 else 3)] + [(500_000 + i, f"much {i}", "big") for i in range(3000)]
+    labels, texts = lang_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    counts = Counter(labels)
+    assert set(counts) == {f"l{k:03}" for k in range(230)} | {"big"} and all(counts[f"l{k:03}"] == (12 if k < 200 else 3) for k in range(230))
+    assert 60 <= counts["big"] <= 140 and len(labels) == len(texts)
+
+
 # --- personal data ---------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
