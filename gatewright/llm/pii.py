@@ -1,7 +1,7 @@
 """Personal data by base patterns and bootstrapped contextual extraction.
 
-Method. The base patterns give seed entities. Every seed and every other token of a
-similar form (a *candidate*) has lexical contexts: the word before it, the two words
+Method. The base patterns give seed entities. Every seed and every other token or run of
+digit groups of a similar form (a *candidate*) has lexical contexts: the word before it, the two words
 before it, the words around it. Contexts and instances (distinct values) are the two
 sides of a graph that Spark scores iteratively: a context is worth the share of its
 instances that are believed to be of a kind, damped for small support; a candidate is
@@ -45,6 +45,11 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()<>[]{}"
 _LOOSE_IP = re.compile(r"[0-9]+(?:\.[0-9]+){2,}\Z")
 _LOOSE_NUMBER = re.compile(r"\+?[0-9().-]*\Z")
+_LONG_GROUP = re.compile("[0-9]{4}")
+#: What may lie between two groups of one number, beside the dots and dashes inside a token.
+_GAP = re.compile(r"\)?\x20+(?:-\x20+)?\(?\Z")
+#: Digits that make a number, and those of the longest card.
+LEAST_DIGITS, MOST_DIGITS = 7, 19
 
 
 def luhn(digits: str) -> bool:
@@ -83,8 +88,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """(start, end, form) of identifier-like tokens that no base span touches."""
-    out = []
+    """(start, end, form) of identifier-like tokens and runs of digit groups that no base span touches.
+
+    A run is one number: groups joined by the separators of the base patterns, up to and with a group
+    that has ``LEAST_DIGITS`` itself. A run of more than ``MOST_DIGITS`` is no number of a kind; its
+    tokens are taken each.
+    """
+    out: list[tuple[int, int, str]] = []
+    run: list[tuple[int, int, int]] = []  # start, end and digits of the groups so far
+
+    def close() -> None:
+        total = sum(n for _, _, n in run)
+        parts = [(run[0][0], run[-1][1], total)] if run and total <= MOST_DIGITS else run
+        for start, end, n in parts:
+            if n >= LEAST_DIGITS:
+                inside = text[start:end]
+                opened = start > 0 and text[start - 1] == "(" and inside.count(")") > inside.count("(")
+                out.append((start - opened, end, "number"))
+        run.clear()
+
     taken = sorted((s, e) for s, _, e in spans)
     k = 0
     for m in _TOKEN.finditer(text):
@@ -96,7 +118,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         digits = sum(c.isascii() and c.isdigit() for c in core) if "@" not in core else 0
         if "@" in core and 3 <= len(core) <= 200:
             form = "email"
-        elif digits >= 7 and _LOOSE_NUMBER.match(core) and not _LOOSE_IP.match(core):
+        elif digits and _LOOSE_NUMBER.match(core) and (not _LOOSE_IP.match(core) or digits >= LEAST_DIGITS and _LONG_GROUP.search(core)):
             form = "number"
         elif digits >= 3 and _LOOSE_IP.match(core):
             form = "ip"
@@ -106,9 +128,16 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         end = start + len(core)
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if not any(s < end and e > start for s, e in taken[k : k + 8]):
+        if any(s < end and e > start for s, e in taken[k : k + 8]):
+            continue
+        if form != "number":
             out.append((start, end, form))
-    return out
+            continue
+        if run and (run[-1][2] >= LEAST_DIGITS or core[0] == "+" or not _GAP.match(text[run[-1][1] : start])):
+            close()
+        run.append((start, end, digits))
+    close()
+    return sorted(out)
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:

@@ -141,6 +141,26 @@ def test_contexts_discover(spark):
     assert set(found) == {100} and (found[100][0].start, found[100][0].end) == (22, 33)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("dial 555 010 1234 now", ["555 010 1234"]), ("dial 030 123 4567.", ["030 123 4567"]), ("dial (212) 555-0134, please", ["(212) 555-0134"]), ("dial (212)555-0134", ["(212)555-0134"]), ("card 4111 1111 1111 1112 x", ["4111 1111 1111 1112"]),
+        ("dial 555.010.1234 now", ["555.010.1234"]), ("dial 555 - 010 - 1234", ["555 - 010 - 1234"]), ("dial 555-0199-22 5 times", ["555-0199-22"]), ("in 2019. 555 0199", ["555 0199"]), ("10 of 20 and 30, 4000 5", []), ("1 2 3 4", []), ("from 10.0.999.1 5", ["10.0.999.1"]),
+        ("rows 1234567 12345678 1234567", ["1234567", "12345678", "1234567"]), ("555 010\n1234", []), ("1111 " * 6, []), ("pay 4111 1111 1111 1111 now", []),
+    ],
+)
+def test_candidates_of_groups(text, found):
+    assert [text[s:e] for s, e, _ in pii.candidates(text, pii.base_spans(text))] == found
+
+
+def test_contexts_discover_groups(spark):
+    forms = ["555 010 1234", "030 123 4567", "(212) 555-0134", "4111 1111 1111 1112"]
+    rows = [(i, f"please dial extension +1 555 010 {1000 + i} today") for i in range(40)] + [(100 + i, f"please dial extension {f} today") for i, f in enumerate(forms)] + [(200, "serial 555 010 9999 is stamped")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in pii.redact(spark, docs).collect()}
+    assert all(texts[100 + i] == "please dial extension [PHONE] today" for i in range(len(forms))) and texts[200] == rows[-1][1]
+
+
 def test_redaction(spark, clashing, no_docs):
     out = pii.redact(spark, clashing)
     assert out.columns == clashing.columns and out.count() == clashing.count()
