@@ -8,8 +8,12 @@ that touch a merged symbol are looked up again.
 
 Texts are cut into segments, each a run of blanks and the following run of other
 bytes, across which no token of these tokenizers reaches. Segments are told apart
-by a 64-bit hash, encoded once for each batch of texts and remembered up to a bound,
+by their bytes, encoded once for each batch of texts and remembered up to a bound,
 so a text is a gather of the ids of its segments.
+
+Defined results: null texts are empty and have no ids; repeated rows and ids are each
+encoded; nothing is chosen among rows, so there are no ties; a very long text is worked
+on alone, whole; extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import _IS_BLANK, table, text_slices, trimmed, word_hashes
+from .common import Numbers, table, text_slices, trimmed
 
 #: White space of Unicode; the part outside ASCII makes a blank no safe place to cut.
 WIDE = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -201,14 +205,18 @@ class Words:
         return gather(ids, offsets, use), at
 
 
+#: A run of blanks and what follows up to the next, or blanks at the end of a text.
+_SEGMENT = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
 class TextEncoder:
-    """Ids of whole texts, by segments that are remembered by hash.
+    """Ids of whole texts, by segments that are remembered with their bytes.
 
     Callers hand over a few MB of text at a time, which bounds the working memory;
-    ``remember`` segments bound the memory of what was encoded before.
+    about ``remember`` bytes of segments bound the memory of what was encoded before.
     """
 
-    def __init__(self, path: str, pattern: str, folded: bool, remember: int = 700_000, library=None):
+    def __init__(self, path: str, pattern: str, folded: bool, remember: int = 64 << 20, library=None):
         self.merger = PairMerger(path)
         self.words = Words(self.merger, pattern, folded, library)
         self.blanks = not folded  # whether blanks are part of the tokens
@@ -216,70 +224,34 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.ids, self.offsets, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def _spans(self, buf: np.ndarray, at: np.ndarray, uncut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segments of all texts; each is a run of blanks, if they count, and what follows up to the next.
-
-        Text i is ``buf[at[i]:at[i+1]-1]``. Uncut texts are one segment each.
-        """
-        blank = _IS_BLANK[buf]
-        cut = np.zeros(len(buf) + 1, bool)
-        cut[1:-1] = blank[1:] & ~blank[:-1]
-        for i in uncut:
-            cut[at[i] : at[i + 1]] = False
-        cut[at] = True
-        stops = at[1:] - 1
-        starts = np.flatnonzero(cut[:-1])
-        ends = np.append(starts[1:], len(buf))
-        # the parting blank after a text is its last segment or the end of it
-        text_of = np.searchsorted(at, starts, "right") - 1
-        ends = np.minimum(ends, stops[text_of])
+        self.numbers, self.held = Numbers(), 0
+        self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _segments(self, text: bytes) -> list[bytes]:
         if not self.blanks:
-            lone = ~np.isin(text_of, uncut)
-            first = np.flatnonzero(lone & blank[np.minimum(starts, len(buf) - 1)])
-            # past the run of blanks that a segment begins with
-            solid = np.flatnonzero(~blank)
-            nxt = np.searchsorted(solid, starts[first])
-            starts = starts.copy()
-            starts[first] = np.where(nxt < len(solid), solid[np.minimum(nxt, max(len(solid) - 1, 0))] if len(solid) else len(buf), len(buf))
-        full = starts < ends
-        return starts[full], ends[full]
+            return text.split()
+        if not text.isascii() and _ODD_BLANK.search(text):  # such blanks join what they touch
+            return [text]
+        return _SEGMENT.findall(text)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat int32 ids of the texts and each text's offset in them."""
-        if not texts:
-            return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        lengths = np.array([len(t) for t in texts], np.int64) + 1
-        at = np.concatenate(([0], np.cumsum(lengths)))
-        whole = b"\n".join(texts) + b"\n"
-        buf = np.frombuffer(whole, np.uint8)
-        uncut = np.zeros(0, np.int64)
-        if self.blanks and not whole.isascii() and _ODD_BLANK.search(whole):
-            uncut = np.array([i for i, t in enumerate(texts) if _ODD_BLANK.search(t)], np.int64)
-        starts, ends = self._spans(buf, at, uncut)
-        hashes = word_hashes(buf, starts, ends, fold=False)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        known = np.searchsorted(self.hashes, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = known < len(self.hashes)
-        new[inside] = self.hashes[known[inside]] != distinct[inside]
-        if len(self.hashes) + new.sum() > self.remember:
+        if self.held > self.remember:
             self._forget()
-            new[:] = True
-        if new.any():
-            f = first[new]
-            ids, offsets = self.words.encode([whole[a:b].decode() for a, b in zip(starts[f].tolist(), ends[f].tolist())])
-            slots = len(self.offsets) - 1 + np.arange(len(f))
+        segments: list[bytes] = []
+        ends = [0]
+        for t in texts:
+            segments += self._segments(t)
+            ends.append(len(segments))
+        use = self.numbers.of(segments)
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        if fresh:
+            ids, offsets = self.words.encode([x.decode() for x in fresh])
             self.ids = np.concatenate((self.ids, ids))
             self.offsets = np.concatenate((self.offsets, self.offsets[-1] + offsets[1:]))
-            place = np.searchsorted(self.hashes, distinct[new])
-            self.hashes, self.slots = np.insert(self.hashes, place, distinct[new]), np.insert(self.slots, place, slots)
-        use = self.slots[np.searchsorted(self.hashes, distinct)][back]
-        counts = np.diff(self.offsets)[use]
-        total = np.concatenate(([0], np.cumsum(counts)))
-        out = total[np.searchsorted(starts, at)]
-        return gather(self.ids, self.offsets, use), out
+            self.held += sum(map(len, fresh)) + 150 * len(fresh)
+        total = np.concatenate(([0], np.cumsum(np.diff(self.offsets)[use])))
+        return gather(self.ids, self.offsets, use), total[np.array(ends)]
 
 
 #: The UTF-8 forms of the white space outside ASCII.

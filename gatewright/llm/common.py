@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -29,11 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    Read from ``spark.checkpoint.dir``; a temporary folder is set only where
-    the session has none, as in local tests.
+    Read from ``spark.checkpoint.dir``; a temporary folder is set only where the session has
+    none and its master is this machine alone, as in tests. On a cluster without the setting
+    this raises: a folder of one machine is not shared.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="gatewright-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -89,91 +95,64 @@ def crc_mod_py(doc_id: int | None, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
 
 
-# --- hashing of words in flat byte buffers -------------------------------------------------
+# --- words and their keys ------------------------------------------------------------------
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
+class Numbers(dict):
+    """Numbers of distinct byte strings in order of appearance; only equal bytes share a number."""
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer; a bijection, so it adds no collisions."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """The base's powers 0..n-1 (at least) and their inverses, as wrapping 64-bit integers."""
-    if len(_tables[0]) >= n:
-        return _tables
-    size = -(-n // 262144) * 262144
-    made = []
-    for base in (_BASE, _BASE_INV):
-        x = np.full(size, base, np.uint64)
-        x[0] = 1
-        made.append(np.multiply.accumulate(x))
-    if size <= 1 << 22:  # those of a very long text are not kept
-        _tables[:] = made
-    return made
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
 
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
 
-_IS_BLANK = np.zeros(256, bool)
-_IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_CODE_LOWER = _CODE[_LOWER]
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of non-blank bytes in ``buf``."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], _IS_BLANK[buf], [True]))))
-    return edge[::2], edge[1::2]
-
-
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hashes of the words by one rolling polynomial over the buffer; ``fold``: with A-Z lower-cased."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    total, inverses = prefix_sums(buf, fold)
-    return span_hashes(total, inverses, starts, ends)
+class WordKeys:
+    """Keys of words, 128 bits of keyed BLAKE2b: no form of words makes them collide.
 
+    Digests of the words seen so far are remembered up to about ``remember`` bytes.
+    """
 
-def prefix_sums(buf: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The rolling polynomial up to each position, and what takes a position out of it."""
-    powers, inverses = _powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_CODE_LOWER if fold else _CODE)[buf] * powers[: len(buf)], out=total[1:])
-    return total, inverses
+    KEY = b"gatewright words"
 
+    def __init__(self, remember: int = 32 << 20):
+        self.remember = remember
+        self._forget()
 
-def span_hashes(total: np.ndarray, inverses: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix64((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    def _forget(self) -> None:
+        self.numbers, self.held = Numbers(), 0
+        self.table = np.empty((1024, 2), np.uint64)
 
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """A row of two unsigned 64-bit integers for each word."""
+        if self.held > self.remember:
+            self._forget()
+        at = self.numbers.of(words)
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        if fresh:
+            made = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16, key=self.KEY).digest() for w in fresh]), np.uint64).reshape(-1, 2)
+            n = len(self.numbers)
+            if n > len(self.table):
+                self.table = np.concatenate((self.table[: n - len(fresh)], np.empty((2 * n - (n - len(fresh)), 2), np.uint64)))
+            self.table[n - len(fresh) : n] = made
+            self.held += sum(map(len, fresh)) + 150 * len(fresh)
+        return self.table[at]
 
-def flat_texts(column) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of an Arrow string column with a blank after each text, and each text's start.
 
-    Nulls are empty. The last entry of the starts is the length of the buffer.
-    """
-    texts = [(x.as_buffer() if x.is_valid else None) for x in column]
-    parts: list = []
-    at = np.zeros(len(texts) + 1, np.int64)
-    n = 0
-    for i, x in enumerate(texts):
-        if x is not None:
-            parts.append(x)
-            n += x.size
-        parts.append(b"\n")
-        n += 1
-        at[i + 1] = n
-    return np.frombuffer(b"".join(parts), np.uint8), at
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer; a bijection, so it adds no collisions."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def text_slices(batch, column: int = 1, limit: int = 1 << 20):

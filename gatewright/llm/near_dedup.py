@@ -5,7 +5,7 @@ things: bands, equal bands being how candidates meet, and an odd sketch, a bitma
 holds the parity of the samples hashed into each bit. The XOR of two sketches is the
 sketch of the samples in which they differ, so its population count estimates a high
 similarity precisely from a few words; it decides which candidates of a band are worth
-the exact check, which then compares the full sets.
+the exact check, which then compares the words of all shingles of both texts.
 
 Bands and rows are derived from the threshold so that a pair at the threshold is missed
 with a probability of at most about 1e-6, and the sketch bound lies five standard
@@ -13,40 +13,45 @@ deviations below the threshold.
 
 No bucket is expanded into all its pairs. Texts with equal sets are one class first.
 Then, in each bucket, every member meets only the smallest member (a star). Links that
-hold are merged into components. What is left are links
-between components. For them, sets that have any candidate meet by their rarest shingles
-(prefix and positional filters, which are exact), again members outside the largest
-component of a shingle against the members of other components. A pair within one component
-needs no test, so this loses no link between components of all sets that a band has seen. Components are found
+hold are merged into components. A bucket whose members are in one component needs no
+more. Sets of the other buckets meet by their rarest shingles (prefix and positional
+filters, which are exact; the order comes from exact counts among these sets), members
+outside the largest component of a shingle against the members of other components. A
+shingle that very many sets share is thus the last to bring sets together. This loses no
+link between components of sets that share a band. Components are found
 by alternating large and small stars, whose joins and aggregations by key Spark can
-split; nothing is collected.
+split; nothing but a bitmap of at most 32 MB is collected.
 
-Tables that later steps read several times are written once to the shared folder, so a
-lost executor costs tasks and no results.
+Shingles are keyed by sums of word keys (128 bits of keyed BLAKE2b), classes by a digest
+of the keys of the whole set. Tables that later steps read several times are written once
+to the shared folder, so a lost executor costs tasks and no results.
 
 Defined results: null or wordless texts have an empty set, link with nothing and stay;
-texts with fewer words than a shingle are one shingle of all their words; rows that
-repeat an id are one document for linking and all returned; null ids stay unlinked;
-extra columns are ignored by ``op5`` and kept by ``drop_near_copies``; an empty table
-gives an empty result.
+texts with fewer words than a shingle are one shingle of all their words; equal rows share
+their result and are all returned; rows that repeat an id with other texts are documents of
+their own that share a name: each is linked by its own text, and a component is named by
+the smallest id in it; null ids stay unlinked; very long texts are whole, alone in memory;
+extra columns are ignored by ``op5`` and kept by ``drop_near_copies``, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_folder, flat_texts, materialize, mix64, table, text_slices, trimmed, word_hashes, word_spans
+from .common import Numbers, WordKeys, drop_folder, materialize, mix64, table, text_slices, trimmed
 
 SKETCH_WORDS = 8  # of 64 bits
 SKETCH_BITS = 64 * SKETCH_WORDS
-FILTER_BITS = 1 << 25
-COUNT_CELLS = 1 << 22
+#: Bits of the bitmap of ids for each id, and its least and largest size.
+FILTER_LOAD, FILTER_LEAST, FILTER_MOST = 16, 1 << 20, 1 << 28
 
 
 def banding(percent: int, miss: float = 1e-6) -> tuple[int, int]:
@@ -67,27 +72,77 @@ def sketch_bound(percent: int, samples: int) -> int:
     return int(mean + 5 * (mean / 2) ** 0.5)
 
 
-def shingle_sets(buf: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text in a flat buffer (see ``flat_texts``)."""
-    starts, ends = word_spans(buf)
-    h = word_hashes(buf, starts, ends)
-    bounds = np.searchsorted(starts, at)
-    full = np.zeros(max(0, len(h) - words + 1), np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _summed(keys: np.ndarray, words: int) -> np.ndarray:
+    """Keys of the runs of ``words`` words, from the keys of the words."""
+    n = max(0, len(keys) - words + 1)
+    full = np.zeros(n, np.uint64)
     for j in range(words):
-        full += mix64(h[j : j + len(full)] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1)))
-    full = mix64(full)
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b - a >= words:
-            out.append(np.unique(full[a : b - words + 1]))
-        elif b > a:
-            part = np.zeros(1, np.uint64)
-            for j in range(b - a):
-                part += mix64(h[a + j : a + j + 1] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1)))
-            out.append(mix64(part + np.uint64(b - a)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+        full += mix64(keys[j : j + n] + _STEP * np.uint64(j + 1))
+    return mix64(full)
+
+
+class Shingles:
+    """The sets of texts: sorted keys of distinct shingles, and a second key of each."""
+
+    def __init__(self, words: int):
+        self.words, self.keys = words, WordKeys()
+
+    def of(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(keys, second keys) of each list of words; empty for no words."""
+        flat = self.keys([w for t in texts for w in t])
+        full = [_summed(np.ascontiguousarray(flat[:, c]), self.words) for c in (0, 1)]
+        out, at = [], 0
+        for t in texts:
+            n = len(t)
+            if n >= self.words:
+                part = slice(at, at + n - self.words + 1)
+                keys, first = np.unique(full[0][part], return_index=True)
+                out.append((keys, full[1][part][first]))
+            elif n:
+                out.append(tuple(mix64(_summed(np.ascontiguousarray(flat[at : at + n, c]), n) + np.uint64(n)) for c in (0, 1)))
+            else:
+                out.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+            at += n
+        return out
+
+
+def set_id(keys: np.ndarray, second: np.ndarray) -> bytes:
+    """A digest of a set."""
+    return hashlib.blake2b(keys.tobytes() + second.sum(dtype=np.uint64).tobytes() + np.bitwise_xor.reduce(mix64(second), initial=np.uint64(0)).tobytes(), digest_size=16).digest()
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def word_pair(left: bytes, right: bytes) -> list[np.ndarray]:
+    """The words of two canonical texts as numbers that only equal words share."""
+    numbers = Numbers()
+    return [numbers.of(t.split(b" ")) if t else np.zeros(0, np.int64) for t in (left, right)]
+
+
+def linked(left: bytes, right: bytes, words: int, percent: int) -> bool:
+    """Whether the shingle sets of two canonical texts reach the similarity, by the words themselves."""
+    a, b = word_pair(left, right)
+    if min(len(a), len(b)) < words:
+        return len(a) == len(b) > 0 and left == right
+    both = np.concatenate((a, b))
+    width = top = int(both.max()) + 1
+    full = both
+    for j in range(1, words):
+        if width * top >= 1 << 62:  # numbers in order of size take the place of the shingles so far
+            _, full = np.unique(full, return_inverse=True)
+            width = len(full)
+        full = full[:-1] * top + both[j:]
+        width *= top
+    x, y = np.unique(full[: len(a) - words + 1]), np.unique(full[len(a) :])
+    merged = np.concatenate((x, y))
+    merged.sort(kind="stable")
+    same = int((merged[1:] == merged[:-1]).sum())
+    return 100 * same >= percent * (len(merged) - same)
 
 
 class Sketcher:
@@ -122,106 +177,73 @@ class Sketcher:
         return band, sketch
 
 
-_SIGNED = "doc_id long, n_shingles long, set_key long, set_check long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)) + ", bands array<long>"
+_SIGNED = "doc_id long, text_key long, n_shingles long, set_id binary, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)) + ", bands array<long>"
+
+
+def _texts(column) -> list[bytes]:
+    """UTF-8 of each text; null is empty."""
+    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
 
 
 def _signer(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(bands, rows)
+        sketcher, shingles = Sketcher(bands, rows), Shingles(words)
         for b in batches:
-            for part in text_slices(b):
-                sets = shingle_sets(*flat_texts(part.column(1)), words)
-                n = np.array([len(s) for s in sets], np.int64)
-                key = np.array([np.bitwise_xor.reduce(mix64(s)) if len(s) else 0 for s in sets], np.uint64)
-                check = np.array([(mix64(s ^ np.uint64(0xD6E8FEB86659FD93))).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
+            for part in text_slices(b, 2):
+                sets = shingles.of([words_of(t) for t in _texts(part.column(2))])
+                n = np.array([len(s) for s, _ in sets], np.int64)
                 full = np.flatnonzero(n)
                 band = np.zeros((len(sets), bands), np.uint64)
                 sketch = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
                 if len(full):
-                    band[full], sketch[full] = sketcher.keys(np.stack([sketcher.samples(sets[i]) for i in full]))
+                    band[full], sketch[full] = sketcher.keys(np.stack([sketcher.samples(sets[i][0]) for i in full]))
                 offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[full].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(SKETCH_WORDS)), lists],
-                    names=["doc_id", "n_shingles", "set_key", "set_check", *(f"s{i}" for i in range(SKETCH_WORDS)), "bands"],
+                    [part.column(0), part.column(1), pa.array(n), pa.array([set_id(*s) for s in sets], pa.binary()), *(pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(SKETCH_WORDS)), lists],
+                    names=["doc_id", "text_key", "n_shingles", "set_id", *(f"s{i}" for i in range(SKETCH_WORDS)), "bands"],
                 )
 
     return trimmed(run)
 
 
 def _setter(words: int, bitmap: np.ndarray):
-    """(doc_id, hashes) of the rows of (doc_id, text, place) whose place is set in the bitmap."""
+    """(set_id, canonical text) of the rows of (place, text) whose place is set in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
         for b in batches:
-            place = b.column(2).to_numpy()
+            place = b.column(0).to_numpy()
             wanted = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
             for part in text_slices(b.take(pa.array(wanted))) if len(wanted) else ():
-                sets = shingle_sets(*flat_texts(part.column(1)), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "hashes"])
+                split = [words_of(t) for t in _texts(part.column(1))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(*s) for s in shingles.of(split)], pa.binary()), pa.array([b" ".join(w) for w in split], pa.binary())], names=["set_id", "words"])
 
     return trimmed(run)
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 22)).astype(np.int64)
-
-
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of a task's sets have a shingle in each cell, by parts of 65536 cells."""
-    total = np.zeros(COUNT_CELLS, np.int64)
-    for b in batches:
-        for x in b.column(0):
-            np.add.at(total, _cells(np.frombuffer(x.as_buffer(), np.uint64)), 1)
-    for part in range(0, COUNT_CELLS, 65536):
-        at = np.flatnonzero(total[part : part + 65536])
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part // 65536, np.int32)), pa.array(at + part), pa.array(total[part + at])], names=["part", "cell", "n"])
-
-
-def _prefixer(counts: np.ndarray, percent: int):
-    """The rarest shingles of each set, of which similar sets must share one: (id, n, bucket, place)."""
+def _spreader(words: int):
+    """(id, n, shingle) of the shingles of (id, canonical text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.slice(at, 500)
-                tokens, lengths, sizes = [], [], []
-                for x in part.column(1):
-                    s = np.frombuffer(x.as_buffer(), np.uint64)
-                    keep = len(s) - -(-percent * len(s) // 100) + 1
-                    order = np.lexsort((s, counts[_cells(s)]))[:keep]
-                    tokens.append(s[order])
-                    lengths.append(len(order))
-                    sizes.append(len(s))
-                place = np.concatenate([np.arange(k) for k in lengths])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part.column(0).to_numpy(), lengths)), pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(place.astype(np.int64))],
-                    names=["id", "n", "bucket", "place"],
-                )
+            for part in text_slices(b, 1):
+                sets = [s for s, _ in shingles.of([t.split() for t in _texts(part.column(1))])]
+                n = np.array([len(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "n", "shingle"])
 
-    return run
+    return trimmed(run)
 
 
-def _confirmer(percent: int):
+def _confirmer(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = []
-            last, left = None, None
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                if last is None or not x.equals(last):
-                    last, left = x, np.frombuffer(x.as_buffer(), np.uint64)
-                right = np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(left) + len(right)
-                merged = np.concatenate((left, right))
-                merged.sort(kind="stable")
-                same = int((merged[1:] == merged[:-1]).sum())
-                if 100 * same >= percent * (both - same):
-                    held.append(i)
+            held = [i for i, (x, y) in enumerate(zip(b.column(2), b.column(3))) if linked(x.as_py(), y.as_py(), words, percent)]
             if held:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(held)), b.column(1).take(pa.array(held))], names=["a", "b"])
 
-    return run
+    return trimmed(run)
 
 
 def components(spark: SparkSession, links: DataFrame, name: str = "components") -> DataFrame:
@@ -252,106 +274,131 @@ def components(spark: SparkSession, links: DataFrame, name: str = "components")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def text_key(column) -> F.Column:
+    return F.xxhash64(F.coalesce(column, F.lit("")))
+
+
 class NearCopies:
     """The steps of one run over ``docs``."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, words: int, percent: int, id_column: str = "doc_id", text_column: str = "text"):
         self.spark, self.words, self.percent = spark, words, percent
-        self.texts = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
+        self.texts = docs.select(docs[id_column].cast("long").alias("doc_id"), text_key(docs[text_column]).alias("text_key"), docs[text_column].alias("text"))
         bands, rows = banding(percent)
         self.bound = sketch_bound(percent, bands * rows)
         self.signed = materialize(spark, self.texts.mapInArrow(_signer(words, bands, rows), _SIGNED), "signed")
 
     def _close(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those whose sketches and sizes allow the threshold."""
-        left = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), *(F.col(f"s{i}").alias(f"l{i}") for i in range(SKETCH_WORDS)))
-        right = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"r{i}") for i in range(SKETCH_WORDS)))
+        left = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), *(F.col(f"s{i}").alias(f"l{i}") for i in range(SKETCH_WORDS)))
+        right = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"r{i}") for i in range(SKETCH_WORDS)))
         differ = sum((F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("l0").bitwiseXOR(F.col("r0"))))
         sizes = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
         return pairs.join(left, "a").join(right, "b").where(sizes & (differ <= self.bound)).select("a", "b")
 
-    def _sets(self, ids: DataFrame) -> DataFrame:
-        """(doc_id, hashes) of the given distinct ids.
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """(id, canonical text) of the given classes (id, set_id, least).
 
-        A bitmap of ``FILTER_BITS`` bits, whatever the number of ids, lets most other texts
-        go before their sets are computed; the join by id is exact.
+        A bitmap of their smallest ids lets most other texts go before their sets are computed
+        (its size follows their number up to ``FILTER_MOST`` bits); the join by set is exact.
         """
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-        marks = ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect()
-        bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+        bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_LOAD * wanted.count()).bit_length()))
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+        marks = wanted.select(F.pmod(F.xxhash64("least"), F.lit(bits)).alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect()
+        bitmap = np.zeros(bits // 8, np.uint8)
         for r in marks:
             bitmap[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-        texts = self.texts.where(F.col("doc_id").isNotNull()).select("doc_id", "text", place.alias("place"))
-        found = texts.mapInArrow(_setter(self.words, bitmap), "doc_id long, hashes binary")
-        return found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        found = self.texts.where(F.col("doc_id").isNotNull()).select(place.alias("place"), "text").mapInArrow(_setter(self.words, bitmap), "set_id binary, words binary")
+        return found.join(wanted.select("set_id", "id"), "set_id").select("id", "words").dropDuplicates(["id"])
 
     def _confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of the pairs (a, b), those that reach the threshold on full sets."""
-        left, right = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
-        return pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "hb").mapInArrow(trimmed(_confirmer(self.percent)), "a long, b long")
+        """Of the pairs (a, b), those that reach the threshold on the words of their shingles."""
+        left, right = sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
+        return pairs.join(right, "b").join(left, "a").select("a", "b", "wa", "wb").mapInArrow(_confirmer(self.words, self.percent), "a long, b long")
 
-    def _crossing(self, first: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different components that may reach the threshold, by their rarest shingles.
+    def _crossing(self, play: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs (a, b) of the sets in ``play`` (id, component) of different components that may reach the threshold.
 
         In any fixed order of all shingles, two sets that reach the threshold share one among the
         first n - ceil(t n) + 1 of each, and as many shingles as both have from the first shared one
-        on must be enough for the threshold. The order is by how many sets have a shingle (counted in
-        a table of fixed size, so collisions cost time and no pair), which keeps shingles that very
-        many sets share out of the prefixes of all sets but those closest to each other.
+        on must be enough for the threshold. The order is by how many sets in play have a shingle.
+        Shingles of one set alone come first and bring nothing together; only others are joined.
+        Sets whose sizes rule the threshold out are kept apart by classes of size in the join's key.
         """
-        tally = sets.select("hashes").mapInArrow(trimmed(_tally), "part int, cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros(COUNT_CELLS, np.int32)
-        counts[tally.column("cell").to_numpy()] = np.minimum(tally.column("n").to_numpy(), 2**31 - 1)
-        rows = sets.select("doc_id", "hashes").mapInArrow(trimmed(_prefixer(counts, self.percent)), "id long, n long, bucket long, place long")
-        placed = materialize(self.spark, rows.join(first, "id", "left").select("bucket", "id", "n", "place", F.coalesce("component", "id").alias("component")), "prefixes")
+        spread = materialize(self.spark, sets.join(play.select("id"), "id", "left_semi").select("id", "words").mapInArrow(_spreader(self.words), "id long, n long, shingle long"), "spread")
+        counts = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        order = Window.partitionBy("id").orderBy("times", "shingle")
+        # the sets' own shingles are the first n - (those shared) of the order
+        ranked = spread.join(counts, "shingle").select("id", "n", F.col("shingle").alias("bucket"), F.row_number().over(order).alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("id")).alias("common"))
+        first = F.col("n") - F.ceil(F.col("n") * self.percent / F.lit(100)) + 1
+        place = F.col("n") - F.col("common") + F.col("nth") - 1
+        kind = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / self.percent) * (1 + 1e-9))).cast("int")
+        rows = ranked.select("bucket", "id", "n", place.alias("place"), kind.alias("kind")).where(F.col("place") < first)
+        placed = materialize(self.spark, rows.join(play, "id"), "prefixes")
         several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         rest = placed.join(several, "bucket", "left_semi")
         largest = rest.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
         sided = rest.join(largest, "bucket")
-        strays = sided.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
-        others = sided.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("in_main"), F.col("n").alias("ny"), F.col("place").alias("py"))
+        strays = sided.where("component <> main").select("bucket", "kind", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+        near = F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1))
+        others = sided.select("bucket", near.alias("kind"), F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("in_main"), F.col("n").alias("ny"), F.col("place").alias("py"))
         enough = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + self.percent) >= self.percent * (F.col("nx") + F.col("ny"))
-        met = strays.join(others, "bucket").where((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & enough)
+        met = strays.join(others, ["bucket", "kind"]).where((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & enough)
         return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every row."""
+        """(doc_id, text_key, n_shingles, component_id) of every row."""
         spark = self.spark
         full = self.signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        classes = full.groupBy("set_key", "set_check", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"))
-        reps = materialize(spark, full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").drop("set_key", "set_check").dropDuplicates(["doc_id"]), "reps")
-        sketches = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *(f"s{i}" for i in range(SKETCH_WORDS)))
-        buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+        carried = [F.first("n_shingles").alias("n"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH_WORDS)), F.first("bands").alias("bands")]
+        # a class is numbered as it is written, so its number stays
+        classes = materialize(spark, full.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), *carried).withColumn("id", F.monotonically_increasing_id()), "classes")
+        sketches = classes.select("id", "n", *(f"s{i}" for i in range(SKETCH_WORDS)))
+        buckets = classes.select("id", F.explode("bands").alias("bucket"))
         shared = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
         members = materialize(spark, buckets.join(shared.select("bucket", "hub"), "bucket"), "members")
-        sets = materialize(spark, self._sets(members.select(F.col("id").alias("doc_id")).distinct()), "sets")
+        wanted = classes.select("id", "set_id", "least").join(members.select("id").distinct(), "id", "left_semi")
+        sets = materialize(spark, self._sets(wanted), "sets")
         stars = materialize(spark, self._close(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sketches), "stars")
         links = materialize(spark, self._confirmed(stars, sets), "links")
         first = components(spark, links, "first")
-        late = self._close(self._crossing(first, sets), sketches).join(stars, ["a", "b"], "left_anti")
+        named = members.join(first, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        play = materialize(spark, named.join(mixed, "bucket", "left_semi").select("id", "component").distinct(), "play")
+        late = self._close(self._crossing(play, sets), sketches).join(stars, ["a", "b"], "left_anti")
         more = self._confirmed(materialize(spark, late, "late"), sets)
-        joined = more.join(first.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left").join(first.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left")
-        bridges = materialize(spark, joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "bridges")
+        joined = more.join(play.withColumnsRenamed({"id": "a", "component": "ca"}), "a").join(play.withColumnsRenamed({"id": "b", "component": "cb"}), "b")
+        bridges = materialize(spark, joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "bridges")
         final = components(spark, bridges, "final").select(F.col("id").alias("component"), F.col("component").alias("top"))
-        placed_reps = classes.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(final, "component", "left")
-        # equal sets are one class; a component is named by its smallest id
+        topped = first.join(final, "component", "left").select("id", F.coalesce("top", "component").alias("top"))
+        lone = final.select(F.col("component").alias("id"), "top").join(first, "id", "left_anti")
+        # the smallest number of a component is in no row of its own
+        topped = topped.unionByName(lone)
+        tops = materialize(spark, topped.unionByName(topped.select(F.col("top").alias("id"), "top").distinct()), "tops")
+        linked_classes = classes.select("id", "set_id", "least").join(tops, "id")
+        least = linked_classes.groupBy("top").agg(F.min("least").alias("component_id"))
+        several = classes.where("rows > 1").join(tops, "id", "left_anti")
         # written, so that the join with all rows has plain exchanges on both sides and hot sets are split
-        named = materialize(spark, placed_reps.select("set_key", "set_check", "n", F.coalesce("top", "component").alias("component_id")), "named")
-        out = self.signed.select("doc_id", "n_shingles", "set_key", "set_check")
-        joined = out.join(named.withColumnsRenamed({"set_key": "_k", "set_check": "_c"}), (F.col("set_key") == F.col("_k")) & (F.col("set_check") == F.col("_c")) & (F.col("n_shingles") == F.col("n")) & F.col("doc_id").isNotNull(), "left")
-        return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        of_set = linked_classes.join(least, "top").select(F.col("set_id").alias("_set"), "component_id").unionByName(several.select(F.col("set_id").alias("_set"), F.col("least").alias("component_id")))
+        of_set = materialize(spark, of_set, "named")
+        out = self.signed.select("doc_id", "text_key", "n_shingles", "set_id")
+        placed = out.join(of_set, (F.col("set_id") == F.col("_set")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
+        return placed.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    return NearCopies(spark, docs, words, percent, id_column, text_column).run()
+    return NearCopies(spark, docs, words, percent, id_column, text_column).run().drop("text_key")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near copies, that with the smallest id; all columns stay."""
-    found = near_copies(spark, docs, words, percent, id_column, text_column)
+    """``docs`` without the rows whose component has a smaller id; all columns stay.
+
+    A row goes by its id and text, so of rows that share an id only those that are copies go.
+    """
+    found = NearCopies(spark, docs, words, percent, id_column, text_column).run()
     # written, so that its size is known and texts are shuffled only if the ids are too many to broadcast
-    gone = materialize(spark, found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_column].cast("long") == gone["_gone"], "left_anti")
+    gone = materialize(spark, found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("text_key").alias("b")).distinct(), "gone")
+    return docs.join(gone, (docs[id_column].cast("long") == gone["a"]) & (text_key(docs[text_column]) == gone["b"]), "left_anti")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,12 @@ def prose(k: int, n: int = 60) -> str:
     return " ".join(WORDS[(i * 7 + k * (1 + i // 9)) % len(WORDS)] + ("x" * ((i + k) % 3)) + str(k % 5 if i % 11 == 0 else "").replace("0", "") for i in range(n))
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters (a power of two) that a polynomial modulo a power of two cannot tell apart, whatever its base."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls, empty and blank texts, copies, near copies, ties, repeated rows, a very long text, odd characters."""

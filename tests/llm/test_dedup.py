@@ -10,6 +10,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import thue_morse
 from gatewright.llm import exact_dedup as E
 from gatewright.llm import near_dedup as N
 
@@ -109,6 +110,61 @@ def test_near_chains(spark, words, percent):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_near_tells_words_apart(spark):
+    """Texts of words that a polynomial hash confuses share no shingle and are not linked."""
+    pairs = [thue_morse(n) for n in (1024, 2048, 4096, 8192)]
+    rows = [(k, " ".join(p[k] for p in pairs)) for k in (0, 1)] + [(2, "a b c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.near_copies(spark, docs, 3, 85).collect()} == {0: 0, 1: 1, 2: 2}
+    x, y = (t.encode() for _, t in rows[:2])
+    assert not N.linked(x, y, 3, 85) and N.linked(x, x, 3, 85)
+
+
+def test_linked_is_the_similarity_of_words():
+    rng = random.Random(8)
+    for _ in range(300):
+        a = [f"w{rng.randrange(6)}" for _ in range(rng.randrange(0, 14))]
+        b = list(a) if rng.random() < 0.7 else [f"w{rng.randrange(6)}" for _ in range(rng.randrange(0, 14))]
+        for _ in range(rng.randrange(3)):
+            if b:
+                b[rng.randrange(len(b))] = f"w{rng.randrange(7)}"
+        for words, percent in ((3, 85), (5, 50), (1, 40), (30, 80)):
+            x, y = sets_of(" ".join(a), words), sets_of(" ".join(b), words)
+            want = bool(x) and bool(y) and 100 * len(x & y) >= percent * len(x | y)
+            assert N.linked(" ".join(a).encode(), " ".join(b).encode(), words, percent) == want
+
+
+def test_near_with_repeated_ids(spark):
+    """Rows that share an id are linked each by its own text; a component is named by the smallest id in it."""
+    w = [f"w{i}" for i in range(100)]
+    near = [*w[:-1], "other"]
+    apart = [f"z{i}" for i in range(100)]
+    rows = [(1, " ".join(w)), (7, " ".join(near)), (7, " ".join(apart)), (7, " ".join(near)), (9, " ".join([*apart[:-1], "q"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in N.near_copies(spark, docs, 3, 85).collect()) == [(1, 1), (7, 1), (7, 1), (7, 7), (9, 7)]
+    assert sorted(r.text for r in N.drop_near_copies(spark, docs, 3, 85).collect()) == sorted([rows[0][1], rows[2][1]])
+
+
+def test_common_shingles_bring_few_together(spark):
+    """Sets that differ but for a passage that all share, with some near copies among them, meet in few pairs."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(400):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(15)]
+        rows.append((2 * i, " ".join(passage + own)))
+        if i % 20 == 0:
+            rows.append((2 * i + 1, " ".join([*passage, *own[:-1], "x"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    steps = N.NearCopies(spark, docs, 3, 85)
+    pairs = []
+    crossing = steps._crossing
+    steps._crossing = lambda play, sets: pairs.append(crossing(play, sets)) or pairs[0]
+    found = {r.doc_id: r.component_id for r in steps.run().collect()}
+    assert {i: c for i, c in found.items() if i != c} == {2 * i + 1: 2 * i for i in range(0, 400, 20)}
+    assert pairs[0].count() < 4 * len(rows)
+
+
 def test_near_on_nothing(spark, no_docs):
     assert N.near_copies(spark, no_docs).count() == 0
     assert N.drop_near_copies(spark, no_docs).count() == 0

@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from conftest import thue_morse
 from gatewright.llm import bpe, lang_id, lm_score, packing, pii
 
 P = pytest.importorskip("public_tokenizers")
@@ -182,6 +183,25 @@ def test_encoder_equals_library(name, kind, odd_docs):
             assert flat[at[i] : at[i + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t[:80])
 
 
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "word_end")])
+def test_encoder_tells_bytes_apart(name, kind):
+    encoder, lib = bpe.text_encoder(P.path(name), kind), library(name)
+    texts = [*thue_morse(1024), *thue_morse(4096), "x " + " ".join(thue_morse(2048))]
+    flat, at = encoder.encode([t.encode() for t in texts])
+    assert [flat[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_forgets(odd_docs):
+    """With next to no memory results are the same, and the memory stays small."""
+    texts = [(r.text or "").encode() for r in odd_docs.collect()]
+    small, large = (bpe.TextEncoder(P.path("byte_bpe_50k.json"), bpe.BYTE_LEVEL, False, k) for k in (100, 64 << 20))
+    for t in texts * 2:
+        assert small.encode([t])[0].tolist() == large.encode([t])[0].tolist()
+    small.encode([b"a"])
+    small.encode([b"b"])
+    assert len(small.numbers) <= 2
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\t'sé.,1 \x1cX<|>", max_size=30), max_size=6))
 def test_byte_level_property(texts):
@@ -269,6 +289,14 @@ def test_scores(spark, odd_docs, no_docs, write):
     assert lm_score.op8_lm_score(spark, write(documents=no_docs)).count() == 0
 
 
+def test_tokens_are_told_apart(spark):
+    """Of two words that a polynomial hash confuses, only the one in the training texts is known."""
+    x, y = thue_morse(2048)
+    docs = spark.createDataFrame([(1, x), (2, y), (3, f"{x} {y}")], "doc_id long, text string")
+    model = lm_score.Model(spark, docs.where("doc_id = 1"))
+    assert {r.doc_id: (r.n_tokens, r.n_known) for r in model.score(spark, docs, F.lit(False)).collect()} == {1: (2, 2), 2: (2, 1), 3: (3, 2)}
+
+
 def test_rare_tokens_meet_their_counts(spark, odd_docs):
     """With few hot tokens, most counts come from the join; results are the same."""
     held = lm_score.crc_mod("doc_id", 7) == 2
