@@ -86,6 +86,14 @@ def _sweep() -> None:
             _delete(spark, os.path.dirname(path))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column has it (names are told apart without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of the id as decimal text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

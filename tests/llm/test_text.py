@@ -151,7 +151,7 @@ def test_contexts_discover(spark):
     ],
 )
 def test_candidates_of_groups(text, found):
-    assert [text[s:e] for s, e, _ in pii.candidates(text, pii.base_spans(text))] == found
+    assert [text[s:e] for s, e, *_ in pii.candidates(text, pii.base_spans(text))] == found
 
 
 def test_contexts_discover_groups(spark):
@@ -162,6 +162,92 @@ def test_contexts_discover_groups(spark):
     assert all(texts[100 + i] == "please dial extension [PHONE] today" for i in range(len(forms))) and texts[200] == rows[-1][1]
 
 
+@pytest.mark.parametrize("text", ["1" * 10_000_000, "1." * 100_000, "1-" * 3_000_000 + "x", "+1" + "(" * 5_000_000, "a@" * 2_000_000, "x" * 5_000_000 + " 1.2.3.4 " + "y" * 5_000_000, "+" * 5_000_000, "a1" * 3_000_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    pii._scan_text(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_contexts_have_whole_words():
+    long, other = "k" * 200, "k" * 199 + "z"
+    of = lambda w: pii.contexts(f"the {w} 1.2.3.4 {w} x", len(w) + 5, len(w) + 12)
+    assert of("short") == ["1 short", "2 the short", "3 short _ short"] and of(long) != of(other) and of(long) == of(long)
+    assert of("k" * 257) == of("k" * 300) == ["1 #", "3 # _ #"]
+    assert pii.contexts("1.2.3.4", 0, 7) == [] and pii.contexts("  a 1.2.3.4", 4, 11) == ["1 a"]
+
+
+def brute_discoveries(occurrences, support=3, bound=0.8):
+    """Places that confident contexts mark, by loops over all instances; an occurrence is (place, form, kind, value, contexts)."""
+    instances = defaultdict(dict)
+    for _, form, kind, value, patterns in occurrences:
+        for p in patterns:
+            for k in pii.ALL_KINDS:
+                if pii.FORM_OF[k] == form:
+                    instances[p, k][value] = max(instances[p, k].get(value, 0), kind == k)
+    belief: dict = {}
+    while True:
+        good = {}
+        for (p, k), values in instances.items():
+            score = round(sum(max(seed, belief.get((v, k), 0)) for v, seed in values.items()) / (len(values) + 1), 6)
+            if len(values) >= support and score >= bound:
+                good[p, k] = score
+        new: dict = {}
+        for (p, k), score in good.items():
+            for v, seed in instances[p, k].items():
+                if not seed:
+                    new[v, k] = max(score, new.get((v, k), 0))
+        if new == belief:
+            break
+        belief = new
+    best = {}
+    for (v, k), score in belief.items():
+        if score >= bound:
+            best[v] = max(best.get(v, (0, "")), (score, k))
+    return {(place, best[v][1]) for place, _, kind, v, patterns in occurrences if kind is None and v in best and any((p, best[v][1]) in good for p in patterns)}
+
+
+def test_discoveries_equal_brute_force(spark):
+    """Chains of contexts that need several rounds, shared values, kinds that compete for a form."""
+    rng = np.random.default_rng(6)
+    rows, listed = [], []
+    for i in range(700):
+        stage = int(rng.integers(0, 6))
+        seeded = rng.random() < (0.97, 0.4, 0.1, 0.0, 0.9, 0.5)[stage]
+        form = ("number", "ip", "email")[int(rng.integers(0, 3))]
+        kind = {"number": ("card", "phone")[stage % 2], "ip": "ip", "email": "email"}[form] if seeded else None
+        value = int(rng.integers(0, 60)) + 100 * stage * int(rng.random() < 0.8)
+        patterns = [f"1 w{stage}", f"2 v{stage} w{int(rng.integers(0, 3))}"] + ([f"1 w{stage - 1}"] if stage and rng.random() < 0.5 else [])
+        rows.append((i, i, [(i, i + 5, form, kind, value, patterns)]))
+        listed.append((i, form, kind, value, patterns))
+    schema = "doc_id long, text_key long, occurrences array<struct<start:int,end:int,form:string,kind:string,value:long,contexts:array<string>>>"
+    found = {(r.doc_id, r.kind) for r in pii.discover(spark, spark.createDataFrame(rows, schema)).collect()}
+    want = brute_discoveries(listed)
+    assert found == want and len(want) > 20
+
+
+def test_secrets(spark, write):
+    """Long keys are seeds; where they usually stand, a short password is found, too, and nothing elsewhere."""
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'so token = "{key(i)}" stays') for i in range(20)] + [(50, 'so token = "hunter2-x" stays'), (51, "version = 1.2.3-rc4 of 12 things"), (52, "wordswithoutdigitsbutverylongandstill" * 2), (53, "Note: 24 words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.op10_pii(spark, write(documents=docs)).collect()}
+    assert {i for i, r in found.items() if r.n_secret} == {*range(20), 50} and all(r.spans == "" for r in found.values())
+    assert found[3].secrets == "secret:12:52" and found[50].secrets == "secret:12:21" and found[50].n_spans == 1
+    texts = {r.doc_id: r.text for r in pii.redact(spark, docs).collect()}
+    assert texts[50] == texts[3] == 'so token = "[SECRET]" stays' and all(texts[i] == t for i, t in rows if i > 50)
+
+
+def test_redaction_sets_lengths(spark, odd_docs):
+    out = pii.redact(spark, odd_docs, length_column="n_chars").where("doc_id = 14").first()
+    assert out.n_chars == len(out.text)
+    assert pii.redact(spark, odd_docs).where("doc_id = 14").first().n_chars != len(out.text)
+    named = odd_docs.withColumn("n_chars", F.lit("many")).withColumn("_pii_more", F.lit(1)).withColumn("PII_key", F.lit(2)).withColumn("more", F.lit(3))
+    assert pii.redact(spark, named, length_column="n_chars").where("doc_id = 14").select("n_chars", "_pii_more", "PII_key", "more").first() == ("many", 1, 2, 3)
+
+
 def test_redaction(spark, clashing, no_docs):
     out = pii.redact(spark, clashing)
     assert out.columns == clashing.columns and out.count() == clashing.count()
