@@ -17,8 +17,9 @@ between stages move only through Spark exchanges.
 Defined results: null text counts as empty; texts are equal when identical after
 each run of blanks became one space; ids that are null are dropped last (a null
 id never represents a group that has another); rows that repeat an id are all
-returned and counted; extra columns are ignored by ``op1`` and kept by
-``drop_copies``; an empty table gives an empty result.
+returned and counted; very long texts are whole, alone in memory; extra columns are
+ignored by ``op1`` and kept by ``drop_copies``, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -132,7 +133,8 @@ def grace_groups(records: Iterable[tuple[int, bytes, int, int, int]], budget: in
     """
     own = folder is None
     if own:
-        top = (os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()).split(",")[0]
+        tops = (os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()).split(",")
+        top = tops[os.getpid() % len(tops)]  # workers share all disks
         os.makedirs(top, exist_ok=True)
         folder = tempfile.mkdtemp(prefix="grace-", dir=top)
     try:
@@ -209,40 +211,44 @@ def copy_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
 
 
-def _marked(docs: DataFrame, groups: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    named = docs.withColumn("text_sha256", F.sha2(normalised(text_column), 256))
-    joined = named.join(groups.withColumnRenamed("text_sha256", "_digest"), named["text_sha256"] == F.col("_digest"), "left").drop("_digest")
-    keep = F.coalesce(F.col("keep_id"), F.col(id_column).cast("long"))
-    return joined.withColumn("keep_id", keep).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_column).cast("long")))
+def _marked(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (row, id, text_sha256) with those of their group: keep_id, group_size, ties, kept."""
+    joined = rows.join(groups.withColumnRenamed("text_sha256", "digest"), F.col("text_sha256") == F.col("digest"), "left").drop("digest")
+    joined = joined.withColumns({"keep_id": F.coalesce("keep_id", "id"), "group_size": F.coalesce("group_size", F.lit(1).cast("long")), "ties": F.coalesce("ties", F.lit(1).cast("long"))})
+    return joined.withColumn("kept", F.col("keep_id").eqNullSafe(F.col("id")))
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """All columns of a row in one struct, so that names of results cannot clash with them."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_column].cast("long").alias("id"), F.sha2(normalised(text_column), 256).alias("text_sha256"))
 
 
 def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", budget: int = 48 << 20) -> DataFrame:
-    """``docs`` and the columns text_sha256, keep_id, group_size and kept.
+    """``docs`` and the columns text_sha256, keep_id, group_size and kept, which take the place of any of these names.
 
     The join with the groups is an equi-join by digest, of which Spark splits hot
     keys (only groups of two or more are on its other side).
     """
-    return _marked(docs, copy_groups(docs, id_column, text_column, budget).drop("ties"), id_column, text_column)
+    marks = ("text_sha256", "keep_id", "group_size", "kept")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in marks]
+    return _marked(_rows(docs, id_column, text_column), copy_groups(docs, id_column, text_column, budget)).select(*own, *marks)
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", budget: int = 48 << 20) -> DataFrame:
     """``docs`` without the rows whose text another row with a smaller id has; all columns stay.
 
-    Rows that repeat both id and text cannot be told apart by id; one of them stays. Such
-    groups are known after the first pass, and only if there are any is there a second one.
+    Rows that repeat both id and text cannot be told apart by id; of these the one stays whose
+    JSON form has the smallest hash. Such groups are known after the first pass, and only if
+    there are any is there a second one.
     """
-    own = {"_text_sha256": "text_sha256", "_keep_id": "keep_id", "_group_size": "group_size", "_kept": "kept", "_ties": "ties"}
-    extra = {c: f"_own_{c}" for c in own.values() if c in docs.columns}
-    back = {v: k for k, v in extra.items()}
-    renamed = docs.withColumnsRenamed(extra)
-    groups = materialize(docs.sparkSession, copy_groups(renamed, id_column, text_column, budget), "copies")
-    kept = _marked(renamed, groups, id_column, text_column).where("kept")
-    out = kept.where(F.coalesce("ties", F.lit(1)) == 1)
+    groups = materialize(docs.sparkSession, copy_groups(docs, id_column, text_column, budget), "copies")
+    rows = _rows(docs, id_column, text_column)
+    out = _marked(rows, groups).where(F.col("kept") & (F.col("ties") == 1)).select("row")
     tied = groups.where("ties > 1")
     if tied.limit(1).count():
-        repeated = _marked(renamed, tied, id_column, text_column).where(F.col("kept") & (F.col("ties") > 1))
-        out = out.unionByName(repeated.dropDuplicates([id_column, "text_sha256"]))
-    return out.drop(*own.values()).withColumnsRenamed(back).select(docs.columns)
+        repeated = _marked(rows, tied).where(F.col("kept") & (F.col("ties") > 1))
+        out = out.unionByName(repeated.groupBy("text_sha256").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,17 @@ For prediction, embedding and filters are folded into tables over byte pairs: th
 response of a filter of width w is the sum of w/2 table rows, which is the same
 convolution with fewer operations.
 
-Training reads a bounded sample: at most about ``per_language`` rows for each label,
-chosen by a hash of their ids among the labelled rows, one random window each. The
-network (a few thousand weights) is all that is sent to the executors; prediction is
-map-only.
-
-Defined results: a null text or one without a letter is ``und`` with score 0; rows
-without label teach nothing; with no labelled row at all every text is ``und``; other
-columns are ignored; an empty table gives no row.
+Training reads a bounded sample: about ``per_language`` distinct texts for each label,
+chosen by a hash of the text among the labelled rows, one window each, and raises if there
+are more than ``most_labels`` labels. The network (a few thousand weights) is all that is
+sent to the executors; prediction is map-only.
+
+Defined results: a null text or one without a letter is ``und`` with score 0; of equal mean
+probabilities the first label by name is taken; equal texts have equal results, so repeated
+rows and ids do; very long texts are whole, in windows; rows without label teach nothing; a
+text with several labels teaches each; with no labelled row at all every text is ``und``;
+other columns are ignored by ``op2`` and kept by ``keep_known``, whatever their names; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -150,6 +153,10 @@ class Predictor:
 
     def texts(self, texts: list[bytes], chunk: int = 128) -> np.ndarray:
         """Mean window probabilities of each text, weighted by the bytes in each window."""
+        return self.judged(texts, 1.0, chunk)[0]
+
+    def judged(self, texts: list[bytes], sure: float, chunk: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Mean window probabilities of each text, and the share of its windows (both weighted by bytes) with a class at or above ``sure``."""
         buf = np.frombuffer(b"".join(texts) + bytes(LENGTH), np.uint8)
         at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         starts, ends, of = [], [], []
@@ -160,7 +167,7 @@ class Predictor:
             of += [i] * len(s)
         starts, ends, of = np.array(starts, np.int64), np.array(ends, np.int64), np.array(of)
         total = np.zeros((len(texts), len(self.net.classes)))
-        weight = np.zeros(len(texts))
+        weight, certain = np.zeros(len(texts)), np.zeros(len(texts))
         steps = np.arange(LENGTH)[:, None]
         for a in range(0, len(starts), chunk):
             s, e = starts[a : a + chunk], ends[a : a + chunk]
@@ -169,27 +176,37 @@ class Predictor:
             # no window is longer than what its text has; a few bytes are enough for the widest filter
             used = int(max(max(WIDTHS), min(LENGTH, (e - s).max())))
             size = np.minimum(e - s, LENGTH).astype(float) + 1e-9
-            np.add.at(total, of[a : a + chunk], self.windows(x[:used]) * size[:, None])
+            p = self.windows(x[:used])
+            np.add.at(total, of[a : a + chunk], p * size[:, None])
             np.add.at(weight, of[a : a + chunk], size)
-        return total / weight[:, None]
+            np.add.at(certain, of[a : a + chunk], size * (p.max(1) >= sure))
+        return total / weight[:, None], certain / weight
 
 
 def _folded(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def training_sample(docs: DataFrame, per_language: int, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> tuple[list[str], list[bytes]]:
-    """(labels, windows' texts) of a bounded sample: about ``per_language`` rows for each label, by a hash of the id."""
-    named = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("string").alias("id"), F.col(label_column).alias("label"), F.col(text_column).alias("text"))
+def training_sample(docs: DataFrame, per_language: int, text_column: str = "text", label_column: str = "lang", most_labels: int = 1000) -> tuple[list[str], list[bytes]]:
+    """(labels, windows' texts) of a bounded sample: about ``per_language`` distinct texts for each label, by a hash of the text.
+
+    However often a text or an id repeats, a text counts once for a label, so the sample's size is
+    about ``per_language`` times the number of labels, which must not be above ``most_labels``.
+    """
+    named = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(label_column).cast("string").alias("label"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("key"))
     scale = 1 << 20
-    counts = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    shares = counts.select(F.col("label").alias("_label"), F.least(F.lit(scale), F.ceil(F.lit(per_language * scale) / F.col("n"))).alias("share"))
-    mixed = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(scale))
+    counts = named.select("label", "key").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
+        raise ValueError(f"there are more than {most_labels} labels to learn")
+    shares = {r["label"]: min(scale, -(-per_language * scale // r["n"])) for r in counts}
+    if not shares:
+        return [], []
+    share = F.element_at(F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))]), F.col("label"))
     width = 2 * LENGTH
-    place = F.lit(1) + F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(1)), F.greatest(F.lit(1).cast("long"), F.length("text").cast("long") - width))
-    picked = named.withColumn("_mixed", mixed).join(F.broadcast(shares), F.col("label") == F.col("_label")).where("_mixed < share")  # one row for each label
-    rows = picked.select("id", "label", F.substring("text", place.cast("int"), width).alias("text")).collect()
-    rows.sort(key=lambda r: (r["label"], r["id"] or "", r["text"]))
+    place = F.lit(1) + F.pmod(F.xxhash64("key", F.lit(1)), F.greatest(F.lit(1).cast("long"), F.length("text").cast("long") - width))
+    picked = named.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(scale)) < share).select("label", "key", F.substring("text", place.cast("int"), width).alias("text"))
+    rows = picked.groupBy("label", "key").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["label"], r["key"]))
     return [r["label"] for r in rows], [_folded(r["text"]) for r in rows]
 
 
@@ -234,7 +251,7 @@ def _labeller(net: ByteCNN | None):
 
 def fit(docs: DataFrame, per_language: int = 1500, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> ByteCNN | None:
     """Learn from the labelled rows that are not held out (crc32 of the id modulo 4 is not 2)."""
-    return train(*training_sample(docs.where(crc_mod(id_column, 4) != 2), per_language, id_column, text_column, label_column))
+    return train(*training_sample(docs.where(crc_mod(id_column, 4) != 2), per_language, text_column, label_column))
 
 
 def predict(docs: DataFrame, net: ByteCNN | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -242,23 +259,30 @@ def predict(docs: DataFrame, net: ByteCNN | None, id_column: str = "doc_id", tex
     return docs.select(docs[id_column].cast("long").alias("doc_id"), (crc_mod(id_column, 4) == 2).alias("held_out"), docs[text_column].alias("text")).mapInArrow(_labeller(net), SCHEMA)
 
 
-def keep_known(docs: DataFrame, net: ByteCNN | None, least: float = 0.35, text_column: str = "text") -> DataFrame:
+def sure_bound(classes: int, margin: float = 0.2) -> float:
+    """The probability from which a window's class is sure: chance and a share ``margin`` of the way from there to certainty."""
+    return 1 / classes + margin * (1 - 1 / classes)
+
+
+def keep_known(docs: DataFrame, net: ByteCNN | None, margin: float = 0.2, share: float = 0.5, text_column: str = "text") -> DataFrame:
     """``docs`` without the rows whose text has no letter or no language that the network is sure of; map-only.
 
-    Without a trained network (no labelled row) only texts without a letter go.
+    A text stays if windows with at least ``share`` of its bytes have a class that is sure (see
+    ``sure_bound``), so a text in several languages stays, whatever the number of labels. Without
+    a trained network (no labelled row), or with a single label, only texts without a letter go.
     """
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(net) if net is not None else None
+        predictor = Predictor(net) if net is not None and len(net.classes) > 1 else None
         for batch in batches:
             for b in text_slices(batch, at, 2 << 20):
                 texts = b.column(at).to_pylist()
-                if predictor:
-                    keep = [lang != "und" and score >= least for lang, score in _predictions(predictor, texts)]
-                else:
-                    keep = [bool(t) and _LETTER.search(t) is not None for t in texts]
-                yield b.filter(pa.array(keep, pa.bool_()))
+                keep = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool)
+                if predictor and keep.any():
+                    spoken = np.flatnonzero(keep)
+                    keep[spoken] = predictor.judged([_folded(texts[i]) for i in spoken], sure_bound(len(net.classes), margin))[1] >= share
+                yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(trimmed(run), docs.schema)
 

@@ -12,7 +12,9 @@ a clip with its times.
 
 Defined results: a null text is empty and is stored as one zero line; equal payloads give
 equal files; files with wrong lengths or without frames raise ``ValueError``; repeated rows
-are each returned; extra columns are ignored; an empty table gives no row.
+and ids are each returned, and nothing is chosen among them, so there are no ties; a very long
+text is whole, one file alone in memory; extra columns are ignored, whatever their names; an
+empty table gives no row.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ left is cut into pieces of at most ``piece`` tokens, which keeps the imbalance t
 differencing leaves far below a window.
 
 Defined results: null text counts as empty; an empty document is the end token
-alone; repeated ids and equal rows are packed as they come; extra columns are
-ignored; an empty table gives no sequence.
+alone; repeated ids and equal rows are packed as they come; of equal imbalances the
+pieces that came first are merged first; very long texts are whole, cut into pieces;
+extra columns are ignored, whatever their names; an empty table gives no sequence.
 """
 
 from __future__ import annotations

@@ -1,10 +1,12 @@
 """A deterministic, sharded writer of WARC archives, and the reader that checks them.
 
 Method. Payload digests decide, by one aggregation, which record of equal payloads is the
-response; the others revisit it. Pages are then range-sorted by id, and each range is
-written by one task: every record is a gzip member of its own, headers, block digests,
-payload digests and record ids are generated anew, and files roll when their compressed
-size reaches a bound. A task writes under a temporary name with its attempt's token and
+response; the others revisit it. Pages are then range-sorted by id: an exact histogram of
+bytes over ids, refined where it is heavy, gives the ranges (shards) of about ``shard_bytes``,
+so their number follows the data and not the cluster, and an id with more than that is dealt
+to several by payload. Each shard is written by one task: every record is a gzip member of its
+own, headers, block digests, payload digests and record ids are generated anew, and files roll
+when their compressed size reaches a bound. A task writes under a temporary name with its attempt's token and
 reports each file (final name, temporary name, records, bytes, SHA-256). Those reports,
 committed by Spark as a table in which only successful attempts appear, are the manifest;
 a second, idempotent step renames exactly the listed files, and what failed attempts left
@@ -16,9 +18,9 @@ rows in the same exchange, so no join moves payloads. Files are written through
 
 Defined results: null html counts as empty; null urls are empty; payloads below
 ``least`` bytes never revisit; rows that repeat an id are all written, and of those with
-equal payloads the first is the response; null ids are written first, and never referred
-to if another id has the payload; extra columns are ignored; an empty table gives no file
-and no row.
+equal payloads one is the response; null ids are written first, and never referred
+to if another id has the payload; very long payloads are whole, alone in memory; extra columns
+are ignored, whatever their names; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -30,13 +32,14 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, table
+from .common import drop_folder, materialize, new_folder, table
 
 #: Pages carry no time of capture; a fixed one keeps the bytes deterministic.
 DATE = "2024-01-01T00:00:00Z"
@@ -125,10 +128,20 @@ class _Roller:
 
 def _writer(folder: str, roll: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = _Roller(folder, TaskContext.get().partitionId(), roll)
+        files, shard, reports = None, None, []
         now, markers, seen = object(), {}, {}
+
+        def close():
+            if files is not None:
+                files.close()
+                reports.extend(files.reports)
+
         for b in batches:
-            for page_id, keep, digest, url, html in zip(*(c.to_pylist() for c in b.columns)):
+            for own_shard, page_id, keep, digest, url, html in zip(*(c.to_pylist() for c in b.columns)):
+                if own_shard != shard:
+                    close()
+                    files, shard = _Roller(folder, own_shard, roll), own_shard
+                    now = object()
                 if page_id != now:
                     now, markers, seen = page_id, {}, {}
                 if keep is not None:  # a marker comes before the rows of its page
@@ -142,9 +155,9 @@ def _writer(folder: str, roll: int):
                 if refers_to is not None and refers_to == page_id and nth == 0:
                     refers_to = None
                 files.add(gzip_member(build_record(page_id, url, payload, own, refers_to, nth)))
-        files.close()
-        if files.reports:
-            c = list(zip(*files.reports))
+        close()
+        if reports:
+            c = list(zip(*reports))
             yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1]), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4])], names=["name", "temporary", "records", "bytes", "sha256"])
 
     return run
@@ -162,15 +175,88 @@ def _committer(folder: str):
     return run
 
 
-def write_archives(spark: SparkSession, pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least: int = 100, roll: int = 256 << 20) -> DataFrame:
+#: Bins of a level of the histogram of ids.
+BINS = 1 << 16
+
+
+class Shards:
+    """Ranges of ids with about ``size`` bytes each, from exact sums of bytes (page_id, digest, bytes)."""
+
+    def __init__(self, sizes: DataFrame, size: int):
+        whole = sizes.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum(F.when(F.col("page_id").isNull(), F.col("bytes"))), F.lit(0))).first()
+        self.null_pieces = -(-whole[2] // size) if whole[2] else 1
+        leaves: list[tuple[int, int, int]] = []  # first id, last id, bytes
+        heavy = [(whole[0], whole[1])] if whole[0] is not None else []
+        while heavy:
+            bins = self._level(sizes, heavy)
+            heavy = [(a, z) for a, z, n in bins if n > size and z > a]
+            leaves += [x for x in bins if not (x[2] > size and x[1] > x[0])]
+        #: First ids of the shards, and how many pieces each has.
+        self.firsts, self.pieces, held = [], [], None
+        for a, _, n in sorted(leaves):
+            if held is None or held + n > size:
+                self.firsts.append(a)
+                self.pieces.append(max(1, -(-n // size)))
+                held = n
+            else:
+                held += n
+        self.numbers = self.null_pieces + np.concatenate(([0], np.cumsum(self.pieces))).astype(np.int64)
+        self.count = int(self.numbers[-1])
+
+    @staticmethod
+    def _level(sizes: DataFrame, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Bytes in equal parts of each of the ranges, which are in no order and apart."""
+        ranges = sorted(ranges)
+        parts = max(2, BINS // len(ranges))
+        widths = [max(1, -(-(z - a + 1) // parts)) for a, z in ranges]
+        lows, highs, steps = np.array([a for a, _ in ranges]), np.array([z for _, z in ranges]), np.array(widths)
+
+        @F.pandas_udf("long")
+        def bin_of(ids: pd.Series) -> pd.Series:
+            x = ids.to_numpy(np.int64)
+            at = np.maximum(np.searchsorted(lows, x, "right") - 1, 0)
+            # differences of 64-bit integers as unsigned ones do not overflow
+            inside = (x.astype(np.uint64) - lows[at].astype(np.uint64)) // steps[at].astype(np.uint64)
+            return pd.Series(np.where((x >= lows[at]) & (x <= highs[at]), at * (parts + 1) + inside.astype(np.int64), -1))
+
+        rows = sizes.where("page_id is not null").groupBy(bin_of("page_id").alias("bin")).agg(F.sum("bytes").alias("n")).where("bin >= 0").collect()
+        out = []
+        for r in rows:
+            at, inside = divmod(r["bin"], parts + 1)
+            first = ranges[at][0] + inside * widths[at]
+            out.append((first, min(ranges[at][1], first + widths[at] - 1), r["n"]))
+        return out
+
+    def of(self, page_id: F.Column, digest: F.Column) -> F.Column:
+        """The shard of a row; rows of one id and payload are in one."""
+        firsts, pieces, numbers, nulls = np.array(self.firsts, np.int64), np.array(self.pieces, np.int64), self.numbers, self.null_pieces
+
+        @F.pandas_udf("long")
+        def shard_of(ids: pd.Series, mixed: pd.Series) -> pd.Series:
+            empty, mixed = ids.isna().to_numpy(), mixed.to_numpy(np.int64)
+            out = mixed % nulls
+            if len(firsts) and not empty.all():
+                at = np.maximum(np.searchsorted(firsts, ids.fillna(0).astype(np.int64).to_numpy(), "right") - 1, 0)
+                out = np.where(empty, out, numbers[at] + mixed % pieces[at])
+            return pd.Series(out)
+
+        return shard_of(page_id, F.pmod(F.xxhash64(digest), F.lit(1 << 30)))
+
+
+def write_archives(spark: SparkSession, pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least: int = 100, roll: int = 256 << 20, shard_bytes: int = 64 << 20) -> DataFrame:
     """Write the archives into ``folder`` and return the manifest, itself written to ``folder``/_manifest."""
     rows = pages.select(pages[id_column].cast("long").alias("page_id"), pages[url_column].cast("string").alias("url"), F.coalesce(pages[html_column], F.lit("")).alias("html"))
-    digests = rows.where(F.octet_length("html") >= least).select("page_id", F.sha2("html", 256).alias("digest"))
+    # a record has some hundred bytes beside its payload
+    sizes = materialize(spark, rows.select("page_id", F.sha2("html", 256).alias("digest"), (F.octet_length("html") + 500).cast("long").alias("bytes")), "warc-sizes")
+    shards = Shards(sizes, shard_bytes)
+    digests = sizes.where(F.col("bytes") >= least + 500).select("page_id", "digest")
     groups = digests.groupBy("digest").agg(F.min("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("keep").isNotNull())
-    markers = digests.join(groups, "digest").select("page_id", "keep", "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).distinct()
-    records = rows.select("page_id", F.lit(None).cast("long").alias("keep"), F.lit(None).cast("string").alias("digest"), "url", "html")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_rows = records.unionAll(markers).repartitionByRange(n, "page_id").sortWithinPartitions("page_id", F.col("keep").isNull(), "url", "html")
+    none = F.lit(None).cast("string")
+    markers = digests.join(groups, "digest").select("page_id", "keep", "digest").distinct().select("page_id", "keep", "digest", none.alias("url"), none.alias("html"))
+    records = rows.select("page_id", F.lit(None).cast("long").alias("keep"), F.sha2("html", 256).alias("digest"), "url", "html")
+    placed = records.unionAll(markers).select(shards.of(F.col("page_id"), F.col("digest")).alias("shard"), "page_id", "keep", "digest", "url", "html")
+    n = max(1, shards.count)
+    sorted_rows = placed.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", F.col("keep").isNull(), "url", "html")
     manifest = f"{folder}/_manifest"
     sorted_rows.mapInArrow(_writer(folder, roll), _MANIFEST).write.parquet(f"{manifest}-written")
     written = spark.read.schema(_MANIFEST).parquet(f"{manifest}-written")
@@ -179,6 +265,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, id_column
     for left in ("_temporary", "_manifest-written"):
         if fs.get_file_info(f"{path}/{left}").type == pafs.FileType.Directory:
             fs.delete_dir(f"{path}/{left}")
+    drop_folder(spark, sizes)
     return spark.read.schema(_MANIFEST).parquet(manifest)
 
 
@@ -252,8 +339,8 @@ def _read_batch(rows: list) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """The records of the manifest's files, their digests checked."""
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """The records of the manifest's files, their digests checked; each file is a task's work."""
+    n = max(1, manifest.count())
     return manifest.select("name", "sha256").repartition(n, "name").mapInArrow(_reader(folder), _READ)
 
 
@@ -266,9 +353,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH t AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
-), g AS (SELECT payload_digest, min(page_id) AS keep FROM t WHERE payload_bytes >= 100 GROUP BY payload_digest)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN keep IS NOT NULL AND keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN keep <> page_id THEN keep END AS refers_to
-FROM t LEFT JOIN g USING (payload_digest)
+), g AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS keep, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS nth FROM t
+), r AS (SELECT *, payload_bytes >= 100 AND keep IS NOT NULL AND nth > 1 AS again FROM g)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keep END AS refers_to FROM r
 """

@@ -46,6 +46,14 @@ def test_drop_copies_keeps_columns(clashing):
     assert {r.doc_id for r in out.collect()} >= {1, 4, 9, 10, 11, 12}
 
 
+def test_drop_copies_of_repeated_rows(spark):
+    """Of rows with one id and text the same one stays however the table is dealt; names of results do not clash."""
+    rows = [(1, "a  b", k) for k in range(9)] + [(2, "a b", 0), (3, "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumnsRenamed({}).withColumns({n: F.lit(4) for n in ("_digest", "digest", "id", "ties", "least", "keep_id", "KEPT")})
+    runs = [sorted(map(tuple, E.drop_copies(d).collect())) for d in (docs, docs.repartition(5), docs.orderBy(F.desc("row")))]
+    assert runs[0] == runs[1] == runs[2] and [r[0] for r in runs[0]] == [1, 3] and E.drop_copies(docs).columns == docs.columns
+
+
 def test_grace_spills(tmp_path):
     rng = random.Random(1)
     records = [(b"%d" % rng.randrange(300) * rng.randrange(1, 5), i) for i in range(5000)]

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gatewright.llm import exact_dedup, lang_id, media, near_dedup, packing, pii, preferences, warc
+from gatewright.llm import lang_id, media, packing, pii, preferences, warc
 from gatewright.llm.common import new_folder
 from gatewright.llm.registry import ORACLES, QUERIES
 
@@ -71,6 +72,25 @@ def test_same_input_same_bytes(spark, pages):
     assert runs[0] == runs[1]
 
 
+def test_shards_follow_the_data(spark):
+    """Exact ranges by bytes, also where ids are dense, far apart, repeated or null; the same files however pages are dealt."""
+    ids = [*range(100), *range(10**15, 10**15 + 50), *[77] * 400, *[None] * 300, -(2**63), 2**63 - 1]
+    rows = [(i, f"u{k}", f"{k} " + "x" * 900) for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, PAGES)
+    runs = []
+    for dealt in (pages, pages.repartition(7), pages.orderBy(F.desc("url"))):
+        folder = new_folder(spark, "warc")
+        manifest = warc.write_archives(spark, dealt, folder, shard_bytes=20_000)
+        runs.append(sorted((r.name, r.records, r.bytes, r.sha256) for r in manifest.collect()))
+    assert runs[0] == runs[1] == runs[2]
+    shards = Counter()
+    for name, records, *_ in runs[0]:
+        shards[name.split("-")[1]] += records
+    assert sum(shards.values()) == len(ids) and 50 < len(shards) and max(shards.values()) < 60
+    found = warc.read_archives(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert Counter(map(tuple, found)) == brute(rows)
+
+
 def test_no_pages(spark, pages):
     folder = new_folder(spark, "warc")
     manifest = warc.write_archives(spark, pages.limit(0), folder)
@@ -187,6 +207,46 @@ def test_no_turns(spark):
     assert preferences.format_preferences(none, none).count() == 0
 
 
+def brute_preferences(chosen, rejected, chunk_turns=64):
+    """Rows of format_preferences by loops, from lists of (pair, turn, role, text)."""
+    last = preferences.LAST
+    sides = []
+    for rows in (chosen, rejected):
+        side: dict = {}
+        for p, t, role, text in rows:
+            if p is not None:
+                side.setdefault(p, set()).add((last if t is None else t, role or "", text or ""))
+        sides.append(side)
+    out = []
+    for p in {*sides[0], *sides[1]}:
+        a, b = (s.get(p, set()) for s in sides)
+        split = min((t for t, *_ in a ^ b), default=None)
+        for c in {t // chunk_turns for t, *_ in a | b}:
+            part = lambda s, late: sorted(x for x in s if x[0] // chunk_turns == c and (split is not None and x[0] >= split) == late)  # noqa: B023, E731
+            row = [p, c]
+            for turns in (part(a, False), part(a, True), part(b, True)):
+                body, mask = "", []
+                for _, role, text in turns:
+                    piece = f"<|{role}|>\n{text}<|end|>\n"
+                    if role == "assistant":
+                        mask.append(f"{len(body) + len(role) + 5}:{len(body) + len(piece) - 1}")
+                    body += piece
+                row += [body, ",".join(mask), len(turns)]
+            prompt, _, kp, y, ym, ky, n, nm, kn = row[2:]
+            out.append((p, c, prompt, y, ym, n, nm, kp, ky, kn))
+    return Counter(out)
+
+
+def test_preferences_equal_brute_force(spark):
+    rng = random.Random(9)
+    make = lambda: [(rng.choice([1, 2, 3, 4, None]), rng.choice([0, 1, 2, 3, 64, 70, 200, None]), rng.choice(["user", "assistant", None]), rng.choice(["a", "é!", "", None, "b" * 50])) for _ in range(60)]
+    for _ in range(2):
+        chosen = make()
+        rejected = [r for r in chosen if rng.random() < 0.9] + make()[:6]
+        frames = [spark.createDataFrame(x, TURNS).withColumns({n: F.lit(3) for n in ("chunk", "split", "c", "r", "t", "mine", "h1")}) for x in (chosen, rejected)]
+        assert Counter(map(tuple, preferences.format_preferences(*frames).collect())) == brute_preferences(chosen, rejected)
+
+
 def test_preferences_stay_in_the_jvm(spark, sf):
     plan = preferences.op3_preferences(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct"))
@@ -209,24 +269,59 @@ def test_sql(spark, sf, name):
     assert sorted(found) == sorted(want) and rows(found) == rows(want)
 
 
+def brute_pipeline(docs, network, more):
+    """The rows that each stage keeps, by loops: (id, text) lists after stages 1 to 4."""
+    from test_dedup import brute_near
+    from test_text import brute_spans
+
+    kept = []
+    for r in docs:
+        t = r.text
+        if t and any(ch.isalpha() for ch in t):
+            windows = [lang_id._folded(t)[a : a + lang_id.LENGTH] for a in lang_id.window_starts(len(lang_id._folded(t)))]
+            sizes = [len(w) + 1e-9 for w in windows]
+            best = [network._forward(np.frombuffer(w.ljust(lang_id.LENGTH, b"\0"), np.uint8)[None])[1][0].max() for w in windows]
+            if np.average([p >= lang_id.sure_bound(len(network.classes)) for p in best], weights=sizes) >= 0.5:
+                kept.append((r.doc_id, t))
+    groups: dict = {}
+    for i, t in kept:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), []).append((i is None, i or 0, i, t))
+    two = [min(g)[2:] for g in groups.values()]
+    named = brute_near({(i, t) for i, t in two if i is not None}, 5, 80)
+    three = [(i, t) for i, t in two if i is None or named[i][1] == i]
+    four = []
+    for i, t in three:
+        spans, out, at = sorted(brute_spans(t) + more.get(i, [])), "", 0
+        for s, k, e in spans:
+            if s >= at:
+                out += t[at:s] + f"[{pii.ALL_KINDS[k].upper()}]"
+            at = max(at, e)
+        four.append((i, out + t[at:]))
+    return kept, two, three, four
+
+
 def test_stages(spark, odd_docs, no_docs):
-    """Each stage against the operator's own brute-force-tested result; columns of documents throughout."""
+    """Every stage against loops over the rows; columns of documents throughout, also with clashing names."""
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "exact_dedup", "near_dedup", "pii", "packing"]
-    docs = odd_docs.withColumn("extra", F.lit(1))
-    stage = dict(corpus_pipeline.STAGES)
-    one = stage["language_id"](spark, docs, "").cache()
-    assert one.columns == docs.columns and {5, 6, 7, 8}.isdisjoint({r.doc_id for r in one.collect()})
-    two = stage["exact_dedup"](spark, one, "").cache()
-    assert {r.doc_id for r in two.collect()} == {r.doc_id for r in exact_dedup.drop_copies(one).collect()} and 2 not in {r.doc_id for r in two.collect()}
-    three = stage["near_dedup"](spark, two, "").cache()
-    gone = {r.doc_id for r in near_dedup.near_copies(spark, two, 5, 80).where("doc_id <> component_id").collect()}
-    assert {r.doc_id for r in three.collect()} == {r.doc_id for r in two.collect()} - gone
-    four = stage["pii"](spark, three, "").cache()
-    assert four.columns == docs.columns and four.count() == three.count()
-    assert all(pii.base_spans(r.text) == [] for r in four.where("doc_id = 14").collect())
-    five = stage["packing"](spark, four, "")
-    assert Counter(r.doc_id for r in five.where("start = 0").collect()) == Counter(r.doc_id for r in four.collect())
+    clash = ("extra", "id", "_gone", "digest", "_digest", "kept", "row", "a", "b", "_set", "text_key", "more", "_pii_more", "pii_key", "words", "component_id", "label", "key")
+    docs = odd_docs.withColumns({n: F.lit(1) for n in clash})
+    docs = docs.unionByName(docs.where("doc_id = 9").withColumn("text", F.lit("Another text of the same name, which stays.")))
+    want = brute_pipeline(docs.collect(), lang_id.fit(docs), {})
+    at = docs
+    for (name, f), rows in zip(corpus_pipeline.STAGES, want):
+        at = f(spark, at, "").cache()
+        assert at.columns == docs.columns, name
+        assert Counter((r.doc_id, r.text) for r in at.collect()) == Counter(rows), name
+    assert {r.doc_id for r in at.collect()} >= {1, 9, 12, 14} and all(r.n_chars == len(r.text) for r in at.collect())
+    five = corpus_pipeline.STAGES[4][1](spark, at, "").collect()
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(packing.default_tokenizer())
+    lib.no_padding()
+    lib.no_truncation()
+    tokens = Counter((r.doc_id, len(lib.encode(r.text, add_special_tokens=False).ids) + 1) for r in at.collect())
+    assert Counter((r.doc_id, r.doc_tokens) for r in five if r.start == 0) == tokens and sum(r.length for r in five) == sum(n * k for (_, n), k in tokens.items())
     empty = no_docs
     for name, f in corpus_pipeline.STAGES:
         empty = f(spark, empty, "")

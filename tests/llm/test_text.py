@@ -87,12 +87,44 @@ def test_language_odd(odd_docs, no_docs, clashing):
 
 
 def test_every_label_teaches(spark):
-    """Labels beyond the two hundred most frequent are in the sample, and about ``per_language`` rows of each."""
+    """Labels beyond the two hundred most frequent are in the sample, and about ``per_language`` texts of each."""
     rows = [(1000 * k + i, f"text {k} {i}", f"l{k:03}") for k in range(230) for i in range(12 if k < 200 else 3)] + [(500_000 + i, f"much {i}", "big") for i in range(3000)]
-    labels, texts = lang_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels, texts = lang_id.training_sample(docs, 100)
     counts = Counter(labels)
     assert set(counts) == {f"l{k:03}" for k in range(230)} | {"big"} and all(counts[f"l{k:03}"] == (12 if k < 200 else 3) for k in range(230))
     assert 60 <= counts["big"] <= 140 and len(labels) == len(texts)
+    with pytest.raises(ValueError, match="more than 200 labels"):
+        lang_id.training_sample(docs, 100, most_labels=200)
+
+
+def test_repeats_do_not_swell_the_sample(spark):
+    """One id, or none, on all rows, and one text on most of them: the sample stays near its size."""
+    rows = [(None if i % 2 else 5, f"text {i}" if i % 3 else "the same", "en") for i in range(6000)]
+    labels, texts = lang_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200)
+    assert 130 <= len(labels) <= 270 and texts.count(b"the same") <= 1
+
+
+def test_sure_windows_decide(tongues):
+    """Texts of an unlabelled language mostly go; clean ones, and those in three languages, stay; with two labels chance is not enough."""
+    net = lang_id.fit(tongues, 150)
+    parts = {"xx": ["ka", "to", "mi", "ra"], "yy": ["schl", "ung", "ver", "eit"], "zz": ["é", "oux", "que", "lle"]}
+    rng = np.random.default_rng(8)
+    text = lambda k, n=300: " ".join("".join(rng.choice(parts[k], 3)) for _ in range(n))
+    mixed = [" ".join(text(k) for k in parts) for _ in range(10)]
+    predictor = lang_id.Predictor(net)
+    share = lambda texts: predictor.judged([lang_id._folded(t) for t in texts], lang_id.sure_bound(3))[1]
+    assert (share(mixed) > 0.9).all() and (share([text(k) for k in parts for _ in range(5)]) > 0.9).all()
+    assert lang_id.sure_bound(2) == pytest.approx(0.6) and lang_id.sure_bound(200) < 0.21
+    # windows are judged as a loop over them does
+    long = lang_id._folded(mixed[0])
+    ps, sizes = [], []
+    for a in lang_id.window_starts(len(long)):
+        w = np.frombuffer(long[a : a + lang_id.LENGTH].ljust(lang_id.LENGTH, b"\0"), np.uint8)
+        ps.append(net._forward(w[None])[1][0])
+        sizes.append(min(lang_id.LENGTH, len(long) - a))
+    mean, sure = predictor.judged([long], 0.5)
+    assert np.allclose(mean[0], np.average(ps, 0, sizes), atol=1e-4) and sure[0] == pytest.approx(np.average([p.max() >= 0.5 for p in ps], weights=sizes), abs=1e-6)
 
 
 # --- personal data ---------------------------------------------------------------------------
