@@ -6,8 +6,10 @@ a DataFrame; between stages the rows are written as Parquet to the shared folder
 read again, so a lost executor costs tasks of one stage only.
 
 All stages but the last return the columns of their input. Null and empty texts have no
-letter and go in the first stage; empty tables pass through; extra columns stay up to
-the last stage, which returns the rows of packing.
+letter and go in the first stage; rows that repeat id and text are one from the second stage
+on, rows that repeat an id with other texts stay apart; very long texts are whole in every
+stage; empty tables pass through; extra columns stay, whatever their names, up to the last
+stage, which returns the rows of packing. ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by the names of their kinds; every document stays."""
-    return pii.redact(spark, docs)
+    return pii.redact(spark, docs, length_column="n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
