@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import functools
-import hashlib
 import os
 import re
 import tempfile
@@ -122,38 +121,6 @@ class Numbers(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-class WordKeys:
-    """Keys of words, 128 bits of keyed BLAKE2b: no form of words makes them collide.
-
-    Digests of the words seen so far are remembered up to about ``remember`` bytes.
-    """
-
-    KEY = b"gatewright words"
-
-    def __init__(self, remember: int = 32 << 20):
-        self.remember = remember
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers, self.held = Numbers(), 0
-        self.table = np.empty((1024, 2), np.uint64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """A row of two unsigned 64-bit integers for each word."""
-        if self.held > self.remember:
-            self._forget()
-        at = self.numbers.of(words)
-        fresh, self.numbers.fresh = self.numbers.fresh, []
-        if fresh:
-            made = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16, key=self.KEY).digest() for w in fresh]), np.uint64).reshape(-1, 2)
-            n = len(self.numbers)
-            if n > len(self.table):
-                self.table = np.concatenate((self.table[: n - len(fresh)], np.empty((2 * n - (n - len(fresh)), 2), np.uint64)))
-            self.table[n - len(fresh) : n] = made
-            self.held += sum(map(len, fresh)) + 150 * len(fresh)
-        return self.table[at]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer; a bijection, so it adds no collisions."""
     x = x ^ (x >> np.uint64(30))
@@ -163,6 +130,71 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Words are hashed by two polynomials modulo a prime, with random codes of the bytes and random bases.
+_PRIME = np.uint64((1 << 31) - 1)
+_random = np.random.default_rng(0x6A7E)
+_CODES = _random.integers(1, int(_PRIME), (2, 256)).astype(np.uint64)
+_BASES = _random.integers(1 << 20, int(_PRIME), 2).tolist()
+_powers = [np.ones(1, np.uint32), np.ones(1, np.uint32)]
+
+
+def _powers_of(k: int, n: int) -> np.ndarray:
+    """The powers 0..n-1 (at least) of a base modulo the prime; those of very long words are not kept."""
+    out = _powers[k]
+    while len(out) < n:
+        step = np.uint64(pow(_BASES[k], len(out), int(_PRIME)))
+        out = np.concatenate((out, (out.astype(np.uint64) * step % _PRIME).astype(np.uint32)))
+    if len(out) <= 1 << 16:
+        _powers[k] = out
+    return out
+
+
+def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of non-blank bytes in ``buf``."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _IS_BLANK[buf], [True]))))
+    return edge[::2], edge[1::2]
+
+
+def word_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A row of two unsigned 64-bit keys for each of the words that ``word_spans`` found.
+
+    The first comes from two polynomials over all bytes, modulo a prime, so that no form of
+    words makes them collide as it does modulo a power of two. The second comes from the first
+    and last eight bytes and the length; it alone tells words of up to 16 bytes apart.
+    """
+    out = np.empty((len(starts), 2), np.uint64)
+    for a in range(0, len(starts), 8192):  # pieces that stay in the processor's caches
+        _keys_of(buf, starts[a : a + 8192], ends[a : a + 8192], out[a : a + 8192])
+    return out
+
+
+def _keys_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
+    origin = starts[0]
+    buf, starts, ends = buf[origin : ends[-1]], starts - origin, ends - origin
+    lengths = ends - starts
+    inside = np.flatnonzero(~_IS_BLANK[buf])
+    place = inside - np.repeat(starts, lengths)
+    data = buf[inside]
+    heads = np.cumsum(lengths) - lengths
+    longest = int(lengths.max())
+    sums = []
+    for k in (0, 1):
+        x = _CODES[k][data] * _powers_of(k, longest)[place]
+        sums.append(np.add.reduceat((x & _PRIME) + (x >> np.uint64(31)), heads) % _PRIME)
+    size = lengths.astype(np.uint64)
+    edges = [np.zeros(len(starts), np.uint64) for _ in range(2)]
+    for j in range(min(8, longest)):
+        has = lengths > j
+        every = has.all()
+        at = slice(None) if every else np.flatnonzero(has)
+        for x, place_ in zip(edges, (starts + j, ends - 1 - j)):
+            x[at] |= buf[place_[at]].astype(np.uint64) << np.uint64(8 * j)
+    out[:, 0] = mix64((sums[0] | sums[1] << np.uint64(32)) + size * np.uint64(0x9E3779B97F4A7C15))
+    out[:, 1] = mix64(edges[0] + mix64(edges[1] + size))
+
+
 def text_slices(batch, column: int = 1, limit: int = 1 << 20):
     """Slices of an Arrow batch of about ``limit`` bytes of text; a longer text is alone."""
     sizes = [(x.as_buffer().size if x.is_valid else 0) for x in batch.column(column)]

@@ -12,7 +12,7 @@ with a probability of at most about 1e-6, and the sketch bound lies five standar
 deviations below the threshold.
 
 No bucket is expanded into all its pairs. Texts with equal sets are one class first.
-Then, in each bucket, every member meets only the smallest member (a star). Links that
+Then, in each bucket, every member meets only the one with the smallest id (a star). Links that
 hold are merged into components. A bucket whose members are in one component needs no
 more. Sets of the other buckets meet by their rarest shingles (prefix and positional
 filters, which are exact; the order comes from exact counts among these sets), members
@@ -22,8 +22,8 @@ link between components of sets that share a band. Components are found
 by alternating large and small stars, whose joins and aggregations by key Spark can
 split; nothing but a bitmap of at most 32 MB is collected.
 
-Shingles are keyed by sums of word keys (128 bits of keyed BLAKE2b), classes by a digest
-of the keys of the whole set. Tables that later steps read several times are written once
+Shingles are keyed by sums of word keys (two polynomials modulo a prime, and a second key
+from the bytes themselves), classes by a digest of the keys of the whole set. Tables that later steps read several times are written once
 to the shared folder, so a lost executor costs tasks and no results.
 
 Defined results: null or wordless texts have an empty set, link with nothing and stay;
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Numbers, WordKeys, drop_folder, materialize, mix64, table, text_slices, trimmed
+from .common import Numbers, drop_folder, materialize, mix64, table, text_slices, trimmed, word_keys, word_spans
 
 SKETCH_WORDS = 8  # of 64 bits
 SKETCH_BITS = 64 * SKETCH_WORDS
@@ -72,7 +72,7 @@ def sketch_bound(percent: int, samples: int) -> int:
     return int(mean + 5 * (mean / 2) ** 0.5)
 
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEPS = mix64(np.arange(1, 65, dtype=np.uint64))
 
 
 def _summed(keys: np.ndarray, words: int) -> np.ndarray:
@@ -80,33 +80,28 @@ def _summed(keys: np.ndarray, words: int) -> np.ndarray:
     n = max(0, len(keys) - words + 1)
     full = np.zeros(n, np.uint64)
     for j in range(words):
-        full += mix64(keys[j : j + n] + _STEP * np.uint64(j + 1))
+        full += mix64(keys[j : j + n] + _STEPS[j])
     return mix64(full)
 
 
-class Shingles:
-    """The sets of texts: sorted keys of distinct shingles, and a second key of each."""
-
-    def __init__(self, words: int):
-        self.words, self.keys = words, WordKeys()
-
-    def of(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(keys, second keys) of each list of words; empty for no words."""
-        flat = self.keys([w for t in texts for w in t])
-        full = [_summed(np.ascontiguousarray(flat[:, c]), self.words) for c in (0, 1)]
-        out, at = [], 0
-        for t in texts:
-            n = len(t)
-            if n >= self.words:
-                part = slice(at, at + n - self.words + 1)
-                keys, first = np.unique(full[0][part], return_index=True)
-                out.append((keys, full[1][part][first]))
-            elif n:
-                out.append(tuple(mix64(_summed(np.ascontiguousarray(flat[at : at + n, c]), n) + np.uint64(n)) for c in (0, 1)))
-            else:
-                out.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
-            at += n
-        return out
+def shingle_sets(texts: list[bytes], words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each lower-case text, the sorted keys of its distinct shingles and a second key of each; empty without words."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    starts, ends = word_spans(buf)
+    flat = word_keys(buf, starts, ends)
+    keys = [np.ascontiguousarray(flat[:, c]) for c in (0, 1)]
+    full = [_summed(k, words) for k in keys]
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        if b - a >= words:
+            part, first = np.unique(full[0][a : b - words + 1], return_index=True)
+            out.append((part, full[1][a : b - words + 1][first]))
+        elif b > a:
+            out.append(tuple(mix64(_summed(k[a:b], b - a) + np.uint64(b - a)) for k in keys))
+        else:
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+    return out
 
 
 def set_id(keys: np.ndarray, second: np.ndarray) -> bytes:
@@ -114,10 +109,6 @@ def set_id(keys: np.ndarray, second: np.ndarray) -> bytes:
     return hashlib.blake2b(keys.tobytes() + second.sum(dtype=np.uint64).tobytes() + np.bitwise_xor.reduce(mix64(second), initial=np.uint64(0)).tobytes(), digest_size=16).digest()
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 def word_pair(left: bytes, right: bytes) -> list[np.ndarray]:
     """The words of two canonical texts as numbers that only equal words share."""
     numbers = Numbers()
@@ -181,16 +172,16 @@ _SIGNED = "doc_id long, text_key long, n_shingles long, set_id binary, " + ", ".
 
 
 def _texts(column) -> list[bytes]:
-    """UTF-8 of each text; null is empty."""
-    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
+    """Lower-case UTF-8 of each text; null is empty."""
+    return [x.as_buffer().to_pybytes().lower() if x.is_valid else b"" for x in column]
 
 
 def _signer(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher, shingles = Sketcher(bands, rows), Shingles(words)
+        sketcher = Sketcher(bands, rows)
         for b in batches:
             for part in text_slices(b, 2):
-                sets = shingles.of([words_of(t) for t in _texts(part.column(2))])
+                sets = shingle_sets(_texts(part.column(2)), words)
                 n = np.array([len(s) for s, _ in sets], np.int64)
                 full = np.flatnonzero(n)
                 band = np.zeros((len(sets), bands), np.uint64)
@@ -211,13 +202,12 @@ def _setter(words: int, bitmap: np.ndarray):
     """(set_id, canonical text) of the rows of (place, text) whose place is set in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
         for b in batches:
             place = b.column(0).to_numpy()
             wanted = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
             for part in text_slices(b.take(pa.array(wanted))) if len(wanted) else ():
-                split = [words_of(t) for t in _texts(part.column(1))]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(*s) for s in shingles.of(split)], pa.binary()), pa.array([b" ".join(w) for w in split], pa.binary())], names=["set_id", "words"])
+                texts = _texts(part.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(*s) for s in shingle_sets(texts, words)], pa.binary()), pa.array([b" ".join(t.split()) for t in texts], pa.binary())], names=["set_id", "words"])
 
     return trimmed(run)
 
@@ -226,10 +216,9 @@ def _spreader(words: int):
     """(id, n, shingle) of the shingles of (id, canonical text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
         for b in batches:
             for part in text_slices(b, 1):
-                sets = [s for s, _ in shingles.of([t.split() for t in _texts(part.column(1))])]
+                sets = [s for s, _ in shingle_sets(_texts(part.column(1)), words)]
                 n = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "n", "shingle"])
 
@@ -354,12 +343,15 @@ class NearCopies:
         # a class is numbered as it is written, so its number stays
         classes = materialize(spark, full.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), *carried).withColumn("id", F.monotonically_increasing_id()), "classes")
         sketches = classes.select("id", "n", *(f"s{i}" for i in range(SKETCH_WORDS)))
-        buckets = classes.select("id", F.explode("bands").alias("bucket"))
-        shared = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        # the class with the smallest document id of a bucket is its hub: copies usually come after what they are copies of
+        buckets = classes.select("id", "least", F.explode("bands").alias("bucket"))
+        shared = buckets.groupBy("bucket").agg(F.min("least").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
         members = materialize(spark, buckets.join(shared.select("bucket", "hub"), "bucket"), "members")
+        hubs = classes.select(F.col("least").alias("hub"), F.col("id").alias("a"))
         wanted = classes.select("id", "set_id", "least").join(members.select("id").distinct(), "id", "left_semi")
         sets = materialize(spark, self._sets(wanted), "sets")
-        stars = materialize(spark, self._close(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sketches), "stars")
+        spokes = members.where("least <> hub").select("hub", "id").distinct().join(hubs, "hub").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        stars = materialize(spark, self._close(spokes, sketches), "stars")
         links = materialize(spark, self._confirmed(stars, sets), "links")
         first = components(spark, links, "first")
         named = members.join(first, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
