@@ -1,10 +1,11 @@
-"""Command line: ``python -m gatewright.cli benchmark|validate|suite|extract|serve``."""
+"""Command line: ``python -m gatewright.cli benchmark|validate|suite|extract|verify|corpus|serve``."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +51,29 @@ def suite(args) -> dict:
 
 
 def extract(args) -> dict:
-    """The tools of a Python source tree as a sealed inventory."""
-    tools = [r.asDict() for r in T.extract_tools(T.python_tree(_session(), args.root)).orderBy("name").collect()]
-    rows = [{"name": t["name"], "description": t["description"], "server": t["server"], "metadata": {"source_path": t["path"]}} for t in tools]
-    inventory = T.make_inventory(args.id, rows, {"kind": "python-ast-mcp-tool-v1", "repository": args.repository, "revision": args.revision})
+    """The tools of a Python source tree as an inventory document."""
+    inventory = T.tree_inventory(_session(), args.root, args.id, args.repository, args.revision)
     T.write_inventory(inventory, args.out)
-    return {"tools": len(rows), "sha256": inventory["sha256"]}
+    return {"tools": len(inventory["tools"]), "sha256": inventory["sha256"]}
+
+
+def verify(args) -> dict:
+    """What is wrong with artifact files, null where nothing is."""
+    from .operators import seal
+
+    return {path: seal.problem_in(json.loads(Path(path).read_text(encoding="utf-8"))) for path in args.paths}
+
+
+def corpus(args) -> dict:
+    """Broken rules of an annotated corpus file; with a split, its label is checked, too."""
+    from .operators import validate as V
+
+    cases = K.annotated(K.read_cases(_session(), args.path))
+    broken = V.annotation_violations(cases, args.grounded)
+    if args.split:
+        broken = broken.unionByName(V.split_labels(cases, args.split))
+    rows = [r.asDict() for r in broken.orderBy("case_id", "rule").collect()]
+    return {"cases": cases.count(), "valid": not rows, "violations": rows}
 
 
 def serve(args) -> dict:
@@ -88,6 +106,12 @@ def main(argv: list[str] | None = None) -> int:
         e.add_argument(name, required=True)
     e.add_argument("--repository", default="")
     e.add_argument("--revision", default="")
+    y = sub.add_parser("verify")
+    y.add_argument("paths", nargs="+")
+    c = sub.add_parser("corpus")
+    c.add_argument("path")
+    c.add_argument("--split")
+    c.add_argument("--grounded", action="store_true")
     w = sub.add_parser("serve")
     w.add_argument("--mode", default="demo")
     w.add_argument("--host", default="127.0.0.1")

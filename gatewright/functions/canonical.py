@@ -39,12 +39,12 @@ def verify_seal(value: dict, field: str = "content_digest") -> None:
 
 @F.pandas_udf(StringType())
 def _digest_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else digest(json.loads(t)))
+    return texts.map(lambda t: None if t is None else digest(json.loads(t), ""))
 
 
-def json_digest(column: Column | str) -> Column:
+def json_digest(column: Column | str, prefix: str = "sha256:") -> Column:
     """sha256 of the canonical form of JSON text, NULL for NULL."""
-    return _digest_of(column)
+    return F.concat(F.lit(prefix), _digest_of(column))
 
 
 def same_value(column: Column | str) -> Column:

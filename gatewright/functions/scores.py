@@ -2,11 +2,14 @@
 
 A distribution is ``ARRAY<STRUCT<candidate STRING, probability DOUBLE>>`` in the order in
 which the candidates were listed; position decides ties, the first listed wins. Everything
-here is built-in expressions, so it stays inside whole-stage code generation.
+here is built-in expressions in the JVM; functions on arrays are interpreted row by row, so
+each value is computed once a row (``bound``) and the work is linear in the candidates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,16 +32,19 @@ def distribution(candidates: Column | str, probabilities: Column | str) -> Colum
     return F.zip_with(_c(candidates), _c(probabilities), lambda c, p: F.struct(c.alias("candidate"), p.cast("double").alias("probability")))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, and not once for each element of a lambda inside."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(logits: Column | str) -> Column:
     """Stable softmax of an array."""
-    x = _c(logits)
-    shifted = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(shifted, lambda v: v / _total(shifted))
+    powers = lambda x: bound(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return normalised(bound(_c(logits), powers))
 
 
 def normalised(weights: Column | str) -> Column:
-    w = _c(weights)
-    return F.transform(w, lambda v: v / _total(w))
+    return bound(_c(weights), lambda w: bound(_total(w), lambda t: F.transform(w, lambda v: v / t)))
 
 
 def candidate_softmax(candidates: Column | str, logits: Column | str) -> Column:
@@ -58,9 +64,10 @@ def temperature_scaled(scores: Column | str, temperature: float | Column) -> Col
         if not temperature > 0:
             raise ValueError("the temperature must be positive")
         temperature = F.lit(float(temperature))
-    s = _c(scores)
-    logits = F.transform(s, lambda x: F.log(F.greatest(x["probability"], F.lit(FLOOR))) / temperature)
-    return distribution(F.transform(s, lambda x: x["candidate"]), softmax(logits))
+    # the temperature is computed once a row, too
+    logits = lambda s: bound(temperature, lambda t: F.transform(s, lambda x: F.log(F.greatest(x["probability"], F.lit(FLOOR))) / t))
+    scaled = lambda s: distribution(F.transform(s, lambda x: x["candidate"]), softmax(logits(s)))
+    return bound(_c(scores), scaled)
 
 
 def next_up(x: Column) -> Column:
@@ -91,14 +98,18 @@ def uniform(candidates: Column | str) -> Column:
 def parse_choice(text: Column | str, candidates: Column | str) -> Column:
     """STRUCT(candidate, confidence) from the text between its first and last brace.
 
-    The confidence defaults to 1. NULL if there is no JSON object, the candidate is not listed
-    or the confidence lies outside [0, 1].
+    A confidence that is not there is 1; a number in quotes counts as one, null does not. NULL if
+    there is no JSON object, the candidate is not listed or the confidence is no number in [0, 1].
     """
-    body = F.regexp_extract(_c(text), r"(?s)\{.*\}", 0)
-    parsed = F.from_json(body, "candidate STRING, confidence DOUBLE, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    conf = F.coalesce(parsed["confidence"], F.lit(1.0))
-    good = (body != "") & parsed["_bad"].isNull() & F.array_contains(_c(candidates), parsed["candidate"]) & conf.between(0.0, 1.0)
-    return F.when(good, F.struct(parsed["candidate"].alias("candidate"), conf.alias("confidence")))
+    body = F.try_parse_json(F.regexp_extract(_c(text), r"(?s)\{.*\}", 0))
+    given = F.schema_of_variant(F.try_variant_get(body, "$.confidence", "variant"))
+    said = F.try_variant_get(body, "$.confidence", "string")
+    flag = F.try_variant_get(body, "$.confidence", "boolean").cast("double")
+    number = F.when(given == "BOOLEAN", flag).when(given != "VOID", said.try_cast("double"))
+    conf = F.when(given.isNull(), F.lit(1.0)).otherwise(number)
+    candidate = F.try_variant_get(body, "$.candidate", "string")
+    good = F.coalesce(body.isNotNull() & F.array_contains(_c(candidates), candidate) & conf.between(0.0, 1.0) & ~F.isnan(conf), F.lit(False))
+    return F.when(good, F.struct(candidate.alias("candidate"), conf.alias("confidence")))
 
 
 def _ranked(scores: Column) -> Column:
@@ -124,22 +135,31 @@ def probability_of(scores: Column | str, candidate: Column | str) -> Column:
     return F.try_element_at(F.filter(_c(scores), lambda s: s["candidate"] == _c(candidate)), F.lit(1))["probability"]
 
 
+def _broken(rules: list[tuple[str, Column]]) -> Column:
+    """Names of the rules that do not hold; one that cannot be decided does not hold."""
+    return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules]), lambda x: x.isNotNull())
+
+
 def violations(candidates: Column | str, scores: Column | str, *, lengths: bool = True, sums: bool = True) -> Column:
-    """What is wrong with a distribution: ``candidate_set``, ``length``, ``sum``; empty if nothing."""
+    """What is wrong with a distribution: ``candidate_set``, ``length``, ``probability``, ``sum``; empty if nothing.
+
+    Null arrays, candidates and probabilities are wrong, as are probabilities outside [0, 1].
+    """
     listed, s = _c(candidates), _c(scores)
     named = F.transform(s, lambda x: x["candidate"])
-    rules = [("candidate_set", (F.size(F.array_except(listed, named)) > 0) | (F.size(F.array_except(named, listed)) > 0))]
+    rules = [("candidate_set", (F.size(F.array_except(listed, named)) > 0) | (F.size(F.array_except(named, listed)) > 0) | (F.size(s) < 1))]
     if lengths:
         rules.append(("length", F.size(listed) != F.size(named)))
+    outside = F.exists(s, lambda x: F.coalesce(F.isnan(x["probability"]) | ~x["probability"].between(0.0, 1.0), F.lit(True)))
+    rules.append(("probability", outside))
     if sums:
         rules.append(("sum", F.abs(_total(F.transform(s, lambda x: x["probability"])) - 1.0) > TOLERANCE))
-    return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]), lambda x: x.isNotNull())
+    return _broken(rules)
 
 
 def request_violations(decision_type: Column | str, candidates: Column | str) -> Column:
     c = _c(candidates)
-    rules = [("decision_type", F.coalesce(_c(decision_type), F.lit("")) == ""), ("no_candidates", F.coalesce(F.size(c), F.lit(0)) <= 0), ("repeated_candidates", F.size(c) != F.size(F.array_distinct(c)))]
-    return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]), lambda x: x.isNotNull())
+    return _broken([("decision_type", F.coalesce(_c(decision_type), F.lit("")) == ""), ("no_candidates", F.coalesce(F.size(c), F.lit(0)) <= 0), ("repeated_candidates", F.size(c) != F.size(F.array_distinct(c)))])
 
 
 def bin_of(confidence: Column | str, bins: int = 10) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,17 +17,17 @@ def _named(rule: str, df: DataFrame, value: str) -> DataFrame:
 
 
 def pair_violations(calibration: DataFrame, test: DataFrame, tools: DataFrame | None = None) -> DataFrame:
-    """(rule, value) of what is wrong with a calibration and a test set (case_id, split, context, candidates, gold, coverage).
+    """(rule, value) of what is wrong with a calibration and a test set (case_id, split, decision_type, context, candidates, gold, coverage).
 
-    Wrong split labels, repeated and shared ids, shared contexts whatever their spelling, and with an
-    inventory what is not in it.
+    Wrong split labels, repeated and shared ids, contexts that both have for one decision type
+    (whatever their spelling), and with an inventory what is not in it.
     """
     parts = [
         _named("calibration_split", V.split_labels(calibration, "calibration"), "case_id"),
         _named("test_split", V.split_labels(test, "test"), "case_id"),
         _named("repeated_id", V.repeated_ids(calibration).unionByName(V.repeated_ids(test)), "case_id"),
         _named("shared_id", V.overlap(calibration, test, "case_id"), "case_id"),
-        _named("shared_context", V.overlap(*[d.select(same_value("context").alias("context")) for d in (calibration, test)], "context"), "context"),
+        _named("shared_context", V.overlap(*[d.select("decision_type", same_value("context").alias("context")) for d in (calibration, test)], "decision_type", "context"), "context"),
     ]
     if tools is not None:
         both = calibration.unionByName(test, allowMissingColumns=True)
@@ -35,9 +36,12 @@ def pair_violations(calibration: DataFrame, test: DataFrame, tools: DataFrame |
 
 
 def pair_report(calibration: DataFrame, test: DataFrame, tools: DataFrame | None = None) -> dict:
-    """Counts of a sound pair; raises for any violation."""
+    """Counts of a sound pair; raises for any violation and for a side without cases."""
+    counts = {"calibration_count": calibration.count(), "test_count": test.count()}
+    if not all(counts.values()):
+        raise ValueError("calibration and test need cases")
     V.require_none(pair_violations(calibration, test, tools), "calibration and test")
-    return {"calibration_count": calibration.count(), "test_count": test.count()}
+    return counts
 
 
 def trace_fingerprint(decision_type: str = "decision_type", context: str = "context", candidates: str = "candidates", gold: str = "gold") -> Column:
@@ -51,17 +55,24 @@ def with_release_check(cases: DataFrame) -> DataFrame:
     return cases.where(~F.coalesce(F.col("trace.released_case_sha256") == trace_fingerprint(), F.lit(False))).select("case_id", F.lit("released_fingerprint").alias("rule"))
 
 
-def build_trace_provenance(case: dict, *, source_type: str, transformation: str, label_source: str, artifact: str, record: str, group: str, reviewers: int, pseudonymization: str = "salted_hash") -> dict:
-    """The provenance of a released case; refuses what the contract would refuse."""
+def build_trace_provenance(
+    case: dict, *, source_type: str, transformation: str, label_source: str, source_artifact_sha256: str, source_record_sha256: str, source_group_sha256: str, reviewer_count: int,
+    benchmark_release_approved: bool, sanitization: dict[str, bool], identifier_pseudonymization: str = V.PSEUDONYMIZATION,
+) -> dict:
+    """The provenance of a released case; refuses what ``validate.trace_violations`` would refuse."""
     ambiguous = (case.get("metadata") or {}).get("ambiguity") in ("underspecified", "multi_valid")
-    if not all((source_type, transformation, label_source, artifact, record, group)) or pseudonymization == "none" or reviewers < (2 if ambiguous else 1):
-        raise ValueError("the provenance is incomplete")
+    digests = {"source_artifact_sha256": source_artifact_sha256, "source_record_sha256": source_record_sha256, "source_group_sha256": source_group_sha256}
+    sound = (
+        source_type in V.SOURCE_TYPES and transformation in V.TRANSFORMATIONS and label_source in V.LABEL_SOURCES and identifier_pseudonymization == V.PSEUDONYMIZATION
+        and all(isinstance(d, str) and re.fullmatch(V.DIGEST, d) for d in digests.values()) and type(reviewer_count) is int and reviewer_count >= (2 if ambiguous else 1)
+        and benchmark_release_approved is True and all(sanitization.get(k) is True for k in V.SANITIZATION)
+    )
+    if not sound:
+        raise ValueError("the provenance breaks its contract")
     said = {k: case.get(k) for k in ("decision_type", "context", "candidates", "gold_candidate")}
     return {
-        "version": V.TRACE_VERSION, "source_type": source_type, "transformation": transformation, "label_source": label_source,
-        "source_artifact_sha256": digest(artifact), "source_record_sha256": digest(record), "source_group_sha256": digest(group),
-        "identifier_pseudonymization": pseudonymization, "released_case_sha256": digest(said), "reviewer_count": reviewers, "benchmark_release_approved": True,
-        "sanitization": dict.fromkeys(("pii_removed", "secrets_removed", "customer_identifiers_removed", "free_text_reviewed"), True),
+        "version": V.TRACE_VERSION, "source_type": source_type, "transformation": transformation, "label_source": label_source, **digests, "identifier_pseudonymization": identifier_pseudonymization,
+        "released_case_sha256": digest(said), "reviewer_count": reviewer_count, "benchmark_release_approved": True, "sanitization": dict(sanitization),
     }
 
 

@@ -13,13 +13,14 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import calibrate as C
 from . import metrics as M
 from . import robust as R
 from .scoring import Scorer, calibrated
+from .seal import BUDGET, MEDIAN
 from .suites import by_candidate_count
 
 GRID = tuple(k / 20 for k in range(21))
@@ -35,12 +36,22 @@ class Fit:
 @dataclass(frozen=True)
 class Threshold:
     value: float
-    selection: str  # calibration_risk_budget or calibration_median
+    selection: str  # seal.BUDGET or seal.MEDIAN
+
+
+_kept: list[DataFrame] = []
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Persist scored cases; lost blocks are computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Persist scored cases; lost blocks are computed again. ``release`` lets all of them go."""
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _kept[-1]
+
+
+def release() -> None:
+    """Unpersist what experiments kept, once their reports are written."""
+    while _kept:
+        _kept.pop().unpersist()
 
 
 def fit(scored: DataFrame, steps: int = C.STEPS) -> Fit:
@@ -50,10 +61,12 @@ def fit(scored: DataFrame, steps: int = C.STEPS) -> Fit:
 
 def choose_threshold(results: DataFrame, risk_budget: float = 0.5, min_coverage: float = 0.25, thresholds: Sequence[float] = GRID) -> Threshold:
     """The operating point within the budget, else the median confidence."""
+    if not (0 <= risk_budget <= 1 and 0 <= min_coverage <= 1):
+        raise ValueError("budget and coverage lie in [0, 1]")
     point = M.operating_point(M.risk_coverage(results, thresholds), risk_budget, min_coverage).first()
     if point:
-        return Threshold(point["threshold"], "calibration_risk_budget")
-    return Threshold(results.agg(F.median("confidence").alias("m")).first()["m"], "calibration_median")
+        return Threshold(point["threshold"], BUDGET)
+    return Threshold(results.agg(F.median("confidence").alias("m")).first()["m"], MEDIAN)
 
 
 def calibrated_experiment(calibration: DataFrame, test: DataFrame, score: Scorer) -> dict:
@@ -83,23 +96,30 @@ def stress_experiment(calibration: DataFrame, base_test: DataFrame, covered: Dat
     results = M.case_results(c, "k")
     at = M.risk_coverage(results, [threshold.value], by=["k"])
     both = c.withColumn("expected_abstain", F.lit(False)).unionByName(m.withColumn("expected_abstain", F.lit(True)), allowMissingColumns=True)
-    # the first cases of each size, by id
-    ranked = covered.withColumn("k", k).groupBy("k").agg(F.slice(F.array_sort(F.collect_set("case_id")), 1, permutation_cases).alias("_ids"))
-    few = covered.withColumn("k", k).join(F.broadcast(ranked), "k").where(F.array_contains("_ids", F.col("case_id"))).drop("_ids")
+    # the first cases of each size, by id; the window keeps no more of each in the map tasks
+    first = Window.partitionBy("k").orderBy("case_id")
+    few = covered.withColumn("k", k).withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= permutation_cases).drop("_rn")
     return {
         "fit": f,
         "threshold": threshold,
+        "source": M.benchmark_report(source_results),
         "base_test": M.benchmark_report(M.case_results(scaled(base_test))),
         "covered": M.benchmark_report(results, by=["k"]),
         "at_threshold": at,
         "abstention": R.abstention_report(R.abstention_cases(both, threshold.value), by=["k"]),
-        "transfer": R.threshold_transfer(source_results, results, threshold.value),
-        "permutation": R.permutation_report(R.permutation_cases(few, scaled)),
+        "transfer": R.threshold_transfer(source_results, results, threshold.value, by=["k"]),
+        "permutation": R.permutation_report(R.permutation_cases(few, scaled, "k"), by=["k"]),
     }
 
 
 def quality_experiment(calibration: DataFrame, test: DataFrame, abstention: DataFrame, score: Scorer, risk_budget: float = 0.5, min_coverage: float = 0.25, thresholds: Sequence[float] = GRID) -> dict:
-    """Everything that decides comes from calibration; then closed test, transfer, order, abstention and its groups."""
+    """Everything that decides comes from calibration; then closed test, transfer, order, abstention and its groups.
+
+    Refuses empty sets and an abstention set with cases that are not to be left alone.
+    """
+    counts = [d.limit(1).count() for d in (calibration, test, abstention)]
+    if not all(counts) or abstention.where(~F.coalesce("expected_abstain", F.lit(False))).limit(1).count():
+        raise ValueError("every set needs cases, and the abstention set only such as are to be left alone")
     source = keep(score(calibration))
     f = fit(source)
     scaled = calibrated(score, f.temperature)
@@ -116,7 +136,7 @@ def quality_experiment(calibration: DataFrame, test: DataFrame, abstention: Data
         "transfer": R.threshold_transfer(source_results, target, threshold.value),
         "permutation": R.permutation_report(R.permutation_cases(test, scaled)),
         "abstention": R.abstention_report(left),
-        "groups": R.abstention_groups(left.where("expected_abstain")),
+        "groups": R.abstention_groups(left),
     }
 
 

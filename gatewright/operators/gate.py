@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions.canonical import json_digest
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,21 @@ def require_valid(scored: DataFrame, *, lengths: bool = True) -> DataFrame:
     return scored.where(F.when(F.size(wrong) == 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("invalid case: "), F.array_join(wrong, ",")))))
 
 
+def decision_id(decided: DataFrame) -> DataFrame:
+    """Adds ``decision_id``, the same for the same request (decision_type, candidates, context as JSON text) and result."""
+    ranked = F.transform(S._ranked(F.col("scores")), lambda x: F.struct(x["candidate"].alias("candidate"), x["probability"].alias("probability")))
+    evidence = F.struct(F.col("runner_up").alias("runner_up_probability"), "margin")
+    made = F.when(F.col("action") == "EXECUTE", F.struct(F.col("decision").alias("candidate"), "confidence", evidence.alias("evidence")))
+    parts = F.struct("decision_type", "candidates", F.parse_json("context").alias("context"), "action", "reason_code", ranked.alias("scores"), made.alias("decision"))
+    return decided.withColumn("decision_id", json_digest(F.to_json(parts, {"ignoreNullFields": "false"}), "decision-sha256:"))
+
+
 def ledger(decided: DataFrame) -> DataFrame:
-    """One append-only entry for each decision, with its time."""
+    """One append-only entry for each decision, with its time, scores by rank and the evidence of what was executed."""
     kept = [c for c in ("case_id", "decision_id", "decision_type") if c in decided.columns]
-    return decided.select(F.current_timestamp().alias("timestamp"), *kept, "candidates", "scores", "action", "reason_code", "decision", "confidence", "margin")
+    ranked = F.transform(S._ranked(F.col("scores")), lambda x: F.struct(x["candidate"].alias("candidate"), x["probability"].alias("probability")))
+    run = F.col("action") == "EXECUTE"
+    return decided.select(
+        F.current_timestamp().alias("timestamp"), *kept, F.col("candidates").alias("candidate_set"), ranked.alias("scores"), "action", "reason_code", F.col("decision").alias("selected_candidate"),
+        F.when(run, F.col("confidence")).alias("confidence"), F.when(run, F.struct(F.col("runner_up").alias("runner_up_probability"), "margin")).alias("evidence"),
+    )

@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.canonical import sealed
+from ..functions.canonical import same_value, sealed
+from ..sources import cases as K
+from . import corpora as P
 from . import experiments as X
 from . import seal
 from .scoring import Scorer
@@ -31,18 +33,39 @@ def run(arms: dict[str, Scorer], stress: dict[str, DataFrame], quality: dict[str
     return frames
 
 
-def profile(adapter: str, model_ref: str, calibration: DataFrame, calibration_sha256: str, fit: X.Fit, threshold: X.Threshold, risk_budget: float, margin_threshold: float = 0.0) -> dict:
-    """A sealed profile of one arm; the calibration cases must be of one type and one candidate set."""
-    rows = calibration.agg(F.array_sort(F.collect_set("decision_type")).alias("types"), F.collect_set(F.array_sort("candidates")).alias("sets"), F.array_sort(F.collect_list(F.col("case_id").cast("string"))).alias("ids")).first()
-    if len(rows["types"]) != 1:
+def profile(
+    *, adapter: str, source_adapter: str, model_ref: str, calibration_path: str, calibration: DataFrame, test: DataFrame, results: DataFrame, fit: X.Fit, threshold: X.Threshold, risk_budget: float,
+    source_risk_budget: float | None = None, min_coverage: float = 0.25, thresholds: Sequence[float] = X.GRID, inventory_sha256: str | None = None,
+) -> dict:
+    """A sealed profile of one arm, from cases (case_id, split, decision_type, context, candidates, gold) and calibrated ``results`` of the calibration cases.
+
+    Refuses: a pair that leaks; cases that are not those of the file; results of other cases or gold
+    labels; several decision types; an adapter whose calibrated form is another; another budget; a
+    threshold that is not the operating point (or, without one, the median confidence).
+    """
+    spark = calibration.sparkSession
+    P.pair_report(calibration, test)
+    said = lambda d: d.select("case_id", "decision_type", same_value("context").alias("context"), "candidates", "gold")
+    filed = said(K.read_cases(spark, calibration_path))
+    if filed.exceptAll(said(calibration)).limit(1).count() or said(calibration).exceptAll(filed).limit(1).count():
+        raise ValueError("the calibration file has other cases")
+    named = lambda d: d.select(F.col("case_id").cast("string"), "gold")
+    if named(results).exceptAll(named(calibration)).limit(1).count() or named(calibration).exceptAll(named(results)).limit(1).count():
+        raise ValueError("the results are of other cases or gold labels")
+    kinds = [r[0] for r in calibration.select("decision_type").union(test.select("decision_type")).distinct().limit(2).collect()]
+    if len(kinds) != 1:
         raise ValueError("a profile is of one decision type")
-    if not adapter.endswith("+calibrated"):
-        raise ValueError("a profile belongs to a calibrated adapter")
-    budget = risk_budget if threshold.selection == "calibration_risk_budget" else None
-    candidates = sorted({c for s in rows["sets"] for c in s})
+    if source_adapter != f"{adapter}+calibrated" or source_risk_budget not in (None, risk_budget):
+        raise ValueError("the results are of another adapter or budget")
+    chosen = X.choose_threshold(results, risk_budget, min_coverage, thresholds)
+    if chosen != threshold:
+        raise ValueError(f"the calibration cases give {chosen}")
+    # the ids are part of the document; they are those of one small file, in its order
+    ids = [r["case_id"] for r in K.read_cases(spark, calibration_path).select("ordinal", "case_id").orderBy("ordinal").collect()]
+    sha = K.file_digests(spark, calibration_path).first()["sha256"]
     return seal.build_profile(
-        adapter=adapter, model_ref=model_ref, decision_type=rows["types"][0], candidates=candidates, inventory_sha256=None, calibration={"sha256": calibration_sha256, "case_ids": rows["ids"]},
-        temperature=fit.temperature, threshold=threshold.value, margin_threshold=margin_threshold, selection=threshold.selection, risk_budget=budget,
+        adapter=adapter, model_ref=model_ref, decision_type=kinds[0], calibration={"sha256": sha, "case_count": len(ids), "case_ids": ids}, temperature=fit.temperature,
+        execute_threshold=threshold.value, risk_budget=risk_budget, selection=threshold.selection, inventory_sha256=inventory_sha256,
     )
 
 

@@ -1,24 +1,30 @@
 """Stress suites: cases with many candidates, drawn from an inventory of tools.
 
 A case's distractors are its inventory in a deterministic order (hash, lexical or embedding
-similarity) that does not depend on the number of candidates, so smaller sets are prefixes
-of larger ones and one ranking serves all sizes. While the inventory has at most
-``BROADCAST_TOOLS`` tools it travels as one broadcast row and each case ranks it in its own
-row, without a shuffle; a larger one is joined in and ranked by a window that keeps the top
-rows of each case map-side.
+similarity, or that of a ranker) that does not depend on the number of candidates, so smaller
+sets are prefixes of larger ones and one ranking serves all sizes. An inventory travels in
+blocks of at most ``BLOCK_ROWS`` tools and about ``BLOCK_BYTES``, each of them one broadcast
+row that every case ranks in its own row, without a shuffle; what several blocks found best is
+merged by case. A ranker by similarity of words uses an inverted index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 
 UNIT = chr(31)
-BROADCAST_TOOLS = 20_000
+BLOCK_ROWS = 20_000
+BLOCK_BYTES = 32 << 20
+#: Words of all items of an inverted index that is broadcast; beyond that, words are joined.
+INDEX_WORDS = 4_000_000
 STRATEGIES = ("random", "lexical", "semantic")
 
 
@@ -38,9 +44,18 @@ def check_counts(counts: Sequence[int], missing: bool) -> list[int]:
     return out
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once a row, and not once for each element of a lambda inside."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _weight(df: DataFrame) -> Column:
+    """About how many bytes a row has."""
+    sizes = {"string": lambda c: F.octet_length(c), "array<string>": lambda c: F.octet_length(F.array_join(c, "____"))}
+    return sum((F.coalesce(sizes.get(t, lambda c: F.size(c) * 8 if c_type.startswith("array") else F.lit(8))(F.col(n)), F.lit(0)) for n, t in df.dtypes for c_type in [t]), F.lit(16))
+
+
+def blocks(df: DataFrame, key: str) -> list[DataFrame]:
+    """The rows as a few one-row tables with a sorted array ``_tools``, dealt by a hash of the key; none is above the bounds by much."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_weight(df)), F.lit(0))).first()
+    k = max(1, -(-n // BLOCK_ROWS), -(-size // BLOCK_BYTES))
+    parts = [df] if k == 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(k)) == i) for i in range(k)]
+    return [p.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("_tools")) for p in parts]
 
 
 def _key(strategy: str, seed: int, own: Column, tool: Column) -> Column:
@@ -54,33 +69,50 @@ def _key(strategy: str, seed: int, own: Column, tool: Column) -> Column:
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def distractors(cases: DataFrame, tools: DataFrame, need: int, strategy: str = "random", seed: int = 0) -> DataFrame:
+#: A ranker orders the other tools of each case: (cases, tools) -> (case_id, ranked), all of them.
+Ranker = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def distractors(cases: DataFrame, tools: DataFrame, need: int, strategy: str | Ranker = "random", seed: int = 0) -> DataFrame:
     """``cases`` (case_id, gold, query) with ``ranked``, the first ``need`` other tools in order.
 
-    tools: name, description, server and, for the semantic strategy, vector.
+    tools: name, description, server and, for the semantic strategy, vector. Refuses a gold label
+    that the inventory does not have.
     """
-    fields = [F.col("name"), S.words_of(tool_text()).alias("words")] + ([F.col("vector")] if strategy == "semantic" else [])
-    small = tools.select(*fields)
+    if cases.join(tools.select(F.col("name").alias("gold")), "gold", "left_anti").limit(1).count() or cases.where("gold is null").limit(1).count():
+        raise ValueError("a case's gold label is not in the inventory")
+    if callable(strategy):
+        return cases.join(checked_ranking(strategy(cases, tools), cases, tools).select("case_id", F.slice("ranked", 1, need).alias("ranked")), "case_id")
+    fields = [F.col("name")] + ([S.words_of(tool_text()).alias("words")] if strategy == "lexical" else [F.col("vector")] if strategy == "semantic" else [])
     own = {"random": F.col("case_id"), "lexical": S.words_of("query") if "query" in cases.columns else None, "semantic": F.col("_gold_vector")}.get(strategy)
     asked = cases.join(tools.select(F.col("name").alias("gold"), F.col("vector").alias("_gold_vector")), "gold") if strategy == "semantic" else cases
-    if tools.count() <= BROADCAST_TOOLS:
-        inventory = small.agg(F.array_sort(F.collect_list(F.struct(*small.columns))).alias("_tools"))
-        spread = asked.crossJoin(F.broadcast(inventory))  # one row
-        others = F.filter("_tools", lambda t: ~t["name"].eqNullSafe(F.col("gold")))
-        order = bound(own, lambda o: F.array_sort(F.transform(others, lambda t: _key(strategy, seed, o, t))))
-        return spread.withColumn("ranked", F.transform(F.slice(order, 1, need), lambda x: x["name"])).drop("_tools", "_gold_vector")
-    pairs = asked.join(small.select(F.struct(*small.columns).alias("_tool")), ~F.col("_tool.name").eqNullSafe(F.col("gold")))
-    keyed = pairs.withColumn("_key", _key(strategy, seed, own, F.col("_tool")))
-    first = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("case_id").orderBy("_key"))).where(F.col("_rn") <= need)
-    ranked = first.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list("_key")), lambda x: x["name"]).alias("ranked"))
-    return cases.join(ranked, "case_id")
-
-
-def suite(cases: DataFrame, tools: DataFrame, counts: Sequence[int], strategy: str = "random", seed: int = 0, missing: bool = False) -> DataFrame:
+    others = F.filter("_tools", lambda t: ~t["name"].eqNullSafe(F.col("gold")))
+    order = S.bound(own, lambda o: F.array_sort(F.transform(others, lambda t: _key(strategy, seed, o, t))))
+    parts = [asked.crossJoin(F.broadcast(b)).withColumn("_best", F.slice(order, 1, need)).drop("_tools", "_gold_vector") for b in blocks(tools.select(*fields), "name")]  # one row each
+    names = lambda best: F.transform(best, lambda x: x["name"])
+    if len(parts) == 1:
+        return parts[0].withColumn("ranked", names(F.col("_best"))).drop("_best")
+    every = reduce(DataFrame.unionByName, [p.select("case_id", "_best") for p in parts])
+    merged = every.groupBy("case_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, need).alias("_best"))
+    return cases.join(merged.select("case_id", names(F.col("_best")).alias("ranked")), "case_id")
+
+
+def checked_ranking(ranking: DataFrame, cases: DataFrame, tools: DataFrame) -> DataFrame:
+    """The ranking of each case; raises if one is missing, repeats a tool or lacks one."""
+    n = tools.count() - 1
+    listed = ranking.join(cases.select("case_id", "gold"), "case_id").select("case_id", F.explode("ranked").alias("name"), "gold")
+    known = listed.join(tools.select("name").distinct(), "name", "left_semi").where("name <> gold").groupBy("case_id").agg(F.countDistinct("name").alias("n"))
+    sound = ranking.join(known, "case_id", "left").where((F.col("n") == n) & (F.size("ranked") == n))
+    if sound.select("case_id").distinct().count() != cases.count() or ranking.count() != cases.count():
+        raise ValueError("a ranker gives every other tool of each case once")
+    return ranking
+
+
+def suite(cases: DataFrame, tools: DataFrame, counts: Sequence[int], strategy: str | Ranker = "random", seed: int = 0, missing: bool = False, label: str | None = None) -> DataFrame:
     """For each case and size K: the gold label and K - 1 distractors, or K distractors if it is to be missing.
 
     Candidates are in an order that a hash of case, size and candidate fixes. Ids are
-    ``{case}::k{K}::{strategy}`` and ``{case}::missing::k{K}::{strategy}``.
+    ``{case}::k{K}::{strategy}`` (of a ranker, its name or ``label``) and ``{case}::missing::k{K}::{strategy}``.
     """
     sizes = check_counts(counts, missing)
     largest = sizes[-1] - (0 if missing else 1)
@@ -88,12 +120,13 @@ def suite(cases: DataFrame, tools: DataFrame, counts: Sequence[int], strategy: s
     if largest > capacity:
         raise ValueError(f"{sizes[-1]} candidates are asked for; the inventory has {capacity + 1}")
     ranked = distractors(cases, tools, largest, strategy, seed)
+    strategy = label or (strategy if isinstance(strategy, str) else strategy.__name__)
     spread = ranked.withColumn("candidate_count", F.explode(F.array(*map(F.lit, sizes))))
     chosen = F.slice(F.col("ranked"), F.lit(1), F.col("candidate_count") - F.lit(0 if missing else 1))
     if not missing:
         chosen = F.concat(F.array("gold"), chosen)
-    label = ("missing:" if missing else "covered:") + strategy
-    keyed = F.transform(chosen, lambda c: F.struct(_hash(F.lit(seed), F.col("case_id"), F.col("candidate_count"), F.lit(label), c).alias("k"), c.alias("c")))
+    tag = ("missing:" if missing else "covered:") + strategy
+    keyed = F.transform(chosen, lambda c: F.struct(_hash(F.lit(seed), F.col("case_id"), F.col("candidate_count"), F.lit(tag), c).alias("k"), c.alias("c")))
     parts = ["_case", F.lit("missing"), F.concat(F.lit("k"), "candidate_count"), F.lit(strategy)]
     named = spread.withColumn("candidates", F.transform(F.array_sort(keyed), lambda x: x["c"])).withColumnRenamed("case_id", "_case")
     out = named.withColumn("case_id", F.concat_ws("::", *[F.col(p) if isinstance(p, str) else p for i, p in enumerate(parts) if missing or i != 1]))
@@ -106,19 +139,78 @@ def suite(cases: DataFrame, tools: DataFrame, counts: Sequence[int], strategy: s
 def top_similar(queries: DataFrame, items: DataFrame, k: int, similarity: Callable[[Column, Column], Column]) -> DataFrame:
     """The ``k`` best (query_id, item_id, similarity, rank) of each query; ties by item.
 
-    ``similarity`` gets the structs of a query's and an item's columns. While there are at most
-    ``BROADCAST_TOOLS`` items they are one broadcast row and each query ranks them in its own row;
-    beyond that, each query's rows are cut to ``k`` in the map tasks, before an exchange.
+    ``similarity`` gets the structs of a query's and an item's columns. Items travel in blocks, each
+    one broadcast row; every query keeps ``k`` of a block in its own row, and the blocks' are merged.
+    """
+    scored = S.bound(F.struct(*queries.columns), lambda q: F.transform("_tools", lambda t: F.struct(t["item_id"].alias("item_id"), similarity(q, t).alias("similarity"))))
+    keyed = F.transform(scored, lambda t: F.struct((-F.round(t["similarity"], 9)).alias("k"), t["item_id"].alias("item_id"), t["similarity"].alias("similarity")))
+    parts = [queries.crossJoin(F.broadcast(b)).select("query_id", F.slice(F.array_sort(keyed), 1, k).alias("best")) for b in blocks(items, "item_id")]  # one row each
+    best = parts[0]
+    if len(parts) > 1:
+        best = reduce(DataFrame.unionByName, parts).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    return best.select("query_id", F.posexplode("best").alias("pos", "x")).select("query_id", "x.item_id", "x.similarity", (F.col("pos") + 1).alias("rank"))
+
+
+class WordIndex:
+    """Items by their words: for each word the places of its items, items in order of their ids."""
+
+    def __init__(self, rows: list[tuple[int, list[str]]]):
+        rows = sorted(rows, key=lambda r: r[0])
+        self.ids = np.array([i for i, _ in rows])
+        self.sizes = np.array([len(w) for _, w in rows], np.int64)
+        places: dict[str, list[int]] = {}
+        for at, (_, words) in enumerate(rows):
+            for w in words:
+                places.setdefault(w, []).append(at)
+        self.places = {w: np.array(p, np.int32) for w, p in places.items()}
+
+    def best(self, words: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, similarities) of the ``k`` most similar items, of equal ones those with the smallest ids."""
+        found = [p for w in words if (p := self.places.get(w)) is not None]
+        same = np.bincount(np.concatenate(found), minlength=len(self.ids)) if found else np.zeros(len(self.ids), np.int64)
+        similarity = same / np.maximum(1, len(words) + self.sizes - same)
+        key = np.round(similarity, 9)
+        k = min(k, len(key))
+        least = np.partition(key, len(key) - k)[len(key) - k] if k else 0
+        near = np.flatnonzero(key >= least)
+        near = near[np.argsort(-key[near], kind="stable")[:k]]
+        return self.ids[near], similarity[near]
+
+
+def lexical_neighbors(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The ``k`` items with the most similar word sets (query_id, item_id, similarity, rank); ties by item.
+
+    queries: query_id, words; items: item_id, words; both without repetitions. Items with at most
+    ``INDEX_WORDS`` words in all (counted first) are one inverted index that is broadcast, and each
+    query adds up the places of its words; beyond that, words meet in an equi-join.
     """
-    if items.count() <= BROADCAST_TOOLS:
-        one = items.agg(F.collect_list(F.struct(*items.columns)).alias("_items"))
-        scored = bound(F.struct(*queries.columns), lambda q: F.transform("_items", lambda t: F.struct(t["item_id"].alias("item_id"), similarity(q, t).alias("similarity"))))
-        keyed = F.transform(scored, lambda t: F.struct((-F.round(t["similarity"], 9)).alias("k"), t["item_id"].alias("item_id"), t["similarity"].alias("similarity")))
-        best = queries.crossJoin(F.broadcast(one)).select("query_id", F.posexplode(F.slice(F.array_sort(keyed), 1, k)).alias("pos", "x"))
-        return best.select("query_id", "x.item_id", "x.similarity", (F.col("pos") + 1).alias("rank"))
-    pairs = queries.select("query_id", F.struct(*queries.columns).alias("_q")).crossJoin(items.select("item_id", F.struct(*items.columns).alias("_t"))).select("query_id", "item_id", similarity(F.col("_q"), F.col("_t")).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.round(F.col("similarity"), 9).desc(), "item_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)) + F.count(F.lit(1))).first()[0]
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, item_id {dict(items.dtypes)['item_id']}, similarity double, rank int"
+    if total > INDEX_WORDS:
+        return _joined_neighbors(queries, items, k)
+    index = queries.sparkSession.sparkContext.broadcast(WordIndex([(r["item_id"], r["words"]) for r in items.select("item_id", "words").collect()]))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [index.value.best(list(w), k) for w in f["words"]]
+            counts = [len(i) for i, _ in found]
+            if sum(counts):
+                yield pd.DataFrame({"query_id": np.repeat(f["query_id"].to_numpy(), counts), "item_id": np.concatenate([i for i, _ in found]), "similarity": np.concatenate([s for _, s in found]), "rank": np.concatenate([np.arange(1, c + 1) for c in counts])})
+
+    return queries.select("query_id", F.coalesce("words", F.array().cast("array<string>")).alias("words")).mapInPandas(run, schema)
+
+
+def _joined_neighbors(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The same by a join of words; items without a common word come from the ``k`` smallest ids."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    asked = queries.select("query_id", size("words").alias("nq"), F.explode_outer("words").alias("word"))
+    held = items.select("item_id", size("words").alias("ni"), F.explode("words").alias("word"))
+    same = asked.join(held, "word").groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("same"), F.max("nq").alias("nq"), F.max("ni").alias("ni"))
+    near = same.select("query_id", "item_id", (F.col("same") / (F.col("nq") + F.col("ni") - F.col("same"))).alias("similarity"))
+    first = items.select("item_id").orderBy("item_id").limit(k)
+    zero = queries.select("query_id").crossJoin(F.broadcast(first)).join(near, ["query_id", "item_id"], "left_anti").withColumn("similarity", F.lit(0.0))  # k rows
+    order = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "item_id")
+    return near.unionByName(zero).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def by_candidate_count() -> Column:

@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 COVERAGE = ("covered", "missing_candidate", "unsupported")
 AMBIGUITY = ("clear", "near_neighbor", "underspecified", "multi_valid")
 RISK = ("low", "medium", "high")
-EFFECT = ("read_only", "write_capable", "destructive", "unknown")
+EFFECT = ("read_only", "sensitive_read", "write_capable", "unknown")
 ANNOTATION_VERSION = "mcp-routing-label/v1"
 TRACE_VERSION = "trace-backed-routing/v1"
+SOURCE_TYPES = ("production_trace", "incident_record", "user_study", "support_case")
+TRANSFORMATIONS = ("verbatim_sanitized", "semantic_rewrite")
+LABEL_SOURCES = ("observed_tool_selection", "human_adjudication", "upstream_contract_relabel")
+SANITIZATION = ("pii_removed", "secrets_removed", "customer_identifiers_removed", "free_text_reviewed")
+PSEUDONYMIZATION = "salted_sha256"
+OUTPUT_VERSION = "decision-output/v1"
 DIGEST = "^sha256:[0-9a-f]{64}$"
 
 
@@ -104,21 +110,37 @@ def dangling_references(cases: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def trace_violations(cases: DataFrame) -> DataFrame:
-    """Broken rules of the trace provenance; columns are those of the provenance struct ``trace``."""
+    """Broken rules of the trace provenance, a struct ``trace``; what is null breaks its rule.
+
+    Where the cases have decision_type, context (JSON text), candidates and gold, the released
+    digest must be that of what they say.
+    """
     t = lambda x: F.col(f"trace.{x}")
     missing = lambda ok: ~F.coalesce(ok, F.lit(False))
+    allowed = {"source_type": SOURCE_TYPES, "transformation": TRANSFORMATIONS, "label_source": LABEL_SOURCES}
     rules = [
         ("version", missing(t("version") == TRACE_VERSION)),
-        *((f"{k}_missing", missing(F.trim(t(k)) != "")) for k in ("source_type", "transformation", "label_source")),
+        *((k, missing(t(k).isin(*v))) for k, v in allowed.items()),
         *((k, missing(t(k).rlike(DIGEST))) for k in ("source_artifact_sha256", "source_record_sha256", "source_group_sha256", "released_case_sha256")),
-        ("pseudonymization", missing(t("identifier_pseudonymization") != "none")),
-        *((f"sanitization_{k}", missing(F.col(f"trace.sanitization.{k}"))) for k in ("pii_removed", "secrets_removed", "customer_identifiers_removed", "free_text_reviewed")),
+        ("pseudonymization", missing(t("identifier_pseudonymization") == PSEUDONYMIZATION)),
+        *((f"sanitization_{k}", missing(F.col(f"trace.sanitization.{k}"))) for k in SANITIZATION),
         ("approval", missing(t("benchmark_release_approved"))),
         ("reviewers", missing(t("reviewer_count") >= F.when(F.col("ambiguity").isin("underspecified", "multi_valid"), 2).otherwise(1))),
     ]
+    if {"decision_type", "context", "candidates", "gold"} <= set(cases.columns):
+        from .corpora import trace_fingerprint
+
+        rules.append(("released_fingerprint", t("released_case_sha256").rlike(DIGEST) & missing(t("released_case_sha256") == trace_fingerprint())))
     return _rows(cases, rules, "case_id")
 
 
+def trace_summary(cases: DataFrame) -> DataFrame:
+    """(category, value, n): cases by source type, transformation and label source, and the number of source groups."""
+    named = cases.select(*[F.col(f"trace.{k}").alias(k) for k in ("source_type", "transformation", "label_source")])
+    groups = cases.agg(F.countDistinct("trace.source_group_sha256").alias("n")).select(F.lit("source_groups").alias("category"), F.lit(None).cast("string").alias("value"), "n")
+    return category_counts(named, *named.columns).unionByName(groups)
+
+
 def trace_isolation(calibration: DataFrame, test: DataFrame) -> DataFrame:
     """(kind, value) of groups, records and released cases that both splits have."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in (("group", "group_id"), ("record", "record_id"), ("fingerprint", "fingerprint"))])
@@ -129,7 +151,7 @@ def trace_isolation(calibration: DataFrame, test: DataFrame) -> DataFrame:
 def embedding_violations(vectors: DataFrame) -> DataFrame:
     """(name, rule): wrong or different dimension, values that are not finite, zero norm, repeated names.
 
-    The dimension is the most frequent one, the smaller of equals.
+    Vectors that differ from the most frequent dimension (the smaller of equals) are the wrong ones.
     """
     sized = vectors.select("name", "vector", F.size("vector").alias("dim"))
     usual = sized.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).select(F.col("dim").alias("usual"))
@@ -146,23 +168,39 @@ def embedding_coverage(vectors: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def decision_output_violations(outputs: DataFrame) -> DataFrame:
-    """Broken rules of typed outputs: kind, candidates, abstain, value (VARIANT or string JSON), confidence.
+    """Broken rules of typed outputs: kind, candidates, abstain, value (VARIANT), confidence and, where there, schema_version.
 
-    A value is null exactly if the output abstains; choices are listed, booleans are strict, scores lie in [0, 1].
+    A value is null exactly if the output abstains; choices are listed and not empty, booleans are
+    strict, scores lie in [0, 1]. An output that does not say whether it abstains is wrong, and its
+    value and confidence are judged as if it did not.
     """
     value = F.col("value")
     kind_of = F.schema_of_variant(value)
     text, number, flag = (F.try_variant_get(value, "$", k) for k in ("string", "double", "boolean"))
-    none = value.isNull() | (kind_of == "VOID")
-    given = ~F.col("abstain") & ~none
+    none = F.coalesce(value.isNull() | (kind_of == "VOID"), F.lit(True))
+    abstain = F.coalesce(F.col("abstain"), F.lit(False))
+    given = ~abstain & ~none
+    listed = F.coalesce(F.array_contains("candidates", text), F.col("candidates").isNull(), F.lit(False))
     rules = [
         ("kind", ~F.coalesce(F.col("kind").isin("choice", "boolean", "score"), F.lit(False))),
-        ("abstain_value", F.col("abstain") & ~none),
-        ("abstain_confidence", F.col("abstain") & F.col("confidence").isNotNull()),
-        ("value_missing", ~F.col("abstain") & none),
-        ("confidence", ~F.col("abstain") & ~F.coalesce(F.col("confidence").between(0.0, 1.0) & ~F.isnan("confidence"), F.lit(False))),
-        ("choice", given & (F.col("kind") == "choice") & ~F.coalesce((kind_of == "STRING") & F.array_contains("candidates", text), F.lit(False))),
-        ("boolean", given & (F.col("kind") == "boolean") & ((kind_of != "BOOLEAN") | flag.isNull())),
+        ("abstain", F.col("abstain").isNull()),
+        ("abstain_value", abstain & ~none),
+        ("abstain_confidence", abstain & F.col("confidence").isNotNull()),
+        ("value_missing", ~abstain & none),
+        ("confidence", ~abstain & ~F.coalesce(F.col("confidence").between(0.0, 1.0) & ~F.isnan("confidence"), F.lit(False))),
+        ("choice", given & (F.col("kind") == "choice") & ~F.coalesce((kind_of == "STRING") & (text != "") & listed, F.lit(False))),
+        ("boolean", given & (F.col("kind") == "boolean") & ~F.coalesce((kind_of == "BOOLEAN") & flag.isNotNull(), F.lit(False))),
         ("score", given & (F.col("kind") == "score") & ~F.coalesce(~kind_of.isin("STRING", "BOOLEAN") & number.between(0.0, 1.0), F.lit(False))),
     ]
+    if "schema_version" in outputs.columns:
+        rules.append(("schema_version", ~F.coalesce(F.col("schema_version") == OUTPUT_VERSION, F.lit(False))))
     return _rows(outputs, rules, "case_id")
+
+
+def decision_output(kind: str, value: object, confidence: float | None, candidates: list[str] | None = None) -> dict:
+    """A typed output; refuses what the contract refuses, and choices without the candidates that they come from."""
+    chance = lambda x: type(x) in (int, float) and 0 <= x <= 1
+    fits = {"choice": lambda: isinstance(value, str) and value != "" and candidates is not None and value in candidates, "boolean": lambda: type(value) is bool, "score": lambda: chance(value)}
+    if kind not in fits or not (confidence is None if value is None else fits[kind]() and chance(confidence)):
+        raise ValueError("no typed decision output")
+    return {"schema_version": OUTPUT_VERSION, "kind": kind, "value": value, "abstain": value is None, "confidence": confidence}

@@ -5,11 +5,13 @@ Doubles are rounded to six places on both sides, since the order of a sum is fre
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..functions.canonical import json_digest, same_value
+from ..functions.canonical import same_value
 from ..operators import calibrate as C
 from ..operators import corpora as P
 from ..operators import gate as G
@@ -103,14 +105,24 @@ def runner_up_margin(spark, d):
 GATE = "CASE WHEN confidence < 0.4::DOUBLE THEN 'LOW_CONFIDENCE' WHEN confidence - runner_up < 0.05::DOUBLE THEN 'LOW_MARGIN' ELSE 'CONFIDENT' END"
 
 
-@query(f"WITH {W.EVT}, g AS (SELECT *, {GATE} AS reason_code FROM res) SELECT case_id, reason_code, CASE WHEN reason_code = 'CONFIDENT' THEN 'EXECUTE' ELSE 'FALLBACK' END AS action, CASE WHEN reason_code = 'CONFIDENT' THEN predicted END AS decision, round(confidence, 6) AS confidence FROM g")
+#: Every 13th case has no distribution, every 17th none of its probabilities; both must be refused.
+NULLS = "CASE WHEN case_id % 13 = 0 THEN 'INVALID_CANDIDATE_SET' WHEN case_id % 17 = 0 THEN 'INVALID_PROBABILITY'"
+GATED = f"g AS (SELECT *, {NULLS} ELSE {GATE} END AS reason_code FROM res), ga AS (SELECT *, CASE WHEN reason_code = 'CONFIDENT' THEN 'EXECUTE' WHEN reason_code LIKE 'INVALID%' THEN 'REJECT' ELSE 'FALLBACK' END AS action FROM g)"
+
+
+def _with_nulls(df: DataFrame) -> DataFrame:
+    none = F.transform("scores", lambda s: F.struct(s["candidate"].alias("candidate"), F.lit(None).cast("double").alias("probability")))
+    return df.withColumn("scores", F.when(F.col("case_id") % 13 != 0, F.when(F.col("case_id") % 17 == 0, none).otherwise(F.col("scores"))))
+
+
+@query(f"WITH {W.EVT}, {GATED} SELECT case_id, reason_code, action, CASE WHEN action = 'EXECUTE' THEN predicted END AS decision, CASE WHEN action <> 'REJECT' THEN round(confidence, 6) END AS confidence FROM ga")
 def gate_decisions(spark, d):
-    return r6(G.decide(W.events(spark, d), POLICY).select("case_id", "reason_code", "action", "decision", "confidence"))
+    return r6(G.decide(_with_nulls(W.events(spark, d)), POLICY).select("case_id", "reason_code", "action", "decision", "confidence"))
 
 
-@query(f"WITH {W.EVT}, g AS (SELECT {GATE} AS reason_code FROM res) SELECT reason_code, CASE WHEN reason_code = 'CONFIDENT' THEN 'EXECUTE' ELSE 'FALLBACK' END AS action, count(*) AS n FROM g GROUP BY reason_code")
+@query(f"WITH {W.EVT}, {GATED} SELECT reason_code, action, count(*) AS n FROM ga GROUP BY reason_code, action")
 def gate_action_counts(spark, d):
-    return G.decide(W.events(spark, d), POLICY).groupBy("reason_code", "action").agg(F.count(F.lit(1)).alias("n"))
+    return G.decide(_with_nulls(W.events(spark, d)), POLICY).groupBy("reason_code", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- metrics ---------------------------------------------------------------------------------
@@ -393,10 +405,8 @@ SELECT case_id, cand AS candidate, round(z / sum(z) OVER (PARTITION BY case_id),
 def prior_corrected_scores(spark, d):
     cases = W.events(spark, d).select("case_id", "candidates", "scores")
     prior = cases.select(F.explode("scores").alias("s")).groupBy("s.candidate").agg(F.log(F.avg("s.probability")).alias("neutral"))
-    one = prior.agg(F.map_from_entries(F.collect_list(F.struct("candidate", "neutral"))).alias("prior"))  # one entry for each candidate
-    with_prior = cases.crossJoin(F.broadcast(one))
-    logits = S.prior_corrected(F.transform("scores", lambda s: F.log(s["probability"])), F.transform("candidates", lambda c: F.element_at("prior", c)), 0.5)
-    return r6(with_prior.select("case_id", F.explode(S.candidate_softmax("candidates", logits)).alias("s")).select("case_id", "s.candidate", "s.probability"))
+    task = cases.select("case_id", "candidates", F.transform("scores", lambda s: F.log(s["probability"])).alias("logits"))
+    return r6(Z.with_priors(task, prior, 0.5).select("case_id", F.explode("scores").alias("s")).select("case_id", "s.candidate", "s.probability"))
 
 
 @query("SELECT o_custkey % 97 AS a, o_orderpriority AS b, count(*) AS requests, min(o_orderkey) AS first_case FROM orders GROUP BY 1, 2")
@@ -422,8 +432,8 @@ od AS (SELECT *, sha256('7' || chr(31) || case_id || chr(31) || kk || chr(31) ||
 SELECT {name} AS case_id, case_id AS parent_case_id, CAST(kk AS INTEGER) AS candidate_count, string_agg(name, ',' ORDER BY h) AS candidates, max(gold) AS gold, {str(missing).lower()} AS expected_abstain FROM od GROUP BY case_id, kk"""
 
 
-def _suite(spark, d, strategy, missing=False, whole=False):
-    x = U.suite(W.tool_cases(spark, d, whole), W.tools(spark, d, whole), SIZES, strategy, 7, missing)
+def _suite(spark, d, strategy, missing=False):
+    x = U.suite(W.tool_cases(spark, d), W.tools(spark, d), SIZES, strategy, 7, missing)
     return x.select("case_id", "parent_case_id", "candidate_count", F.array_join("candidates", ",").alias("candidates"), "gold", "expected_abstain")
 
 
@@ -448,25 +458,23 @@ def suite_lexical_covered(spark, d):
     return _suite(spark, d, "lexical")
 
 
-def _vector_tools(spark, d, whole=False):
+def _vector_tools(spark, d):
     e = W.table(spark, d, "embeddings")
-    return (e if whole else e.where("vec_id < 200")).select(F.concat(F.lit("v"), "vec_id").alias("name"), F.lit("").alias("description"), F.lit("s").alias("server"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), "vec_id")
+    return e.select(F.concat(F.lit("v"), "vec_id").alias("name"), F.lit("").alias("description"), F.lit("s").alias("server"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), "vec_id")
 
 
-def _vector_cases(spark, tools, whole=False):
-    asked = W.dealt(spark, tools, "vec_id") if whole else tools.where("vec_id % 20 = 0")
-    return asked.select(F.concat(F.lit("q"), "vec_id").alias("case_id"), F.col("name").alias("gold"))
+def _vector_cases(spark, tools):
+    return W.dealt(spark, tools.where("vec_id % 50 = 0"), "vec_id").select(F.concat(F.lit("q"), "vec_id").alias("case_id"), F.col("name").alias("gold"))
 
 
-@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 200),
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id),
-cs AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dp FROM v a JOIN v b ON a.i = b.i AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 GROUP BY 1, 2),
+cs AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dp FROM v a JOIN v b ON a.i = b.i AND a.vec_id <> b.vec_id AND a.vec_id % 50 = 0 GROUP BY 1, 2),
 rk AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY -(dp / (na.n * nb.n)), 'v' || b) AS rn FROM cs JOIN n na ON na.vec_id = a JOIN n nb ON nb.vec_id = b)
 SELECT 'q' || a AS case_id, string_agg('v' || b, ',' ORDER BY rn) AS ranked FROM rk WHERE rn <= 5 GROUP BY a""")
-def suite_semantic_ranking(spark, d, whole=False):
-    tools = _vector_tools(spark, d, whole)
-    cases = _vector_cases(spark, tools, whole)
-    return U.distractors(cases, tools.drop("vec_id"), 5, "semantic").select("case_id", F.array_join("ranked", ",").alias("ranked"))
+def suite_semantic_ranking(spark, d):
+    tools = _vector_tools(spark, d)
+    return U.distractors(_vector_cases(spark, tools), tools.drop("vec_id"), 5, "semantic").select("case_id", F.array_join("ranked", ",").alias("ranked"))
 
 
 LEXICAL = LEX.format(a="b.w", b="d.w")
@@ -477,14 +485,14 @@ s AS (SELECT d.doc_id AS query_id, b.item_id, 0 - ({LEXICAL}) AS similarity FROM
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, item_id) AS rank FROM s)
 SELECT query_id, item_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def lexical_topk(spark, d):
-    items = W.table(spark, d, "benchmark").select("item_id", S.words_of("text").alias("iw"))
-    queries = W.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), S.words_of("text").alias("qw"))
-    return r6(U.top_similar(queries, items, 3, lambda q, t: S.jaccard(q["qw"], t["iw"])))
+    items = W.table(spark, d, "benchmark").select("item_id", S.words_of("text").alias("words"))
+    queries = W.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), S.words_of("text").alias("words"))
+    return r6(U.lexical_neighbors(queries, items, 3))
 
 
 @query(f"""WITH {W.TOOLS}, ks AS (SELECT * FROM (VALUES (5),(10),(20)) AS t(kk)) SELECT CAST(kk AS INTEGER) AS k, count(*) AS cases, CAST(sum(kk) AS BIGINT) AS candidates FROM tcase, ks GROUP BY kk""")
-def suite_group_by_k(spark, d, whole=False):
-    x = U.suite(W.tool_cases(spark, d, whole), W.tools(spark, d, whole), SIZES, "random", 7)
+def suite_group_by_k(spark, d):
+    x = U.suite(W.tool_cases(spark, d), W.tools(spark, d), SIZES, "random", 7)
     return x.groupBy(U.by_candidate_count().alias("k")).agg(F.count(F.lit(1)).alias("cases"), F.sum(F.size("candidates")).alias("candidates"))
 
 
@@ -497,8 +505,8 @@ ch AS (SELECT case_id, gold, kk, name FROM rk JOIN ks ON rn <= kk - 1 UNION ALL
 w AS (SELECT *, row_number() OVER (PARTITION BY case_id, kk ORDER BY {_SUITE_HASH}) AS pos, CAST(1 + (length(name) * 7 + CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) * 13 + kk) % 101 + CASE WHEN name = gold AND kk < 20 THEN 60 ELSE 0 END AS DOUBLE) AS w FROM ch),
 t AS (SELECT *, w / sum(w) OVER (PARTITION BY case_id, kk) AS p, row_number() OVER (PARTITION BY case_id, kk ORDER BY w DESC, pos) AS rn FROM w)
 SELECT CAST(kk AS INTEGER) AS k, count(*) AS n, round(avg(CASE WHEN name = gold THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg(p), 6) AS confidence FROM t WHERE rn = 1 GROUP BY kk""")
-def stress_by_k(spark, d, whole=False):
-    x = U.suite(W.tool_cases(spark, d, whole), W.tools(spark, d, whole), SIZES, "random", 7)
+def stress_by_k(spark, d):
+    x = U.suite(W.tool_cases(spark, d), W.tools(spark, d), SIZES, "random", 7)
     weight = lambda c: (F.lit(1) + (F.length(c) * 7 + F.regexp_extract(c, "([0-9]+)", 1).cast("long") * 13 + F.col("candidate_count")) % 101 + F.when((c == F.col("gold")) & (F.col("candidate_count") < 20), 60).otherwise(0)).cast("double")
     scored = x.withColumn("scores", S.distribution("candidates", S.normalised(F.transform("candidates", weight))))
     results = M.case_results(scored.withColumn("k", U.by_candidate_count()), "k")
@@ -513,9 +521,11 @@ def split_id_overlap(spark, d):
     return V.overlap(W.turns(spark, d, 0, False), W.turns(spark, d, 1, False), "group_id")
 
 
-@query("SELECT DISTINCT sha256(coalesce(text, '')) AS fingerprint FROM conversations WHERE conv_id % 2 = 0 INTERSECT SELECT DISTINCT sha256(coalesce(text, '')) FROM conversations WHERE conv_id % 2 = 1")
+@query("SELECT sha256(role || length(coalesce(text, ''))) AS fingerprint FROM conversations WHERE conv_id % 2 = 0 INTERSECT SELECT sha256(role || length(coalesce(text, ''))) FROM conversations WHERE conv_id % 2 = 1")
 def split_context_leakage(spark, d):
-    return V.overlap(W.turns(spark, d, 0), W.turns(spark, d, 1), "fingerprint")
+    """Contexts that say little are in both splits."""
+    sides = [W.turns(spark, d, s).select(F.sha2(F.concat("role", F.length(F.coalesce("text", F.lit("")))), 256).alias("fingerprint")) for s in (0, 1)]
+    return V.overlap(*sides, "fingerprint")
 
 
 @query("SELECT conv_id || ':' || turn AS case_id, 'split' AS rule FROM conversations WHERE role <> 'user'")
@@ -523,10 +533,13 @@ def split_label_violations(spark, d):
     return V.split_labels(W.table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("case_id"), F.col("role").alias("split")), "user")
 
 
-@query(f"WITH {W.TOOLS}, x AS (SELECT case_id, gold, CASE WHEN gold LIKE '%30' THEN 'part::9999' ELSE gold END AS g2 FROM tcase) SELECT case_id, 'gold' AS role, g2 AS name FROM x WHERE g2 NOT IN (SELECT name FROM tool) UNION ALL SELECT case_id, 'candidate', 'ghost::' || case_id FROM x")
-def inventory_dangling_refs(spark, d, whole=False):
-    cases = W.tool_cases(spark, d, whole).select("case_id", F.when(F.col("gold").like("%30"), F.lit("part::9999")).otherwise(F.col("gold")).alias("gold"), F.array("gold", F.concat(F.lit("ghost::"), "case_id")).alias("candidates"), F.lit("covered").alias("coverage"))
-    return V.dangling_references(cases, W.tools(spark, d, whole))
+@query("WITH x AS (SELECT 'case' || p_partkey AS case_id, CASE WHEN p_partkey % 30 = 0 THEN 'part::x' || p_partkey ELSE 'part::' || p_partkey END AS g2, p_partkey FROM part) SELECT case_id, 'gold' AS role, g2 AS name FROM x WHERE p_partkey % 30 = 0 UNION ALL SELECT case_id, 'candidate', 'ghost::' || case_id FROM x")
+def inventory_dangling_refs(spark, d):
+    """Every part as tool and as case."""
+    t = W.tools(spark, d)
+    gold = F.when(F.col("p_partkey") % 30 == 0, F.concat(F.lit("part::x"), "p_partkey")).otherwise(F.col("name"))
+    cases = t.withColumn("case_id", F.concat(F.lit("case"), "p_partkey")).select("case_id", gold.alias("gold"), F.array("name", F.concat(F.lit("ghost::"), "case_id")).alias("candidates"), F.lit("covered").alias("coverage"))
+    return V.dangling_references(cases, t)
 
 
 @query("SELECT 'group' AS kind, CAST(conv_id AS VARCHAR) AS value FROM (SELECT conv_id FROM conversations WHERE turn % 2 = 0 INTERSECT SELECT conv_id FROM conversations WHERE turn % 2 = 1)")
@@ -534,15 +547,12 @@ def trace_group_leakage(spark, d):
     return V.trace_isolation(*[W.turns(spark, d, s, False) for s in (0, 1)]).where("kind = 'group'")
 
 
-@query("SELECT 'record' AS kind, conv_id || ':' || turn AS value FROM conversations WHERE conv_id % 2 = 0 INTERSECT SELECT 'record', conv_id || ':' || turn FROM conversations WHERE conv_id % 2 = 1")
+@query("""WITH r AS (SELECT conv_id, CAST(conv_id // 3 AS VARCHAR) AS value FROM conversations), f AS (SELECT conv_id, sha256(coalesce(text, '')) AS value FROM conversations WHERE turn = 0)
+SELECT * FROM (SELECT 'record' AS kind, value FROM r WHERE conv_id % 2 = 0 INTERSECT SELECT 'record', value FROM r WHERE conv_id % 2 = 1) UNION ALL SELECT * FROM (SELECT 'fingerprint' AS kind, value FROM f WHERE conv_id % 2 = 0 INTERSECT SELECT 'fingerprint', value FROM f WHERE conv_id % 2 = 1)""")
 def trace_record_leakage(spark, d):
-    return V.trace_isolation(*[W.turns(spark, d, s) for s in (0, 1)]).where("kind = 'record'")
-
-
-@query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS groups FROM conversations GROUP BY role")
-def trace_summary(spark, d):
-    c = W.table(spark, d, "conversations")
-    return c.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("conv_id").alias("groups"))
+    """Conversations share records by threes, and some first turns."""
+    side = lambda s: W.turns(spark, d, s).withColumn("record_id", F.expr("cast(group_id div 3 as string)")).withColumn("fingerprint", F.when(F.substring_index("case_id", ":", -1) == "0", F.col("fingerprint")))
+    return V.trace_isolation(side(0), side(1)).where("kind <> 'group'")
 
 
 def traced(spark: SparkSession, d: str) -> DataFrame:
@@ -550,21 +560,34 @@ def traced(spark: SparkSession, d: str) -> DataFrame:
     sha = lambda c: F.concat(F.lit("sha256:"), F.sha2(c.cast("string"), 256))
     c = W.table(spark, d, "conversations")
     on = lambda n: F.col("conv_id") % n != 0
+    of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("conv_id") % n + 1).cast("int"))
     return c.select(
         F.concat_ws(":", "conv_id", "turn").alias("case_id"),
-        F.lit("clear").alias("ambiguity"),
+        F.when(F.col("turn") == 1, "multi_valid").otherwise("clear").alias("ambiguity"),
         F.struct(
-            F.when(on(11), V.TRACE_VERSION).alias("version"), F.lit("log").alias("source_type"), F.lit("redaction").alias("transformation"), F.lit("review").alias("label_source"),
+            F.when(on(11), V.TRACE_VERSION).alias("version"), of((*V.SOURCE_TYPES, "log"), 5).alias("source_type"), of((*V.TRANSFORMATIONS, None), 3).alias("transformation"), of((*V.LABEL_SOURCES, "guess"), 4).alias("label_source"),
             sha(F.col("conv_id")).alias("source_artifact_sha256"), F.when(on(13), sha(F.col("turn"))).otherwise("sha256:zz").alias("source_record_sha256"), sha(F.col("conv_id")).alias("source_group_sha256"), sha(F.col("turn")).alias("released_case_sha256"),
-            F.lit("hashed").alias("identifier_pseudonymization"), F.lit(True).alias("benchmark_release_approved"), (F.col("conv_id") % 17).alias("reviewer_count"),
-            F.struct(F.lit(True).alias("pii_removed"), on(19).alias("secrets_removed"), F.lit(True).alias("customer_identifiers_removed"), F.lit(True).alias("free_text_reviewed")).alias("sanitization"),
+            F.when(on(7), V.PSEUDONYMIZATION).otherwise("hashed").alias("identifier_pseudonymization"), F.when(on(23), True).alias("benchmark_release_approved"), (F.col("conv_id") % 17).alias("reviewer_count"),
+            F.struct(F.lit(True).alias("pii_removed"), on(19).alias("secrets_removed"), F.lit(True).alias("customer_identifiers_removed"), F.when(on(29), True).alias("free_text_reviewed")).alias("sanitization"),
         ).alias("trace"),
     )
 
 
-@query("""WITH c AS (SELECT conv_id || ':' || turn AS case_id, conv_id FROM conversations)
-SELECT case_id, 'version' AS rule FROM c WHERE conv_id % 11 = 0 UNION ALL SELECT case_id, 'source_record_sha256' FROM c WHERE conv_id % 13 = 0
-UNION ALL SELECT case_id, 'reviewers' FROM c WHERE conv_id % 17 = 0 UNION ALL SELECT case_id, 'sanitization_secrets_removed' FROM c WHERE conv_id % 19 = 0""")
+_LISTED_KINDS = {"source_type": V.SOURCE_TYPES + ("log",), "transformation": V.TRANSFORMATIONS + (None,), "label_source": V.LABEL_SOURCES + ("guess",)}
+
+
+def _kind_sql(name: str) -> str:
+    values = _LISTED_KINDS[name]
+    return f"[{', '.join('NULL' if v is None else repr(v) for v in values)}][conv_id % {len(values)} + 1]"
+
+
+@query("WITH c AS (SELECT conv_id, " + ", ".join(f"{_kind_sql(k)} AS {k}" for k in _LISTED_KINDS) + " FROM conversations) " + " UNION ALL ".join(f"SELECT '{k}' AS category, {k} AS value, count(*) AS n FROM c GROUP BY {k}" for k in _LISTED_KINDS) + " UNION ALL SELECT 'source_groups', NULL, count(DISTINCT conv_id) FROM c")
+def trace_summary(spark, d):
+    return V.trace_summary(traced(spark, d))
+
+
+@query("""WITH c AS (SELECT conv_id || ':' || turn AS case_id, conv_id, turn FROM conversations), b AS (SELECT * FROM (VALUES ('version', 11, 0), ('source_type', 5, 4), ('transformation', 3, 2), ('label_source', 4, 3), ('source_record_sha256', 13, 0), ('pseudonymization', 7, 0), ('approval', 23, 0), ('sanitization_secrets_removed', 19, 0), ('sanitization_free_text_reviewed', 29, 0)) AS t(rule, n, r))
+SELECT case_id, rule FROM c JOIN b ON conv_id % n = r UNION ALL SELECT case_id, 'reviewers' FROM c WHERE conv_id % 17 < CASE WHEN turn = 1 THEN 2 ELSE 1 END""")
 def trace_violations(spark, d):
     return V.trace_violations(traced(spark, d))
 
@@ -574,7 +597,7 @@ def annotated(spark: SparkSession, d: str) -> DataFrame:
     x = W.abstention(spark, d)
     return x.select(
         "case_id", "candidates", F.when(F.col("coverage") != "unsupported", F.col("gold")).alias("gold"), F.when(F.col("case_id") % 9 != 0, V.ANNOTATION_VERSION).alias("annotation_version"), "coverage", "ambiguity", "automation_risk",
-        F.when(F.col("case_id") % 5 == 0, "write_capable").otherwise("read_only").alias("operation_effect"), "expected_abstain", F.when(F.col("case_id") % 6 != 0, "because the text says so, clearly").otherwise(" too short ").alias("label_rationale"),
+        F.when(F.col("case_id") % 5 == 0, "write_capable").when(F.col("case_id") % 5 == 1, "sensitive_read").when(F.col("case_id") % 25 == 2, "destructive").otherwise("read_only").alias("operation_effect"), "expected_abstain", F.when(F.col("case_id") % 6 != 0, "because the text says so, clearly").otherwise(" too short ").alias("label_rationale"),
         F.lit(None).cast("string").alias("gold_rationale"), F.lit("reading").alias("label_basis"), F.lit(None).cast("array<string>").alias("plausible_candidates"), F.lit(None).cast("array<struct<repository:string,revision:string,path:string>>").alias("evidence_refs"),
     )
 
@@ -584,7 +607,7 @@ SELECT case_id, 'annotation_version' AS rule FROM a WHERE case_id % 9 = 0 UNION
 UNION ALL SELECT case_id, 'open_gold' FROM a WHERE coverage = 'covered' AND ab AND amb AND gold IS NOT NULL UNION ALL SELECT case_id, 'open_plausible' FROM a WHERE coverage = 'covered' AND ab AND amb
 UNION ALL SELECT case_id, 'missing_gold' FROM a WHERE coverage = 'missing_candidate' UNION ALL SELECT case_id, 'missing_abstain' FROM a WHERE coverage = 'missing_candidate' AND NOT ab
 UNION ALL SELECT case_id, 'unsupported_abstain' FROM a WHERE coverage = 'unsupported' AND NOT ab UNION ALL SELECT case_id, 'ambiguous_abstain' FROM a WHERE amb AND NOT ab
-UNION ALL SELECT case_id, 'high_risk_effect' FROM a WHERE risk = 'high' AND NOT wr UNION ALL SELECT case_id, 'write_low_risk' FROM a WHERE wr AND risk = 'low'""")
+UNION ALL SELECT case_id, 'high_risk_effect' FROM a WHERE risk = 'high' AND NOT wr UNION ALL SELECT case_id, 'write_low_risk' FROM a WHERE wr AND risk = 'low' UNION ALL SELECT case_id, 'operation_effect' FROM a WHERE case_id % 25 = 2""")
 def annotation_violations(spark, d):
     return V.annotation_violations(annotated(spark, d))
 
@@ -610,7 +633,8 @@ def embedding_coverage(spark, d):
 
 
 @query("""SELECT event_id AS case_id, 'confidence' AS rule FROM events WHERE event_id % 4 <> 0 AND event_id % 10 = 7 UNION ALL SELECT event_id, 'choice' FROM events WHERE event_id % 4 = 1 AND event_id % 6 = 5
-UNION ALL SELECT event_id, 'boolean' FROM events WHERE event_id % 4 = 2 AND event_id % 6 = 2 UNION ALL SELECT event_id, 'score' FROM events WHERE event_id % 4 = 3 AND event_id % 9 = 1 UNION ALL SELECT event_id, 'abstain_confidence' FROM events WHERE event_id % 4 = 0 AND event_id % 8 = 0""")
+UNION ALL SELECT event_id, 'boolean' FROM events WHERE event_id % 4 = 2 AND event_id % 6 = 2 UNION ALL SELECT event_id, 'score' FROM events WHERE event_id % 4 = 3 AND event_id % 9 = 1 UNION ALL SELECT event_id, 'abstain_confidence' FROM events WHERE event_id % 8 = 0 AND event_id % 44 <> 0
+UNION ALL SELECT event_id, 'abstain' FROM events WHERE event_id % 44 = 0 UNION ALL SELECT event_id, 'value_missing' FROM events WHERE event_id % 44 = 0 UNION ALL SELECT event_id, 'confidence' FROM events WHERE event_id % 44 = 0 AND event_id % 8 <> 0""")
 def decision_output_violations(spark, d):
     i = F.col("event_id")
     kind = F.element_at(F.array(*map(F.lit, ("choice", "choice", "boolean", "score"))), (i % 4 + 1).cast("int"))
@@ -620,7 +644,7 @@ def decision_output_violations(spark, d):
         .when(i % 4 == 3, F.when(i % 9 == 1, F.lit("1.5")).otherwise(F.lit("0.25")))
     )
     confidence = F.when(i % 4 == 0, F.when(i % 8 == 0, 0.5)).otherwise(F.when(i % 10 == 7, 2.0).otherwise(0.5))
-    rows = W.table(spark, d, "events").select(i.alias("case_id"), kind.alias("kind"), F.array(*map(F.lit, W.EVENT_TYPES)).alias("candidates"), (i % 4 == 0).alias("abstain"), F.parse_json(value).alias("value"), confidence.alias("confidence"))
+    rows = W.table(spark, d, "events").select(i.alias("case_id"), kind.alias("kind"), F.array(*map(F.lit, W.EVENT_TYPES)).alias("candidates"), F.when(i % 44 != 0, i % 4 == 0).alias("abstain"), F.parse_json(value).alias("value"), confidence.alias("confidence"))
     return V.decision_output_violations(rows)
 
 
@@ -646,40 +670,66 @@ def benchmark_matrix(spark, d):
     return r6(report.join(points, "arm", "left").orderBy("arm"))
 
 
-@query(f"WITH {W.EVT}, {ARMS} SELECT arm, count(*) AS case_count, CAST(min(case_id) AS BIGINT) AS first_case, CAST(max(case_id) AS BIGINT) AS last_case, count(*) = (SELECT count(*) FROM res) AS same_cases FROM arms GROUP BY arm")
+@query(f"""WITH {W.SUP}, th AS (SELECT * FROM (VALUES (0.35::DOUBLE),(0.4),(0.45),(0.5),(0.6)) AS t(threshold)),
+cv AS (SELECT arm, threshold, avg(CASE WHEN confidence >= threshold THEN 1.0::DOUBLE ELSE 0 END) AS coverage, coalesce(avg(CASE WHEN confidence >= threshold THEN CASE WHEN correct THEN 0.0::DOUBLE ELSE 1 END END), 0) AS risk FROM arms, th GROUP BY arm, threshold),
+op AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY coverage DESC, risk, threshold DESC) AS rn FROM cv WHERE coverage > 0 AND risk <= 0.3)
+SELECT a.*, op.threshold AS operating_threshold, round(op.coverage, 6) AS coverage, round(op.risk, 6) AS risk, false AS fallback_measured
+FROM (SELECT arm AS adapter, count(*) AS case_count, round(avg({HIT}), 6) AS accuracy, round(avg(pow(confidence - {HIT}, 2)), 6) AS brier, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms FROM arms GROUP BY arm) a LEFT JOIN op ON a.adapter = op.arm AND op.rn = 1""")
 def contract_matrix_rows(spark, d):
-    arms = _arms(spark, d)
-    per = arms.groupBy("arm").agg(F.count(F.lit(1)).alias("case_count"), F.min("case_id").alias("first_case"), F.max("case_id").alias("last_case"), F.bit_xor(F.xxhash64("case_id")).alias("ids"))
-    same = per.agg((F.countDistinct("ids") == 1).alias("same_cases"))
-    return per.drop("ids").crossJoin(F.broadcast(same))  # one row
+    """Sealed artifacts of two scorers over the suppliers, verified and compared; the artifacts carry the ids of that small set."""
+    from ..functions.canonical import digest
+    from ..operators import seal
 
+    results = reduce(DataFrame.unionByName, [M.case_results(W.suppliers(spark, d, k)).withColumn("arm", F.lit(arm)) for arm, k in (("A-weights", False), ("B-second", True))]).persist()
+    ids = [r[0] for r in results.where("arm = 'A-weights'").select("case_id").orderBy("case_id").collect()]
+    points = {r["arm"]: r.asDict() for r in M.operating_point(M.risk_coverage(results, (0.35, 0.4, 0.45, 0.5, 0.6), by=["arm"]), 0.3, by=["arm"]).collect()}
+    made = []
+    for arm, metrics in sorted(seal.report_of(results, "arm").items()):
+        point = {k: points[arm][k] for k in seal.POINT[:-1]} | {"risk_budget": 0.3} if arm in points else None
+        made.append(seal.build_artifact(adapter=arm, decision_type="nation", dataset={"sha256": digest(ids), "case_ids": ids}, metrics=metrics, operating_point=point))
+    results.unpersist()
+    matrix = seal.contract_matrix(made)
+    rows = [(r["adapter"], matrix["dataset"]["case_count"], *(r[k] for k in ("accuracy", "brier", "p95_latency_ms", "operating_threshold", "coverage", "risk", "fallback_measured"))) for r in matrix["rows"]]
+    return r6(spark.createDataFrame(rows, "adapter string, case_count long, accuracy double, brier double, p95_latency_ms double, operating_threshold double, coverage double, risk double, fallback_measured boolean"))
 
-@query("SELECT count(*) AS case_count, sha256(string_agg(CAST(n_nationkey AS VARCHAR), chr(10) ORDER BY n_nationkey)) AS ids_sha256 FROM nation")
+
+@query("WITH b AS (SELECT o_orderkey // 65536 AS block, count(*) AS n, sha256(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderkey)) AS h FROM orders GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS case_count, sha256(string_agg(h, chr(10) ORDER BY block)) AS ids_sha256 FROM b")
 def dataset_fingerprint(spark, d):
-    n = W.table(spark, d, "nation")
-    return K.fingerprint(n.select(F.col("n_nationkey").cast("long").alias("ordinal"), F.col("n_nationkey").cast("string").alias("case_id")))
+    o = W.table(spark, d, "orders")
+    return K.fingerprint(o.select(F.col("o_orderkey").cast("long").alias("ordinal"), F.col("o_orderkey").cast("string").alias("case_id")))
 
 
-@query("SELECT event_id AS case_id, 'sha256:' || sha256('{\"candidate\":\"' || event_type || '\",\"id\":' || event_id || '}') AS decision_id FROM events")
+@query("""SELECT event_id AS case_id, 'decision-sha256:' || sha256('{"action":"EXECUTE","candidates":["view","click"],"context":{"user":' || user_id || '},"decision":{"candidate":"click","confidence":0.75,"evidence":{"margin":0.5,"runner_up_probability":0.25}},"decision_type":"route","reason_code":"CONFIDENT","scores":[{"candidate":"click","probability":0.75},{"candidate":"view","probability":0.25}]}') AS decision_id FROM events""")
 def decision_ids(spark, d):
     e = W.table(spark, d, "events")
-    return e.select(F.col("event_id").alias("case_id"), json_digest(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("candidate")))).alias("decision_id"))
+    listed = F.array(F.lit("view"), F.lit("click"))
+    asked = e.select(F.col("event_id").alias("case_id"), F.lit("route").alias("decision_type"), listed.alias("candidates"), F.concat(F.lit('{ "user": '), "user_id", F.lit("}")).alias("context"), S.distribution(listed, F.array(F.lit(0.25), F.lit(0.75))).alias("scores"))
+    return G.decision_id(G.decide(asked, G.ThresholdPolicy(0.7, 0.2))).select("case_id", "decision_id")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('sound', true), ('changed accuracy', false), ('resealed accuracy', false), ('changed ids', false), ('resealed ids', false), ('changed measured', false), ('resealed measured', false), ('other name', false)) AS t(name, sound)")
 def artifact_verify(spark, d):
-    """Seal an evaluation artifact of the orders report, verify it, and show that a changed one is refused."""
+    """A sealed artifact of the orders report is sound; changed ones are refused, also if they are sealed again."""
+    import json
+
+    from ..functions.canonical import digest
     from ..operators import seal
 
-    return seal.demo(spark, M.case_results(W.orders(spark, d)))
+    data = {"sha256": digest("orders"), "case_count": 3, "case_ids": ["1", "2", "3"]}
+    made = seal.build_artifact(adapter="weights", decision_type="priority", dataset=data, metrics=seal.report_of(M.case_results(W.orders(spark, d))))
+    rows = [(n, json.dumps(a)) for n, a in seal.variants(made)]
+    return spark.createDataFrame(rows, "name string, artifact string").select("name", seal.problem_of("artifact").isNull().alias("sound"))
 
 
-@query()
+@query("""SELECT lower(p_brand) || '::get_' || p_partkey AS name, 'Reads ' || p_name || '.' AS description, lower(p_brand) AS server, 'src/' || p_partkey || '.py' AS path, 0 AS position FROM part
+UNION ALL SELECT lower(p_brand) || '::T' || p_partkey, '', lower(p_brand), 'src/' || p_partkey || '.py', 1 FROM part""")
 def tool_extraction(spark, d):
-    """Tools of sources in memory, one module for each nation."""
-    n = W.table(spark, d, "nation")
-    code = F.concat(F.lit('@mcp.tool(name="get_'), F.lower("n_name"), F.lit('")\nasync def f(x):\n    """Reads   ' ), F.col("n_name"), F.lit('."""\n\n@mcp.tool\ndef g():\n    pass\n_register_tool("T'), F.col("n_nationkey"), F.lit('", f)\n'))
-    files = n.select(F.lower("n_name").alias("server"), F.concat(F.lit("src/"), "n_name", F.lit(".py")).alias("path"), code.cast("binary").alias("content"))
+    """Tools of sources in memory, one module for each part; forms that register nothing are among them."""
+    p = W.table(spark, d, "part")
+    code = F.concat(
+        F.lit('@mcp.tool(name="get_'), "p_partkey", F.lit('")\nasync def f(x):\n    """Reads   '), "p_name", F.lit('."""\n\n@mcp.tool\ndef g():\n    pass\n_register_tool("T'), "p_partkey", F.lit('", f)\nobj._register_tool("U", f)\n'),
+    )
+    files = W.dealt(spark, p, "p_partkey").select(F.lower("p_brand").alias("server"), F.concat(F.lit("src/"), "p_partkey", F.lit(".py")).alias("path"), code.cast("binary").alias("content"))
     return T.extract_tools(files)
 
 
@@ -694,18 +744,29 @@ def decision_stream_counts(spark, d):
 # --- prompts, caches, corpora ----------------------------------------------------------------
 
 
-@query("SELECT event_id AS case_id, 'Decision type: route' || chr(10) || 'Candidates: click, error, purchase, signup, view' || chr(10) || 'type: ' || event_type || chr(10) || 'user: ' || user_id || chr(10) || 'Answer:' AS prompt, 'Decision type: route' || chr(10) || 'type: ' || event_type || chr(10) || 'user: ' || user_id || chr(10) || 'Answer:' AS compact, 'Decision type: route' || chr(10) || 'Answer:' AS neutral FROM events")
+_KIND, _CONTEXT = "'Decision type: route' || chr(10)", "'Context:' || chr(10) || 'type: ' || event_type || chr(10) || 'user: ' || user_id || chr(10)"
+_CANDIDATES = "'andidates: click, error, purchase, signup, view' || chr(10)"
+
+
+@query(f"""SELECT event_id AS case_id, {_KIND} || 'C' || {_CANDIDATES} || {_CONTEXT} || 'Choose exactly one candidate:' || chr(10) AS prompt, {_KIND} || {_CONTEXT} || 'Best matching candidate: ' AS compact,
+{_KIND} || 'Context:' || chr(10) || 'task_evidence: unavailable' || chr(10) || 'Best matching candidate: ' AS neutral, {_KIND} || 'Best matching candidate: ' AS bare,
+'Choose exactly one candidate from the allowed set. Return only one JSON object with candidate and confidence.' || chr(10) || {_KIND} || 'Allowed c' || {_CANDIDATES} || {_CONTEXT} || 'Format: {{"candidate":"<allowed>","confidence":0.0}}' || chr(10) AS structured FROM events""")
 def prompts(spark, d):
     e = W.table(spark, d, "events")
     kind, listed = F.lit("route"), F.array(*map(F.lit, W.EVENT_TYPES))
     context = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"))
-    return e.select(F.col("event_id").alias("case_id"), Z.default_prompt(kind, listed, context).alias("prompt"), Z.compact_prompt(kind, context).alias("compact"), Z.neutral_prompt(kind).alias("neutral"))
+    return e.select(
+        F.col("event_id").alias("case_id"), Z.default_prompt(kind, listed, context).alias("prompt"), Z.compact_prompt(kind, context).alias("compact"), Z.neutral_prompt(kind).alias("neutral"),
+        Z.compact_prompt(kind, F.create_map().cast("map<string,string>")).alias("bare"), Z.structured_prompt(kind, listed, context).alias("structured"),
+    )
 
 
-@query("SELECT p_partkey, 'tool: ' || p_name || chr(10) || 'server: ' || p_brand || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE chr(10) || 'description: ' || p_type END AS recipe FROM part")
+@query("SELECT p_partkey, 'canonical_name: ' || p_name || chr(10) || 'server: ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE chr(10) || 'upstream_tool_name: ' || p_type END || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE chr(10) || 'description: ' || p_type END || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE chr(10) || 'source_path: ' || p_partkey END AS recipe FROM part")
 def embedding_texts(spark, d):
     p = W.table(spark, d, "part")
-    return p.select("p_partkey", Z.embedding_text("p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit("  ")).otherwise(F.col("p_type")), "p_brand").alias("recipe"))
+    unless = lambda n, c, other: F.when(F.col("p_partkey") % n == 0, other).otherwise(c)
+    none = F.lit(None).cast("string")
+    return p.select("p_partkey", Z.embedding_text("p_name", "p_brand", unless(3, F.col("p_type"), F.lit("")), unless(2, F.col("p_type"), none), unless(5, F.col("p_partkey").cast("string"), none)).alias("recipe"))
 
 
 @query("SELECT o_orderkey AS case_id, CASE WHEN o_custkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS predicted, 0.75::DOUBLE AS confidence FROM orders")
@@ -717,13 +778,13 @@ def cached_scores(spark, d):
     return Z.cached(score)(o).select("case_id", S.top1("scores").alias("t")).select("case_id", F.col("t.candidate").alias("predicted"), F.col("t.probability").alias("confidence"))
 
 
-@query("""WITH c AS (SELECT conv_id || ':' || turn AS case_id, conv_id, CASE WHEN conv_id % 2 = 0 THEN 'calibration' ELSE 'test' END AS side, CASE WHEN conv_id % 23 = 0 THEN 'dev' WHEN conv_id % 2 = 0 THEN 'calibration' ELSE 'test' END AS split, '{"role":"' || role || '","turn":' || turn || '}' AS context FROM conversations)
+@query("""WITH c AS (SELECT conv_id || ':' || turn AS case_id, conv_id, CASE WHEN conv_id % 2 = 0 THEN 'calibration' ELSE 'test' END AS side, CASE WHEN conv_id % 23 = 0 THEN 'dev' WHEN conv_id % 2 = 0 THEN 'calibration' ELSE 'test' END AS split, '{"role":"' || role || '","turn":' || turn || '}' AS context, CASE WHEN conv_id % 2 = 0 OR turn > 0 THEN 'route' ELSE 'other' END AS kind FROM conversations)
 SELECT side || '_split' AS rule, case_id AS value FROM c WHERE split <> side
-UNION ALL SELECT 'shared_context', context FROM (SELECT context FROM c WHERE side = 'calibration' INTERSECT SELECT context FROM c WHERE side = 'test')""")
+UNION ALL SELECT 'shared_context', context FROM (SELECT kind, context FROM c WHERE side = 'calibration' INTERSECT SELECT kind, context FROM c WHERE side = 'test')""")
 def pair_violations(spark, d):
     c = W.table(spark, d, "conversations")
     side = F.when(F.col("conv_id") % 2 == 0, "calibration").otherwise("test")
-    cases = c.select(F.concat_ws(":", "conv_id", "turn").alias("case_id"), side.alias("side"), F.when(F.col("conv_id") % 23 == 0, "dev").otherwise(side).alias("split"), F.to_json(F.struct("turn", "role")).alias("context"))
+    cases = c.select(F.concat_ws(":", "conv_id", "turn").alias("case_id"), side.alias("side"), F.when(F.col("conv_id") % 23 == 0, "dev").otherwise(side).alias("split"), F.to_json(F.struct("turn", "role")).alias("context"), F.when((F.col("conv_id") % 2 == 0) | (F.col("turn") > 0), "route").otherwise("other").alias("decision_type"))
     return P.pair_violations(cases.where("side = 'calibration'"), cases.where("side = 'test'"))
 
 
@@ -745,81 +806,24 @@ def suite_lexical_missing(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id),
-cs AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dp FROM v a JOIN v b ON a.i = b.i AND b.vec_id < 100 GROUP BY 1, 2),
+cs AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dp FROM v a JOIN v b ON a.i = b.i AND a.vec_id % 50 = 0 GROUP BY 1, 2),
 rk AS (SELECT a, b, dp / (na.n * nb.n) AS c, row_number() OVER (PARTITION BY a ORDER BY round(dp / (na.n * nb.n), 9) DESC, b) AS rn FROM cs JOIN n na ON na.vec_id = a JOIN n nb ON nb.vec_id = b)
 SELECT a AS query_id, b AS item_id, round(c, 6) AS similarity, CAST(rn AS INTEGER) AS rank FROM rk WHERE rn <= 5""")
-def semantic_neighbors_topk(spark, d, whole=False):
-    """All vectors against an inventory of the first hundred, or ``whole``: of all."""
+def semantic_neighbors_topk(spark, d):
+    """Vectors with an id divisible by 50 as queries against all vectors."""
     e = W.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    items = (e if whole else e.where("vec_id < 100")).select(F.col("vec_id").alias("item_id"), F.col("v").alias("iv"))
-    asked = W.dealt(spark, e, "vec_id") if whole else e
-    return r6(U.top_similar(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), items, 5, lambda q, t: S.cosine(q["qv"], t["iv"])))
+    asked = W.dealt(spark, e.where("vec_id % 50 = 0"), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    return r6(U.top_similar(asked, e.select(F.col("vec_id").alias("item_id"), F.col("v").alias("iv")), 5, lambda q, t: S.cosine(q["qv"], t["iv"])))
 
 
-@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 200),
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id), ks AS (SELECT * FROM (VALUES (5),(10)) AS t(kk)),
-cs AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dp FROM v a JOIN v b ON a.i = b.i AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 GROUP BY 1, 2),
+cs AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dp FROM v a JOIN v b ON a.i = b.i AND a.vec_id <> b.vec_id AND a.vec_id % 50 = 0 GROUP BY 1, 2),
 rk AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY -(dp / (na.n * nb.n)), 'v' || b) AS rn FROM cs JOIN n na ON na.vec_id = a JOIN n nb ON nb.vec_id = b),
-ch AS (SELECT a, kk, 'v' || b AS name FROM rk JOIN ks ON rn <= kk - 1 UNION ALL SELECT vec_id, kk, 'v' || vec_id FROM n, ks WHERE vec_id % 20 = 0),
+ch AS (SELECT a, kk, 'v' || b AS name FROM rk JOIN ks ON rn <= kk - 1 UNION ALL SELECT vec_id, kk, 'v' || vec_id FROM n, ks WHERE vec_id % 50 = 0),
 od AS (SELECT *, sha256('7' || chr(31) || 'q' || a || chr(31) || kk || chr(31) || 'covered:semantic' || chr(31) || name) AS h FROM ch)
 SELECT 'q' || a || '::k' || kk || '::semantic' AS case_id, CAST(kk AS INTEGER) AS candidate_count, string_agg(name, ',' ORDER BY h) AS candidates FROM od GROUP BY a, kk""")
-def suite_semantic_covered(spark, d, whole=False):
-    tools = _vector_tools(spark, d, whole)
-    cases = _vector_cases(spark, tools, whole)
-    x = U.suite(cases, tools.drop("vec_id"), (5, 10), "semantic", 7)
+def suite_semantic_covered(spark, d):
+    tools = _vector_tools(spark, d)
+    x = U.suite(_vector_cases(spark, tools), tools.drop("vec_id"), (5, 10), "semantic", 7)
     return x.select("case_id", "candidate_count", F.array_join("candidates", ",").alias("candidates"))
-
-
-# --- whole tables ----------------------------------------------------------------------------
-# The SQL of the queries above pins part of an inventory; these have all of it and no SQL, and
-# tests compare them with brute force.
-
-
-@query()
-def suite_random_covered_all(spark, d):
-    return _suite(spark, d, "random", whole=True)
-
-
-@query()
-def suite_random_missing_all(spark, d):
-    return _suite(spark, d, "random", True, whole=True)
-
-
-@query()
-def suite_lexical_covered_all(spark, d):
-    return _suite(spark, d, "lexical", whole=True)
-
-
-@query()
-def suite_lexical_missing_all(spark, d):
-    return _suite(spark, d, "lexical", True, whole=True)
-
-
-@query()
-def suite_group_by_k_all(spark, d):
-    return suite_group_by_k(spark, d, whole=True)
-
-
-@query()
-def stress_by_k_all(spark, d):
-    return stress_by_k(spark, d, whole=True)
-
-
-@query()
-def inventory_dangling_refs_all(spark, d):
-    return inventory_dangling_refs(spark, d, whole=True)
-
-
-@query()
-def suite_semantic_ranking_all(spark, d):
-    return suite_semantic_ranking(spark, d, whole=True)
-
-
-@query()
-def suite_semantic_covered_all(spark, d):
-    return suite_semantic_covered(spark, d, whole=True)
-
-
-@query()
-def semantic_neighbors_topk_all(spark, d):
-    return semantic_neighbors_topk(spark, d, whole=True)

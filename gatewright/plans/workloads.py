@@ -66,10 +66,9 @@ def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("case_id"), F.array(*map(F.lit, EVENT_TYPES)).alias("candidates"), F.when(F.col("event_id") % 5 == 0, F.lit("no choice")).otherwise(body).alias("text"), F.col("event_type").alias("gold"))
 
 
-def tools(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Parts as tools; those that ``TOOLS`` pins, or ``whole``: every part."""
+def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as tools."""
     p = table(spark, sf_dir, "part")
-    p = p if whole else p.where("p_partkey < 120")
     return p.select(F.concat_ws("::", F.lit("part"), F.col("p_partkey").cast("string")).alias("name"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("description"), F.col("p_brand").alias("server"), "p_partkey")
 
 
@@ -78,12 +77,19 @@ def dealt(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
     return df.repartition(4 * spark.sparkContext.defaultParallelism, key)
 
 
-def tool_cases(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    t = tools(spark, sf_dir, whole)
-    t = dealt(spark, t, "p_partkey") if whole else t.where("p_partkey % 10 = 0")
+def tool_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated queries of the suites: parts whose key is divisible by 50, against all tools."""
+    t = dealt(spark, tools(spark, sf_dir).where("p_partkey % 50 = 0"), "p_partkey")
     return t.select(F.concat(F.lit("case"), F.col("p_partkey")).alias("case_id"), F.col("name").alias("gold"), F.col("description").alias("query"))
 
 
+def suppliers(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
+    """A small closed set: suppliers by the remainder of their nation; ``second``: another scorer's weights."""
+    x = table(spark, sf_dir, "supplier").withColumn("gold", (F.col("s_nationkey") % 3).cast("string"))
+    listed, w = _weighted(("0", "1", "2"), "s_suppkey", "s_nationkey", "gold", *((11, 17, 90) if second else ()))
+    return x.select(F.col("s_suppkey").cast("string").alias("case_id"), listed.alias("candidates"), S.distribution(listed, S.normalised(w)).alias("scores"), "gold", (F.col("s_suppkey") % 100).cast("double").alias("latency_ms"))
+
+
 def turns(spark: SparkSession, sf_dir: str, side: int, clean: bool = True) -> DataFrame:
     """Turns as trace cases of one split; the clean split is by conversation, the leaky one by turn."""
     c = table(spark, sf_dir, "conversations")
@@ -142,6 +148,18 @@ abs_cases AS (
 """
 
 TOOLS = """
-tool AS (SELECT 'part::' || p_partkey AS name, p_name || ' ' || p_type || ' ' || p_brand AS description, p_brand AS server, p_partkey FROM part WHERE p_partkey < 120),
-tcase AS (SELECT 'case' || p_partkey AS case_id, name AS gold, description AS query FROM tool WHERE p_partkey % 10 = 0)
+tool AS (SELECT 'part::' || p_partkey AS name, p_name || ' ' || p_type || ' ' || p_brand AS description, p_brand AS server, p_partkey FROM part),
+tcase AS (SELECT 'case' || p_partkey AS case_id, name AS gold, description AS query FROM tool WHERE p_partkey % 50 = 0)
+"""
+
+SUP = """
+sup_w AS (
+  SELECT s_suppkey AS case_id, CAST(s_nationkey % 3 AS VARCHAR) AS gold, pos, CAST(pos AS VARCHAR) AS cand, CAST(s_suppkey % 100 AS DOUBLE) AS latency_ms,
+    CAST(1 + (s_suppkey * 7 + pos * 13 + s_nationkey) % 101 + CASE WHEN pos = s_nationkey % 3 AND s_suppkey % 3 <> 0 THEN 60 ELSE 0 END AS DOUBLE) AS w,
+    CAST(1 + (s_suppkey * 11 + pos * 17 + s_nationkey) % 101 + CASE WHEN pos = s_nationkey % 3 AND s_suppkey % 3 <> 0 THEN 90 ELSE 0 END AS DOUBLE) AS w2
+  FROM supplier, (SELECT * FROM (VALUES (0), (1), (2)) AS t(pos))
+),
+sup_p AS (SELECT 'A-weights' AS arm, case_id, gold, pos, cand, latency_ms, w / sum(w) OVER (PARTITION BY case_id) AS p FROM sup_w UNION ALL SELECT 'B-second', case_id, gold, pos, cand, latency_ms, w2 / sum(w2) OVER (PARTITION BY case_id) FROM sup_w),
+sup_r AS (SELECT *, row_number() OVER (PARTITION BY arm, case_id ORDER BY p DESC, pos) AS rn FROM sup_p),
+arms AS (SELECT arm, case_id, p AS confidence, cand = gold AS correct, latency_ms FROM sup_r WHERE rn = 1)
 """

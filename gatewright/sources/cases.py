@@ -28,6 +28,17 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return checked.select("ordinal", F.col("r.case_id").alias("case_id"), F.col("r.decision_type").alias("decision_type"), F.coalesce("r.context", F.lit("{}")).alias("context"), F.col("r.candidates").alias("candidates"), F.col("r.gold_candidate").alias("gold"), F.coalesce("r.metadata", F.lit("{}")).alias("metadata"))
 
 
+ANNOTATION = (
+    "split STRING, annotation_version STRING, coverage STRING, ambiguity STRING, automation_risk STRING, operation_effect STRING, expected_abstain BOOLEAN, label_rationale STRING, gold_rationale STRING, label_basis STRING, "
+    "plausible_candidates ARRAY<STRING>, evidence_refs ARRAY<STRUCT<repository: STRING, revision: STRING, path: STRING>>"
+)
+
+
+def annotated(cases: DataFrame) -> DataFrame:
+    """Cases with the fields of their annotation as columns; what is missing or of another type is null."""
+    return cases.withColumn("_a", F.from_json("metadata", ANNOTATION)).select(*cases.columns, "_a.*")
+
+
 def case_line(row) -> str:
     """The line of a case: fixed key order, UTF-8 unescaped."""
     return json.dumps(
@@ -47,10 +58,15 @@ def write_cases(cases: DataFrame, path: str) -> None:
     cases.orderBy("ordinal").select(line_column).write.text(path)
 
 
-def fingerprint(cases: DataFrame) -> DataFrame:
-    """case_count and the digest of the ordered ids of a dataset, from one row for each case."""
-    ids = F.array_sort(F.collect_list(F.struct("ordinal", "case_id")))
-    return cases.agg(F.count(F.lit(1)).alias("case_count"), F.sha2(F.array_join(F.transform(ids, lambda x: x["case_id"]), "\n"), 256).alias("ids_sha256"))
+def fingerprint(cases: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """case_count and the digest of the ordered ids of a dataset (ordinal, case_id).
+
+    Ids are digested by blocks of ordinals, and then the blocks' digests in order, so no row holds
+    more than a block or one digest for each block.
+    """
+    ordered = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), "\n"), 256)
+    parts = cases.withColumn("_block", F.expr(f"ordinal div {int(block)}")).groupBy("_block").agg(F.count(F.lit(1)).alias("n"), ordered("ordinal", "case_id").alias("_digest"))
+    return parts.agg(F.sum("n").alias("case_count"), ordered("_block", "_digest").alias("ids_sha256"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -124,10 +124,12 @@ def test_structured_choice(spark):
 
 
 def test_parse_choice(spark):
-    texts = ['prefix {"candidate":"read_logs","confidence":0.8} suffix', '{"candidate":"read_logs"}', '{"candidate":"other"}', '{"candidate":"read_logs","confidence":2}', "none", None, '{"candidate":'] 
+    texts = ['prefix {"candidate":"read_logs","confidence":0.8} suffix', '{"candidate":"read_logs"}', '{"candidate":"other"}', '{"candidate":"read_logs","confidence":2}', "none", None, '{"candidate":', '{"candidate":"read_logs","confidence":null}', '{"candidate":"read_logs","confidence":"high"}']
     df = spark.createDataFrame([(t, ["read_logs", "b"]) for t in texts], "t string, l array<string>")
     rows = [r["c"] for r in df.select(S.parse_choice("t", "l").alias("c")).collect()]
-    assert tuple(rows[0]) == ("read_logs", 0.8) and tuple(rows[1]) == ("read_logs", 1.0) and rows[2:] == [None] * 5
+    assert tuple(rows[0]) == ("read_logs", 0.8) and tuple(rows[1]) == ("read_logs", 1.0) and rows[2:] == [None] * 7
+    said = spark.createDataFrame([('{"candidate":"b","confidence":"0.5"}', ["b"]), ('{"candidate":"b","confidence":true}', ["b"])], "t string, l array<string>")
+    assert [r["c"]["confidence"] for r in said.select(S.parse_choice("t", "l").alias("c")).collect()] == [0.5, 1.0]
 
 
 def test_softmax_and_prior(spark):

@@ -21,13 +21,29 @@ def test_gate(spark):
         ("EXECUTE", "CONFIDENT", "a"),
         ("REJECT", "INVALID_SUM", None),
     ]
-    assert G.ledger(G.decide(cases)).count() == 5
+    entries = {r.case_id: r for r in G.ledger(G.decide(cases, G.ThresholdPolicy(0.8, 0.8))).collect()}
+    assert len(entries) == 5 and entries["1"].evidence.margin == pytest.approx(0.8) and entries["2"].evidence is None and entries["2"].confidence is None and entries["1"].selected_candidate == "a"
     with pytest.raises(Exception, match="invalid case"):
         G.require_valid(cases).collect()
     with pytest.raises(ValueError):
         G.ThresholdPolicy(2.0)
 
 
+def test_gate_fails_closed(spark):
+    """Distributions that are null, empty, or have null, NaN or negative parts are refused."""
+    kind = "case_id string, candidates array<string>, scores array<struct<candidate:string,probability:double>>"
+    whole = [("a", 0.9), ("b", 0.1)]
+    rows = [("none", ["a", "b"], None), ("empty", [], []), ("null", ["a", "b"], [("a", 1.0), ("b", None)]), ("nan", ["a", "b"], [("a", float("nan")), ("b", 0.1)]), ("below", ["a", "b"], [("a", 1.5), ("b", -0.5)]), ("unlisted", None, whole), ("entry", ["a", "b"], [("a", 1.0), None]), ("name", ["a", "b"], [("a", 1.0), (None, 0.0)]), ("good", ["a", "b"], whole)]
+    df = spark.createDataFrame(rows, kind)
+    out = {r.case_id: r for r in G.decide(df).collect()}
+    assert {i for i, r in out.items() if r.action != "REJECT"} == {"good"} and all(r.decision is None and r.reason_code.startswith("INVALID_") for i, r in out.items() if i != "good")
+    for i, *_ in rows[:-1]:
+        with pytest.raises(Exception, match="invalid case"):
+            G.require_valid(df.where(F.col("case_id") == i)).collect()
+    asked = spark.createDataFrame([(None, ["a"]), ("t", None), ("t", ["a", "a"]), ("t", ["a"])], "d string, c array<string>")
+    assert [len(r.v) > 0 for r in asked.select(S.request_violations("d", "c").alias("v")).collect()] == [True, True, True, False]
+
+
 def first_wins(df):
     """A scorer that gives 0.9 to what is listed first."""
     return df.withColumn("scores", F.transform("candidates", lambda c, i: F.struct(c.alias("candidate"), F.when(i == 0, 0.9).otherwise(0.1).alias("probability"))))
@@ -60,8 +76,9 @@ def test_abstention(spark):
     row = R.abstention_cases(only, 0.8).first()
     r = R.abstention_report(R.abstention_cases(only, 0.8)).first()
     assert row["correct_when_covered"] is None and r["false_accept_rate"] == 0 and r["false_reject_rate"] is None
-    with pytest.raises(Exception, match="gold label"):
-        R.abstention_cases(scored(spark, [case("1", 0.9, False, "z")]), 0.5).collect()
+    for gold in ("z", None):
+        with pytest.raises(Exception, match="gold label"):
+            R.abstention_cases(scored(spark, [case("1", 0.9, False, gold)]), 0.5).collect()
 
 
 def test_groups(spark):
@@ -87,6 +104,11 @@ def test_fallback(spark):
     assert (cases.first()["case_id"], r["fallback_count"], r["fallback_rate"], r["fallback_accuracy"]) == ("2", 1, 0.5, 1.0)
     r = R.fallback_report(fast, R.fallback_cases(fast, second, 0.1)).first()
     assert (r["fallback_count"], r["fallback_rate"], r["fallback_accuracy"], r["p50_latency_ms"]) == (0, 0.0, None, None)
+    for broken in (lambda df: df.withColumn("scores", F.slice("scores", 1, 1)), lambda df: df.withColumn("scores", F.lit(None).cast("array<struct<candidate:string,probability:double>>"))):
+        with pytest.raises(Exception, match="second scorer"):
+            R.fallback_cases(fast, broken, 0.8).collect()
+    with pytest.raises(ValueError):
+        R.require_distinct(fast.union(fast))
 
 
 def test_cosine(spark):
