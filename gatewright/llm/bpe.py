@@ -216,7 +216,7 @@ class TextEncoder:
     about ``remember`` bytes of segments bound the memory of what was encoded before.
     """
 
-    def __init__(self, path: str, pattern: str, folded: bool, remember: int = 64 << 20, library=None):
+    def __init__(self, path: str, pattern: str, folded: bool, remember: int = 24 << 20, library=None):
         self.merger = PairMerger(path)
         self.words = Words(self.merger, pattern, folded, library)
         self.blanks = not folded  # whether blanks are part of the tokens
@@ -249,7 +249,7 @@ class TextEncoder:
             ids, offsets = self.words.encode([x.decode() for x in fresh])
             self.ids = np.concatenate((self.ids, ids))
             self.offsets = np.concatenate((self.offsets, self.offsets[-1] + offsets[1:]))
-            self.held += sum(map(len, fresh)) + 150 * len(fresh)
+            self.held += sum(map(len, fresh)) + 200 * len(fresh)
         total = np.concatenate(([0], np.cumsum(np.diff(self.offsets)[use])))
         return gather(self.ids, self.offsets, use), total[np.array(ends)]
 
