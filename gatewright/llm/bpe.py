@@ -122,7 +122,9 @@ class PairMerger:
             moved = np.cumsum(keep) - 1
             hit = moved[hit]
             symbols, word, rank = symbols[keep], word[keep], rank[keep]
-            again = np.unique(np.concatenate((hit, hit[hit > 0] - 1)))
+            touched = np.zeros(len(word) + 1, bool)  # the last is that of no symbol, before the first
+            touched[hit] = touched[hit - 1] = True
+            again = np.flatnonzero(touched[:-1])
             rank[again] = _FAR
             inside = again[again + 1 < len(word)]
             inside = inside[word[inside] == word[inside + 1]]
@@ -257,15 +259,18 @@ class TextEncoder:
 #: The UTF-8 forms of the white space outside ASCII.
 _ODD_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
+#: Bytes of segments that an encoder remembers.
+REMEMBER = 24 << 20
+
 _encoders: dict[tuple, TextEncoder] = {}
 
 
-def text_encoder(path: str, kind: str) -> TextEncoder:
+def text_encoder(path: str, kind: str, remember: int = REMEMBER) -> TextEncoder:
     """The encoder of a worker process. kind: ``byte_level`` (this module alone) or ``word_end``
     (with the library for characters whose classes differ between Unicode versions)."""
-    if (path, kind) not in _encoders:
+    if (path, kind, remember) not in _encoders:
         if kind == "byte_level":
-            made = TextEncoder(path, BYTE_LEVEL, folded=False)
+            made = TextEncoder(path, BYTE_LEVEL, folded=False, remember=remember)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -273,9 +278,9 @@ def text_encoder(path: str, kind: str) -> TextEncoder:
             library = Tokenizer.from_file(path)
             library.no_padding()
             library.no_truncation()
-            made = TextEncoder(path, WORD_END, folded=True, library=library)
-        _encoders[path, kind] = made
-    return _encoders[path, kind]
+            made = TextEncoder(path, WORD_END, folded=True, remember=remember, library=library)
+        _encoders[path, kind, remember] = made
+    return _encoders[path, kind, remember]
 
 
 def passes(items: list, size, limit: int = 4 << 20):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import text_encoder
+from .bpe import REMEMBER, text_encoder
 from .common import table, text_slices, trimmed
 
 CAPACITY = 4096
@@ -90,9 +90,9 @@ def balanced_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[in
         k += max(1, sum(excess) // capacity)
 
 
-def _packer(path: str, capacity: int, group_windows: int, piece: int):
+def _packer(path: str, capacity: int, group_windows: int, piece: int, remember: int = REMEMBER):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(path, "word_end")
+        encoder = text_encoder(path, "word_end", remember)
         next_sequence = TaskContext.get().partitionId() << 32
         end = struct.pack("<I", END_ID)
         pieces: list[tuple] = []  # doc, start, length, crc, doc tokens
@@ -148,9 +148,12 @@ def _packer(path: str, capacity: int, group_windows: int, piece: int):
     return trimmed(run)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, group_windows: int = 128, piece: int = 1024) -> DataFrame:
-    """One row for each piece of each document, with its place in a sequence."""
-    return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text")).mapInArrow(_packer(tokenizer_path, capacity, group_windows, piece), SCHEMA)
+def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, group_windows: int = 128, piece: int = 1024, remember: int = REMEMBER) -> DataFrame:
+    """One row for each piece of each document, with its place in a sequence.
+
+    remember: bytes of segments whose ids a worker keeps, see ``bpe.TextEncoder``.
+    """
+    return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text")).mapInArrow(_packer(tokenizer_path, capacity, group_windows, piece, remember), SCHEMA)
 
 
 def default_tokenizer() -> str:
@@ -160,4 +163,4 @@ def default_tokenizer() -> str:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), default_tokenizer())
+    return pack(table(spark, sf_dir, "documents"), default_tokenizer(), remember=64 << 20)

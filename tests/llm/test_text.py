@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import thue_morse
+from conftest import prose, thue_morse
 from gatewright.llm import bpe, lang_id, lm_score, packing, pii
 
 P = pytest.importorskip("public_tokenizers")
@@ -309,6 +309,19 @@ def test_encoder_tells_bytes_apart(name, kind):
     assert [flat[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_merges_sort_nothing(monkeypatch):
+    """A merge round marks the pairs that it touched, in linear time; words of one repeated letter have all touches side by side."""
+    encoder, lib = bpe.TextEncoder(P.path("word_bpe_49k.json"), bpe.WORD_END, True), library("word_bpe_49k.json")
+    monkeypatch.setattr(bpe.np, "unique", None)
+    words = ["a" * n for n in range(1, 40)] + ["abab" * n for n in range(1, 9)] + prose(5, 200).split()
+    coded = [w.encode() for w in words]
+    last = np.cumsum([len(w) for w in coded])
+    ids, offsets = encoder.merger.encode(np.frombuffer(b"".join(coded), np.uint8), np.concatenate(([0], last[:-1])), last)
+    for i, w in enumerate(words):
+        if w.isalpha():
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == lib.encode(w, add_special_tokens=False).ids
+
+
 def test_encoder_forgets(odd_docs):
     """With next to no memory results are the same, and the memory stays small."""
     texts = [(r.text or "").encode() for r in odd_docs.collect()]
