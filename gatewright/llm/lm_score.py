@@ -10,16 +10,20 @@ itself. The coding losses add up to the text's total bits.
 
 Counts of all training texts make the predictors: tasks count bytes under hashed contexts
 in tables whose size is in proportion to the training bytes, of which the non-zero blocks are
-summed in a tree of two exchanges and turned to log-odds there. The weights that every text
-starts with, and the rate of refinement, are learnt from training texts, too: up to
-``TUNING_TEXTS`` texts that occur once are left out of the tables, and the weights are those
-of least loss on them (Newton's method, the loss is convex), the rate the best of ``RATES``.
-With fewer than ``TUNING_LEAST`` such texts, ``WEIGHTS`` and ``RATE`` stay.
+summed in a tree of two exchanges and turned to log-odds there, which go to files of the shared
+folder. Workers map these files, so one copy in the page cache serves all workers of a machine and
+none of it is memory of their own; neither the driver nor a broadcast holds a table. A task counts
+in an array while tables have their least size, and in sorted runs of bounded length beyond.
 
-Token counts for the base score are aggregated by key, 64 bits (see ``common.word_keys``). The tables
-(18.9 million small integers up to half a GB of training text, twice as many for each doubling
-beyond) and at most ``hot_tokens`` of the most frequent tokens are broadcast; the other tokens
-of each text meet their counts in an equi-join.
+The weights that every text starts with are learnt from every training text, by deleted estimation:
+a second pass looks each decision up as the counts would be without its own occurrence and counts
+decisions by the (quantised) log-odds of the three predictors; the weights are those of least loss
+over these counts (Newton's method, the loss is convex). Other occurrences in the same text stay
+in. The rate of refinement is a constant. Without training texts, ``WEIGHTS`` stay.
+
+Token counts for the base score are aggregated by key, 64 bits (see ``common.word_keys``). At most
+``hot_tokens`` of the most frequent tokens are broadcast; the other tokens of each text meet their
+counts in an equi-join.
 
 Texts are worked on in lock step: the blocks of many texts, one block of each at a time, are
 one numpy array. Scores are written once to the shared folder before the token join.
@@ -33,33 +37,40 @@ empty table gives no row.
 
 from __future__ import annotations
 
-import contextlib
+import ctypes
 import math
+import mmap
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.fs as pafs
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, mix64, table, text_slices, trimmed, word_keys, word_spans
+from .common import crc_mod, drop_folder, materialize, mix64, new_folder, table, text_slices, trimmed, word_keys, word_spans
+from .warc import file_system
 
 #: Least slots of the context tables (three and five bytes, and the word so far); a slot has 16 cells, one for each half byte.
 SLOTS = (1 << 17, 1 << 19, 1 << 19)
 #: Training bytes for each slot of the largest table; with more bytes than that, all tables grow.
 SLOT_BYTES = 1024
 BLOCK = 1 << 16
+#: Blocks in one file of a table.
+PART = 16
+#: Tables of so many cells at most are counted in an array, larger ones in sorted runs of about so many cells.
+DENSE_CELLS, RUN_CELLS = 1 << 25, 1 << 21
 END_KEY = int(mix64(np.array([0xE0D], np.uint64)).view(np.int64)[0])
 #: Block lengths by position in the text: (from, length).
 BLOCKS = ((0, 16), (64, 32), (256, 64), (1024, 128), (4096, 256), (16384, 512))
 #: Bytes of text in one pass; its arrays stay in the processor's caches.
 PASS = 512 << 10
-#: Weights of the predictors and the rate of their refinement where too few texts are there to learn them.
+#: Weights of the predictors where no text is there to learn them, and the rate of their refinement.
 WEIGHTS = (0.4, 0.5, 0.25)
 RATE = 0.004
-#: The sample from which weights and rate are learnt: texts at most, of which so many characters at most, and the least number.
-TUNING_TEXTS, TUNING_CHARS, TUNING_LEAST = 256, 2048, 8
 RATES = (0.001, 0.002, 0.004, 0.008)
 #: Log-odds of the mixture are kept within these bounds on both sides.
 BOUND = 10
@@ -162,17 +173,19 @@ class Counter:
 
     def __init__(self, slots: tuple[int, ...] = SLOTS):
         self.slots = slots
-        self.cells = np.zeros(sum(slots) * 16, np.int32)
+        self.dense = sum(slots) * 16 <= DENSE_CELLS
+        self.cells = np.zeros(sum(slots) * 16 if self.dense else 0, np.int32)
+        self.waiting: list[np.ndarray] = []
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # sorted cells and their counts
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.held = 0
         self.words: list[np.ndarray] = []
         self.texts = 0
 
-    def add(self, texts: list[bytes], tokens_only: list[bool] | None = None) -> None:
-        used = texts if tokens_only is None else [t for t, only in zip(texts, tokens_only) if not only]
-        if used:
-            self._count(used)
+    def add(self, texts: list[bytes]) -> None:
+        if texts:
+            self._count(texts)
         self.words.append(token_keys(np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8))[1])
         self.texts += len(texts)
         if sum(map(len, self.words)) > 500_000:
@@ -180,13 +193,40 @@ class Counter:
 
     def _count(self, texts: list[bytes]) -> None:
         buf, starts, lengths = joined([canonical(t) for t in texts])
-        scored = np.zeros(len(buf) + 1, np.int8)
-        scored[starts] += 1
-        scored[starts + lengths] -= 1
-        at = np.flatnonzero(np.cumsum(scored[:-1]))
+        at = scored(buf, starts, lengths)
         for halves in context_cells(buf, slots=self.slots):
             for cells in halves:
-                np.add.at(self.cells, cells[at], np.int32(1))
+                if self.dense:
+                    np.add.at(self.cells, cells[at], np.int32(1))
+                else:
+                    self.waiting.append(cells[at].astype(np.uint32 if sum(self.slots) < 1 << 28 else np.int64))
+                    if sum(map(len, self.waiting)) >= RUN_CELLS:
+                        self._sort()
+
+    def _sort(self) -> None:
+        """What waits becomes a run."""
+        if self.waiting:
+            x = np.sort(np.concatenate(self.waiting))
+            heads = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            self.runs.append((x[heads], np.diff(np.append(heads, len(x))).astype(np.int32)))
+            self.waiting = []
+
+    def full(self) -> bool:
+        """Whether the runs, merged where they are many, are too long to be kept."""
+        if sum(len(x) for x, _ in self.runs) <= 3 * RUN_CELLS:
+            return False
+        self._merge()
+        return len(self.runs[0][0]) > 2 * RUN_CELLS
+
+    def _merge(self) -> None:
+        self._sort()
+        if len(self.runs) > 1:
+            x, n = (np.concatenate(c) for c in zip(*self.runs))
+            self.runs = []
+            order = np.argsort(x, kind="stable")
+            x, n = x[order], n[order]
+            heads = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            self.runs = [(x[heads], np.add.reduceat(n, heads))]
 
     def gather(self) -> None:
         """Count the words that wait."""
@@ -205,6 +245,16 @@ class Counter:
         return keys, counts
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """The counts of each block that has some; those in runs are handed over and forgotten."""
+        if not self.dense:
+            self._merge()
+            for x, n in self.runs:
+                block = (x // BLOCK).astype(np.int64)
+                heads = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+                for a, b in zip(heads, [*heads[1:], len(x)]):
+                    yield int(block[a]), packed(x[a:b] % BLOCK, n[a:b])
+            self.runs = []
+            return
         for b in range(0, len(self.cells), BLOCK):
             part = self.cells[b : b + BLOCK]
             at = np.flatnonzero(part)
@@ -212,6 +262,14 @@ class Counter:
                 yield b // BLOCK, packed(at, part[at])
 
 
+def scored(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all texts and their ends in the buffer."""
+    inside = np.zeros(len(buf) + 1, np.int8)
+    inside[starts] += 1
+    inside[starts + lengths] -= 1
+    return np.flatnonzero(np.cumsum(inside[:-1]))
+
+
 def packed(at: np.ndarray, counts: np.ndarray) -> bytes:
     """Places and counts, the counts byte by byte of equal weight, which compresses well."""
     return at.astype("<u2").tobytes() + counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -237,19 +295,24 @@ def _counter(slots: tuple[int, ...]):
                 yield _stats([None] * len(k), salt, k, counts[a : a + 200_000], [None] * len(k))
             counter.keys, counter.counts, counter.held = [], [], 0
 
+        def block_rows():
+            for block, data in counter.blocks():
+                yield _stats([block], salt, np.zeros(1, np.int64), np.zeros(1, np.int64), [data])
+
         seen = False
         for b in batches:
             for part in text_slices(b, 0, PASS):
                 seen = True
-                counter.add([(t or "").encode() for t in part.column(0).to_pylist()], part.column(1).to_pylist())
+                counter.add([(t or "").encode() for t in part.column(0).to_pylist()])
+                if counter.full():
+                    yield from block_rows()
                 if counter.held > 1_000_000:
                     counter.tokens()
                     if counter.held > 700_000:
                         yield from token_rows()
         if seen:
             yield from token_rows()
-            for block, data in counter.blocks():
-                yield _stats([block], salt, np.zeros(1, np.int64), np.zeros(1, np.int64), [data])
+            yield from block_rows()
 
     return trimmed(run)
 
@@ -258,30 +321,103 @@ def _stats(block, salt, key, n, data) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array([salt] * len(block), pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["block", "salt", "key", "n", "data"])
 
 
-def _summer(last: bool):
-    """Sums of consecutive rows of the same block; ``last``: their log-odds, as all counts are there."""
+def _summer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of consecutive rows of the same block."""
+    now, total = None, None
+
+    def row():
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed(at, total[at])], pa.binary())], names=["block", "data"])
+
+    for b in batches:
+        for block, data in zip(b.column(0).to_pylist(), b.column(1)):
+            if block != now:
+                if now is not None:
+                    yield row()
+                now, total = block, np.zeros(BLOCK, np.int64)
+            at, counts = unpacked(data.as_py())
+            total[at] += counts
+    if now is not None:
+        yield row()
+
+
+def _writer(folder: str):
+    """Writes each part's log-odds and deleted levels, once all counts of its blocks are summed; an attempt has names of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = file_system(folder)
         now, total = None, None
 
         def row():
-            at = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([log_odds(total).tobytes() if last else packed(at, total[at])], pa.binary())], names=["block", "data"])
+            name = f"{now:06d}-{uuid.uuid4().hex}"
+            for kind, data in (("odds", paths(log_odds(total))), ("levels", deleted_levels(total))):
+                with fs.open_output_stream(f"{path}/{name}.{kind}", compression=None) as out:
+                    out.write(data.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name])], names=["part", "name"])
 
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1)):
-                if block != now:
+                if block // PART != now:
                     if now is not None:
                         yield row()
-                    now, total = block, np.zeros(BLOCK, np.int64)
+                    now, total = block // PART, np.zeros(PART * BLOCK, np.int64)
                 at, counts = unpacked(data.as_py())
-                total[at] += counts
+                total[block % PART * BLOCK + at] += counts
         if now is not None:
             yield row()
 
     return trimmed(run)
 
 
+class Tables:
+    """The files of the tables, by part; parts that no text reached have none and are zero."""
+
+    def __init__(self, folder: str, cells: int, names: dict[int, str]):
+        self.folder, self.cells, self.names = folder, cells, names
+
+    def _local(self, fs: pafs.FileSystem, path: str) -> str:
+        """A path that can be mapped; files of a remote store are copied once for all workers of an executor."""
+        if isinstance(fs, pafs.LocalFileSystem):
+            return path
+        copy = os.path.join(SparkFiles.getRootDirectory(), os.path.basename(path))
+        if not os.path.exists(copy):
+            own = f"{copy}.{uuid.uuid4().hex}"
+            pafs.copy_files(path, own, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
+            os.replace(own, copy)
+        return copy
+
+    def mapped(self, kind: str) -> np.ndarray:
+        """One read-only array over all files of the kind, side by side in the address space."""
+        item = {"odds": np.uint32, "levels": np.uint16}[kind]
+        size = PART * BLOCK * 2  # both have two bytes a cell
+        whole = mmap.mmap(-1, -(-self.cells // (PART * BLOCK)) * size, mmap.MAP_PRIVATE | mmap.MAP_NORESERVE, mmap.PROT_READ)
+        out = np.frombuffer(whole, item)
+        libc = ctypes.CDLL(None, use_errno=True)
+        libc.mmap.restype = ctypes.c_void_p
+        libc.mmap.argtypes = [ctypes.c_void_p, ctypes.c_size_t, ctypes.c_int, ctypes.c_int, ctypes.c_int, ctypes.c_long]
+        fs, path = file_system(self.folder)
+        for part, name in self.names.items():
+            with open(self._local(fs, f"{path}/{name}.{kind}"), "rb") as f:
+                at = out.ctypes.data + part * size
+                if os.fstat(f.fileno()).st_size != size or libc.mmap(at, size, mmap.PROT_READ, mmap.MAP_SHARED | 0x10, f.fileno(), 0) != at:  # MAP_FIXED
+                    raise OSError(ctypes.get_errno(), f"{name}.{kind} can't be mapped")
+        return out
+
+    @property
+    def value(self) -> np.ndarray:
+        """The log-odds as ``log_odds`` gives them."""
+        found = self.mapped("odds").view(np.int8).reshape(-1, 8, 4)
+        out = np.zeros((len(found), 16), np.int8)
+        for k in range(4):
+            out[:, 1 << k : 2 << k] = found[:, :: 8 >> k, k]
+        return out.ravel()[: self.cells]
+
+    def drop(self, kind: str) -> None:
+        fs, path = file_system(self.folder)
+        for name in self.names.values():
+            fs.delete_file(f"{path}/{name}.{kind}")
+
+
 def log_odds(cells: np.ndarray) -> np.ndarray:
     """Of counts of half bytes under contexts, int8 log-odds (in sixteenths) of the 15 bit decisions of each slot."""
     out = np.zeros((len(cells) // 16, 16), np.int8)
@@ -294,6 +430,59 @@ def log_odds(cells: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
+def paths(odds: np.ndarray) -> np.ndarray:
+    """Of each slot, for the upper three bits of a half byte the log-odds of its four decisions, which a single look-up gives."""
+    odds, j = odds.reshape(-1, 16), np.arange(8)
+    out = np.empty((len(odds), 8, 4), np.int8)
+    for k in range(4):
+        out[:, :, k] = odds[:, 1 << k | j >> (3 - k)]
+    return out.reshape(-1).view(np.uint32)
+
+
+#: Log-odds by level, as four bits: 0 to 7, then -8 (not used) to -1.
+LEVELS = np.array([*(q * q / 6 for q in range(8)), *(-q * q / 6 for q in range(8, 0, -1))])
+
+
+def deleted_levels(cells: np.ndarray) -> np.ndarray:
+    """For each half byte under a context, four levels: the log-odds of its decisions, towards them, as they are without one occurrence of it."""
+    out = np.zeros((len(cells) // 16, 16), np.uint16)
+    for a in range(0, len(out), 16384):
+        c = cells.reshape(-1, 16)[a : a + 16384].astype(np.float32)
+        for k in range(4):
+            n = c.reshape(len(c), 2 << k, 8 >> k).sum(2)
+            other = n.reshape(len(c), 1 << k, 2)[:, :, ::-1].reshape(n.shape)
+            odds = np.log((np.maximum(n - 1, 0) + PRIOR) / (other + PRIOR))
+            q = (np.sign(odds) * np.minimum(np.rint(np.sqrt(6 * np.abs(odds))), 7)).astype(np.int8)
+            out[a : a + 16384] |= np.repeat((q & 15).astype(np.uint16) << np.uint16(4 * k), 8 >> k, axis=1)
+    return out.ravel()
+
+
+def level_counts(texts: list[bytes], levels: np.ndarray, slots: tuple[int, ...], into: np.ndarray) -> None:
+    """Count the decisions of canonical texts by half byte and bit (rows) and the levels of the predictors (columns)."""
+    buf, starts, lengths = joined(texts)
+    at = scored(buf, starts, lengths)
+    cells = context_cells(buf, slots)
+    for half in (0, 1):
+        found = [np.take(levels, pair[half][at], mode="clip") for pair in cells]
+        for k in range(4):
+            joint = np.zeros(len(at), np.uint16)
+            for x in found:
+                joint <<= np.uint16(4)
+                joint |= x >> np.uint16(4 * k) & np.uint16(15)
+            into[4 * half + k] += np.bincount(joint, minlength=into.shape[1])
+
+
+def learnt_weights(counts: np.ndarray, steps: int = 20) -> np.ndarray:
+    """For each half byte, predictor and bit, the weights of least loss over decisions that ``level_counts`` counted."""
+    m = len(WEIGHTS)
+    odds = LEVELS[np.arange(16**m)[:, None] >> 4 * np.arange(m)[::-1] & 15]
+    out = np.empty((2, m, 4))
+    for row, n in enumerate(counts):
+        some = n > 0
+        out[row // 4, :, row % 4] = least_loss(odds[some].astype(np.float32), np.array(WEIGHTS), steps, n[some].astype(np.float64))
+    return out
+
+
 def blocks(length: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the blocks of a text; later blocks are longer."""
     a = 0
@@ -306,27 +495,24 @@ def blocks(length: int) -> Iterator[tuple[int, int]]:
 class Mixer:
     """Scores many texts in lock step with frozen predictors and a mixture of its own for each text.
 
+    tables: log-odds, or what ``paths`` makes of them.
     weights: for each half byte, predictor and bit, what a text starts with.
     """
 
     def __init__(self, tables: np.ndarray, slots: tuple[int, ...] = SLOTS, weights: np.ndarray | None = None, rate: float = RATE):
-        self.slots, self.cells, self.rate = slots, len(tables), rate
+        self.slots, self.rate = slots, rate
         self.weights = np.tile(np.array(WEIGHTS, np.float32)[None, :, None], (2, 1, 4)) if weights is None else weights.astype(np.float32)
-        # one more slot of zeros, for positions past the end of a text
-        self.table = np.concatenate((tables, np.zeros(16, np.int8)))
+        self.table = tables if tables.dtype == np.uint32 else paths(tables)
 
     def odds(self, cells: list[np.ndarray]) -> list[np.ndarray]:
-        """For each predictor's cells, all of the same half bytes, the log-odds (in sixteenths) of the four decisions that lead to them, towards what was decided; a decision is a row."""
-        v = cells[0] & 15
-        slots = [c - v for c in cells]
-        out = [np.empty((4, *v.shape), np.float32) for _ in cells]
-        for k in range(4):
-            node = v >> (4 - k) | 1 << k
-            sign = (v >> (2 - k) & 2 if k < 3 else v << 1 & 2).astype(np.int8) - np.int8(1)
-            for slot, x in zip(slots, out):
-                found = np.take(self.table, slot + node, mode="clip")
-                found *= sign
-                x[k] = found
+        """For each predictor's cells the log-odds (in sixteenths) of the four decisions that lead to them, towards a one; a decision is a row."""
+        out = []
+        for c in cells:
+            found = np.take(self.table, c >> 1, mode="clip").view(np.int8).reshape(*c.shape, 4)
+            x = np.empty((4, *c.shape), np.float32)
+            for k in range(4):
+                x[k] = found[..., k]
+            out.append(x)
         return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
@@ -339,25 +525,27 @@ class Mixer:
         weights = np.repeat(self.weights[:, :, :, None], n, axis=3)
         total = np.zeros(n)
         live = n
-        share = np.float32(self.rate / 16)
+        share = np.float32(-self.rate)
         for a, size in blocks(int(lengths[0]) if n else 0):
             while lengths[live - 1] <= a:
                 live -= 1
             here = a + np.arange(size)[:, None]
             past = here >= lengths[:live]
             at = np.minimum(starts[:live] + here, len(buf) - 1)
-            some_past = past.any()
+            some_past = past.any()  # in a text's last block, after which its weights are of no use
+            byte = np.take(buf, at)
             loss = None
             for half in (0, 1):
-                here_cells = [np.take(pair[half], at) for pair in cells]
-                if some_past:
-                    for cell in here_cells:
-                        cell[past] = self.cells
-                st = self.odds(here_cells)
+                st = self.odds([np.take(pair[half], at) for pair in cells])
+                v = byte & 15 if half else byte >> 4
+                away = np.empty(st[0].shape, np.float32)  # a sixteenth, negative where a one was decided
+                for k in range(4):
+                    np.multiply(1 - (v >> (3 - k) << 1 & 2).view(np.int8), np.float32(1 / 16), out=away[k])
                 w = weights[half, :, :, :live]
-                against = st[0] * (w[0] * np.float32(-1 / 16))[:, None]
+                against = st[0] * w[0][:, None]
                 for o in range(1, m):
-                    against += st[o] * (w[o] * np.float32(-1 / 16))[:, None]
+                    against += st[o] * w[o][:, None]
+                against *= away
                 np.clip(against, np.float32(-BOUND), np.float32(BOUND), out=against)
                 factor = np.exp(against, out=against)
                 factor += np.float32(1)
@@ -366,6 +554,7 @@ class Mixer:
                 product *= factor[3]
                 loss = np.log(product) if loss is None else np.add(loss, np.log(product), out=loss)
                 miss = np.float32(1) - np.float32(1) / factor
+                miss *= away
                 for o in range(m):
                     w[o] += share * np.einsum("kij,kij->kj", miss, st[o])
             if some_past:
@@ -375,42 +564,28 @@ class Mixer:
         out[order] = total / math.log(2)
         return out
 
-    def tune(self, texts: list[bytes], steps: int = 10) -> None:
-        """Weights of least loss on the canonical texts without refinement, then the best rate with it."""
-        buf, starts, lengths = joined(texts)
-        at = np.concatenate([np.arange(a, a + n) for a, n in zip(starts, lengths)])
-        cells = context_cells(buf, self.slots)
-        for half in (0, 1):
-            st = self.odds([pair[half][at] for pair in cells])
-            for bit in range(4):
-                self.weights[half, :, bit] = least_loss(np.stack([x[bit] for x in st], 1) / np.float32(16), self.weights[half, :, bit], steps)
-        found = []
-        for rate in RATES:
-            self.rate = rate
-            found.append(self.bits(texts).sum())
-        self.rate = RATES[int(np.argmin(found))]
-
-
-def least_loss(odds: np.ndarray, start: np.ndarray, steps: int) -> np.ndarray:
-    """Weights w that minimise the sum of log(1 + exp(-odds . w)), by Newton's method with a small ridge."""
+
+def least_loss(odds: np.ndarray, start: np.ndarray, steps: int, times: np.ndarray | float = 1.0) -> np.ndarray:
+    """Weights w that minimise the sum of log(1 + exp(-odds . w)), each row so many times, by Newton's method with a small ridge."""
     w = start.astype(np.float64)
     for _ in range(steps):
         miss = 1 / (1 + np.exp(np.clip(odds @ w.astype(np.float32), -30, 30)))
-        slope = odds.T @ miss - 1e-3 * w
-        curve = (odds * (miss * (1 - miss))[:, None]).T @ odds + 1e-3 * np.eye(len(w))
+        slope = odds.T @ (times * miss) - 1e-3 * w
+        curve = (odds * (times * miss * (1 - miss))[:, None]).T @ odds + 1e-3 * np.eye(len(w))
         w = np.clip(w + np.clip(np.linalg.solve(curve, slope), -0.5, 0.5), -2, 2)
     return w
 
 
-def _tuner(tables_b, slots):
-    """One row with the learnt weights and the rate, from all texts of the task."""
+def _learner(tables: Tables, slots):
+    """The decisions of the task's texts, counted by their levels: a row for each count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [canonical(t.encode()) for b in batches for t in b.column(0).to_pylist()]
-        if texts:
-            mixer = Mixer(tables_b.value, slots)
-            mixer.tune(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([mixer.weights.astype("<f8").ravel().tolist()]), pa.array([mixer.rate])], names=["weights", "rate"])
+        levels, counts = tables.mapped("levels"), np.zeros((8, 16 ** len(slots)), np.int64)
+        for b in batches:
+            for part in text_slices(b, 0, PASS):
+                level_counts([canonical((t or "").encode()) for t in part.column(0).to_pylist()], levels, slots, counts)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts.ravel()[at])], names=["bin", "n"])
 
     return trimmed(run)
 
@@ -418,11 +593,9 @@ def _tuner(tables_b, slots):
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known_hot long, sum_hot double, n_bytes long, bits double, rare array<long>, times array<int>"
 
 
-def _scorer(tables_b, hot_b, slots, weights, rate):
+def _scorer(tables: Tables, hot_b, slots, weights, rate):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(tables_b.value, slots, weights, rate)
-        with contextlib.suppress(AttributeError):
-            del tables_b._value  # the mixer has its own form; a later task reads the broadcast again
+        mixer = Mixer(tables.mapped("odds"), slots, weights, rate)
         hot_keys, hot_counts = hot_b.value
         hot_logs = np.log10(hot_counts + 1.0)
         row = TaskContext.get().partitionId() << 40
@@ -455,20 +628,12 @@ def _scorer(tables_b, hot_b, slots, weights, rate):
 
 
 class Model:
-    """Token counts (a DataFrame key, n), the totals, the broadcast tables and what the mixture starts with."""
+    """Token counts (a DataFrame key, n), the totals, the files of the tables and what the mixture starts with."""
 
     def __init__(self, spark: SparkSession, training: DataFrame, text_column: str = "text", hot_tokens: int = 1 << 19):
         texts = training.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
         self.slots = slots_of(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-        key = F.xxhash64("text")
-        # texts that occur once, by a hash that has nothing to do with them; one in 32 at most
-        once = texts.where(F.length("text") >= 64).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-        some = once.select("key", F.xxhash64("key", F.lit(1)).alias("order")).where(F.pmod("order", F.lit(32)) == 0).orderBy("order").limit(TUNING_TEXTS)
-        picked = [r["key"] for r in some.collect()]
-        if len(picked) < TUNING_LEAST:
-            picked = []
-        tuning = key.isin(picked)
-        stats = materialize(spark, texts.select("text", tuning.alias("tuning")).mapInArrow(_counter(self.slots), _STATS), "lm-stats")
+        stats = materialize(spark, texts.mapInArrow(_counter(self.slots), _STATS), "lm-stats")
         self.counts = materialize(spark, stats.where("block is null").groupBy("key").agg(F.sum("n").alias("n")), "lm-tokens")
         bins = self.counts.groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("n")).collect()
         self.train_tokens = sum(r["n"] for r in bins)
@@ -484,18 +649,21 @@ class Model:
         order = np.argsort(keys)
         self.hot = spark.sparkContext.broadcast((keys[order], n[order]))
         self.rare = self.counts.where(F.floor(8 * F.log2("n")) < least)
-        summed = stats.where("block is not null").repartition("block", "salt").sortWithinPartitions("block").select("block", "data").mapInArrow(_summer(False), "block int, data binary")
-        summed = summed.repartition("block").sortWithinPartitions("block").mapInArrow(_summer(True), "block int, data binary")
-        cells = np.zeros(sum(self.slots) * 16, np.int8)  # a block that no text reached has log-odds of zero
-        for block, data in zip(*summed.toArrow().columns):
-            at = block.as_py() * BLOCK
-            cells[at : at + BLOCK] = np.frombuffer(data.as_buffer(), np.int8)
-        self.tables = spark.sparkContext.broadcast(cells)
+        summed = stats.where("block is not null").repartition("block", "salt").sortWithinPartitions("block").select("block", "data").mapInArrow(trimmed(_summer), "block int, data binary")
+        folder = new_folder(spark, "lm-tables")
+        fs, path = file_system(folder)
+        fs.create_dir(path, recursive=True)
+        part = F.floor(F.col("block") / PART)
+        names = summed.repartition(part).sortWithinPartitions("block").mapInArrow(_writer(folder), "part int, name string").collect()
+        drop_folder(spark, stats)
+        self.tables = Tables(folder, sum(self.slots) * 16, {r["part"]: r["name"] for r in names})
         self.weights, self.rate = None, RATE
-        if picked:
-            sample = texts.where(tuning).select(F.substring("text", 1, TUNING_CHARS).alias("text")).orderBy(F.xxhash64("text")).coalesce(1)
-            learnt = sample.mapInArrow(_tuner(self.tables, self.slots), "weights array<double>, rate double").first()
-            self.weights, self.rate = np.array(learnt["weights"]).reshape(2, len(self.slots), 4), learnt["rate"]
+        if names:
+            counts = np.zeros((8, 16 ** len(self.slots)), np.int64)
+            for r in texts.mapInArrow(_learner(self.tables, self.slots), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+                counts.flat[r["bin"]] = r["n"]
+            self.weights = learnt_weights(counts)
+        self.tables.drop("levels")
 
     def score(self, spark: SparkSession, docs: DataFrame, held_out: F.Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
         rows = docs.select(docs[id_column].cast("long").alias("doc_id"), held_out.alias("held_out"), docs[text_column].alias("text"))

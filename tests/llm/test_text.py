@@ -545,3 +545,71 @@ def test_context_tables_grow_with_the_corpus(spark, monkeypatch):
     c = lm_score.Counter(model.slots)
     c.add([t.encode() for _, t in rows])
     assert np.array_equal(model.tables.value, lm_score.log_odds(c.cells))
+
+
+def test_runs_count_as_the_array_does(monkeypatch):
+    """Tables beyond the bound take no array in a worker; what its sorted runs hand over adds up to the same counts."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 2000).astype(np.uint8)) for _ in range(30)]
+    slots = (1 << 12, 1 << 14, 1 << 14)
+    dense = lm_score.Counter(slots)
+    dense.add(texts)
+    monkeypatch.setattr(lm_score, "DENSE_CELLS", 1 << 10)
+    monkeypatch.setattr(lm_score, "RUN_CELLS", 1 << 12)
+    runs, total, handed = lm_score.Counter(slots), np.zeros(sum(slots) * 16, np.int64), 0
+
+    def hand_over():
+        for block, data in runs.blocks():
+            at, n = lm_score.unpacked(data)
+            np.add.at(total, block * lm_score.BLOCK + at, n)
+
+    for t in texts:
+        runs.add([t])
+        if runs.full():
+            hand_over()
+            handed += 1
+        assert len(runs.cells) == 0 and sum(len(x) for x, _ in runs.runs) + sum(map(len, runs.waiting)) <= 8 * (1 << 12) + 20_000
+    hand_over()
+    assert np.array_equal(total, dense.cells) and handed > 0 and not runs.runs and not runs.waiting
+
+
+def test_tables_are_mapped_files(spark, odd_docs, tmp_path):
+    """Neither the driver nor a worker holds a table: tasks get names of files, which they map side by side."""
+    import pickle
+
+    model = lm_score.Model(spark, odd_docs)
+    tables = model.tables
+    assert len(pickle.dumps(tables)) < 10_000 and len(tables.names) >= 1
+    c = lm_score.Counter(model.slots)
+    c.add([(r.text or "").encode() for r in odd_docs.collect()])
+    assert np.array_equal(tables.value, lm_score.log_odds(c.cells))
+    with pytest.raises(ValueError, match="read-only"):
+        tables.mapped("odds")[0] = 1
+
+
+def test_levels_are_of_counts_without_the_occurrence():
+    rng = np.random.default_rng(7)
+    cells = rng.integers(0, 4, 64 * 16)
+    found = lm_score.deleted_levels(cells).reshape(-1, 16)
+    for slot, v in np.argwhere(cells.reshape(-1, 16)):
+        left = cells.reshape(-1, 16)[slot].copy()
+        left[v] -= 1
+        for k in range(4):
+            side = lambda bit: left[[x for x in range(16) if x >> (4 - k) == v >> (4 - k) and x >> (3 - k) & 1 == bit]].sum()  # noqa: B023, E731
+            mine, other = side(v >> (3 - k) & 1), side(1 - (v >> (3 - k) & 1))
+            odds = math.log((mine + lm_score.PRIOR) / (other + lm_score.PRIOR))
+            level = lm_score.LEVELS[found[slot, v] >> 4 * k & 15]
+            assert abs(level) == pytest.approx(min(round(math.sqrt(6 * abs(odds))), 7) ** 2 / 6) and level * odds >= 0
+
+
+def test_every_training_text_teaches_weights(spark, odd_docs, monkeypatch):
+    """All decisions of all training texts are behind the weights, long texts and repeated ones whole; their counts are all in the tables."""
+    seen = []
+    learn = lm_score.learnt_weights
+    monkeypatch.setattr(lm_score, "learnt_weights", lambda counts: seen.append(counts) or learn(counts))
+    lm_score.Model(spark, odd_docs.repartition(4))
+    size = sum(len(lm_score.canonical((r.text or "").encode())) + 1 for r in odd_docs.collect())
+    assert [int(x.sum()) for x in seen[0]] == [size] * 8
+    buf = np.zeros((8, 4096), np.int64)
+    buf[:, 0x770] = buf[:, 0x990] = 5  # two predictors that are always sure, and as often wrong as right
+    assert np.allclose(learn(buf)[:, 0] + learn(buf)[:, 1], 0, atol=0.05)
