@@ -145,14 +145,14 @@ def context_cells(buf: np.ndarray, slots: tuple[int, ...] = SLOTS) -> list[tuple
     since = np.zeros(len(buf), np.int32)
     since[1:] = np.where((buf[:-1] == 32) | (buf[:-1] == 10), np.arange(1, len(buf), dtype=np.int32), 0)
     since = np.maximum.accumulate(since)
-    padded = np.concatenate((np.full(5, 10, np.uint8), buf))
+    padded = np.concatenate((np.full(5, 10, np.uint8), buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(buf), "<u8", padded, strides=(1,))  # the five bytes before each position and three more
     out = [(np.empty(len(buf), np.int64), np.empty(len(buf), np.int64)) for _ in slots]
     firsts = np.cumsum((0, *slots[:-1])).tolist()
     for i in range(0, len(buf), 16384):  # pieces that stay in the processor's caches
         n = min(16384, len(buf) - i)
-        last = [padded[i + 5 - k : i + 5 - k + n].astype(np.uint64) for k in range(1, 6)]
-        three = last[0] | last[1] << np.uint64(8) | last[2] << np.uint64(16)
-        five = three | last[3] << np.uint64(24) | last[4] << np.uint64(32)
+        five = eight[i : i + n] & np.uint64((1 << 40) - 1)
+        three = five >> np.uint64(16)
         from_ = since[i : i + n]
         word = (total[i : i + n] - total[from_]) * inverses[from_]
         here = buf[i : i + n].astype(np.uint64)
@@ -160,7 +160,7 @@ def context_cells(buf: np.ndarray, slots: tuple[int, ...] = SLOTS) -> list[tuple
         salt = (high + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)
         for (a, b), context, first, own in zip(out, (three, five, word), firsts, slots):
             bits = np.uint64(64 - (own.bit_length() - 1))
-            mixed = (context ^ context >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = context * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(32)
             a[i : i + n] = ((mixed * np.uint64(0xD6E8FEB86659FD93) >> bits) + np.uint64(first)) << np.uint64(4) | high
             mixed += salt
@@ -492,6 +492,10 @@ def blocks(length: int) -> Iterator[tuple[int, int]]:
         a += size
 
 
+#: For each half byte four signed sixteenths, negative where a decision was a one, as one item.
+_AWAY = np.where(np.arange(16)[:, None] >> np.arange(3, -1, -1) & 1, -1 / 16, 1 / 16).astype(np.float32).view(np.complex128).ravel()
+
+
 class Mixer:
     """Scores many texts in lock step with frozen predictors and a mixture of its own for each text.
 
@@ -504,16 +508,9 @@ class Mixer:
         self.weights = np.tile(np.array(WEIGHTS, np.float32)[None, :, None], (2, 1, 4)) if weights is None else weights.astype(np.float32)
         self.table = tables if tables.dtype == np.uint32 else paths(tables)
 
-    def odds(self, cells: list[np.ndarray]) -> list[np.ndarray]:
-        """For each predictor's cells the log-odds (in sixteenths) of the four decisions that lead to them, towards a one; a decision is a row."""
-        out = []
-        for c in cells:
-            found = np.take(self.table, c >> 1, mode="clip").view(np.int8).reshape(*c.shape, 4)
-            x = np.empty((4, *c.shape), np.float32)
-            for k in range(4):
-                x[k] = found[..., k]
-            out.append(x)
-        return out
+    def odds(self, cells: np.ndarray) -> np.ndarray:
+        """For the cells of a predictor the log-odds (in sixteenths, towards a one) of the four decisions that lead to them, on a last axis."""
+        return np.take(self.table, cells >> 1, mode="clip").view(np.int8).reshape(*cells.shape, 4).astype(np.float32)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Total bits of each canonical text and its end."""
@@ -522,7 +519,7 @@ class Mixer:
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
         n, m = len(starts), len(self.slots)
-        weights = np.repeat(self.weights[:, :, :, None], n, axis=3)
+        weights = np.repeat(self.weights[:, :, None], n, axis=2)
         total = np.zeros(n)
         live = n
         share = np.float32(-self.rate)
@@ -534,32 +531,25 @@ class Mixer:
             at = np.minimum(starts[:live] + here, len(buf) - 1)
             some_past = past.any()  # in a text's last block, after which its weights are of no use
             byte = np.take(buf, at)
-            loss = None
             for half in (0, 1):
-                st = self.odds([np.take(pair[half], at) for pair in cells])
-                v = byte & 15 if half else byte >> 4
-                away = np.empty(st[0].shape, np.float32)  # a sixteenth, negative where a one was decided
-                for k in range(4):
-                    np.multiply(1 - (v >> (3 - k) << 1 & 2).view(np.int8), np.float32(1 / 16), out=away[k])
-                w = weights[half, :, :, :live]
-                against = st[0] * w[0][:, None]
+                st = [self.odds(np.take(pair[half], at)) for pair in cells]
+                away = np.take(_AWAY, byte & 15 if half else byte >> 4).view(np.float32).reshape(st[0].shape)
+                w = weights[half, :, :live]
+                against = st[0] * w[0]
                 for o in range(1, m):
-                    against += st[o] * w[o][:, None]
+                    against += st[o] * w[o]
                 against *= away
                 np.clip(against, np.float32(-BOUND), np.float32(BOUND), out=against)
                 factor = np.exp(against, out=against)
                 factor += np.float32(1)
-                product = factor[0] * factor[1]
-                product *= factor[2]
-                product *= factor[3]
-                loss = np.log(product) if loss is None else np.add(loss, np.log(product), out=loss)
+                loss = np.log(factor)
+                if some_past:
+                    loss[past] = 0
+                total[:live] += loss.sum(0).sum(1)
                 miss = np.float32(1) - np.float32(1) / factor
                 miss *= away
                 for o in range(m):
-                    w[o] += share * np.einsum("kij,kij->kj", miss, st[o])
-            if some_past:
-                loss[past] = 0
-            total[:live] += loss.sum(0, dtype=np.float64)
+                    w[o] += share * np.einsum("ijk,ijk->jk", miss, st[o])
         out = np.empty(n)
         out[order] = total / math.log(2)
         return out
