@@ -68,7 +68,7 @@ END_KEY = int(mix64(np.array([0xE0D], np.uint64)).view(np.int64)[0])
 BLOCKS = ((0, 16), (64, 32), (256, 64), (1024, 128), (4096, 256), (16384, 512))
 #: Bytes of text in one pass; its arrays stay in the processor's caches.
 PASS = 512 << 10
-#: Weights of the predictors where no text is there to learn them, and the rate of their refinement.
+#: Weights of the predictors where no text is there to learn them, the rate of their refinement, and rates that are sensible.
 WEIGHTS = (0.4, 0.5, 0.25)
 RATE = 0.004
 RATES = (0.001, 0.002, 0.004, 0.008)
