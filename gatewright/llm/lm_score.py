@@ -25,8 +25,8 @@ Token counts for the base score are aggregated by key, 64 bits (see ``common.wor
 ``hot_tokens`` of the most frequent tokens are broadcast; the other tokens of each text meet their
 counts in an equi-join.
 
-Texts are worked on in lock step: the blocks of many texts, one block of each at a time, are
-one numpy array. Scores are written once to the shared folder before the token join.
+Texts are worked on in lock step: the blocks of many texts of like length, one block of each at a
+time, are one numpy array. Scores are written once to the shared folder before the token join.
 
 Defined results: null text counts as empty (the end token alone); without training rows all
 counts are 0 and base scores use N = V = 0; repeated rows are scored each, and equal texts have
@@ -37,6 +37,7 @@ empty table gives no row.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import math
 import mmap
@@ -66,8 +67,8 @@ DENSE_CELLS, RUN_CELLS = 1 << 25, 1 << 21
 END_KEY = int(mix64(np.array([0xE0D], np.uint64)).view(np.int64)[0])
 #: Block lengths by position in the text: (from, length).
 BLOCKS = ((0, 16), (64, 32), (256, 64), (1024, 128), (4096, 256), (16384, 512))
-#: Bytes of text in one pass; its arrays stay in the processor's caches.
-PASS = 512 << 10
+#: Bytes of text of which cells are looked up at once (in the processor's caches), that are scored in lock step, and that are sorted by length before.
+PIECE, PASS, SORTED = 64 << 10, 512 << 10, 4 << 20
 #: Weights of the predictors where no text is there to learn them, the rate of their refinement, and rates that are sensible.
 WEIGHTS = (0.4, 0.5, 0.25)
 RATE = 0.004
@@ -84,15 +85,45 @@ def slots_of(training_bytes: int) -> tuple[int, ...]:
     return tuple(k << max(0, needed - 1).bit_length() for k in SLOTS)
 
 
+#: A-Z in lower case, and all blanks as spaces.
+_PLAIN = bytes(32 if 9 <= x <= 13 else x + 32 if 65 <= x <= 90 else x for x in range(256))
+
+
 def canonical(text: bytes) -> bytes:
-    return b" ".join(text.lower().split())
+    out = text.translate(_PLAIN)
+    while b"  " in out:
+        out = out.replace(b"  ", b" ")
+    return out.strip(b" ")
+
+
+def canonical_texts(column: pa.Array) -> list[bytes]:
+    """The canonical texts of a column of strings."""
+    return [canonical(t or b"") for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def token_keys(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and keys of the words in a buffer of lower-case texts."""
-    starts, ends = word_spans(buf)
-    keys = word_keys(buf, starts, ends)
-    return starts, (keys[:, 0] ^ keys[:, 1]).view(np.int64)
+    """Starts and keys of the words in a buffer of canonical texts, between which are line feeds.
+
+    Up to 16 bytes the first and the last eight and the length tell words apart; longer words have the keys of ``word_keys``.
+    """
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], (buf == 32) | (buf == 10), [True]))))
+    starts, ends = edge[::2], edge[1::2]
+    lengths = ends - starts
+    padded = np.concatenate((np.zeros(8, np.uint8), buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(buf) + 9, "<u8", padded, strides=(1,))
+    first = np.take(eight, starts + 8) & _FIRST[np.minimum(lengths, 8)]
+    last = np.take(eight, ends) >> (np.uint64(8) * np.maximum(8 - lengths, 0).astype(np.uint64))
+    keys = mix64(first + mix64(last + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    long = np.flatnonzero(lengths > 16)
+    if len(long):
+        apart = bytearray(b"\n".join(buf[a:b].tobytes() for a, b in zip(starts[long].tolist(), ends[long].tolist())))
+        pairs = word_keys(np.frombuffer(apart, np.uint8), *word_spans(np.frombuffer(apart, np.uint8)))
+        keys[long] = pairs[:, 0] ^ pairs[:, 1]
+    return starts, keys.view(np.int64)
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,6 +133,18 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n" * 5 + (b"\n" * 5).join(texts) + b"\n", np.uint8), starts, lengths + 1
 
 
+def slices(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
+    """Consecutive texts of about ``limit`` bytes together; a longer text is alone."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        if held + len(t) > limit and i > first:
+            yield texts[first:i]
+            first, held = i, 0
+        held += len(t)
+    if first < len(texts):
+        yield texts[first:]
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -125,47 +168,71 @@ def _powers(n: int) -> list[np.ndarray]:
     return made
 
 
+def word_hashes(buf: np.ndarray) -> np.ndarray:
+    """For each position, a rolling polynomial over the bytes since the last blank before it."""
+    powers, inverses = _powers(len(buf) + 1)
+    total = np.empty(len(buf) + 1, np.uint64)
+    total[0] = 0
+    for i in range(0, len(buf), 16384):  # pieces that stay in the processor's caches
+        n = min(16384, len(buf) - i)
+        x = np.take(_CODE, buf[i : i + n].astype(np.intp))
+        x *= powers[i : i + n]
+        x[:1] += total[i]
+        np.cumsum(x, out=total[i + 1 : i + n + 1])
+    starts = np.flatnonzero((buf[:-1] == 32) | (buf[:-1] == 10)) + 1
+    starts = np.concatenate(([0], starts))
+    lengths = np.diff(np.append(starts, len(buf)))
+    at_start = np.stack((total[starts], inverses[starts]), axis=1).view(np.complex128).ravel()  # pairs of integers as one item
+    for_each = np.repeat(at_start, lengths).view(np.uint64).reshape(-1, 2)
+    out = total[:-1]
+    out -= for_each[:, 0]
+    out *= for_each[:, 1]
+    return out
 
 
-def prefix_sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rolling polynomial up to each position, and what takes a position out of it."""
-    powers, inverses = _powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_CODE[buf] * powers[: len(buf)], out=total[1:])
-    return total, inverses
+#: What a byte makes of the first cell of its context's slot (by exclusive or), for the high and for the low half byte. The low half's slot
+#: is one of the 15 beside, which the high half tells; low halves of 0x10 to 0x1F, which are rare, are in the context's own slot.
+_HIGH = np.arange(256, dtype=np.uint64) >> np.uint64(4)
+_LOW = (_HIGH ^ np.uint64(1)) << np.uint64(4) | np.arange(256, dtype=np.uint64) & np.uint64(15)
+_HALVES = _HIGH | _LOW << np.uint64(32)
 
 
-def context_cells(buf: np.ndarray, slots: tuple[int, ...] = SLOTS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each predictor, the cells of the high and the low half byte of each position.
+def context_pairs(buf: np.ndarray, slots: tuple[int, ...] = SLOTS) -> list[np.ndarray]:
+    """For each predictor, a row for each position: the cells of its high and of its low half byte.
 
     A cell is a slot, that is a hash of the context (for the low half with the high half), and the
     half byte that is found in it. A text's first bytes have the line feeds before it as context.
     """
-    total, inverses = prefix_sums(buf)
-    since = np.zeros(len(buf), np.int32)
-    since[1:] = np.where((buf[:-1] == 32) | (buf[:-1] == 10), np.arange(1, len(buf), dtype=np.int32), 0)
-    since = np.maximum.accumulate(since)
+    words = word_hashes(buf)
     padded = np.concatenate((np.full(5, 10, np.uint8), buf, np.zeros(8, np.uint8)))
     eight = np.ndarray(len(buf), "<u8", padded, strides=(1,))  # the five bytes before each position and three more
-    out = [(np.empty(len(buf), np.int64), np.empty(len(buf), np.int64)) for _ in slots]
+    wide = sum(slots) > 1 << 28  # such cells take more than 32 bits
+    out = [np.empty(len(buf) << wide, np.uint64) for _ in slots]
     firsts = np.cumsum((0, *slots[:-1])).tolist()
-    for i in range(0, len(buf), 16384):  # pieces that stay in the processor's caches
+    for i in range(0, len(buf), 16384):
         n = min(16384, len(buf) - i)
-        five = eight[i : i + n] & np.uint64((1 << 40) - 1)
-        three = five >> np.uint64(16)
-        from_ = since[i : i + n]
-        word = (total[i : i + n] - total[from_]) * inverses[from_]
-        here = buf[i : i + n].astype(np.uint64)
-        high, low = here >> np.uint64(4), here & np.uint64(15)
-        salt = (high + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)
-        for (a, b), context, first, own in zip(out, (three, five, word), firsts, slots):
-            bits = np.uint64(64 - (own.bit_length() - 1))
-            mixed = context * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(32)
-            a[i : i + n] = ((mixed * np.uint64(0xD6E8FEB86659FD93) >> bits) + np.uint64(first)) << np.uint64(4) | high
-            mixed += salt
-            b[i : i + n] = ((mixed * np.uint64(0xE7037ED1A0B428DB) >> bits) + np.uint64(first)) << np.uint64(4) | low
-    return out
+        five = eight[i : i + n] << np.uint64(24)
+        three = five >> np.uint64(40)
+        five *= np.uint64(0x9E3779B97F4A7C15)
+        three *= np.uint64(0xD6E8FEB86659FD93)
+        here = buf[i : i + n].astype(np.intp)
+        halves = np.take(_HALVES, here)
+        for cells, context, first, own in zip(out, (three, five, words[i : i + n]), firsts, slots):
+            context >>= np.uint64(64 - (own.bit_length() - 1))
+            context += np.uint64(first)
+            if wide:
+                context <<= np.uint64(4)
+                cells[2 * i : 2 * (i + n) : 2] = context ^ _HIGH[here]
+                cells[2 * i + 1 : 2 * (i + n) : 2] = context ^ _LOW[here]
+            else:
+                context *= np.uint64(16 << 32 | 16)
+                np.bitwise_xor(context, halves, out=cells[i : i + n])
+    return [(x if wide else x.view(np.uint32)).reshape(-1, 2) for x in out]
+
+
+def context_cells(buf: np.ndarray, slots: tuple[int, ...] = SLOTS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same as two arrays for each predictor."""
+    return [(x[:, 0].astype(np.int64), x[:, 1].astype(np.int64)) for x in context_pairs(buf, slots)]
 
 
 class Counter:
@@ -184,24 +251,27 @@ class Counter:
         self.texts = 0
 
     def add(self, texts: list[bytes]) -> None:
+        self.add_canonical([canonical(t) for t in texts])
+
+    def add_canonical(self, texts: list[bytes]) -> None:
         if texts:
             self._count(texts)
-        self.words.append(token_keys(np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8))[1])
         self.texts += len(texts)
         if sum(map(len, self.words)) > 500_000:
             self.gather()
 
     def _count(self, texts: list[bytes]) -> None:
-        buf, starts, lengths = joined([canonical(t) for t in texts])
-        at = scored(buf, starts, lengths)
-        for halves in context_cells(buf, slots=self.slots):
-            for cells in halves:
-                if self.dense:
-                    np.add.at(self.cells, cells[at], np.int32(1))
-                else:
-                    self.waiting.append(cells[at].astype(np.uint32 if sum(self.slots) < 1 << 28 else np.int64))
-                    if sum(map(len, self.waiting)) >= RUN_CELLS:
-                        self._sort()
+        buf, starts, lengths = joined(texts)
+        self.words.append(token_keys(buf)[1])
+        outside = between(starts, lengths)
+        for pairs in context_pairs(buf, self.slots):
+            if self.dense:
+                np.add.at(self.cells, pairs.ravel().astype(np.intp), np.int32(1))
+                np.subtract.at(self.cells, pairs[outside].ravel().astype(np.intp), np.int32(1))
+            else:
+                self.waiting.append(np.delete(pairs, outside, axis=0).ravel())
+                if sum(map(len, self.waiting)) >= RUN_CELLS:
+                    self._sort()
 
     def _sort(self) -> None:
         """What waits becomes a run."""
@@ -262,23 +332,27 @@ class Counter:
                 yield b // BLOCK, packed(at, part[at])
 
 
-def scored(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions of all texts and their ends in the buffer."""
-    inside = np.zeros(len(buf) + 1, np.int8)
-    inside[starts] += 1
-    inside[starts + lengths] -= 1
-    return np.flatnonzero(np.cumsum(inside[:-1]))
+def between(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of ``joined`` that belong to no text and no end."""
+    return np.concatenate((np.arange(5), ((starts + lengths)[:-1, None] + np.arange(4)).ravel()))
 
 
 def packed(at: np.ndarray, counts: np.ndarray) -> bytes:
     """Places and counts, the counts byte by byte of equal weight, which compresses well."""
-    return at.astype("<u2").tobytes() + counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    planes = np.zeros((8, len(counts)), np.uint8)
+    for k in range((int(counts.max(initial=0)).bit_length() + 7) // 8):
+        planes[k] = counts >> counts.dtype.type(8 * k) & counts.dtype.type(255)
+    return at.astype("<u2").tobytes() + planes.tobytes()
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) // 10
-    counts = np.frombuffer(data, np.uint8, 8 * n, 2 * n).reshape(8, n).T
-    return np.frombuffer(data, "<u2", n).astype(np.int64), np.ascontiguousarray(counts).view("<i8").ravel()
+    planes = np.frombuffer(data, np.uint8, 8 * n, 2 * n).reshape(8, n)
+    counts = planes[0].astype(np.int64)
+    for k in range(1, 8):
+        if planes[k].any():
+            counts |= planes[k].astype(np.int64) << 8 * k
+    return np.frombuffer(data, "<u2", n).astype(np.int64), counts
 
 
 _STATS = "block int, salt int, key long, n long, data binary"
@@ -286,6 +360,7 @@ _STATS = "block int, salt int, key long, n long, data binary"
 
 def _counter(slots: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_memory()
         counter, salt = Counter(slots), TaskContext.get().partitionId() % 16
 
         def token_rows():
@@ -301,9 +376,9 @@ def _counter(slots: tuple[int, ...]):
 
         seen = False
         for b in batches:
-            for part in text_slices(b, 0, PASS):
+            for part in text_slices(b, 0, PIECE):
                 seen = True
-                counter.add([(t or "").encode() for t in part.column(0).to_pylist()])
+                counter.add_canonical(canonical_texts(part.column(0)))
                 if counter.full():
                     yield from block_rows()
                 if counter.held > 1_000_000:
@@ -460,16 +535,18 @@ def deleted_levels(cells: np.ndarray) -> np.ndarray:
 def level_counts(texts: list[bytes], levels: np.ndarray, slots: tuple[int, ...], into: np.ndarray) -> None:
     """Count the decisions of canonical texts by half byte and bit (rows) and the levels of the predictors (columns)."""
     buf, starts, lengths = joined(texts)
-    at = scored(buf, starts, lengths)
-    cells = context_cells(buf, slots)
-    for half in (0, 1):
-        found = [np.take(levels, pair[half][at], mode="clip") for pair in cells]
-        for k in range(4):
-            joint = np.zeros(len(at), np.uint16)
-            for x in found:
-                joint <<= np.uint16(4)
-                joint |= x >> np.uint16(4 * k) & np.uint16(15)
-            into[4 * half + k] += np.bincount(joint, minlength=into.shape[1])
+    outside = between(starts, lengths)
+    found = [np.take(levels, pairs.ravel().astype(np.intp), mode="clip") for pairs in context_pairs(buf, slots)]
+    bins = into.shape[1]
+    half = np.tile(np.array([0, bins], np.uint16), len(buf))
+    for k in range(4):
+        joint = np.zeros(len(half), np.uint16)
+        for x in found:
+            joint <<= np.uint16(4)
+            joint |= x >> np.uint16(4 * k) & np.uint16(15)
+        joint |= half
+        n = np.bincount(joint, minlength=2 * bins) - np.bincount(joint.reshape(-1, 2)[outside].ravel(), minlength=2 * bins)
+        into[k::4] += n.reshape(2, bins)
 
 
 def learnt_weights(counts: np.ndarray, steps: int = 20) -> np.ndarray:
@@ -492,8 +569,8 @@ def blocks(length: int) -> Iterator[tuple[int, int]]:
         a += size
 
 
-#: For each half byte four signed sixteenths, negative where a decision was a one, as one item.
-_AWAY = np.where(np.arange(16)[:, None] >> np.arange(3, -1, -1) & 1, -1 / 16, 1 / 16).astype(np.float32).view(np.complex128).ravel()
+#: For each byte eight int8, all ones where a decision was a zero, as one item.
+_ZEROS = np.where(np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1, 0, -1).astype(np.int8).view(np.uint64).ravel()
 
 
 class Mixer:
@@ -507,51 +584,60 @@ class Mixer:
         self.slots, self.rate = slots, rate
         self.weights = np.tile(np.array(WEIGHTS, np.float32)[None, :, None], (2, 1, 4)) if weights is None else weights.astype(np.float32)
         self.table = tables if tables.dtype == np.uint32 else paths(tables)
+        self.held = np.empty((len(slots), 2 * PASS), np.uint64)  # kept from pass to pass; a very long text takes more
 
-    def odds(self, cells: np.ndarray) -> np.ndarray:
-        """For the cells of a predictor the log-odds (in sixteenths, towards a one) of the four decisions that lead to them, on a last axis."""
-        return np.take(self.table, cells >> 1, mode="clip").view(np.int8).reshape(*cells.shape, 4).astype(np.float32)
+    def odds(self, buf: np.ndarray, out: np.ndarray) -> None:
+        """For each predictor (rows) and byte the log-odds (int8, in sixteenths, towards what was found) of its eight decisions, as one item."""
+        zeros = np.take(_ZEROS, buf.astype(np.intp))
+        for x, pairs in zip(out, context_pairs(buf, self.slots)):
+            np.bitwise_xor(np.take(self.table, (pairs >> 1).ravel().astype(np.intp), mode="clip").view(np.uint64), zeros, out=x)
+            x = x.view(np.int8)
+            x -= zeros.view(np.int8)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Total bits of each canonical text and its end."""
-        buf, starts, lengths = joined(texts)
-        cells = context_cells(buf, self.slots)
+        pieces = [joined(part) for part in slices(texts, PIECE)]
+        firsts = np.cumsum([0, *(len(buf) for buf, _, _ in pieces)])
+        odds = np.empty((len(self.slots), firsts[-1]), np.uint64) if firsts[-1] > self.held.shape[1] else self.held[:, : firsts[-1]]
+        for (buf, _, _), a in zip(pieces, firsts):
+            self.odds(buf, odds[:, a : a + len(buf)])
+        starts = np.concatenate([np.zeros(0, np.int64), *(starts + a for (_, starts, _), a in zip(pieces, firsts))])
+        lengths = np.concatenate([np.zeros(0, np.int64), *(lengths for _, _, lengths in pieces)])
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
         n, m = len(starts), len(self.slots)
-        weights = np.repeat(self.weights[:, :, None], n, axis=2)
-        total = np.zeros(n)
+        # what a text's weights (times -1/16) become; decisions of both halves are one axis
+        weights = np.repeat(self.weights.transpose(1, 0, 2).reshape(m, 1, 8) * np.float32(-1 / 16), n, axis=1).reshape(m, 8 * n)
+        total = np.zeros(8 * n)
+        share = np.float32(self.rate / 256)
         live = n
-        share = np.float32(-self.rate)
         for a, size in blocks(int(lengths[0]) if n else 0):
             while lengths[live - 1] <= a:
                 live -= 1
-            here = a + np.arange(size)[:, None]
-            past = here >= lengths[:live]
-            at = np.minimum(starts[:live] + here, len(buf) - 1)
-            some_past = past.any()  # in a text's last block, after which its weights are of no use
-            byte = np.take(buf, at)
-            for half in (0, 1):
-                st = [self.odds(np.take(pair[half], at)) for pair in cells]
-                away = np.take(_AWAY, byte & 15 if half else byte >> 4).view(np.float32).reshape(st[0].shape)
-                w = weights[half, :, :live]
-                against = st[0] * w[0]
-                for o in range(1, m):
-                    against += st[o] * w[o]
-                against *= away
-                np.clip(against, np.float32(-BOUND), np.float32(BOUND), out=against)
-                factor = np.exp(against, out=against)
-                factor += np.float32(1)
-                loss = np.log(factor)
-                if some_past:
-                    loss[past] = 0
-                total[:live] += loss.sum(0).sum(1)
-                miss = np.float32(1) - np.float32(1) / factor
-                miss *= away
-                for o in range(m):
-                    w[o] += share * np.einsum("ijk,ijk->jk", miss, st[o])
+            here = np.arange(a, a + size)[:, None]
+            at = starts[:live] + here
+            some_past = lengths[live - 1] < a + size  # in a text's last block, after which its weights are of no use
+            if some_past:
+                np.minimum(at, odds.shape[1] - 1, out=at)
+            w = weights[:, : 8 * live]
+            st = [np.take(x, at).view(np.int8).astype(np.float32) for x in odds]
+            against = st[0] * w[0]
+            for o in range(1, m):
+                against += st[o] * w[o]
+            np.minimum(against, np.float32(BOUND), out=against)
+            np.maximum(against, np.float32(-BOUND), out=against)
+            factor = np.exp(against, out=against)
+            factor += np.float32(1)
+            if some_past:
+                factor.reshape(size, live, 8)[here >= lengths[:live]] = 1
+            # factors are at most 22027, so that eight of them have a product
+            total[: 8 * live] += np.log(np.multiply.reduce(factor.reshape(size // 8, 8, 8 * live), axis=1)).sum(0)
+            miss = np.reciprocal(factor, out=factor)
+            np.subtract(np.float32(1), miss, out=miss)
+            for o in range(m):
+                w[o] -= share * np.einsum("ij,ij->j", miss, st[o])
         out = np.empty(n)
-        out[order] = total / math.log(2)
+        out[order] = total.reshape(n, 8).sum(1) / math.log(2)
         return out
 
 
@@ -570,10 +656,11 @@ def _learner(tables: Tables, slots):
     """The decisions of the task's texts, counted by their levels: a row for each count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_memory()
         levels, counts = tables.mapped("levels"), np.zeros((8, 16 ** len(slots)), np.int64)
         for b in batches:
-            for part in text_slices(b, 0, PASS):
-                level_counts([canonical((t or "").encode()) for t in part.column(0).to_pylist()], levels, slots, counts)
+            for part in text_slices(b, 0, PIECE):
+                level_counts(canonical_texts(part.column(0)), levels, slots, counts)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts.ravel()[at])], names=["bin", "n"])
 
@@ -583,36 +670,50 @@ def _learner(tables: Tables, slots):
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known_hot long, sum_hot double, n_bytes long, bits double, rare array<long>, times array<int>"
 
 
+def _token_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of each canonical text and how often each is there, text after text; where each text's begin."""
+    firsts, keys = token_keys(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8))
+    bounds = np.searchsorted(firsts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    found = [np.unique(np.append(keys[a:b], END_KEY), return_counts=True) for a, b in zip(bounds, bounds[1:])]
+    own, times = (np.concatenate(x) for x in zip(*found))
+    return own, times, np.cumsum([0, *(len(x) for x, _ in found[:-1])])
+
+
+def _keep_memory() -> None:
+    """Within a task freed memory is kept up to a bound: to give back and get again each piece's arrays takes longer than to fill them."""
+    with contextlib.suppress(Exception):  # another C library does without
+        ctypes.CDLL("libc.so.6").mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+
+
 def _scorer(tables: Tables, hot_b, slots, weights, rate):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_memory()
         mixer = Mixer(tables.mapped("odds"), slots, weights, rate)
         hot_keys, hot_counts = hot_b.value
         hot_logs = np.log10(hot_counts + 1.0)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for rows in text_slices(b, 2, PASS):
-                part = list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
-                texts = [canonical((t or "").encode()) for t in rows.column(2).to_pylist()]
-                bits = mixer.bits(texts)
-                firsts, keys = token_keys(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8))
-                bounds = np.searchsorted(firsts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-                out = []
-                for i, (doc_id, held_out) in enumerate(part):
-                    own, times = np.unique(np.append(keys[bounds[i] : bounds[i + 1]], END_KEY), return_counts=True)
+            for rows in text_slices(b, 2, SORTED):
+                unsorted = canonical_texts(rows.column(2))
+                order = np.argsort([len(t) for t in unsorted], kind="stable")
+                done = 0
+                for texts in slices([unsorted[i] for i in order], PASS):
+                    here = pa.array(order[done : done + len(texts)])
+                    done += len(texts)
+                    own, times, heads = _token_counts(texts)
                     at = np.searchsorted(hot_keys, own)
                     at[at == len(hot_keys)] = 0
                     hot = hot_keys[at] == own if len(hot_keys) else np.zeros(len(own), bool)
-                    out.append((row, doc_id, held_out, int(times.sum()), int(times[hot].sum()), float((hot_logs[at[hot]] * times[hot]).sum()), len(texts[i]), float(bits[i]), own[~hot], times[~hot]))
-                    row += 1
-                c = list(zip(*out))
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in c[8]]))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.float64()), pa.array(c[6], pa.int64()), pa.array(c[7], pa.float64()),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c[8]))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c[9]).astype(np.int32))),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known_hot", "sum_hot", "n_bytes", "bits", "rare", "times"],
-                )
+                    logs = np.where(hot, hot_logs[at], 0.0) if len(hot_keys) else np.zeros(len(own))
+                    offsets = pa.array(np.append(0, np.cumsum(np.add.reduceat(~hot, heads, dtype=np.int64))).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.arange(row, row + len(texts))), rows.column(0).take(here), rows.column(1).take(here), pa.array(np.add.reduceat(times, heads)), pa.array(np.add.reduceat(times * hot, heads)), pa.array(np.add.reduceat(logs * times, heads)),
+                            pa.array([len(t) for t in texts], pa.int64()), pa.array(mixer.bits(texts)), pa.ListArray.from_arrays(offsets, pa.array(own[~hot])), pa.ListArray.from_arrays(offsets, pa.array(times[~hot].astype(np.int32))),
+                        ],
+                        names=["row", "doc_id", "held_out", "n_tokens", "known_hot", "sum_hot", "n_bytes", "bits", "rare", "times"],
+                    )
+                    row += len(texts)
 
     return trimmed(run)
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -613,3 +614,49 @@ def test_every_training_text_teaches_weights(spark, odd_docs, monkeypatch):
     buf = np.zeros((8, 4096), np.int64)
     buf[:, 0x770] = buf[:, 0x990] = 5  # two predictors that are always sure, and as often wrong as right
     assert np.allclose(learn(buf)[:, 0] + learn(buf)[:, 1], 0, atol=0.05)
+
+
+def test_texts_of_like_length_are_scored_together(spark, monkeypatch):
+    """Lock step takes as many blocks as the longest text has, so texts are sorted by length first; ids stay with their texts."""
+    docs = spark.createDataFrame([(i, "ab " * (1 if i % 2 else 400) + str(i)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    model = lm_score.Model(spark, docs)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in docs.collect()]) for k in (0, 1)], names=["doc_id", "text"])
+    rows, seen, bits = batch.add_column(1, "held_out", pa.array([False] * 40)), [], lm_score.Mixer.bits
+    monkeypatch.setattr(lm_score, "PASS", 2000)
+    monkeypatch.setattr(lm_score.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 1})())
+    monkeypatch.setattr(lm_score.Mixer, "bits", lambda self, texts: seen.append([len(t) for t in texts]) or bits(self, texts))
+    out = pa.Table.from_batches(lm_score._scorer(model.tables, model.hot, model.slots, model.weights, model.rate)(iter([rows])))
+    assert len(seen) > 1 and sum(seen, []) == sorted(sum(seen, []))
+    assert len(set(out["row"].to_pylist())) == 40 and all(n == (3 if i % 2 else 1200) + len(str(i)) for i, n in zip(out["doc_id"].to_pylist(), out["n_bytes"].to_pylist()))
+    alone = lm_score.Mixer(model.tables.value, model.slots, model.weights)
+    texts = {r.doc_id: lm_score.canonical(r.text.encode()) for r in docs.collect()}
+    assert np.allclose(out["bits"].to_numpy(), [bits(alone, [texts[i]])[0] for i in out["doc_id"].to_pylist()], rtol=1e-5)
+
+
+@pytest.mark.parametrize("slots", [(1 << 10, 1 << 12, 1 << 12), (1 << 26, 1 << 28, 1 << 28)])
+def test_halves_of_a_byte_lie_side_by_side(slots):
+    """The low half's slot is one of the sixteen around its context's, another for each high half; contexts are whole, also over long words."""
+    text = bytes(range(33, 256)) + b" x" + b"y" * 40_000 + b" x" + b"y" * 40_000 + b"z " + b"x" + b"y" * 40_000
+    buf, starts, lengths = lm_score.joined([text])
+    cells = lm_score.context_cells(buf, slots)
+    firsts = np.cumsum([0, *slots])
+    for (high, low), a, b in zip(cells, firsts, firsts[1:]):
+        assert (high % 16 == buf >> 4).all() and (low % 16 == buf & 15).all()
+        assert (high // 256 == low // 256).all() and (high // 16 ^ low // 16 == buf >> 4 ^ 1).all() and a <= high.min() // 16 and high.max() // 16 < b
+    ends = [m.end() + starts[0] for m in re.finditer(b"y{40000}", text)]
+    word = cells[2][0] // 16
+    assert word[ends[0]] == word[ends[1]] == word[ends[2]] != word[ends[0] - 1]
+
+
+def test_canonical_texts_keys_and_counts():
+    rng = np.random.default_rng(11)
+    for _ in range(50):
+        t = bytes(rng.choice(np.frombuffer(b" \t\n\v\f\r  aBZ[@z\x80\xc3\x00\x1c\x1f", np.uint8), 300))
+        assert lm_score.canonical(t) == b" ".join(t.lower().split())
+    words = sorted({bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in rng.integers(1, 40, 3000)} | {b"a\0", b"\0a", b"a", b"\0"})
+    starts, keys = lm_score.token_keys(np.frombuffer(b"\n" + b" ".join(words + words) + b"\n", np.uint8))
+    assert starts[0] == 1 and len(keys) == 2 * len(words) and len(set(keys.tolist())) == len(words) and (keys[: len(words)] == keys[len(words) :]).all()
+    for kind in (np.int32, np.int64):
+        n = np.array([1, 255, 256, 1 << 20, np.iinfo(kind).max], kind)
+        at, counts = lm_score.unpacked(lm_score.packed(np.arange(5) * 7, n))
+        assert (at == np.arange(5) * 7).all() and (counts == n).all()
