@@ -276,10 +276,11 @@ class Counter:
     def _sort(self) -> None:
         """What waits becomes a run."""
         if self.waiting:
-            x = np.sort(np.concatenate(self.waiting))
-            heads = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-            self.runs.append((x[heads], np.diff(np.append(heads, len(x))).astype(np.int32)))
+            x = np.concatenate(self.waiting)
             self.waiting = []
+            x.sort()
+            heads = np.append(0, np.flatnonzero(x[1:] != x[:-1]) + 1)
+            self.runs.append((x[heads], np.diff(np.append(heads, len(x))).astype(np.int32)))
 
     def full(self) -> bool:
         """Whether the runs, merged where they are many, are too long to be kept."""
@@ -291,12 +292,18 @@ class Counter:
     def _merge(self) -> None:
         self._sort()
         if len(self.runs) > 1:
-            x, n = (np.concatenate(c) for c in zip(*self.runs))
+            if self.runs[0][0].dtype == np.uint32 and sum(int(n.sum()) for _, n in self.runs) < 1 << 32:  # a cell and its count are one integer
+                n = np.concatenate([x.astype(np.uint64) << np.uint64(32) | n.view(f"u{n.itemsize}") for x, n in self.runs])
+                n.sort()
+                x = (n >> np.uint64(32)).astype(np.uint32)
+                n &= np.uint64(0xFFFFFFFF)
+            else:
+                x, n = (np.concatenate(c) for c in zip(*self.runs))
+                order = np.argsort(x, kind="stable")
+                x, n = x[order], n[order]
             self.runs = []
-            order = np.argsort(x, kind="stable")
-            x, n = x[order], n[order]
-            heads = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-            self.runs = [(x[heads], np.add.reduceat(n, heads))]
+            heads = np.append(0, np.flatnonzero(x[1:] != x[:-1]) + 1)
+            self.runs = [(x[heads], np.add.reduceat(n, heads).astype(np.int64))]
 
     def gather(self) -> None:
         """Count the words that wait."""

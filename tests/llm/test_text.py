@@ -660,3 +660,17 @@ def test_canonical_texts_keys_and_counts():
         n = np.array([1, 255, 256, 1 << 20, np.iinfo(kind).max], kind)
         at, counts = lm_score.unpacked(lm_score.packed(np.arange(5) * 7, n))
         assert (at == np.arange(5) * 7).all() and (counts == n).all()
+
+
+@pytest.mark.parametrize("kind, most", [(np.uint32, 9), (np.uint32, 1 << 40), (np.uint64, 9)])
+def test_merged_runs(kind, most):
+    """Runs merge to the same counts whether or not a cell and its count have room in one integer."""
+    rng = np.random.default_rng(12)
+    runs = [(np.unique(rng.integers(0, 500, 200)) + (1 << 31)).astype(kind) for _ in range(5)]
+    runs = [(x, rng.integers(1, most, len(x)).astype(np.int32 if most < 10 and i else np.int64)) for i, x in enumerate(runs)]
+    counter, want = lm_score.Counter((1 << 26, 1 << 26, 1 << 26)), Counter()
+    for x, n in runs:
+        want.update(dict(zip(x.tolist(), n.tolist())))
+    counter.runs = runs
+    counter._merge()
+    assert [len(x) for x, _ in counter.runs] == [len(want)] and dict(zip(*(c.tolist() for c in counter.runs[0]))) == want
