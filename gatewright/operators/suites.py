@@ -186,6 +186,17 @@ def suite(cases: DataFrame, tools: DataFrame, counts: Sequence[int], strategy: s
     )
 
 
+def set_sizes(cases: DataFrame, tools: DataFrame, counts: Sequence[int], missing: bool = False) -> DataFrame:
+    """(parent_case_id, candidate_count, size) of the sets that ``suite`` makes; it refuses the same.
+
+    However tools are ranked, a set of a sufficient inventory has as many candidates as are asked for.
+    """
+    sizes = check_counts(counts, missing)
+    _require_capacity(tools, sizes, sizes[-1] - (0 if missing else 1))
+    _require_gold(cases, tools)
+    return cases.select(F.col("case_id").alias("parent_case_id"), F.explode(F.array(*map(F.lit, sizes))).alias("candidate_count")).withColumn("size", F.col("candidate_count"))
+
+
 def top_similar(queries: DataFrame, items: DataFrame, k: int, similarity: Callable[[Column, Column], Column]) -> DataFrame:
     """The ``k`` best (query_id, item_id, similarity, rank) of each query; ties by item.
 

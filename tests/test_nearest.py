@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from gatewright.operators import suites as U
+from gatewright.plans.catalog import QUERIES
 
 UNIT = chr(31)
 
@@ -43,3 +44,19 @@ def test_hashes_of_all_pairs(spark, inventory, need, monkeypatch):
     assert {r.case_id: r.ranked for r in out.collect()} == want and "_tools" not in plan(out)
     monkeypatch.setattr(U, "BLOCK_ROWS", 10)
     assert {r.case_id: r.ranked for r in U.distractors(cases, tools, need, "random", 7).collect()} == want
+
+
+def test_sizes_need_no_ranking(spark, inventory, tmp_path):
+    """Sizes of sets are those of the suite, its refusals too; counting them hashes nothing."""
+    rows, tools = inventory
+    cases = asked(spark, rows)
+    for missing in (False, True):
+        made = U.suite(cases, tools, [5, 10], "random", 7, missing).selectExpr("parent_case_id", "candidate_count", "size(candidates) AS size")
+        sizes = U.set_sizes(cases, tools, [10, 5, 5], missing)
+        assert sorted(map(tuple, sizes.collect())) == sorted(map(tuple, made.collect())) and sizes.dtypes == made.dtypes
+    for bad in (lambda: U.set_sizes(cases, tools, [3001]), lambda: U.set_sizes(cases, tools, [1]), lambda: U.set_sizes(cases, tools.where("name <> 't::7'"), [5])):
+        with pytest.raises(ValueError):
+            bad()
+    spark.createDataFrame([(i, f"n{i}", "b", "t") for i in range(60)], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    grouped = QUERIES["suite_group_by_k"](spark, str(tmp_path))
+    assert sorted(map(tuple, grouped.collect())) == [(k, 2, 2 * k) for k in (5, 10, 20)] and "sha2" not in plan(grouped)
