@@ -7,7 +7,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gatewright.operators import nearest as N
 from gatewright.operators import suites as U
 from gatewright.plans.catalog import QUERIES
 
@@ -60,3 +62,25 @@ def test_sizes_need_no_ranking(spark, inventory, tmp_path):
     spark.createDataFrame([(i, f"n{i}", "b", "t") for i in range(60)], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     grouped = QUERIES["suite_group_by_k"](spark, str(tmp_path))
     assert sorted(map(tuple, grouped.collect())) == [(k, 2, 2 * k) for k in (5, 10, 20)] and "sha2" not in plan(grouped)
+
+
+def words(text):
+    return {w.lower() for w in re.findall("[A-Za-z0-9_]+", text or "")}
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_similar_words_of_all_pairs(spark, inventory, missing, monkeypatch):
+    """Tools of the same words are one kind, with ties to the first names; no inventory is an array."""
+    rows, tools = inventory
+    cases = asked(spark, rows)
+    held = {n: words(f"{n} {d} {s}") for n, d, s in rows}
+    near = lambda own, n: len(own & held[n]) / max(1, len(own | held[n]))
+    order = {c.case_id: (c.gold, sorted((n for n in held if n != c.gold), key=lambda n: (-near(words(c.query), n), n))) for c in cases.collect()}
+    want = {(c, k): {*ranked[: k if missing else k - 1], *([] if missing else [gold])} for c, (gold, ranked) in order.items() for k in (5, 20)}
+
+    def found():
+        return {(r.parent_case_id, r.candidate_count): set(r.candidates) for r in U.suite(cases, tools, [5, 20], "lexical", 7, missing).collect()}
+
+    assert found() == want and "_tools" not in plan(U.distractors(cases, tools, 5, "lexical"))
+    monkeypatch.setattr(U, "BLOCK_ROWS", 10)
+    assert found() == want
