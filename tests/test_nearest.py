@@ -84,3 +84,15 @@ def test_similar_words_of_all_pairs(spark, inventory, missing, monkeypatch):
     assert found() == want and "_tools" not in plan(U.distractors(cases, tools, 5, "lexical"))
     monkeypatch.setattr(U, "BLOCK_ROWS", 10)
     assert found() == want
+
+
+def test_kinds_of_tools(spark):
+    """A task hands on the first names of each kind, however many tools there are of it; few held ones do as well."""
+    import pandas as pd
+
+    class Known:
+        value = {"a", "b"}
+
+    frame = pd.DataFrame({"name": [f"t{i:04}" for i in range(2000)][::-1], "words": [["x%d" % i, "ab"[i % 2]] for i in range(2000)][::-1]})
+    out = pd.concat(N._kinds(Known, 3)(iter([frame[:900], frame[900:]])))
+    assert sorted(zip(out["kind"], out["name"])) == [("2 a", "t0000"), ("2 a", "t0002"), ("2 a", "t0004"), ("2 b", "t0001"), ("2 b", "t0003"), ("2 b", "t0005")]
