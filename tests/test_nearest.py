@@ -96,3 +96,31 @@ def test_kinds_of_tools(spark):
     frame = pd.DataFrame({"name": [f"t{i:04}" for i in range(2000)][::-1], "words": [["x%d" % i, "ab"[i % 2]] for i in range(2000)][::-1]})
     out = pd.concat(N._kinds(Known, 3)(iter([frame[:900], frame[900:]])))
     assert sorted(zip(out["kind"], out["name"])) == [("2 a", "t0000"), ("2 a", "t0002"), ("2 a", "t0004"), ("2 b", "t0001"), ("2 b", "t0003"), ("2 b", "t0005")]
+
+
+# --- vectors ---------------------------------------------------------------------------------
+
+
+def cosine(a, b):
+    dot = lambda x, y: float(sum((p * q for p, q in zip(x, y)), 0.0))
+    return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """Vectors of which many are equal, one of them in every third row, and their folder."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 8)).astype(np.float32)
+    rows = [(i, base[0 if i % 3 == 0 else rng.integers(40)].tolist(), 0) for i in range(600)]
+    folder = tmp_path_factory.mktemp("nearest")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    return {i: v for i, v, _ in rows}, str(folder)
+
+
+def test_neighbours_with_equal_vectors(spark, vectors, monkeypatch):
+    v, folder = vectors
+    want = {(a, r + 1, b) for a in v if a % 50 == 0 for r, b in enumerate(sorted(v, key=lambda b: (-round(cosine(v[a], v[b]), 9), b))[:5])}
+    out = QUERIES["semantic_neighbors_topk"](spark, folder)
+    assert {(r.query_id, r["rank"], r.item_id) for r in out.collect()} == want and "_tools" not in plan(out)
+    monkeypatch.setattr(U, "BLOCK_ROWS", 5)
+    assert {(r.query_id, r["rank"], r.item_id) for r in QUERIES["semantic_neighbors_topk"](spark, folder).collect()} == want
