@@ -124,3 +124,13 @@ def test_neighbours_with_equal_vectors(spark, vectors, monkeypatch):
     assert {(r.query_id, r["rank"], r.item_id) for r in out.collect()} == want and "_tools" not in plan(out)
     monkeypatch.setattr(U, "BLOCK_ROWS", 5)
     assert {(r.query_id, r["rank"], r.item_id) for r in QUERIES["semantic_neighbors_topk"](spark, folder).collect()} == want
+
+
+def test_semantic_suites_with_equal_vectors(spark, vectors):
+    v, folder = vectors
+    order = {a: sorted((b for b in v if b != a), key=lambda b: (-cosine(v[a], v[b]), f"v{b}")) for a in v if a % 50 == 0}
+    ranking = QUERIES["suite_semantic_ranking"](spark, folder)
+    assert {r.case_id: r.ranked for r in ranking.collect()} == {f"q{a}": ",".join(f"v{b}" for b in order[a][:5]) for a in order} and "_tools" not in plan(ranking)
+    covered = QUERIES["suite_semantic_covered"](spark, folder)
+    want = {f"q{a}::k{k}::semantic": {f"v{b}" for b in [a, *order[a][: k - 1]]} for a in order for k in (5, 10)}
+    assert {r.case_id: set(r.candidates.split(",")) for r in covered.collect()} == want and "_tools" not in plan(covered)
