@@ -134,3 +134,15 @@ def test_semantic_suites_with_equal_vectors(spark, vectors):
     covered = QUERIES["suite_semantic_covered"](spark, folder)
     want = {f"q{a}::k{k}::semantic": {f"v{b}" for b in [a, *order[a][: k - 1]]} for a in order for k in (5, 10)}
     assert {r.case_id: set(r.candidates.split(",")) for r in covered.collect()} == want and "_tools" not in plan(covered)
+
+
+def test_vectors_without_a_cosine(spark):
+    """As in a sort of cosines: null comes first, what is no number last; a vector of zeros is refused."""
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 1.0]), (7, [0.0, 1.0]), (8, [2.0, 0.0])], "item_id int, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [3.0])], "query_id int, vector array<double>")
+    near = lambda k: {q: [r.item_id for r in U.vector_neighbors(queries, items, k).where(F.col("query_id") == q).orderBy("rank").collect()] for q in (1, 2, 3)}
+    assert near(8) == {1: [2, 3, 4, 1, 8, 6, 7, 5], 2: list(range(1, 9)), 3: [1, 2, 4, 5, 6, 7, 8, 3]}
+    assert near(4) == {1: [2, 3, 4, 1], 2: [1, 2, 3, 4], 3: [1, 2, 4, 5]}
+    with pytest.raises(Exception, match="length zero"):
+        U.vector_neighbors(queries, items.unionByName(spark.createDataFrame([(9, [0.0, 0.0])], items.schema)), 3).collect()
+    assert U.vector_neighbors(queries.limit(0), items, 3).count() == 0 and U.vector_neighbors(queries, items.limit(0), 3).count() == 0
