@@ -48,6 +48,21 @@ def test_hashes_of_all_pairs(spark, inventory, need, monkeypatch):
     assert {r.case_id: r.ranked for r in U.distractors(cases, tools, need, "random", 7).collect()} == want
 
 
+@pytest.mark.parametrize("missing", [False])
+def test_random_suites_of_all_pairs(spark, inventory, missing):
+    """Sets of a large inventory, in the order of their own hash; no inventory is an array."""
+    rows, tools = inventory
+    cases, label = asked(spark, rows), ("missing:" if missing else "covered:") + "random"
+    want = {}
+    for c in cases.collect():
+        ranked = sorted((n for n, *_ in rows if n != c.gold), key=lambda n: sha(7, c.case_id, "distractor", n))
+        for k in (5, 20):
+            chosen = ranked[: k if missing else k - 1] + ([] if missing else [c.gold])
+            want[c.case_id, k] = sorted(chosen, key=lambda n: sha(7, c.case_id, k, label, n))
+    out = U.suite(cases, tools, [5, 20], "random", 7, missing)
+    assert {(r.parent_case_id, r.candidate_count): r.candidates for r in out.collect()} == want and "_tools" not in plan(out)
+
+
 def test_sizes_need_no_ranking(spark, inventory, tmp_path):
     """Sizes of sets are those of the suite, its refusals too; counting them hashes nothing."""
     rows, tools = inventory
